@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import chunks, mix
+from .words import chunks, code_points, mix
 
 MODEL = "piece_bpe_32k.model"
 TEMPERATURE, SEED = 1.0, 20240501
@@ -72,23 +72,27 @@ class Pieces:
             self.weight[i] = -temperature * (np.log(r + 2.7) + total)
         self.byte_weight = -temperature * (np.log(2.0 * len(plain)) + total)
         self.longest = max(len(sp.id_to_piece(i)) for i in plain)
-        keys = np.zeros(len(plain), np.uint64)
+        keys, longer = np.zeros(len(plain), np.uint64), []
         for k, i in enumerate(plain):
-            codes = np.array([ord(c) for c in sp.id_to_piece(i)], np.int64)
-            keys[k] = mix(_rolling(codes)[0][-1] + np.uint64(len(codes)))
+            sums = _rolling(np.array([ord(c) for c in sp.id_to_piece(i)], np.int64))[0]
+            keys[k] = sums[-1]
+            longer.append(sums[1:-1])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, np.int32)[order]
-        self.maybe = np.zeros(1 << _FILTER, bool)
-        self.maybe[(self.keys >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+        # by the upper bits of a hash: 1 for a piece, 2 for the beginning of a longer piece
+        self.maybe = np.zeros(1 << _FILTER, np.uint8)
+        self.maybe[(self.keys >> np.uint64(64 - _FILTER)).view(np.int64)] |= 1
+        self.maybe[(np.concatenate(longer) >> np.uint64(64 - _FILTER)).view(np.int64)] |= 2
         self.raw_at = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the hashes that are pieces, and the pieces' ids."""
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _FILTER)).astype(np.int64)])
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indexes of the hashes that are pieces, those pieces' ids, and which hashes may begin longer pieces."""
+        maybe = self.maybe[(h >> np.uint64(64 - _FILTER)).view(np.int64)]
+        at = np.flatnonzero(maybe & 1)
         place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         hit = self.keys[place] == h[at]
-        return at[hit], self.ids[place[hit]]
+        return at[hit], self.ids[place[hit]], maybe > 1
 
 
 @lru_cache(maxsize=4)
@@ -98,8 +102,8 @@ def pieces(path: str, temperature: float) -> Pieces:
 
 def _characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each text that isn't empty led by a space; offsets of the texts."""
-    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+    codes, before = code_points(data, off)
+    codes = codes.astype(np.int64)
     full = np.diff(before) > 0
     codes = np.insert(codes, before[:-1][full], 32)
     return codes, before + np.concatenate([[0], np.cumsum(full)])
@@ -122,7 +126,10 @@ def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -
     end = np.append(start[1:], n)
     sums, inverse = _rolling(codes)
     doc = np.searchsorted(at, start, "right") - 1
-    _, which, word = np.unique(mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), return_index=True, return_inverse=True)
+    coded = pa.compute.dictionary_encode(pa.array(mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))))
+    word = coded.indices.to_numpy().astype(np.int64)
+    which = np.zeros(len(coded.dictionary), np.int64)
+    which[word[::-1]] = np.arange(len(word))[::-1]  # first occurrences
 
     # distinct words, one after the other
     size = (end - start)[which]
@@ -134,10 +141,12 @@ def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -
 
     # edges of the lattice: (from, to, piece); to and from number gaps, a word having one more gap than characters
     src, dst, ids, val = [], [], [], []
+    room = size[own] - place
+    live = np.arange(len(c))
     for k in range(1, min(p.longest, int(size.max())) + 1):
-        where = np.flatnonzero(place + k <= size[own])
-        found, piece = p.find(mix((sums[where + k] - sums[where]) * inverse[where] + np.uint64(k)))
-        where = where[found]
+        found, piece, more = p.find((sums[live + k] - sums[live]) * inverse[live])
+        where = live[found]
+        live = live[more & (room[live] > k)]
         src.append(where + own[where])
         dst.append(where + own[where] + k)
         ids.append(piece)
@@ -153,7 +162,8 @@ def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -
             val.append(p.byte_weight * (1 + (ch >= 0x80) + (ch >= 0x800) + (ch >= 0x10000)))
     src, dst, ids, val = (np.concatenate(x) for x in (src, dst, ids, val))
     gap_place = np.arange(base[-1] + len(which)) - np.repeat(base[:-1] + np.arange(len(which)), size + 1)
-    order = np.lexsort((src, dst, gap_place[dst]))
+    # by level, then gap, longer pieces first
+    order = np.argsort((gap_place[dst] << 42) + (dst << 5) - (dst - src))
     src, dst, ids, val = src[order], dst[order], ids[order], val[order]
 
     # forward filtering, all words at once, gap by gap
@@ -173,9 +183,10 @@ def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -
     heads = np.flatnonzero(new)
     floor = np.where(heads > 0, total[heads - 1], 0.0)
     top = total[np.append(heads[1:] - 1, len(total) - 1)] - floor
-    cdf = np.minimum((total - floor[group]) / top[group], 1.0) + group
-    of_gap = np.zeros(len(alpha), np.int64)
-    of_gap[dst[heads]] = group[heads]
+    cdf = (total - floor[group]) / top[group]
+    cdf[np.append(heads[1:], len(dst)) - 1] = 2.0
+    head_of = np.zeros(len(alpha), np.int64)
+    head_of[dst[heads]] = heads
 
     # backward sampling of every occurrence
     number = (np.arange(len(start)) - np.searchsorted(doc, doc)).astype(np.uint64)
@@ -185,10 +196,12 @@ def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -
     gap = bottom + size[word]
     picked, of, step = [], [], 0
     while len(live):
-        u = (mix(seed[live] + np.uint64(step) * _P) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        g = of_gap[gap]
-        e = np.searchsorted(cdf, g + u, "right")
-        e = np.minimum(e, np.append(heads[1:], len(dst))[g] - 1)
+        u = (mix(seed[live] + _P * np.arange(step, step + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        e = head_of[gap]
+        past = np.flatnonzero(cdf[e] <= u)
+        while len(past):
+            e[past] += 1
+            past = past[cdf[e[past]] <= u[past]]
         picked.append(ids[e])
         of.append(live)
         gap = src[e]

@@ -40,6 +40,7 @@ RAW, PLAIN = _blank_table(False), _blank_table(True)
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
+    h = np.atleast_1d(h)
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h = h ^ (h >> np.uint64(29))
@@ -59,7 +60,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, limit: int = CHUNK, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; a null text is empty."""
     if texts.null_count:
         texts = texts.fill_null("")
@@ -69,11 +70,17 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1))
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
 
+def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and the texts' offsets among them."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+
+
 class Words:
     """Words of one chunk: ``start`` and ``end`` into ``data`` (as mapped by the table), ``doc`` and ``hash``."""
 
