@@ -62,7 +62,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     for name, rule in RULES:
         fails = F.expr(_of_struct(rule))
         bits = bits.bitwiseOR(F.when(fails, BIT[name]).otherwise(0))
-    return d.select(*own, F.col("__m").withField("fail_bits", bits).alias("ledger"))
+    # the generator keeps a later filter on the ledger from being pushed down, where each nested array would be built anew
+    return d.select(*own, F.col("__m").withField("fail_bits", bits).alias("__r")).select(*own, F.explode(F.array("__r")).alias("ledger"))
 
 
 def _of_struct(rule: str) -> str:
