@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -
     end = np.append(start[1:], n)
     sums, inverse = _rolling(codes)
     doc = np.searchsorted(at, start, "right") - 1
-    coded = pa.compute.dictionary_encode(pa.array(mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))))
+    coded = pc.dictionary_encode(pa.array(mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))))
     word = coded.indices.to_numpy().astype(np.int64)
     which = np.zeros(len(coded.dictionary), np.int64)
     which[word[::-1]] = np.arange(len(word))[::-1]  # first occurrences
@@ -246,7 +247,7 @@ def _decode(path: str, temperature: float) -> Callable:
                 part = batch.slice(lo, 256)
                 lists = part.column(part.num_columns - 1)
                 flat = lists.flatten().to_numpy()
-                ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 width = (p.raw_at[1:] - p.raw_at[:-1])[flat]
                 stop = np.concatenate([[0], np.cumsum(width)])
                 out = p.raw[np.repeat(p.raw_at[flat] - stop[:-1], width) + np.arange(stop[-1])]
