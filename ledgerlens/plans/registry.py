@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rates
+from . import rates, rules
 from .bindings import Tables
 
-_ALL = {**rates.QUERIES}
+_ALL = {**rates.QUERIES, **rules.QUERIES}
 
 
 def _on_folder(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
