@@ -22,6 +22,7 @@ from .words import chunks, code_points, mix
 
 MODEL = "piece_bpe_32k.model"
 TEMPERATURE, SEED = 1.0, 20240501
+CHUNK = 1 << 18  #: bytes of text whose lattices are in memory at once, unless one text is longer
 _MARK, _LITERAL_MARK = 0x2581, 0x110001
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -231,7 +232,7 @@ def _encode(path: str, temperature: float, seed: int) -> Callable:
         p = pieces(path, temperature)
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, hi, data, off in chunks(batch.column(1)):
+            for lo, hi, data, off in chunks(batch.column(1), CHUNK):
                 ids, ends = sample_ids(p, data, off, mix(keys[lo:hi] + np.uint64(seed)))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(ends.astype(np.int32), ids)], ["doc_id", "text", "piece_ids"])
@@ -276,9 +277,15 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.mapInArrow(_decode(model or default_model(), TEMPERATURE), f"{fields}, decoded string")
 
 
-def encoded_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_pieces, piece_ids, lossless), lossless being the comparison of the decoded text with the whole text."""
-    return decode(encode(docs)).select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"))
+def encoded_rows(docs: DataFrame, model: str | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """(doc_id, n_pieces, piece_ids, lossless), lossless being the comparison of the decoded text with the whole text.
+
+    Encoding and decoding run one after the other in one Python worker per task; two steps would need two.
+    """
+    path = model or default_model()
+    forth, back = _encode(path, temperature, seed), _decode(path, temperature)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: back(forth(batches)), "doc_id long, text string, piece_ids array<int>, decoded string")
+    return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
