@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import prices, rates, rules
+from . import prices, rates, rules, text
 from .bindings import Tables
 
-_ALL = {**rates.QUERIES, **rules.QUERIES, **prices.QUERIES}
+_ALL = {**rates.QUERIES, **rules.QUERIES, **prices.QUERIES, **text.QUERIES}
 
 
 def _on_folder(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
