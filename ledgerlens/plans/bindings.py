@@ -107,8 +107,8 @@ SELECT o_orderkey AS doc_id, CAST(0.9 AS DOUBLE) AS confidence,
   CASE o_orderkey % 4 WHEN 0 THEN 'Mercy Hospital of ' WHEN 1 THEN 'Lakeside Clinic ' WHEN 2 THEN 'Urgent Care ' ELSE 'Ledger ' END || CAST(o_custkey AS STRING) || chr(10) || 'Patient Name: Ann Lee' || chr(10)
   || CASE WHEN o_orderkey % 3 = 0 THEN 'Explanation of Benefits ' || CASE o_orderkey % 5 WHEN 0 THEN 'Aetna HMO' WHEN 1 THEN 'Blue Cross PPO' ELSE 'Plan' END || chr(10) || 'Claim #: CLM' || CAST(100000 + o_orderkey AS STRING) || chr(10) ELSE '' END
   || 'Date of service: ' || CAST(1 + o_orderkey % 12 AS STRING) || '/' || CAST(1 + o_orderkey % 28 AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN '/24' ELSE '/2024' END || chr(10)
-  || CASE WHEN o_orderkey % 3 = 0 THEN 'Office visit 99213 $250.00 $' || CAST(100 + o_orderkey % 90 AS STRING) || '.50 $80.00 $20.50' || chr(10) || 'Amount billed: $' || CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS STRING) || chr(10) || 'You owe $20.50' || chr(10)
-     WHEN o_orderkey % 3 = 1 THEN '99213 25 Office visit' || chr(10) || '   $' || CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS STRING) || chr(10) || 'J1100 injection 45.00' || chr(10) || '71046 chest x-ray $90.00' || chr(10) || '71046 chest x-ray $90.00' ELSE 'Blood draw panel $12.00' END AS text
+  || CASE WHEN o_orderkey % 3 = 0 THEN 'Office visit 99213 $250.00 $' || CAST(100 + o_orderkey % 90 AS STRING) || '.50 $80.00 $20.50' || chr(10) || 'Amount billed: $' || CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS STRING) || chr(10) || 'You owe $20.50' || chr(10)
+     WHEN o_orderkey % 3 = 1 THEN '99213 25 Office visit' || chr(10) || '   $' || CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS STRING) || chr(10) || 'J1100 injection 45.00' || chr(10) || '71046 chest x-ray $90.00' || chr(10) || '71046 chest x-ray $90.00' ELSE 'Blood draw panel $12.00' END AS text
 FROM {orders}""",
     "mrf_registry": """
 SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 2 = 0 THEN 'Nation ' || CAST(s_nationkey AS STRING) || ' Regional Hospital' ELSE s_name || ' Health System' END AS name, substr(n_name, 8, 2) AS state, 'mrf/' || CAST(s_suppkey AS STRING) AS mrf_url

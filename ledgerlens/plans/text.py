@@ -52,7 +52,7 @@ QUERIES = {
     ),
     "t07_bill_lines": (
         lambda t: ex.bill_lines_from_text(t.bill_docs).select("doc_id", "line_number", "code", "modifier", "billed_amount"),
-        "SELECT doc_id, CAST(line_number AS INT) AS line_number, code, CAST(NULL AS STRING) AS modifier, amount AS billed_amount FROM (SELECT o_orderkey AS doc_id, CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS DOUBLE) AS p, o_orderkey % 3 AS k FROM orders) JOIN (VALUES (0, 1, '99213', 20.5e0), (1, 1, '99213', NULL), (1, 2, 'J1100', 45e0), (1, 3, '71046', 90e0)) AS v(k, line_number, code, fixed) USING (k), LATERAL (SELECT coalesce(fixed, p) AS amount)",
+        "SELECT doc_id, CAST(line_number AS INT) AS line_number, code, CAST(NULL AS STRING) AS modifier, amount AS billed_amount FROM (SELECT o_orderkey AS doc_id, CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) AS p, o_orderkey % 3 AS k FROM orders) JOIN (VALUES (0, 1, '99213', 20.5e0), (1, 1, '99213', NULL), (1, 2, 'J1100', 45e0), (1, 3, '71046', 90e0)) AS v(k, line_number, code, fixed) USING (k), LATERAL (SELECT coalesce(fixed, p) AS amount)",
     ),
     "t08_facility_type": (
         lambda t: t.bill_docs.select("doc_id", ex.facility_type("text").alias("facility_type")),
@@ -67,7 +67,7 @@ QUERIES = {
     "t12_document_gate": (lambda t: t.bill_docs.select("doc_id", ex.document_gate("text").alias("gate")), "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 2 THEN 0.8e0 ELSE 0.95e0 END AS gate FROM {orders} WHERE o_orderkey % 4 != 9"),
     "t13_bills_from_text": (
         lambda t: ex.bills_from_text(t.bill_docs).select("doc_id", "total_billed", "n_lines"),
-        f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 20.5e0 WHEN 1 THEN {r('CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS DOUBLE) + 135', 2)} ELSE 0e0 END AS total_billed, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END AS n_lines FROM {{orders}}",
+        f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 20.5e0 WHEN 1 THEN {r('CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) + 135', 2)} ELSE 0e0 END AS total_billed, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END AS n_lines FROM {{orders}}",
     ),
     "t14_eob_detection": (
         lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", F.col("hits").cast("long").alias("hits"), "is_eob", fn.round_to("confidence", 2).alias("confidence")),
@@ -83,7 +83,7 @@ QUERIES = {
     ),
     "t17_summary": (
         lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", "amount_billed", "patient_responsibility", "plan_paid"),
-        "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS DOUBLE) END AS amount_billed, CASE WHEN o_orderkey % 3 = 0 THEN 20.5e0 END AS patient_responsibility, CAST(NULL AS DOUBLE) AS plan_paid FROM {orders}",
+        "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) END AS amount_billed, CASE WHEN o_orderkey % 3 = 0 THEN 20.5e0 END AS patient_responsibility, CAST(NULL AS DOUBLE) AS plan_paid FROM {orders}",
     ),
     "t18_eob_lines": (
         lambda t: ex.eob_lines_from_text(t.bill_docs).select("doc_id", "code", "description", "billed_amount", "allowed_amount", "insurance_paid", "patient_responsibility"),
@@ -95,7 +95,7 @@ QUERIES = {
     ),
     "t20_eob_documents": (
         lambda t: ex.eob_documents(t.bill_docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "Office visit .*", "")).otherwise(F.col("text")))).select("doc_id", "description", "billed_amount", "allowed_amount"),
-        "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Summary' ELSE 'Office visit' END AS description, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS DOUBLE) ELSE 250e0 END AS billed_amount, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS DOUBLE) ELSE 100.5e0 + o_orderkey % 90 END AS allowed_amount FROM {orders} WHERE o_orderkey % 3 = 0",
+        "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Summary' ELSE 'Office visit' END AS description, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) ELSE 250e0 END AS billed_amount, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) ELSE 100.5e0 + o_orderkey % 90 END AS allowed_amount FROM {orders} WHERE o_orderkey % 3 = 0",
     ),
     "t21_bills_or_statements": (
         lambda t: ex.bills_or_statements(t.bill_docs).groupBy("code").agg(F.count("*").alias("n")),
@@ -103,7 +103,7 @@ QUERIES = {
     ),
     "w12_next_line": (
         lambda t: ex.bill_lines_from_text(t.bill_docs.where("doc_id % 3 = 1")).where("code = '99213'").select("doc_id", "billed_amount"),
-        "SELECT o_orderkey AS doc_id, CAST(CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS DOUBLE) AS billed_amount FROM {orders} WHERE o_orderkey % 3 = 1",
+        "SELECT o_orderkey AS doc_id, CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) AS billed_amount FROM {orders} WHERE o_orderkey % 3 = 1",
     ),
     "p01_money_text": (
         lambda t: t.orders.select("o_orderkey", fn.money(F.when(F.col("o_orderkey") % 5 == 0, "N/A").otherwise(F.concat(F.lit(" $"), F.format_number("o_totalprice", 2), F.lit(" ")))).alias("v")),
