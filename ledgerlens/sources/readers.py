@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions import care_setting, clean_code, code_type, ein, money, price, zip5
 
-LINE = T.StructType().add("lineNumber", "int").add("cptCode", "string").add("modifier", "string").add("description", "string").add("units", "double").add("billedAmount", "double").add("serviceDate", "string").add("revenueCode", "string")
+LINE = T.StructType().add("lineNumber", "integer").add("cptCode", "string").add("modifier", "string").add("description", "string").add("units", "double").add("billedAmount", "double").add("serviceDate", "string").add("revenueCode", "string")
 BILL = T.StructType().add("facilityName", "string").add("facilityType", "string").add("statementDate", "string").add("totalBilled", "double").add("parseConfidence", "double").add("sourceType", "string").add("lineItems", T.ArrayType(LINE))
-EOB_LINE = T.StructType().add("lineNumber", "int").add("cptCode", "string").add("modifier", "string").add("description", "string")
+EOB_LINE = T.StructType().add("lineNumber", "integer").add("cptCode", "string").add("modifier", "string").add("description", "string")
 for _name in ("billedAmount", "allowedAmount", "insurancePaid", "patientResponsibility", "copay", "coinsurance", "deductible"):
     EOB_LINE = EOB_LINE.add(_name, "double")
 EOB_LINE = EOB_LINE.add("adjustmentReason", "string")
@@ -70,13 +70,15 @@ def _positional(spark: SparkSession, path: str, sep: str = ",", width: int = 24,
     return spark.read.options(quote='"', escape='"', mode="PERMISSIVE", **options).csv(path, schema=schema, sep=sep)
 
 
-def _header(spark: SparkSession, path: str, *words: str, first: str | None = None) -> list[str]:
-    """The cells of the first line that holds all words (upper-cased), or whose first cell is ``first``."""
+def _header(spark: SparkSession, path: str, *words: str, first: str | None = None) -> tuple[list[str], list[str]]:
+    """The cells of the first line that holds all words (upper-cased), or whose first cell is ``first``; the lines up to it."""
+    seen = []
     for row in spark.read.text(path).limit(HEADER_LINES).collect():
+        seen.append(row["value"])
         cells = [c.strip().strip('"') for c in row["value"].replace("\t", ",").split(",")]
         joined = row["value"].upper()
         if (first is not None and cells[0].upper() == first and len(cells) >= 6) or (first is None and all(w in joined for w in words)):
-            return cells
+            return cells, seen
     raise ValueError(f"no header with {words or first} in {path}")
 
 
@@ -97,7 +99,7 @@ def read_pfs(spark: SparkSession, path: str, year: int) -> DataFrame:
 
 def read_pfs_with_header(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Older layout with a header (S02), separated by tabs if there are any."""
-    cells = _header(spark, path, "HCPC")
+    cells, _ = _header(spark, path, "HCPC")
     tabs = any("\t" in r["value"] for r in spark.read.text(path).limit(3).collect())
     upper = [c.upper() for c in cells]
     at = {name: next((upper.index(a) for a in aliases if a in upper), None) for name, aliases in PFS_HEADERS.items()}
@@ -110,10 +112,13 @@ def read_pfs_with_header(spark: SparkSession, path: str, year: int) -> DataFrame
     return d.where("code != '' AND (coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0)")
 
 
-def _by_name(spark: SparkSession, path: str, cells: list[str]) -> DataFrame:
-    """Rows past the header, columns named by it."""
-    d = _positional(spark, path, width=len(cells))
-    return d.select(*[F.col(f"_c{k}").alias(c.upper()) for k, c in enumerate(cells)])
+def _by_name(spark: SparkSession, path: str, header: tuple[list[str], list[str]]) -> DataFrame:
+    """Rows past the header, columns named by it. The few lines up to it are known by their text, so files stay splittable."""
+    cells, seen = header
+    schema = ", ".join(f"_c{k} string" for k in range(len(cells)))
+    d = spark.read.text(path).where(~F.col("value").isin(*seen) & (F.trim("value") != ""))
+    d = d.select(F.from_csv("value", schema, {"quote": '"', "escape": '"'}).alias("r"))
+    return d.select(*[F.col(f"r._c{k}").alias(c.upper()) for k, c in enumerate(cells)])
 
 
 def read_clfs(spark: SparkSession, path: str, year: int) -> DataFrame:
