@@ -55,7 +55,7 @@ def _templates(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np
     sentence = np.ones(n, bool)
     sentence[1:] = (w.doc[1:] != w.doc[:-1]) | (stops[begin[1:]] > stops[last[:-1]])
     second = data[np.minimum(w.source[np.minimum(w.start + 1, len(w.source) - 1)], len(data) - 1)]
-    capital = (data[begin] >= 65) & (data[begin] <= 90) & (w.end - w.start > 1) & ~((second >= 65) & (second <= 90))
+    capital = (data[begin] >= 65) & (data[begin] <= 90) & (w.end - w.start > 1) & ((second >= 97) & (second <= 122) | (second >= 128))
     name = capital & ~sentence
     t = w.hash.copy()
     t[number], t[unit], t[name] = _NUMBER_SLOT, _UNIT_SLOT, _NAME_SLOT

@@ -27,15 +27,15 @@ POLICIES = {"v1": BIT["few_words"] | BIT["repeated_words"], "v2": (1 << len(RULE
 BASE, CURRENT = "v1", "v2"
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``docs`` plus one struct column ``ledger``: the measurements and ``fail_bits``.
+def ledger(docs: DataFrame, name: str = "ledger") -> DataFrame:
+    """``docs`` plus one struct column ``name`` (replacing one of that name): the measurements and ``fail_bits``.
 
     Words are maximal runs of non-blank characters. n_repeat_words counts the words that stand in a 3-word window found
     twice or more in the text; windows are compared by 64-bit hashes, sorted with their positions within the text's
     array, so the work is n log n in the words of one text and nothing is shuffled. Null and empty texts have no words
     and no lines, and fail few_words. All columns of ``docs`` stay, repeated rows are measured alike.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c != name]
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     d = docs.withColumns({"__w": F.filter(F.split(text, _BLANK, -1), lambda w: w != ""), "__l": lines})
@@ -59,11 +59,11 @@ def ledger(docs: DataFrame) -> DataFrame:
         ),
     )
     bits: Column = F.lit(0)
-    for name, rule in RULES:
+    for rule_name, rule in RULES:
         fails = F.expr(_of_struct(rule))
-        bits = bits.bitwiseOR(F.when(fails, BIT[name]).otherwise(0))
+        bits = bits.bitwiseOR(F.when(fails, BIT[rule_name]).otherwise(0))
     # the generator keeps a later filter on the ledger from being pushed down, where each nested array would be built anew
-    return d.select(*own, F.col("__m").withField("fail_bits", bits).alias("__r")).select(*own, F.explode(F.array("__r")).alias("ledger"))
+    return d.select(*own, F.col("__m").withField("fail_bits", bits).alias("__r")).select(*own, F.explode(F.array("__r")).alias(name))
 
 
 def _of_struct(rule: str) -> str:
@@ -76,7 +76,7 @@ def passes(fail_bits: Column, policy: str) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that ``policy`` keeps, with their own columns only."""
-    return ledger(docs).where(passes(F.col("ledger.fail_bits"), policy)).select(*docs.columns)
+    return ledger(docs, "__ledger").where(passes(F.col("__ledger.fail_bits"), policy)).select(*docs.columns)
 
 
 def ablations(rated: DataFrame, policy: str = CURRENT) -> DataFrame:

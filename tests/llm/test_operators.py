@@ -1,0 +1,230 @@
+"""Corpus operators on small tables: planted cases, odd inputs, brute force."""
+
+import base64
+import gzip
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import chat_format, decontamination, language_id, line_dedup, near_dup, piece_sampling, quality_classifier, quality_rules, secret_scan, url_filters
+
+WORDS = [f"w{k}{'abcdefgh'[k % 8]}" for k in range(400)]
+
+
+def text(start, n=80):
+    return " ".join(WORDS[(start + 7 * k) % len(WORDS)] for k in range(n))
+
+
+def docs(spark, rows, more=""):
+    return spark.createDataFrame(rows, "doc_id long, text string" + more)
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "é▁😀\n" * 3), (6, "x" * 200_000), (7, text(1)), (7, text(1)), (None, "null id text here"), (8, "the end. 12 kg Bob")]
+
+
+def test_line_dedup_brute_force(spark):
+    line = "This line is long enough to be counted as one, surely"
+    rows = [(k, f"{text(k)}\n  {line.upper() if k % 2 else line}\t\nown {k}") for k in range(6)] + [(9, None), (10, f"{line}\n{line}")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert all(got[k].line_n_dropped == 1 and got[k].text == f"{text(k)}\nown {k}" for k in range(6))
+    assert got[10].line_n_dropped == 0 and got[10].text == f"{line}\n{line}" and got[9].text == "" and got[9].line_n_lines == 1
+
+
+def test_quality_rules(spark):
+    rows = [(1, " ".join(["a b c"] * 40)), (2, text(3)), (3, None), (4, text(3).replace(" ", "### "))]
+    got = {r.doc_id: r.ledger for r in quality_rules.ledger(docs(spark, rows)).collect()}
+    assert got[1].n_repeat_words == 120 and got[2].n_repeat_words == 0 and got[3].n_words == 0
+    assert got[2].fail_bits == 0 and got[4].fail_bits & quality_rules.BIT["many_symbols"] and got[3].fail_bits & quality_rules.BIT["few_words"]
+    assert [r.doc_id for r in quality_rules.apply_policy(docs(spark, rows)).collect()] == [2]
+    table = {r.rule: r for r in quality_rules.ablations(quality_rules.ledger(docs(spark, rows))).collect()}
+    assert table["few_words"].failed == 1 and table["few_words"].failed_alone == 1 and table["few_words"].kept_without == 2
+
+
+def test_url_filters(spark):
+    link = '<link rel="canonical" href="http://a.example.org/x">'
+    rows = [(1, "http://a.example.org/es/1", ""), (2, "http://b.net/1", '<link rel="canonical" href="http://a.example.org/es/1">'), (3, "http://c.net/q", '<meta http-equiv="refresh" content="0; url=http://b.net/1">'), (4, "https://www.b.net/1/?utm_source=q", ""), (5, "http://d.net/", ""), (6, None, None), (7, "nothing", link), (8, "HTTP://X.COM/de/9", ""), (9, "http://e.net/", '<link rel="canonical" href="http://y.com/fr/2">'), (10, "http://y.com/fr/2", "")]
+    got = {r.page_id: r for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k].verdict for k in range(1, 11)] == ["block", "block", "block", "block", "allow", "allow", "allow", "block", "allow", "allow"]
+    assert got[1].rule == "example.org/es/" and got[2].rule is None and got[8].host == "x.com" and got[6].host == ""
+
+
+def test_near_duplicates_brute_force(spark):
+    base = text(0, 120).split()
+    rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(40)] + [(100 + k, text(11 * k)) for k in range(20)] + [(200, text(11)), (201, text(11).upper())] + [(300 + k, f"{' '.join(base[:50])} {text(200 + 3 * k, 90)}") for k in range(10)]
+    rows += [(400, None), (401, ""), (402, "one two"), (403, "ONE two"), (None, "free"), (404, "x" * 50_000)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    sets = {}
+    for k, t in rows:
+        w = (t or "").lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    links = defaultdict(set)
+    for a in sets:
+        for b in sets:
+            if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links[a].add(b)
+    for k in sets:
+        seen, todo = {k}, [k]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert got[k] == (min((x for x in seen if x is not None), default=None), len(links[k])), k
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL", 8)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    base = text(0, 150).split()
+    rows = [(k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 :])) for k in range(100)]
+    assert {(r.class_id, r.n_links) for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == {(0, 99)}
+
+
+def test_decontamination(spark):
+    item = "A train leaves at 9 and travels 40 km in the hour while Bob waits for 40 minutes near the old stone bridge"
+    bench = spark.createDataFrame([(1, item), (2, text(5, 30)), (3, "too short"), (4, None)], "item_id long, text string")
+    rows = [(1, f"Intro words here. {item} More words."), (2, item.replace("40", "55").replace("Bob", "Ann")), (3, item.replace("40", "55", 1)), (4, text(200)), (5, text(5, 30).upper()), (6, None), (7, "x " + " ".join(item.split()[:9]))]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): "exact", (2, 1): "reparameterised", (5, 2): "exact"}
+    assert decontamination.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs(spark, rows), bench).collect()) == [3, 4, 6, 7]
+
+
+def test_pieces_round_trip_and_reproduce(spark):
+    d = docs(spark, ODD)
+    got = piece_sampling.encoded_rows(d).collect()
+    assert len(got) == len(ODD) and all(r.lossless for r in got)
+    again = {r.doc_id: r.piece_ids for r in piece_sampling.encode(d.repartition(3)).collect()}
+    assert all(again[r.doc_id] == r.piece_ids for r in got)
+    prose = docs(spark, [(7, "unusual segmentations of longer words " * 20)])
+    one, two, three = (piece_sampling.encode(prose, temperature=0.3, seed=s).first().piece_ids for s in (5, 5, 6))
+    assert one == two != three
+    back = piece_sampling.decode(piece_sampling.encode(d)).collect()
+    assert all(r.decoded == (r.text or "") for r in back)
+
+
+def test_sampling_follows_the_lattice():
+    """Relative frequencies of sampled segmentations against exact enumeration."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlens.llm.words import chunks, mix
+
+    p = piece_sampling.pieces(piece_sampling.default_model(), 1.0)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.default_model())
+    ids = {sp.id_to_piece(i): i for i in range(259, sp.get_piece_size())}
+    word, n = "the", 20_000
+    want = {}
+
+    def walk(rest, path, weight):
+        if not rest:
+            want[tuple(path)] = np.exp(weight)
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in ids:
+                walk(rest[k:], [*path, ids[rest[:k]]], weight + p.weight[ids[rest[:k]]])
+
+    walk("▁" + word, [], 0.0)
+    total = sum(want.values())
+    found = Counter()
+    for lo, hi, data, off in chunks(pa.array([word] * n)):
+        flat, ends = piece_sampling.sample_ids(p, data, off, mix(np.arange(lo, hi, dtype=np.uint64)))
+        found.update(tuple(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    for path, weight in want.items():
+        assert abs(found[path] / n - weight / total) < 0.02
+    assert set(found) <= set(want)
+
+
+def test_secret_layers():
+    s = 'secret = "abcdefgh1234"'
+    wrapped = base64.b64encode(gzip.compress(base64.b64encode(s.encode()))).decode()
+    base, spans, layers, complete = secret_scan.scan(f"hi {wrapped} x")
+    assert base == [] and spans == [(3, 0, 3 + len(wrapped))] and layers == 2 and complete
+    assert secret_scan.scan("a %70assword%3dhunter2hunter2 b")[1] == [(2, 0, 29)]
+    assert secret_scan.scan("%2541KIAABCDEFGHIJKLMNOP")[1] == [(0, 1, 24)]
+    assert secret_scan.scan(r"token: abcdefgh")[1] == [(0, 0, 15)]
+    assert secret_scan.scan("")[0] == [] and secret_scan.scan("%25" * 50)[3]
+
+
+@pytest.mark.parametrize("sample", ["secret: token: abcdefghij", "password=token=abcdefgh12", "AKIA AKIAABCDEFGHIJKL", "é secret='ABCDEFGH' " + "0f" * 20, "API_KEY := x"])
+def test_secret_base_rules(sample):
+    want = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", sample, re.I | re.A):
+        want += [(m.start(), 0, m.end())] if len(m[2]) >= 8 else []
+    want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", sample) if len(m[0]) >= 16]
+    want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", sample) if len(m[0]) >= 32]
+    assert secret_scan.secrets(sample) == sorted(want)
+
+
+def test_chat_layouts(spark):
+    import json
+
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]},
+        {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}], "id": "7"},
+        {"instruction": "a", "output": "b"},
+        {"prompt": "a", "completion": "b"},
+        {"question": "a", "answer": "b"},
+    ]
+    rows = [(k, 0, json.dumps(r)) for k, r in enumerate(records)] + [(50, 0, '{"other": 1}'), (51, 0, None), (52, 0, "[")]
+    turns = chat_format.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, payload string"))
+    got = defaultdict(list)
+    for r in turns.orderBy("conv_id", "turn", "sub").collect():
+        got[r.conv_id].append((r.role, r.text))
+    assert all(got[k] == [("user", "a"), ("assistant", "b")] for k in range(5))
+    assert got[50] == got[51] == got[52] == [(None, None)]
+
+
+@pytest.mark.parametrize("t", ["</s>[INST] ok [/INST]", "\\[INST]", "<|im_end|>\n", "<\\|", "\\\\<<SYS>>", "<</s>|>", ""])
+def test_escape_is_reversible(t):
+    e = chat_format.escape(t)
+    assert chat_format.unescape(e) == t and not chat_format._CONTROL.search(e)
+
+
+def test_chat_digests(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo </s>"), (1, 1, "assistant", "yo </s>"), (None, 0, "system", None), (2, None, "a\nb", "é")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("payload", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}))
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.formatted(chat_format.canonical_turns(d.select("conv_id", "turn", "payload")))).collect()}
+    want = "user\nhi\nassistant\nyo </s>\nassistant\nyo </s>\n"
+    assert got[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[1].loss_chars == 14
+    assert got[1].loss_sha256 == hashlib.sha256(b"yo </s>yo </s>").hexdigest() and got[None].n_turns == 1
+    assert got[2].turns_sha256 == hashlib.sha256("a\nb\né\n".encode()).hexdigest()
+
+
+def test_language_id(spark):
+    en, de = "the house and the garden with that other thing ", "der garten und das haus mit einer anderen sache "
+    rows = [(k, (en if k % 2 else de) * (1 + k % 3), "en" if k % 2 else "de") for k in range(40)]
+    train = docs(spark, rows, ", lang string")
+    m = language_id.fit(train)
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, [(1, "with that garden"), (2, "mit anderen garten"), (3, None), (4, "123 !"), (5, "")]), m).collect()}
+    assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and {got[k].lang_pred for k in (3, 4, 5)} == {"und"}
+    assert got[3].score == 0 and 0 <= got[1].score <= 1
+    nothing = language_id.identify(docs(spark, [(1, "abc")]), language_id.fit(train.limit(0))).first()
+    assert nothing.lang_pred == "und"
+
+
+def test_quality_classifier(spark):
+    rows = [(k, text(k) if k % 3 else text(k).replace(" ", "### ")) for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(120)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    d = docs(spark, rows)
+    m = quality_classifier.fit(quality_classifier.training_rows(d, labels))
+    got = {r.doc_id: r.predicted for r in quality_classifier.score(d, m).collect()}
+    assert sum(got[k] == int(k % 3 > 0) for k in got) >= 116
+    odd = quality_classifier.score(docs(spark, ODD), m).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_odd_rows_and_empty_tables(spark):
+    d, empty = docs(spark, ODD), docs(spark, [])
+    extra = d.withColumns({"ledger": F.lit(1), "h": F.lit(2), "key": F.lit(3), "path": F.lit(4), "line": F.lit("x")})
+    for run in (line_dedup.line_dedup, quality_rules.apply_policy, near_dup.drop_near_duplicates, near_dup.near_duplicates, secret_scan.secret_spans, piece_sampling.encoded_rows):
+        assert run(empty).count() == 0
+        assert run(extra).count() <= len(ODD)
+    assert line_dedup.line_dedup(extra).count() == len(ODD)
+    assert set(near_dup.drop_near_duplicates(extra).columns) == set(extra.columns)
+    assert near_dup.drop_near_duplicates(extra).where("doc_id = 7").count() == 1
+    bench = spark.createDataFrame([(1, text(1))], "item_id long, text string")
+    assert sorted(decontamination.contaminated(d, bench).select("doc_id").distinct().toPandas()["doc_id"]) == [7]
