@@ -18,7 +18,10 @@ def requests(t: Tables) -> DataFrame:
 
 
 REQ = "req AS (SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 2 = 0 THEN '99213' ELSE '80053' END AS code, CASE WHEN s_suppkey % 3 = 0 THEN 'supplier#00000000' END AS hospital, 'nation_' || CAST(s_suppkey % 7 AS STRING) AS payer FROM {supplier})"
-AS_OF = F.lit("2024-01-31").cast("timestamp")
+def as_of():
+    return F.lit("2024-01-31").cast("timestamp")
+
+
 NAMES = "SELECT DISTINCT replace(facility_name, '#', ' ') AS name FROM {bills}"
 
 
@@ -162,15 +165,15 @@ QUERIES = {
     ),
     "s14_allowed_events": (lambda t: t.analytics_events.where(F.col("event_type").isin(*stats.EVENT_TYPES)).select("event_id", "event_type"), f"SELECT event_id, event_type FROM {EV} WHERE event_type IN {stats.EVENT_TYPES}"),
     "a26_page_views": (
-        lambda t: stats.page_views(t.analytics_events, AS_OF),
+        lambda t: stats.page_views(t.analytics_events, as_of()),
         f"SELECT json_extract_string(event_data, '$.k') AS page, count(*) FILTER (created_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS last_7, count(*) FILTER (created_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY) AS last_30 FROM {EV} WHERE event_type = 'page_view' GROUP BY 1",
     ),
     "a27_audit_events": (
-        lambda t: stats.audit_events(t.analytics_events, AS_OF),
+        lambda t: stats.audit_events(t.analytics_events, as_of()),
         f"SELECT count(*) AS audits, count(*) FILTER (created_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS last_7, {r('avg(TRY_CAST(json_extract_string(event_data, ' + chr(39) + '$.k' + chr(39) + ') AS DOUBLE))', 2)} AS mean_size FROM {EV} WHERE event_type = 'audit'",
     ),
     "a28_event_trend": (
-        lambda t: stats.event_trend(t.analytics_events, AS_OF).withColumn("day", F.col("day").cast("string")),
+        lambda t: stats.event_trend(t.analytics_events, as_of()).withColumn("day", F.col("day").cast("string")),
         f"SELECT CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) FILTER (event_type = 'audit') AS audits, count(*) FILTER (event_type = 'signup') AS signups, count(*) FILTER (event_type = 'upgrade') AS upgrades, count(*) FILTER (event_type = 'feature_use') AS feature_uses FROM {EV} WHERE created_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY 1",
     ),
     "a33_table_counts": (
