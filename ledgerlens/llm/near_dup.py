@@ -59,6 +59,15 @@ def _shingles(w: Words, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, h
 
 
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every distinct shingle, sorted."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
+
+
 def _keys(w: Words, n_docs: int) -> np.ndarray:
     """128 bits of each text's word sequence."""
     rank = np.arange(len(w.hash), dtype=np.uint64) - np.searchsorted(w.doc, w.doc).astype(np.uint64)
@@ -76,7 +85,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), batch.column(1)
         for lo, hi, data, off in chunks(texts):
             w = Words(data, off)
-            doc, h = _shingles(w, hi - lo)
+            doc, h = _distinct(*_shingles(w, hi - lo))
             sig = np.zeros((hi - lo, COORDS), np.int32)
             full, begin = np.unique(doc, return_index=True)
             if len(full):
@@ -157,12 +166,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, wanted, rest = batch.column(0), batch.column(1), batch.select(batch.schema.names[1:])
         for lo, hi, data, off in chunks(texts):
             w = Words(data, off)
-            doc, h = _shingles(w, hi - lo)
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-            doc, h = doc[new], h[new]
+            doc, h = _distinct(*_shingles(w, hi - lo))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32) * 8
             packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(h.tobytes())])
             found = _keys(w, hi - lo).tobytes()

@@ -74,6 +74,14 @@ def test_near_duplicates_brute_force(spark):
         assert got[k] == (min((x for x in seen if x is not None), default=None), len(links[k])), k
 
 
+def test_near_duplicates_with_repeats(spark):
+    """Similarity is of sets: how often a text repeats itself doesn't matter."""
+    once, note = text(0, 100), " ".join(f"n{k}" for k in range(30))
+    rows = [(1, once), (2, f"{once} {once}"), (3, text(3, 200) + f" {note}" * 3), (4, text(3, 200) + f" {note}" * 10), (5, text(11, 60))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+
+
 def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 8)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
