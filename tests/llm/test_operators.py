@@ -146,6 +146,27 @@ def test_sampling_follows_the_lattice():
     assert set(found) <= set(want)
 
 
+def test_text_of_over_two_million_characters_without_a_space():
+    """Every round trip is whole, and beginning and end are cut as in a short text: edges stay in level order."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlens.llm.words import chunks
+
+    p = piece_sampling.pieces(piece_sampling.default_model(), 40.0)  # so sharp that the likeliest segmentation is sampled
+    unit = "12345678\tunusual\tsegmentations\n"
+    times = (1 << 21) // len(unit) + 100
+    out = []
+    for n in (200, times):
+        _, _, data, off = next(chunks(pa.array([unit * n])))
+        ids, ends = piece_sampling.sample_ids(p, data, off, np.array([5], np.uint64))
+        raw = b"".join(p.raw[p.raw_at[k] : p.raw_at[k + 1]].tobytes() for k in ids)
+        assert raw[1:] == (unit * n).encode() and ends[-1] == len(ids)
+        out.append(ids)
+    short, long = out
+    assert (long[:1000] == short[:1000]).all() and (long[-1000:] == short[-1000:]).all()
+
+
 def test_secret_layers():
     s = 'secret = "abcdefgh1234"'
     wrapped = base64.b64encode(gzip.compress(base64.b64encode(s.encode()))).decode()
