@@ -54,6 +54,9 @@ class Layer:
     def __init__(self, text: str, runs: list[tuple[int, int, int, bool]]):
         self.text, self.runs, self.starts = text, runs, [r[0] for r in runs]
 
+    def key(self) -> tuple[str, tuple]:
+        return self.text, tuple(self.runs)
+
     def place(self, at: int) -> tuple[int, int]:
         own, lo, hi, copied = self.runs[bisect_right(self.starts, at) - 1]
         return (lo + at - own, lo + at - own + 1) if copied else (lo, hi)
@@ -138,15 +141,17 @@ def scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
 
     Worklist of layers: each is scanned, and each way of decoding it gives further layers: %XX and \\u escapes rewrite
     the layer, base64 words (plain or compressed inside) become layers of their own that map to the word's place. A
-    layer text is taken once, which ends cycles; the list runs empty since decoding shortens and inflating is bounded.
+    layer text is taken once for each way it maps to the original, which ends cycles and finds every copy; the list runs
+    empty since decoding shortens and inflating is bounded. Layers are counted by their distinct texts.
     """
     base = secrets(text)
-    found, seen, layers = set(base), {text}, 0
+    found, texts = set(base), {text}
     left, complete = MAX_INFLATED, True
     work = [Layer(text, [(0, 0, len(text), True)])] if text else []
+    seen = {x.key() for x in work}
     while work:
         layer = work.pop()
-        if layers or layer.text is not text:
+        if layer.text is not text:
             for lo, kind, hi in secrets(layer.text):
                 a, b = layer.origin(lo, hi)
                 found.add((a, kind, b))
@@ -178,11 +183,11 @@ def scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
             if said:
                 new.append(Layer(said, [(0, *layer.origin(m.start(), m.end()), False)]))
         for x in new:
-            if x is not None and x.text and x.text not in seen:
-                seen.add(x.text)
-                layers += 1
+            if x is not None and x.text and x.key() not in seen:
+                seen.add(x.key())
+                texts.add(x.text)
                 work.append(x)
-    return base, sorted(found), layers, complete
+    return base, sorted(found), len(texts) - 1, complete
 
 
 def _said(spans: list[Span]) -> str:

@@ -178,6 +178,15 @@ def test_secret_layers():
     assert secret_scan.scan("")[0] == [] and secret_scan.scan("%25" * 50)[3]
 
 
+def test_encoded_secret_at_two_places():
+    word = base64.b64encode(b"password=hunter2hunter2").decode()
+    at = len(word)
+    _, spans, layers, complete = secret_scan.scan(f"{word} and {word}")
+    assert spans == [(0, 0, at), (at + 5, 0, 2 * at + 5)] and layers == 1 and complete
+    twice = base64.b64encode(f"{word} {word}".encode()).decode()
+    assert secret_scan.scan(f"{twice}\n%20\n{twice}")[1] == [(0, 0, len(twice)), (len(twice) + 5, 0, 2 * len(twice) + 5)]
+
+
 @pytest.mark.parametrize("sample", ["secret: token: abcdefghij", "password=token=abcdefgh12", "AKIA AKIAABCDEFGHIJKL", "é secret='ABCDEFGH' " + "0f" * 20, "API_KEY := x"])
 def test_secret_base_rules(sample):
     want = []
