@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,17 +116,41 @@ def _doc_windows(bits: np.ndarray, sizes: list[int]) -> Callable:
     return run
 
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per occurrence the item positions of its windows that count: sure, literal and likely ones (see ``contaminated``)."""
+    for batch in batches:
+        sure, literal, likely, own = [], [], [], []
+        for windows in batch.column(2).to_pylist():
+            equal = {w["pos"] for w in windows if w["slots"] == w["filled"]}
+            said: dict[int, Counter] = defaultdict(Counter)
+            for w in windows:
+                for a, b in zip(w["slots"], w["filled"], strict=True):
+                    said[a][b] += 1
+            whole = all(len(c) == 1 for c in said.values())
+            best = {a: max(c, key=lambda b: (c[b], b == a, b)) for a, c in said.items()}
+            follow = {w["pos"] for w in windows if all(best[a] == b for a, b in zip(w["slots"], w["filled"], strict=True))}
+            sure.append(sorted(follow) if whole else [])
+            literal.append(sorted(equal))
+            likely.append(sorted(max(follow, equal, key=len)))
+            own.append(len(equal) == len({w["pos"] for w in windows}) and whole)
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (sure, literal, likely)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], *lists, pa.array(own, pa.bool_())], ["doc_id", "item_id", "total", "sure", "literal", "likely", "own"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, kind) for each document that holds a benchmark item.
 
     docs: (doc_id, text), benchmark: (item_id, text). Windows of 8 template words of every document are tested against a
     bit filter of fixed size made from all benchmark windows, and the few that pass are joined to the benchmark windows
     by hash, whatever their number. Matches that lie on one diagonal (document position less item position) are one
-    occurrence; it counts only if its slots are consistent: equal fillings in the item stay equal in the document.
-    kind is 'exact' if every filling is the item's own, else 'reparameterised'. An item counts as held if half its
-    windows, or 13 windows, are matched. Null and empty texts hold nothing; an empty benchmark gives no row; items of
-    fewer than 4 words are not searched; rows that repeat a doc_id are judged as one document; a null doc_id is kept
-    as one group of its own.
+    occurrence. If its slots are consistent (equal fillings in the item stay equal in the document) all its windows are
+    sure, and an item counts as held if half its windows, or 13 windows, are. In an inconsistent occurrence the windows
+    whose fillings are the item's own are literal, and those that follow the most frequent filling of each slot value, or
+    the literal ones if they are more, are likely: the item is held if sure and literal windows are more than half, or if
+    sure and likely ones are 13. kind is
+    'exact' if every filling is the item's own, else 'reparameterised'. Null and empty texts hold nothing; an empty
+    benchmark gives no row; items of fewer than 4 words are not searched; rows that repeat a doc_id are judged as one
+    document; a null doc_id is kept as one group of its own.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, "id long, pos long, h long, slots array<long>, total long, size long")
     # at most 2^18 words of 64 bits come to the driver
@@ -137,18 +162,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted({s for r in words for s in r["sizes"]})
     found = docs.select("doc_id", "text").mapInArrow(_doc_windows(bits.view(np.uint8), sizes), "id long, pos long, h long, slots array<long>")
     pairs = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("slots").alias("filled")).join(items, "h")
-    fillings = F.transform(F.arrays_zip("slots", "filled"), lambda p: F.struct(p["slots"].alias("a"), p["filled"].alias("b")))
     occurrence = pairs.groupBy("doc_id", F.col("id").alias("item_id"), (F.col("at") - F.col("pos")).alias("diagonal")).agg(
-        F.collect_set("pos").alias("positions"), F.array_distinct(F.flatten(F.collect_set(fillings))).alias("f"), F.max("total").alias("total")
-    )
-    consistent = occurrence.where(F.size("f") == F.size(F.array_distinct(F.transform("f", lambda p: p["a"]))))
-    own = F.forall("f", lambda p: p["a"] == p["b"])
-    held = consistent.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long").alias("n_windows"), F.max("total").alias("total"), F.bool_and(own).alias("own")
+        F.collect_set(F.struct("pos", "slots", "filled")).alias("windows"), F.max("total").alias("total")
     )
-    coverage = F.col("n_windows") / F.col("total")
-    enough = held.where((coverage >= COVERED) | (F.col("n_windows") >= LONG_RUN))
-    return enough.select("doc_id", "item_id", "n_windows", coverage.alias("coverage"), F.when(F.col("own"), "exact").otherwise("reparameterised").alias("kind"))
+    judged = occurrence.select("doc_id", "item_id", "windows", "total").mapInArrow(_judge, "doc_id long, item_id long, total long, sure array<long>, literal array<long>, likely array<long>, own boolean")
+    union = lambda *cs: F.size(F.array_distinct(F.flatten(F.concat(*[F.collect_set(c) for c in cs])))).cast("long")
+    counts = judged.groupBy("doc_id", "item_id").agg(
+        union("sure").alias("n_sure"), union("sure", "literal").alias("n_known"), union("sure", "likely").alias("n_likely"),
+        F.max("total").alias("total"), F.bool_and(F.when(F.size("sure") > 0, F.col("own"))).alias("sure_own"), F.bool_and("own").alias("own"),
+    )
+    surely = (F.col("n_sure") >= COVERED * F.col("total")) | (F.col("n_sure") >= LONG_RUN)
+    held = counts.where(surely | (F.col("n_known") > COVERED * F.col("total")) | (F.col("n_likely") >= LONG_RUN))
+    n = F.when(surely, F.col("n_sure")).otherwise(F.greatest("n_known", "n_likely"))
+    own = F.when(surely, F.col("sure_own")).otherwise(F.col("own"))
+    return held.select("doc_id", "item_id", n.alias("n_windows"), (n / F.col("total")).alias("coverage"), F.when(own, "exact").otherwise("reparameterised").alias("kind"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

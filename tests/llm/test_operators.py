@@ -100,6 +100,20 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs(spark, rows), bench).collect()) == [3, 4, 6, 7]
 
 
+def test_decontamination_of_near_copies(spark):
+    """One altered occurrence of a repeated number or name leaves the literally equal windows counted."""
+    words = text(5, 60).split()
+    words[10] = words[50] = "9000"
+    words[30] = "Bob"
+    long = " ".join(words)
+    short = "Some 9000 apples " + text(9, 20)
+    bench = spark.createDataFrame([(1, long), (2, short + " 9000 pears")], "item_id long, text string")
+    rows = [(1, long.replace("9000", "9111", 1)), (2, long.replace("9000", "9111", 1).replace("Bob", "Ann")), (3, short.replace("9000", "6") + " 7 pears"), (4, long)]
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_windows) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 1)}
+    assert got[4, 1] == ("exact", 53) and {got[k][0] for k in [(1, 1), (2, 1), (3, 2)]} == {"reparameterised"}
+
+
 def test_pieces_round_trip_and_reproduce(spark):
     d = docs(spark, ODD)
     got = piece_sampling.encoded_rows(d).collect()
