@@ -1,4 +1,4 @@
-"""Benchmark decontamination (operator 1): windows of word templates, joined by hash, with a slot consistency check."""
+"""Benchmark decontamination (operator 1): windows of word templates and of words, joined by hash, with a slot consistency check."""
 
 from __future__ import annotations
 
@@ -33,6 +33,7 @@ def _hash_of(words: list[str]) -> np.ndarray:
 
 
 _UNIT = np.sort(_hash_of(UNITS))
+_LITERAL = 0x11E4A1 << 8
 _NUMBER_SLOT, _UNIT_SLOT, _NAME_SLOT = (np.uint64(x) for x in (0xA11CE5, 0xB0B5, 0xCAFE77))
 
 
@@ -73,18 +74,30 @@ def _windows(w: Words, t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.n
     return at[ok], mix(h[ok] + np.uint64(size))
 
 
-def _rows(ids: pa.Array, w: Words, slot: np.ndarray, at: np.ndarray, h: np.ndarray, size: int, total: np.ndarray | None = None) -> pa.RecordBatch:
-    """(id, pos, h, slots, total): slots are the hashes of the words that fill the window's slots, in order."""
-    where = np.flatnonzero(slot)
-    lo, hi = np.searchsorted(where, at), np.searchsorted(where, at + size)
-    ends = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
-    filled = w.hash[where[np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])]].view(np.int64)
+def _literal_windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of all windows as they stand, in lower case; other hashes than those of templates."""
+    at, h = w.windows(size)
+    return at, mix(h + np.uint64(_LITERAL + size))
+
+
+def _rows(ids: pa.Array, w: Words, slot: tuple[np.ndarray, int] | None, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    """(id, pos, h, slots): slots are the hashes of the words that fill the window's slots, in order; null in literal windows."""
+    size = len(at)
+    if slot is None:
+        slots = pa.nulls(size, pa.list_(pa.int64()))
+    else:
+        where, words = slot
+        lo, hi = np.searchsorted(where, at), np.searchsorted(where, at + words)
+        ends = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
+        slots = pa.ListArray.from_arrays(ends, w.hash[where[np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])]].view(np.int64))
     pos = at - np.searchsorted(w.doc, w.doc[at])
-    cols = [ids.take(pa.array(w.doc[at])), pa.array(pos), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(ends, filled)]
-    names = ["id", "pos", "h", "slots"]
-    if total is not None:
-        cols, names = [*cols, pa.array(total[w.doc[at]])], [*names, "total"]
-    return pa.RecordBatch.from_arrays(cols, names)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(w.doc[at])), pa.array(pos), pa.array(h.view(np.int64)), slots], ["id", "pos", "h", "slots"])
+
+
+def _both(w: Words, t: np.ndarray, slot: np.ndarray, size: int) -> Iterator[tuple[tuple | None, np.ndarray, np.ndarray]]:
+    """Template windows with (places of slots, size), then literal windows with None: (slots, first word, hash)."""
+    yield (np.flatnonzero(slot), size), *_windows(w, t, slot, size)
+    yield None, *_literal_windows(w, size)
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,13 +105,17 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi, data, off in chunks(batch.column(1)):
             w, t, slot = _templates(data, off)
             words = np.bincount(w.doc, minlength=hi - lo)
+            ids = batch.column(0).slice(lo, hi - lo)
             for size in range(SHORTEST, WINDOW + 1):
-                at, h = _windows(w, t, slot, size)
-                fits = words[w.doc[at]] == size if size < WINDOW else np.ones(len(at), bool)
-                at, h = at[fits], h[fits]
-                total = np.bincount(w.doc[at], minlength=hi - lo)
-                rows = _rows(batch.column(0).slice(lo, hi - lo), w, slot, at, h, size, total)
-                yield rows.append_column("size", pa.array(np.full(len(at), size, np.int64)))
+                total = None
+                for places, at, h in _both(w, t, slot, size):
+                    fits = words[w.doc[at]] == size if size < WINDOW else np.ones(len(at), bool)
+                    at, h = at[fits], h[fits]
+                    total = np.bincount(w.doc[at], minlength=hi - lo) if total is None else total
+                    rows = _rows(ids, w, places, at, h)
+                    for name, value in (("total", total[w.doc[at]]), ("every", words[w.doc[at]] - size + 1), ("size", np.full(len(at), size, np.int64))):
+                        rows = rows.append_column(name, pa.array(value))
+                    yield rows
 
 
 def _doc_windows(bits: np.ndarray, sizes: list[int]) -> Callable:
@@ -107,11 +124,11 @@ def _doc_windows(bits: np.ndarray, sizes: list[int]) -> Callable:
             for lo, hi, data, off in chunks(batch.column(1)):
                 w, t, slot = _templates(data, off)
                 for size in sizes:
-                    at, h = _windows(w, t, slot, size)
-                    k = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    maybe = (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
-                    if maybe.any():
-                        yield _rows(batch.column(0).slice(lo, hi - lo), w, slot, at[maybe], h[maybe], size)
+                    for places, at, h in _both(w, t, slot, size):
+                        k = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                        maybe = (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+                        if maybe.any():
+                            yield _rows(batch.column(0).slice(lo, hi - lo), w, places, at[maybe], h[maybe])
 
     return run
 
@@ -122,6 +139,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure, literal, likely, own = [], [], [], []
         for windows in batch.column(2).to_pylist():
             equal = {w["pos"] for w in windows if w["slots"] == w["filled"]}
+            windows = [w for w in windows if w["slots"] is not None]
             said: dict[int, Counter] = defaultdict(Counter)
             for w in windows:
                 for a, b in zip(w["slots"], w["filled"], strict=True):
@@ -132,9 +150,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sure.append(sorted(follow) if whole else [])
             literal.append(sorted(equal))
             likely.append(sorted(max(follow, equal, key=len)))
-            own.append(len(equal) == len({w["pos"] for w in windows}) and whole)
+            own.append(whole and all(a in c for a, c in said.items()))
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (sure, literal, likely)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], *lists, pa.array(own, pa.bool_())], ["doc_id", "item_id", "total", "sure", "literal", "likely", "own"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], *lists, pa.array(own, pa.bool_())], ["doc_id", "item_id", "total", "every", "sure", "literal", "likely", "own"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -149,10 +167,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the literal ones if they are more, are likely: the item is held if sure and literal windows are more than half, or if
     sure and likely ones are 13. kind is
     'exact' if every filling is the item's own, else 'reparameterised'. Null and empty texts hold nothing; an empty
-    benchmark gives no row; items of fewer than 4 words are not searched; rows that repeat a doc_id are judged as one
+    benchmark gives no row; rows that repeat a doc_id are judged as one
     document; a null doc_id is kept as one group of its own.
+
+    Every window is also hashed as it stands with A-Z lower-cased, whatever its slots, and is literal where that matches:
+    so copies of items full of numbers or names, and copies in another case, are found. Not searched: items of fewer than
+    4 words, which ordinary texts hold by chance; copies that change the case of letters beyond A-Z; re-parameterised
+    copies of windows with more slots than literal words, or in another case.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, "id long, pos long, h long, slots array<long>, total long, size long")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, "id long, pos long, h long, slots array<long>, total long, every long, size long")
     # at most 2^18 words of 64 bits come to the driver
     cell = F.shiftrightunsigned("h", 64 - BITS)
     words = items.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("v"), F.collect_set("size").alias("sizes")).collect()
@@ -163,19 +186,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text").mapInArrow(_doc_windows(bits.view(np.uint8), sizes), "id long, pos long, h long, slots array<long>")
     pairs = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("slots").alias("filled")).join(items, "h")
     occurrence = pairs.groupBy("doc_id", F.col("id").alias("item_id"), (F.col("at") - F.col("pos")).alias("diagonal")).agg(
-        F.collect_set(F.struct("pos", "slots", "filled")).alias("windows"), F.max("total").alias("total")
+        F.collect_set(F.struct("pos", "slots", "filled")).alias("windows"), F.max("total").alias("total"), F.max("every").alias("every")
     )
-    judged = occurrence.select("doc_id", "item_id", "windows", "total").mapInArrow(_judge, "doc_id long, item_id long, total long, sure array<long>, literal array<long>, likely array<long>, own boolean")
+    judged = occurrence.select("doc_id", "item_id", "windows", "total", "every").mapInArrow(_judge, "doc_id long, item_id long, total long, every long, sure array<long>, literal array<long>, likely array<long>, own boolean")
     union = lambda *cs: F.size(F.array_distinct(F.flatten(F.concat(*[F.collect_set(c) for c in cs])))).cast("long")
     counts = judged.groupBy("doc_id", "item_id").agg(
         union("sure").alias("n_sure"), union("sure", "literal").alias("n_known"), union("sure", "likely").alias("n_likely"),
-        F.max("total").alias("total"), F.bool_and(F.when(F.size("sure") > 0, F.col("own"))).alias("sure_own"), F.bool_and("own").alias("own"),
+        F.max("total").alias("total"), F.max("every").alias("every"), F.bool_and(F.when(F.size("sure") > 0, F.col("own"))).alias("sure_own"), F.bool_and("own").alias("own"),
     )
-    surely = (F.col("n_sure") >= COVERED * F.col("total")) | (F.col("n_sure") >= LONG_RUN)
-    held = counts.where(surely | (F.col("n_known") > COVERED * F.col("total")) | (F.col("n_likely") >= LONG_RUN))
+    surely = (F.col("n_sure") > 0) & ((F.col("n_sure") >= COVERED * F.col("total")) | (F.col("n_sure") >= LONG_RUN))
+    held = counts.where(surely | (F.col("n_known") > COVERED * F.col("every")) | (F.greatest("n_known", "n_likely") >= LONG_RUN))
     n = F.when(surely, F.col("n_sure")).otherwise(F.greatest("n_known", "n_likely"))
     own = F.when(surely, F.col("sure_own")).otherwise(F.col("own"))
-    return held.select("doc_id", "item_id", n.alias("n_windows"), (n / F.col("total")).alias("coverage"), F.when(own, "exact").otherwise("reparameterised").alias("kind"))
+    return held.select("doc_id", "item_id", n.alias("n_windows"), (n / F.when(surely, F.col("total")).otherwise(F.col("every"))).alias("coverage"), F.when(own, "exact").otherwise("reparameterised").alias("kind"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

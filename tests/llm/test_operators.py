@@ -114,6 +114,16 @@ def test_decontamination_of_near_copies(spark):
     assert got[4, 1] == ("exact", 53) and {got[k][0] for k in [(1, 1), (2, 1), (3, 2)]} == {"reparameterised"}
 
 
+def test_decontamination_of_items_full_of_slots(spark):
+    dense = ["Solve 3x + 5 = 20 - 7y", "11 12 13 14 15 16 17 18 19 20", "Where Did Anna Meet Bob And Carl Last Year"]
+    names = "so Anna gave the red book to Bob and then Carla took it from Dora while Emil and Frida slept at Gerda's house"
+    bench = spark.createDataFrame(list(enumerate([*dense, names])), "item_id long, text string")
+    rows = [(k, f"Some words before. {t} and some after.") for k, t in enumerate([*dense, names])]
+    rows += [(10, dense[2].lower()), (11, names.lower()), (12, names.upper()), (13, names.title()), (14, "11 12 13 14 15 19 20 21 22 23"), (15, text(9))]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert got == dict.fromkeys([(0, 0), (1, 1), (2, 2), (3, 3), (10, 2), (11, 3), (12, 3), (13, 3)], "exact")
+
+
 def test_pieces_round_trip_and_reproduce(spark):
     d = docs(spark, ODD)
     got = piece_sampling.encoded_rows(d).collect()
