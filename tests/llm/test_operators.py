@@ -51,6 +51,22 @@ def test_url_filters(spark):
     assert got[1].rule == "example.org/es/" and got[2].rule is None and got[8].host == "x.com" and got[6].host == ""
 
 
+def test_url_aliases_in_any_markup(spark):
+    to = "http://example.org/es/b"
+    pages = [
+        ("http://a.net/1", f"<link href='{to}' rel='canonical'>"), ("http://a.net/2", f"<LINK rel=canonical href={to}>"), ("http://a.net/3", f"<meta content='0; url={to}' http-equiv='refresh'>"),
+        ("http://a.net/4", f'<link rel="stylesheet" href="x"><link rel="canonical" data-x="{"y" * 900}" href="{to}">'), ("http://a.net/5", f'<link rel=canonical href="http://n.net/"><link rel=canonical href="{to}">'),
+        ("http://a.net/6/x", '<link rel="canonical" href="../1">'), ("http://a.net/7", '<link rel="canonical" href="//www.example.org/es/c?x=1&amp;y=2">'), ("http://a.net/8", f'<link rel="canonical" href="http://l.net/{"z" * 3000}">'),
+        (f"http://l.net/{'z' * 3000}", f'<meta http-equiv=refresh content="5;URL={to}">'), ("http://a.net/9", f'<link rel="canonicals" href="{to}"><a rel="canonical" href="{to}">'), ("http://b.net/10", '<link rel="canonical" href="mailto:x@y">'),
+    ]
+    rows = [(k, u, h) for k, (u, h) in enumerate(pages)]
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(11)] == ["block"] * 9 + ["allow"] * 2
+    odd = [("../../x", "http://h.net/x"), ("./y?q=../a", "http://h.net/d/y?q=../a"), ("/a/../b/", "http://h.net/b/"), ("?k", "http://h.net/d/e?k"), ("#f", None), ("", None), ("..", "http://h.net/")]
+    d = spark.createDataFrame([(t, "http://h.net/d/e?z#w", w) for t, w in odd], "t string, url string, want string")
+    assert [(r.t, r.got) for r in d.select("t", url_filters.resolved(F.col("t"), F.col("url")).alias("got")).collect()] == odd
+
+
 def test_near_duplicates_brute_force(spark):
     base = text(0, 120).split()
     rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(40)] + [(100 + k, text(11 * k)) for k in range(20)] + [(200, text(11)), (201, text(11).upper())] + [(300 + k, f"{' '.join(base[:50])} {text(200 + 3 * k, 90)}") for k in range(10)]
