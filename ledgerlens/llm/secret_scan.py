@@ -9,6 +9,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,15 @@ _KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
 _URL = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 _UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
 _ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # the shortest secret has 14 bytes
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(rb"[^A-Za-z0-9+/_=\s\x80-\xff-]")
+_CONTINUED = bytes(range(0x80, 0xC0))
 
-#: Bytes that the compressed layers of one text may hold together; beyond, the row says incomplete.
-MAX_INFLATED = 1 << 24
+#: Bytes of a window of a decompressed text, of its overlap and of its end that is searched for a break; of a piece of decompression.
+MAX_INFLATED, OVERLAP, TAIL, PIECE = 1 << 24, 1 << 16, 1 << 22, 1 << 20
+DEEPEST = 100  #: compressions directly in each other, since one may hold itself; beyond, the row says incomplete
 
 Span = tuple[int, int, int]  # start, kind's number, end
 
@@ -54,8 +60,8 @@ class Layer:
     def __init__(self, text: str, runs: list[tuple[int, int, int, bool]]):
         self.text, self.runs, self.starts = text, runs, [r[0] for r in runs]
 
-    def key(self) -> tuple[str, tuple]:
-        return self.text, tuple(self.runs)
+    def key(self) -> tuple[bytes, tuple]:
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), tuple(self.runs)
 
     def place(self, at: int) -> tuple[int, int]:
         own, lo, hi, copied = self.runs[bisect_right(self.starts, at) - 1]
@@ -115,17 +121,126 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), runs)
 
 
-def _inflate(raw: bytes, left: int) -> tuple[bytes, bool] | None:
-    """Decompressed bytes (at most ``left``) and whether that was all; None if ``raw`` isn't compressed."""
-    wbits = 31 if raw[:2] == b"\x1f\x8b" else 15 if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
-    if not wbits:
-        return None
+def _packing(head: bytes) -> int:
+    return 31 if head[:2] == b"\x1f\x8b" else 15 if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0 else 0
+
+
+def _inflated(source: Iterator[bytes], wbits: int, broken: list) -> Iterator[bytes]:
+    """Decompressed pieces of all members; ``broken`` gets an entry if the data ends early or is wrong."""
     z = zlib.decompressobj(wbits)
+    for data in source:
+        while data or not z.eof:
+            if z.eof:
+                if wbits != 31 or not data.startswith(b"\x1f"[: len(data)]):
+                    return  # what follows is no further member
+                z = zlib.decompressobj(wbits)
+            try:
+                out = z.decompress(data, PIECE)
+            except zlib.error:
+                broken.append(True)
+                return
+            if out:
+                yield out
+            data = z.unused_data if z.eof else z.unconsumed_tail
+            if not data and len(out) < PIECE:
+                break
+    if not z.eof:
+        broken.append(True)
+
+
+def _unpacked(raw: bytes) -> tuple[Iterator[bytes], list, int]:
+    """Pieces of ``raw`` with every compression around it taken off, where that went wrong, and the number of compressions."""
+    source, broken, depth = iter([raw]), [], 0
+    while True:
+        first = next(source, b"")
+        wbits = _packing(first)
+        if not wbits:
+            return chain([first], source), broken, depth
+        if depth == DEEPEST:
+            broken.append(True)
+            return iter(()), broken, depth
+        taken, fails = [first], []
+
+        def kept(source=source, taken=taken):
+            yield taken[0]
+            for piece in source:
+                if taken:
+                    taken.append(piece)
+                yield piece
+
+        inner = _inflated(kept(), wbits, fails)
+        out = next(inner, b"")
+        if not out and fails:  # only looks like a compression
+            return chain(taken, source), broken, depth
+        taken.clear()
+        broken, source, depth = _Both(broken, fails), chain([out], inner), depth + 1
+
+
+class _Both:
+    """The failures of all compressions around a text, as they become known."""
+
+    def __init__(self, *lists):
+        self.lists = lists
+
+    def __bool__(self) -> bool:
+        return any(self.lists)
+
+    def append(self, x) -> None:
+        self.lists[-1].append(x)
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Readable texts of windows of about MAX_INFLATED bytes. Windows end outside encoded words and overlap."""
+    held, limit = b"", MAX_INFLATED
+    parts, size = [], 0
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size <= limit:
+            continue
+        held, parts = b"".join(parts), []
+        at = max(m.end() for m in _BREAK.finditer(held[-TAIL:])) + max(0, len(held) - TAIL) if _BREAK.search(held[-TAIL:]) else 0
+        if not at:  # an encoded word without end is kept whole
+            parts, limit = [held], 2 * size
+            continue
+        if said := _readable(held[:at]):
+            yield said
+        at = max(0, at - OVERLAP)
+        while at < len(held) and held[at] & 0xC0 == 0x80:
+            at += 1
+        parts, size = [held[at:]], len(held) - at
+        limit = size + MAX_INFLATED
+    if said := _readable(b"".join(parts)):
+        yield said
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, str]]]]:
+    """(start, end, lines (place, word)) of base64 that line breaks may divide: lines of one length and a shorter last one."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start(), x[0]) for x in _LINE.finditer(text, m.start(), m.end())]
+        ranges, k = {(0, len(lines)), (0, len(lines) - 1)}, 0
+        while k < len(lines):
+            end = k + 1
+            while end < len(lines) and len(lines[end][1]) == len(lines[k][1]):
+                end += 1
+            ranges.add((k, end))
+            if end < len(lines) and len(lines[end][1]) < len(lines[k][1]):
+                ranges.add((k, end + 1))
+            k = end
+        for lo, hi in sorted(ranges):
+            if hi - lo > 1:
+                last = lines[hi - 1]
+                yield lines[lo][0], m.end() if hi == len(lines) else last[0] + len(last[1]), lines[lo:hi]
+
+
+def _bytes(word: str) -> bytes | None:
+    word = word.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(word) % 4 == 1:
+        return None
     try:
-        out = z.decompress(raw, left)
-    except zlib.error:
+        return base64.b64decode(word + "=" * (-len(word) % 4), validate=True)
+    except (binascii.Error, ValueError):
         return None
-    return out, not z.unconsumed_tail
 
 
 def _readable(raw: bytes) -> str | None:
@@ -136,58 +251,70 @@ def _readable(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
 
 
+def _runs(layer: Layer, raw: bytes, lo: int, hi: int, lines: list[tuple[int, str]]) -> list[tuple[int, int, int, bool]]:
+    """Runs of the text of wrapped base64: by line where lines hold whole bytes, else the whole block."""
+    if any(len(word) % 4 for _, word in lines[:-1]):
+        return [(0, *layer.origin(lo, hi), False)]
+    runs, at, own = [], 0, 0
+    for k, (place, word) in enumerate(lines):
+        piece = raw[at : at + len(word) // 4 * 3] if k + 1 < len(lines) else raw[at:]
+        runs.append((own, *layer.origin(place, place + len(word) if k + 1 < len(lines) else hi), False))
+        at += len(piece)
+        own += len(piece.translate(None, _CONTINUED))
+    return runs
+
+
+def _layers(layer: Layer, failed: list) -> Iterator[Layer]:
+    """The layers of one way of decoding ``layer``, one at a time; ``failed`` gets an entry if some of it can't be decompressed."""
+    if "%" in layer.text and (x := _rewritten(layer, _URL, _url)):
+        yield x
+    if "\\" in layer.text and (x := _rewritten(layer, _UNICODE, _unicode)):
+        yield x
+    whole = []  # places of wrapped words that were decompressed to their end
+    wrapped = ((*x, True) for x in _blocks(layer.text)) if "\n" in layer.text else ()
+    for lo, hi, lines, joined in chain(wrapped, ((m.start(), m.end(), [(m.start(), m[0])], False) for m in _BASE64.finditer(layer.text))):
+        raw = _bytes("".join(word for _, word in lines))
+        if raw is None:
+            continue
+        pieces, broken, depth = _unpacked(raw)
+        origin = layer.origin(lo, hi)
+        if depth:
+            for said in _texts(pieces):
+                yield Layer(said, [(0, *origin, False)])
+        if (not depth or broken) and (said := _readable(raw)):
+            yield Layer(said, _runs(layer, raw, lo, hi, lines))
+        elif depth and not broken and joined:
+            whole.append((lo, hi))
+        elif depth and broken and not joined and not any(a <= lo and hi <= b for a, b in whole):
+            failed.append(True)
+
+
 def scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
     """(base spans, all spans, decoded layers, complete) of one text.
 
-    Worklist of layers: each is scanned, and each way of decoding it gives further layers: %XX and \\u escapes rewrite
-    the layer, base64 words (plain or compressed inside) become layers of their own that map to the word's place. A
-    layer text is taken once for each way it maps to the original, which ends cycles and finds every copy; the list runs
-    empty since decoding shortens and inflating is bounded. Layers are counted by their distinct texts.
+    Stack of layers: each is scanned, and each way of decoding it gives further layers: %XX and \\u escapes rewrite
+    the layer, base64 words (plain or compressed inside, in one line or wrapped) become layers of their own that map to
+    the word's place. A layer text is taken once for each way it maps to the original, which ends cycles and finds every
+    copy. Layers are counted by their distinct texts. Long decompressed texts are layers in windows, made one at a time.
     """
     base = secrets(text)
-    found, texts = set(base), {text}
-    left, complete = MAX_INFLATED, True
-    work = [Layer(text, [(0, 0, len(text), True)])] if text else []
-    seen = {x.key() for x in work}
-    while work:
-        layer = work.pop()
+    found, texts, seen, failed = set(base), set(), set(), []
+    stack = [iter([Layer(text, [(0, 0, len(text), True)])] if text else [])]
+    while stack:
+        layer = next(stack[-1], None)
+        if layer is None:
+            stack.pop()
+            continue
+        if not layer.text or layer.key() in seen:
+            continue
+        seen.add(layer.key())
+        texts.add(layer.key()[0])
         if layer.text is not text:
             for lo, kind, hi in secrets(layer.text):
                 a, b = layer.origin(lo, hi)
                 found.add((a, kind, b))
-        new = []
-        if "%" in layer.text:
-            new.append(_rewritten(layer, _URL, _url))
-        if "\\" in layer.text:
-            new.append(_rewritten(layer, _UNICODE, _unicode))
-        for m in _BASE64.finditer(layer.text):
-            word = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(word) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(word + "=" * (-len(word) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            inflated = _inflate(raw, max(left, 1))
-            if inflated:
-                raw, whole = inflated
-                left -= len(raw)
-                complete &= whole
-                while (again := _inflate(raw, max(left, 1))) is not None:
-                    raw, whole = again
-                    left -= len(raw)
-                    complete &= whole
-                    if left <= 0:
-                        break
-            said = _readable(raw)
-            if said:
-                new.append(Layer(said, [(0, *layer.origin(m.start(), m.end()), False)]))
-        for x in new:
-            if x is not None and x.text and x.key() not in seen:
-                seen.add(x.key())
-                texts.add(x.text)
-                work.append(x)
-    return base, sorted(found), len(texts) - 1, complete
+        stack.append(_layers(layer, failed))
+    return base, sorted(found), max(len(texts) - 1, 0), not failed
 
 
 def _said(spans: list[Span]) -> str:
@@ -209,8 +336,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layers, complete), one row for each row of ``docs``.
 
     Offsets are code points, ends exclusive; a secret found in a decoded layer has the offsets of the encoded text that it
-    came from. Null and empty texts have no spans. ``complete`` is false where compressed layers exceed MAX_INFLATED
-    bytes; those are scanned up to there. Null ids and repeated rows are scanned like others.
+    came from. Null and empty texts have no spans. ``complete`` is false where compressed data end early or are
+    damaged (they are scanned up to there), or are packed over DEEPEST times. Null ids and repeated rows are scanned like others.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, complete boolean"

@@ -227,6 +227,34 @@ def test_encoded_secret_at_two_places():
     assert secret_scan.scan(f"{twice}\n%20\n{twice}")[1] == [(0, 0, len(twice)), (len(twice) + 5, 0, 2 * len(twice) + 5)]
 
 
+def test_compressed_and_wrapped_secrets(monkeypatch):
+    import random
+    import zlib
+
+    s = b"password=hunter2hunter2"
+    noise = "".join(random.Random(3).choices("abcdefgh .,", k=3000)).encode()
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    whole = lambda word: [(0, 0, len(word))]
+    members = b64(gzip.compress(b"hello there", mtime=0) + gzip.compress(s, mtime=0))
+    assert secret_scan.scan(members)[1] == whole(members) and secret_scan.scan(members)[3]
+    cut = b64(gzip.compress(s + noise, mtime=0)[:-300])
+    assert secret_scan.scan(cut)[1] == whole(cut) and not secret_scan.scan(cut)[3]
+    short = b64(b"token:abcdefgh")
+    assert secret_scan.scan(short)[1] == whole(short)
+    packed = base64.encodebytes(zlib.compress(noise + s)).decode().rstrip()
+    assert secret_scan.scan(packed)[1] == whole(packed) and secret_scan.scan(packed)[3]
+    assert secret_scan.scan(f"{packed}\nword\nmore text")[1] == whole(packed)
+    plain = base64.encodebytes(b"z" * 50 + b" " + s + b" and more words" * 9).decode().rstrip()
+    assert secret_scan.scan(plain)[1] == [(0, 0, 153)]
+    text = "é, words. " * 4000
+    monkeypatch.setattr(secret_scan, "MAX_INFLATED", 1 << 14)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 8)
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 10)
+    for at in range(0, 40_000, 4999):
+        word = b64(gzip.compress((text[:at] + f" {short} " + text[at:]).encode(), mtime=0))
+        assert secret_scan.scan(word)[1] == whole(word) and secret_scan.scan(word)[3], at
+
+
 @pytest.mark.parametrize("sample", ["secret: token: abcdefghij", "password=token=abcdefgh12", "AKIA AKIAABCDEFGHIJKL", "é secret='ABCDEFGH' " + "0f" * 20, "API_KEY := x"])
 def test_secret_base_rules(sample):
     want = []
