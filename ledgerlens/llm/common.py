@@ -26,9 +26,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one is made only where none is configured (tests)."""
+    """The folder that driver and executors share. One is made only where none is configured and all runs on one machine."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -50,6 +52,11 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def id_type(df: DataFrame, name: str = "doc_id") -> str:
+    """The type of an id column, which Python functions pass on as it is."""
+    return df.schema[name].dataType.simpleString()
+
+
 def held_out(doc_id: Column) -> Column:
     """The fixed test fold: crc32 of the id as text, modulo 4, is 2 (a null id is in the training fold)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table
+from .common import BLANKS, ascii_lower, cut, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -24,22 +24,22 @@ def _digest(stripped: Column) -> Column:
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, lost): for each document the digests of the lines it loses.
+    """(doc_id, t, lost): the positions of the lines that a document (doc_id, t being its text's hash) loses.
 
-    Lines are exploded and hashed, counted once per (digest, document) and then per digest, both with map-side
-    combining, so a line in a third of all documents is not gathered. The join back is a plain shuffle join on the
-    digest that adaptive execution splits where one line is hot.
+    Lines are exploded with their positions and hashed, and these small rows are written out once. They are counted per
+    (digest, document) and then per digest, both with map-side combining, so a line in a third of all documents is not
+    gathered. The join back is a plain shuffle join on the digest that adaptive execution splits where one line is hot.
     """
-    each = (
+    each = cut(
         docs.where("doc_id IS NOT NULL")
-        .select("doc_id", F.explode(_lines(F.col("text"))).alias("line"))
-        .select("doc_id", _stripped(F.col("line")).alias("s"))
+        .select("doc_id", F.xxhash64("text").alias("t"), _lines(F.col("text")).alias("lines"))
+        .select("doc_id", "t", F.posexplode("lines").alias("pos", "line"))
+        .select("doc_id", "t", "pos", _stripped(F.col("line")).alias("s"))
         .where(F.length("s") >= min_chars)
-        .select("doc_id", _digest(F.col("s")).alias("h"))
-        .distinct()
+        .select("doc_id", "t", "pos", _digest(F.col("s")).alias("h"))
     )
-    often = each.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    return each.join(often.select("h", "keeper"), "h").where("doc_id != keeper").groupBy("doc_id").agg(F.collect_set("h").alias("lost"))
+    often = each.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    return each.join(often.select("h", "keeper"), "h").where("doc_id != keeper").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("lost"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -48,22 +48,20 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     A key (line stripped of blanks, A-Z lower-cased) of at least ``min_chars`` code points in at least ``min_docs``
     documents stays only in the largest doc_id that holds it, there in every place. Null and empty texts are one empty
     line and become ''. Rows with a null doc_id count for no line and lose none; rows that repeat a doc_id are one
-    document for counting and each loses the lines of that document. An empty table gives an empty table.
+    document for counting and each loses its own lines. doc_id may be of any ordered type. An empty table gives an empty
+    table. Texts are put together again from the positions that stay, in time linear in their lines.
     """
-    lost = shared_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("__lost_id"), F.col("lost").alias("__lost"))
-    lines = _lines(F.col("text"))
-
-    def stays(line: Column) -> Column:
-        s = _stripped(line)
-        return F.when(F.length(s) >= min_chars, ~F.array_contains(F.col("__lost"), _digest(s))).otherwise(True)
-
-    kept = F.when(F.col("__lost").isNull(), lines).otherwise(F.filter(lines, stays))
+    lost = shared_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("__lost_id"), F.col("t").alias("__lost_t"), F.col("lost").alias("__lost"))
     # adaptive execution may broadcast ``lost`` when it turns out small; else this is one shuffle of the texts
-    joined = docs.join(lost, docs["doc_id"] == lost["__lost_id"], "left").withColumn("__kept", kept)
-    return joined.select(
-        *[F.array_join("__kept", "\n").alias(c) if c == "text" else joined[c] for c in docs.columns],
-        F.size(lines).cast("long").alias("line_n_lines"),
-        (F.size(lines) - F.size("__kept")).cast("long").alias("line_n_dropped"),
+    joined = docs.join(lost, (docs["doc_id"] == lost["__lost_id"]) & (F.xxhash64(docs["text"]) == lost["__lost_t"]), "left")
+    # the generator keeps the array of lines from being built again for every position
+    d = joined.select(*[joined[c] for c in docs.columns], "__lost", F.explode(F.array(_lines(docs["text"]))).alias("__lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
+    whole = F.when(F.col("__lost").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda p: F.get("__lines", p)), "\n"))
+    return d.select(
+        *[whole.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.size("__lines").cast("long").alias("line_n_lines"),
+        F.greatest(F.size("__lost"), F.lit(0)).cast("long").alias("line_n_dropped"),
     )
 
 

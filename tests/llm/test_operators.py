@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -33,6 +34,42 @@ def test_line_dedup_brute_force(spark):
     assert got[10].line_n_dropped == 0 and got[10].text == f"{line}\n{line}" and got[9].text == "" and got[9].line_n_lines == 1
 
 
+def brute_line_dedup(rows, min_chars=40, min_docs=5):
+    """(doc_id, text) rows to (doc_id, lines, lines dropped, text), by the definition."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders = defaultdict(set)
+    for k, t in rows:
+        for line in (t or "").split("\n"):
+            if k is not None and len(key(line)) >= min_chars:
+                holders[key(line)].add(k)
+    lost = lambda k, line: k is not None and len(holders[key(line)]) >= min_docs and max(holders[key(line)]) != k
+    out = []
+    for k, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not lost(k, x)]
+        out.append((k, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def test_line_dedup_odd_rows(spark):
+    """Repeated ids with unlike texts, repeated and empty lines, null ids, against the definition."""
+    shared = [f"Shared line number {k}, long enough to be counted as one" for k in range(4)]
+    rows = [(k % 9, "\n".join([shared[k % 4], "", f"own {k}", f"\t{shared[(k + 1) % 4].upper()} ", "", shared[k % 4]])) for k in range(24)]
+    rows += [(None, shared[0]), (None, None), (20, ""), (21, "\n\n"), (22, shared[3]), (22, shared[3])]
+    got = [(r.doc_id, r.line_n_lines, r.line_n_dropped, r.text) for r in line_dedup.line_dedup(docs(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_line_dedup(rows), key=repr)
+    named = line_dedup.line_dedup(docs(spark, rows).withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    assert named.agg(F.sum("line_n_dropped")).first()[0] == sum(r[2] for r in brute_line_dedup(rows))
+
+
+def test_line_dedup_is_linear_in_a_text(spark):
+    lines = "\n".join(f"this is a shared line number {k} of some length" for k in range(100_000))
+    began = time.time()
+    got = {r.doc_id: (r.line_n_dropped, r.text) for r in line_dedup.line_dedup(docs(spark, [(k, f"{lines}\nown {k}") for k in range(5)])).collect()}
+    assert all(got[k] == (100_000, f"own {k}") for k in range(4)) and got[4][0] == 0
+    assert time.time() - began < 40
+
+
 def test_quality_rules(spark):
     rows = [(1, " ".join(["a b c"] * 40)), (2, text(3)), (3, None), (4, text(3).replace(" ", "### "))]
     got = {r.doc_id: r.ledger for r in quality_rules.ledger(docs(spark, rows)).collect()}
