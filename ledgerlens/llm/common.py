@@ -72,7 +72,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates two star steps until the edge set is stable. Each step is a minimum per node (combined map-side) and a
     join back, so no adjacency list is ever gathered; the minima are written out first so that the join is between two
-    plain shuffles and adaptive execution can split a hub's rows. Null ends and self loops are ignored.
+    plain shuffles and adaptive execution can split a hub's rows. Null ends and self loops are ignored. ``drop_cut`` deletes what the result reads.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -92,4 +92,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+    out._cut_path = e._cut_path
+    return out

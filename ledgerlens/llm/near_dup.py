@@ -3,10 +3,11 @@
 1. Every text becomes a class (equal word sequences, A-Z lower-cased) with a signature of minimum hashes: coordinate c is
    a token of the set sampled by the c-th hash function, so two sets share it with probability equal to their similarity.
 2. Chosen path: each run starts from the root and splits the sets on one shared sampled token; a bucket above ``SMALL``
-   sets is split again on two further tokens, chosen by a hash of its path, down to ``DEPTH`` splits. Buckets up to
-   ``SMALL`` are compared pair by pair; larger ones that no longer split (groups of near copies) are compared block by
-   block. The number of runs follows from the target recall.
-3. Pairs whose signatures agree on half the coordinates connect candidate clusters; only spanning edges leave a task.
+   sets is split again on two further tokens, chosen by a hash of its path, until it is small. A split that leaves
+   ``ALIKE`` of a bucket together measures that its sets are near copies: such a bucket, and one after ``DEPTH`` splits
+   (whose sets share as many sampled tokens), is compared block by block; small ones are compared pair by pair. The number
+   of runs follows from the target recall at the deepest split.
+3. Pairs whose signatures agree on ``agreeing()`` coordinates connect candidate clusters; only spanning edges leave a task.
 4. Within clusters all pairs are verified exactly on whole shingle sets, block by block; a task returns per text its
    number of links and a spanning edge, never the pairs.
 5. Classes of the result are the connected components of the exact links.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, table
+from .common import components, cut, drop_cut, id_type, small_batches, table
 from .words import Words, chunks, mix
 
 SHINGLE, SIMILAR = 5, 0.8
 COORDS = 64  #: sampled tokens per set
-SMALL, BLOCK, DEPTH, BRANCH = 256, 1024, 2, 2
+SMALL, BLOCK, DEPTH, BRANCH = 256, 1024, 8, 2
+ALIKE = 0.8  #: a split that keeps this share of a bucket together found near copies
 TARGET_RECALL = 0.99999
 BLOCK_SHINGLES = 1 << 19  #: shingles in one block of verification, about
 
@@ -42,6 +45,16 @@ def runs_needed(similar: float = SIMILAR, target: float = TARGET_RECALL) -> int:
     return math.ceil(math.log(1 - target) / math.log(1 - once))
 
 
+def agreeing(similar: float = SIMILAR, target: float = TARGET_RECALL) -> int:
+    """Coordinates on which the signatures of a pair at the threshold agree with the target probability."""
+    below = 0.0
+    for k in range(COORDS + 1):
+        below += math.comb(COORDS, k) * similar**k * (1 - similar) ** (COORDS - k)
+        if below > 1 - target:
+            return k
+    return COORDS
+
+
 def _shingles(w: Words, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every shingle; a text of fewer words than a shingle is one shingle."""
     at, h = w.windows(SHINGLE)
@@ -82,7 +95,7 @@ def _keys(w: Words, n_docs: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, marks, texts = batch.columns
         for lo, hi, data, off in chunks(texts):
             w = Words(data, off)
             doc, h = _distinct(*_shingles(w, hi - lo))
@@ -94,7 +107,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = pa.Array.from_buffers(pa.binary(16), hi - lo, [None, pa.py_buffer(_keys(w, hi - lo).tobytes())]).cast(pa.binary())
             n = np.bincount(doc, minlength=hi - lo)
             sigs = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * COORDS, sig.ravel())
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), key, pa.array(n.astype(np.int64)), sigs], ["doc_id", "key", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), marks.slice(lo, hi - lo), key, pa.array(n.astype(np.int64)), sigs], ["doc_id", "t", "key", "n", "sig"])
 
 
 def _forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
@@ -135,6 +148,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Recor
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning edges of the pairs in each bucket whose sizes and signatures allow the similarity."""
+    least = agreeing()
     for batch in _groups(batches, 3):
         path, b1, b2, side, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         sig = batch.column(5).flatten().to_numpy().reshape(len(path), COORDS)
@@ -151,7 +165,7 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             c = i[within[i] | (side[i] != side[i + d])]
             c = c[np.minimum(n[c], n[c + d]) >= SIMILAR * np.maximum(n[c], n[c + d]) - 1e-9]
-            c = c[(sig[c] == sig[c + d]).sum(1) * 2 >= COORDS]
+            c = c[(sig[c] == sig[c + d]).sum(1) >= least]
             pairs_i.append(c)
             pairs_j.append(c + d)
         if pairs_i:
@@ -161,7 +175,8 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted distinct shingles of each text, for rows whose text has the expected key."""
+    """The sorted distinct shingles of each text, for rows whose text has the expected key; copies in a task only once."""
+    seen: set[bytes] = set()
     for batch in batches:
         texts, wanted, rest = batch.column(0), batch.column(1), batch.select(batch.schema.names[1:])
         for lo, hi, data, off in chunks(texts):
@@ -170,7 +185,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32) * 8
             packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(h.tobytes())])
             found = _keys(w, hi - lo).tobytes()
-            ok = [found[16 * k : 16 * k + 16] == wanted[lo + k].as_py() for k in range(hi - lo)]
+            ok = []
+            for k in range(hi - lo):
+                key = found[16 * k : 16 * k + 16]
+                ok.append(key == wanted[lo + k].as_py() and key not in seen)
+                if ok[-1]:
+                    seen.add(key)
             part = rest.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([*part.columns, packed], [*part.schema.names, "set"]).filter(pa.array(ok))
 
@@ -231,27 +251,30 @@ def _blocks(rows: DataFrame, blocks: str, salt: str) -> DataFrame:
     return d.withColumns({"b1": F.least("side", "other"), "b2": F.greatest("side", "other")})
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): spanning edges between the keys of ``sets`` (key, n, sig) that chosen-path search finds alike."""
+def candidates(sets: DataFrame) -> list[DataFrame]:
+    """Cuts of (a, b): spanning edges between the keys of ``sets`` (key, n, sig) that chosen-path search finds alike."""
     roots = F.array(*[F.struct(F.xxhash64(F.lit(r), F.col("sig")[r % COORDS]).alias("path")) for r in range(runs_needed())])
     level = sets.select("key", F.explode(roots).alias("r")).select("key", "r.path", F.lit(None).cast("long").alias("was"))
-    found = None
+    found, held = [], None
     for depth in range(DEPTH + 1):
-        level = cut(level)
-        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        level = cut(level.join(sizes, "path"))
-        last = depth == DEPTH
-        # a group that hardly shrinks consists of near copies: it is compared as it is
-        deeper = F.lit(False) if last else (F.col("size") > SMALL) & (F.col("was").isNull() | (F.col("size") < 0.8 * F.col("was")))
-        done = level.where(~deeper).withColumn("g", F.when(F.col("size") > SMALL, F.ceil(F.col("size") / BLOCK)).otherwise(F.lit(1)))
-        rows = _blocks(done.join(sets, "key"), "g", "path")
-        edges = cut(rows.select("path", "b1", "b2", "side", "n", "sig", "key").repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2").mapInArrow(_brute, "a binary, b binary").distinct())
-        found = edges if found is None else found.unionByName(edges)
+        here = cut(level)
+        # sizes are written out, so that the join is between plain shuffles and a hot path's rows can be split
+        sizes = cut(here.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        level = cut(here.join(sizes, "path"))
+        for old in (here, sizes, held):
+            if old is not None:
+                drop_cut(old)
+        held, last = level, depth == DEPTH
+        deeper = F.lit(False) if last else (F.col("size") > SMALL) & (F.col("was").isNull() | (F.col("size") < ALIKE * F.col("was")))
+        blocks = F.greatest(F.least(F.lit(8), F.ceil(F.col("size") / SMALL)), F.ceil(F.col("size") / BLOCK))
+        rows = _blocks(level.where(~deeper).withColumn("g", blocks).join(sets, "key"), "g", "path")
+        found.append(cut(rows.select("path", "b1", "b2", "side", "n", "sig", "key").repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2").mapInArrow(_brute, "a binary, b binary").distinct()))
         if last or level.where(deeper).isEmpty():
             break
         pick = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDS)).cast("int")
         split = F.array(*[F.xxhash64("path", F.lit(k), F.get("sig", pick(k))) for k in range(BRANCH)])
         level = level.where(deeper).join(sets.select("key", "sig"), "key").select("key", F.explode(split).alias("path"), F.col("size").alias("was"))
+    drop_cut(held)
     return found
 
 
@@ -261,22 +284,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Words are split at blanks, A-Z lower-cased; texts are linked if the Jaccard similarity of their sets of 5-word
     shingles is 0.8 or more (a text of one to four words is one shingle; equal word sequences are linked as copies).
     class_id is the least doc_id of the connected component, n_links the number of other rows linked to this one.
-    Null, empty and blank texts link to nothing and form their own class; a null doc_id stays null, counts as a copy,
-    and never names a class unless alone (then class_id is null). Rows that repeat a doc_id count as rows.
+    Null, empty and blank texts link to nothing and form their own class. Rows with a null doc_id link like others, each
+    being a row; they never name a class, so a class of such rows only has a null class_id. Rows that repeat a doc_id count
+    as rows. doc_id may be of any ordered type. The files that the result reads stay in the shared folder.
     """
     small_batches(docs.sparkSession)
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, key binary, n long, sig array<int>"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "n", "sig"))
-    classes = cut(signed.where("n > 0").groupBy("key").agg(first.alias("f"), F.count("*").alias("weight")).select("key", F.col("f.doc_id").alias("rep"), "f.n", "f.sig", "weight"))
-    clusters = cut(components(candidates(classes.select("key", "n", "sig")), "a", "b"))
-    members = clusters.join(classes.select("key", "rep", "n", "weight"), clusters["node"] == classes["key"]).select("key", "rep", "n", "weight", F.col("root").alias("cluster"))
+    kind = id_type(docs)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    signed = cut(rows.mapInArrow(_sign, f"doc_id {kind}, t long, key binary, n long, sig array<int>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t", "n", "sig"))
+    classes = cut(signed.where("n > 0").groupBy("key").agg(first.alias("f"), F.count("*").alias("weight")).select("key", F.col("f.doc_id").alias("rep"), "f.t", "f.n", "f.sig", "weight"))
+    edges = candidates(classes.select("key", "n", "sig"))
+    near = components(reduce(DataFrame.unionByName, edges), "a", "b")
+    clusters = cut(near)
+    for old in (*edges, near):
+        drop_cut(old)
+    members = clusters.join(classes.select("key", "rep", "t", "n", "weight"), clusters["node"] == classes["key"]).select("key", "rep", F.col("t").alias("mark"), "n", "weight", F.col("root").alias("cluster"))
     load = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.ceil(F.greatest(F.col("c") / (BLOCK // 2), F.col("s") / BLOCK_SHINGLES, F.lit(1)))
     members = members.join(load.select("cluster", blocks.alias("g")), "cluster")
-    texts = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
+    # a row is found again by its text's hash and its id, null or not
+    texts = rows.join(members, (F.col("t") == F.col("mark")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     whole = texts.select("text", "key", "cluster", "g", "weight").mapInArrow(_sets, "key binary, cluster binary, g long, weight long, set binary")
     dealt = _blocks(whole, "g", "cluster").select("cluster", "b1", "b2", "side", "weight", "key", "set")
     checked = cut(dealt.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2").mapInArrow(_verify, "key binary, links long, root binary"))
+    drop_cut(clusters)
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     linked = components(checked, "key", "root").withColumnRenamed("node", "key")
     c = classes.select("key", "rep", "weight").join(links, "key", "left").join(linked, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

@@ -104,27 +104,75 @@ def test_url_aliases_in_any_markup(spark):
     assert [(r.t, r.got) for r in d.select("t", url_filters.resolved(F.col("t"), F.col("url")).alias("got")).collect()] == odd
 
 
-def test_near_duplicates_brute_force(spark):
-    base = text(0, 120).split()
-    rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(40)] + [(100 + k, text(11 * k)) for k in range(20)] + [(200, text(11)), (201, text(11).upper())] + [(300 + k, f"{' '.join(base[:50])} {text(200 + 3 * k, 90)}") for k in range(10)]
-    rows += [(400, None), (401, ""), (402, "one two"), (403, "ONE two"), (None, "free"), (404, "x" * 50_000)]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
-    sets = {}
-    for k, t in rows:
-        w = (t or "").lower().split()
-        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+def brute_near_duplicates(rows):
+    """Row number to (numbers of the rows of its class, number of links), by comparing all pairs that share a shingle."""
+    sets, holders = [], defaultdict(list)
+    for k, (_, t) in enumerate(rows):
+        w = re.split("[ \t\n\x0b\x0c\r]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        w = [x for x in w if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        for x in sets[-1]:
+            holders[x].append(k)
     links = defaultdict(set)
-    for a in sets:
-        for b in sets:
-            if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                links[a].add(b)
-    for k in sets:
+    for a, own in enumerate(sets):
+        shared = Counter(b for x in own for b in holders[x] if b != a)
+        links[a] = {b for b, n in shared.items() if n >= 0.8 * (len(own) + len(sets[b]) - n)}
+    out = {}
+    for k in range(len(rows)):
         seen, todo = {k}, [k]
         while todo:
             new = links[todo.pop()] - seen
             seen |= new
             todo += new
-        assert got[k] == (min((x for x in seen if x is not None), default=None), len(links[k])), k
+        out[k] = (seen, len(links[k]))
+    return out
+
+
+def same_as_brute(rows, got):
+    """Classes and link counts of (doc_id, class_id, n_links) rows against brute force; null ids are compared as a bag."""
+    want = []
+    for k, (seen, n) in brute_near_duplicates(rows).items():
+        named = [rows[x][0] for x in seen if rows[x][0] is not None]
+        want.append((rows[k][0], min(named) if named else None, n))
+    return Counter(want) == Counter((r.doc_id, r.class_id, r.n_links) for r in got)
+
+
+def near_rows():
+    base = text(0, 120).split()
+    rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(40)] + [(100 + k, text(11 * k)) for k in range(20)] + [(200, text(11)), (201, text(11).upper())] + [(300 + k, f"{' '.join(base[:50])} {text(200 + 3 * k, 90)}") for k in range(10)]
+    return rows + [(400, None), (401, ""), (402, "one two"), (403, "ONE two"), (None, "free"), (404, "x" * 50_000)]
+
+
+def test_near_duplicates_brute_force(spark):
+    assert same_as_brute(near_rows(), near_dup.near_duplicates(docs(spark, near_rows())).collect())
+
+
+def test_near_duplicates_of_rows_without_an_id(spark):
+    """Rows without an id link to each other and to named rows; repeated ids are rows of their own."""
+    base = text(0, 150).split()
+    alike = [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(0, 60, 10)]
+    rows = [(None, alike[0]), (None, alike[1]), (None, alike[1]), (9, alike[2]), (None, text(77)), (None, text(77) + " more"), (3, text(5)), (3, alike[3]), (3, text(5)), (None, None)]
+    assert same_as_brute(rows, near_dup.near_duplicates(docs(spark, rows)).collect())
+    named = [(None if k is None else f"id{k}", t) for k, t in rows]
+    assert same_as_brute(named, near_dup.near_duplicates(spark.createDataFrame(named, "doc_id string, text string")).collect())
+    assert near_dup.drop_near_duplicates(docs(spark, rows)).count() == 6 + 2
+
+
+def test_near_duplicates_on_all_documents(spark):
+    """Whole test table against brute force: no link is lost and none is too many."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert same_as_brute([tuple(r) for r in d.collect()], near_dup.near_duplicates(d).collect())
+
+
+def test_common_tokens_over_unlike_texts(spark, monkeypatch):
+    """A passage in all texts makes buckets of unlike texts: they are split further, not compared as they are."""
+    monkeypatch.setattr(near_dup, "SMALL", 8)
+    rows = [(k, f"{text(0, 60)} {' '.join(f'u{k}x{j}' for j in range(60))}") for k in range(150)] + [(500 + k, f"{text(0, 60)} {' '.join(f'u{k}x{j}' for j in range(56))} end") for k in range(20)]
+    d = docs(spark, rows)
+    assert same_as_brute(rows, near_dup.near_duplicates(d).collect())
+    signed = d.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(near_dup._sign, "doc_id long, t long, key binary, n long, sig array<int>")
+    deep = [e.count() for e in near_dup.candidates(signed.select("key", "n", "sig"))]
+    assert len(deep) > 3
 
 
 def test_near_duplicates_with_repeats(spark):
