@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -10,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, id_type, table
 from .words import PLAIN, Words, chunks, mix
 
 WINDOW = 8  #: template words in a window; items of 4 to 7 words are one window each
-SHORTEST = 4
+SHORTEST = 4  #: shorter items are looked for as whole documents
+LITERALS, LITERALS_SHORT = 3, 2  #: literal words that a template window needs, and one of a short item
 COVERED, LONG_RUN = 0.5, 13  #: a document holds an item if it covers this share of its windows, or so many windows (20 words)
-BITS = 24  #: the filter of benchmark windows has 2^24 bits (2 MB) whatever the size of the benchmark
+LEAST_BITS, MOST_BITS = 24, 27  #: the filter of benchmark windows has 2^24 (2 MB) to 2^27 (16 MB) bits, about 16 a window
 
 #: Units that follow a number.
 UNITS = (
@@ -65,12 +67,12 @@ def _templates(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np
 
 
 def _windows(w: Words, t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the windows in which at least half the words are literal."""
+    """(first word, hash) of the windows that have enough literal words."""
     literal, w.hash = w.hash, t
     at, h = w.windows(size)
     w.hash = literal
     slots = np.concatenate([[0], np.cumsum(slot)])
-    ok = 2 * (slots[at + size] - slots[at]) <= size
+    ok = slots[at + size] - slots[at] <= size - (LITERALS if size == WINDOW else LITERALS_SHORT)
     return at[ok], mix(h[ok] + np.uint64(size))
 
 
@@ -95,9 +97,17 @@ def _rows(ids: pa.Array, w: Words, slot: tuple[np.ndarray, int] | None, at: np.n
 
 
 def _both(w: Words, t: np.ndarray, slot: np.ndarray, size: int) -> Iterator[tuple[tuple | None, np.ndarray, np.ndarray]]:
-    """Template windows with (places of slots, size), then literal windows with None: (slots, first word, hash)."""
-    yield (np.flatnonzero(slot), size), *_windows(w, t, slot, size)
-    yield None, *_literal_windows(w, size)
+    """Template windows with (places of slots, size), then literal windows with None: (slots, first word, hash).
+
+    Windows below ``SHORTEST`` are literal only, and only whole texts.
+    """
+    if size >= SHORTEST:
+        yield (np.flatnonzero(slot), size), *_windows(w, t, slot, size)
+    at, h = _literal_windows(w, size)
+    if size < SHORTEST:
+        whole = np.bincount(w.doc, minlength=1)[w.doc[at]] == size
+        at, h = at[whole], h[whole]
+    yield None, at, h
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,33 +116,49 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             w, t, slot = _templates(data, off)
             words = np.bincount(w.doc, minlength=hi - lo)
             ids = batch.column(0).slice(lo, hi - lo)
-            for size in range(SHORTEST, WINDOW + 1):
-                total = None
+            for size in range(1, WINDOW + 1):
+                total = np.zeros(hi - lo, np.int64)
                 for places, at, h in _both(w, t, slot, size):
                     fits = words[w.doc[at]] == size if size < WINDOW else np.ones(len(at), bool)
                     at, h = at[fits], h[fits]
-                    total = np.bincount(w.doc[at], minlength=hi - lo) if total is None else total
+                    total = np.bincount(w.doc[at], minlength=hi - lo) if places else total
                     rows = _rows(ids, w, places, at, h)
                     for name, value in (("total", total[w.doc[at]]), ("every", words[w.doc[at]] - size + 1), ("size", np.full(len(at), size, np.int64))):
                         rows = rows.append_column(name, pa.array(value))
                     yield rows
 
 
-def _doc_windows(bits: np.ndarray, sizes: list[int]) -> Callable:
+def _doc_windows(bits: np.ndarray | None, log_bits: int, sizes: list[int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(1)):
                 w, t, slot = _templates(data, off)
                 for size in sizes:
                     for places, at, h in _both(w, t, slot, size):
-                        k = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                        maybe = (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
-                        if maybe.any():
-                            yield _rows(batch.column(0).slice(lo, hi - lo), w, places, at[maybe], h[maybe])
+                        if bits is not None:
+                            k = (h >> np.uint64(64 - log_bits)).astype(np.int64)
+                            maybe = (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+                            at, h = at[maybe], h[maybe]
+                        if len(at):
+                            yield _rows(batch.column(0).slice(lo, hi - lo), w, places, at, h)
 
     return run
 
 
+def _filter(items: DataFrame) -> tuple[np.ndarray | None, int]:
+    """Bit filter of the windows' hashes and the logarithm of its size; None if so many windows would fill the largest one."""
+    n = items.count()
+    log_bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(n, 1)))))
+    if n > 1 << (MOST_BITS - 2):
+        return None, log_bits
+    # at most 2^21 words of 64 bits come to the driver
+    cell = F.shiftrightunsigned("h", 64 - log_bits)
+    words = items.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - log_bits}) & 63 as int))")).alias("v")).toArrow()
+    bits = np.zeros(1 << (log_bits - 6), np.int64)
+    bits[words.column("k").to_numpy()] = words.column("v").to_numpy()
+    return bits.view(np.uint8), log_bits
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per occurrence the item positions of its windows that count: sure, literal and likely ones (see ``contaminated``)."""
     for batch in batches:
@@ -159,36 +185,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, kind) for each document that holds a benchmark item.
 
     docs: (doc_id, text), benchmark: (item_id, text). Windows of 8 template words of every document are tested against a
-    bit filter of fixed size made from all benchmark windows, and the few that pass are joined to the benchmark windows
+    bit filter of bounded size made from all benchmark windows, and the few that pass are joined to the benchmark windows
     by hash, whatever their number. Matches that lie on one diagonal (document position less item position) are one
     occurrence. If its slots are consistent (equal fillings in the item stay equal in the document) all its windows are
     sure, and an item counts as held if half its windows, or 13 windows, are. In an inconsistent occurrence the windows
     whose fillings are the item's own are literal, and those that follow the most frequent filling of each slot value, or
     the literal ones if they are more, are likely: the item is held if sure and literal windows are more than half, or if
-    sure and likely ones are 13. kind is
-    'exact' if every filling is the item's own, else 'reparameterised'. Null and empty texts hold nothing; an empty
-    benchmark gives no row; rows that repeat a doc_id are judged as one
-    document; a null doc_id is kept as one group of its own.
+    sure and likely ones are 13. kind is 'exact' if every filling is the item's own, else 'reparameterised'.
 
     Every window is also hashed as it stands with A-Z lower-cased, whatever its slots, and is literal where that matches:
-    so copies of items full of numbers or names, and copies in another case, are found. Not searched: items of fewer than
-    4 words, which ordinary texts hold by chance; copies that change the case of letters beyond A-Z; re-parameterised
-    copies of windows with more slots than literal words, or in another case.
+    so copies of items full of numbers or names, and copies in another case, are found. Items of 4 to 7 words are one
+    window. Items of 1 to 3 words, which ordinary texts hold by chance, are held by documents of just those words.
+    Not found: copies that change the case of letters beyond A-Z; re-parameterised copies in another case, and those of
+    windows with fewer than 3 literal words (2 in items below 8 words).
+
+    Null and empty texts hold nothing; an empty benchmark gives no row; rows that repeat a doc_id are judged as one
+    document; a null doc_id is kept as one group of its own. Ids may be of any type that groups.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, "id long, pos long, h long, slots array<long>, total long, every long, size long")
-    # at most 2^18 words of 64 bits come to the driver
-    cell = F.shiftrightunsigned("h", 64 - BITS)
-    words = items.groupBy(F.shiftright(cell, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("v"), F.collect_set("size").alias("sizes")).collect()
-    bits = np.zeros(1 << (BITS - 6), np.int64)
-    for r in words:
-        bits[r["k"]] = r["v"]
-    sizes = sorted({s for r in words for s in r["sizes"]})
-    found = docs.select("doc_id", "text").mapInArrow(_doc_windows(bits.view(np.uint8), sizes), "id long, pos long, h long, slots array<long>")
+    doc_kind, item_kind = id_type(docs), id_type(benchmark, "item_id")
+    items = cut(benchmark.select("item_id", "text").mapInArrow(_item_windows, f"id {item_kind}, pos long, h long, slots array<long>, total long, every long, size long"))
+    bits, log_bits = _filter(items)
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    found = docs.select("doc_id", "text").mapInArrow(_doc_windows(bits, log_bits, sizes), f"id {doc_kind}, pos long, h long, slots array<long>")
     pairs = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("slots").alias("filled")).join(items, "h")
     occurrence = pairs.groupBy("doc_id", F.col("id").alias("item_id"), (F.col("at") - F.col("pos")).alias("diagonal")).agg(
         F.collect_set(F.struct("pos", "slots", "filled")).alias("windows"), F.max("total").alias("total"), F.max("every").alias("every")
     )
-    judged = occurrence.select("doc_id", "item_id", "windows", "total", "every").mapInArrow(_judge, "doc_id long, item_id long, total long, every long, sure array<long>, literal array<long>, likely array<long>, own boolean")
+    judged = occurrence.select("doc_id", "item_id", "windows", "total", "every").mapInArrow(_judge, f"doc_id {doc_kind}, item_id {item_kind}, total long, every long, sure array<long>, literal array<long>, likely array<long>, own boolean")
     union = lambda *cs: F.size(F.array_distinct(F.flatten(F.concat(*[F.collect_set(c) for c in cs])))).cast("long")
     counts = judged.groupBy("doc_id", "item_id").agg(
         union("sure").alias("n_sure"), union("sure", "literal").alias("n_known"), union("sure", "likely").alias("n_likely"),

@@ -201,6 +201,104 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs(spark, rows), bench).collect()) == [3, 4, 6, 7]
 
 
+def templates(t):
+    """Words of a text and which of them are slots, character by character."""
+    words = []
+    for m in re.finditer("[^ \t\n\x0b\x0c\r]+", t or ""):
+        kept = [(i, c) for i, c in enumerate(m[0], m.start()) if ord(c) > 127 or c.isalnum()]
+        if kept:
+            words.append((kept[0][0], kept[-1][0], "".join(c for _, c in kept)))
+    out = []
+    for k, (begin, _, w) in enumerate(words):
+        number = w[0] in "0123456789"
+        unit = k > 0 and words[k - 1][2][0] in "0123456789" and w.lower() in decontamination.UNITS
+        opens = k == 0 or any(c in ".!?:\n" for c in t[words[k - 1][1] : begin])
+        name = not opens and len(w) > 1 and "A" <= w[0] <= "Z" and ("a" <= w[1] <= "z" or ord(w[1]) > 127)
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+        out.append((low, "NAME" if name else "UNIT" if unit else "NUMBER" if number else low, name or unit or number))
+    return out
+
+
+def brute_contaminated(rows, bench):
+    """(doc_id, item_id) to (kind, windows): every pair of windows of every document and item is compared."""
+    held = {}
+    for item, said in bench:
+        a = templates(said)
+        size = min(len(a), 8)
+        if not size:
+            continue
+        need = 3 if size == 8 else 2
+        windows = lambda x: range(len(x) - size + 1)
+        enough = lambda x, i: size >= 4 and sum(not s for *_, s in x[i : i + size]) >= need
+        total, every = sum(enough(a, i) for i in windows(a)), len(a) - size + 1
+        for doc, t in rows:
+            b = templates(t)
+            if size < 4 and len(b) != size:
+                continue
+            places = defaultdict(list)
+            for i in windows(a):
+                for j in windows(b):
+                    if [x[0] for x in a[i : i + size]] == [x[0] for x in b[j : j + size]]:
+                        places[j - i].append((i, None))
+                    if enough(a, i) and enough(b, j) and [x[1] for x in a[i : i + size]] == [x[1] for x in b[j : j + size]]:
+                        places[j - i].append((i, [(x[0], y[0]) for x, y in zip(a[i : i + size], b[j : j + size]) if x[2]]))
+            sure, literal, likely, sure_own, own = set(), set(), set(), True, True
+            for found in places.values():
+                equal = {i for i, pairs in found if pairs is None or all(x == y for x, y in pairs)}
+                filled = [(i, pairs) for i, pairs in found if pairs is not None]
+                said_by = defaultdict(Counter)
+                for _, pairs in filled:
+                    for x, y in pairs:
+                        said_by[x][y] += 1
+                whole = all(len(c) == 1 for c in said_by.values())
+                as_it_is = whole and all(x in c for x, c in said_by.items())
+                best = {x: max(c, key=lambda y: (c[y], y == x)) for x, c in said_by.items()}
+                follow = {i for i, pairs in filled if all(best[x] == y for x, y in pairs)}
+                if whole and follow:
+                    sure, sure_own = sure | follow, sure_own and as_it_is
+                literal, likely, own = literal | equal, likely | max(follow, equal, key=len), own and as_it_is
+            surely = bool(sure) and (2 * len(sure) >= total or len(sure) >= 13)
+            known, maybe = len(sure | literal), len(sure | likely)
+            if surely or 2 * known > every or max(known, maybe) >= 13:
+                held[doc, item] = ("exact" if (sure_own if surely else own) else "reparameterised", len(sure) if surely else max(known, maybe))
+    return held
+
+
+def test_decontamination_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    pool = ["the", "of", "train", "Bob", "Ann", "Carla", "40", "40", "55", "7", "km", "kg", "leaves", "at.", "old", "stone", "why?", "and", "red", "x2"]
+    bench = [(k, " ".join(rng.choices(pool, k=n))) for k, n in enumerate([1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 12, 12, 16, 20, 30, 40, 40, 60])] + [(90, None), (91, " . ")]
+    bench += [(92, "What is 12 + 15 * 3 ?"), (93, "Solve now")]
+    change = {"40": "41", "Bob": "Dora", "km": "mi", "55": "40"}
+    rows = [(500, "What is 12 + 15 * 3 ?"), (501, "Solve now"), (502, "We solve now and then"), (503, "So: what is 14 + 22 * 9 ?"), (504, None), (505, "")]
+    for k, (_, t) in enumerate(bench[:18]):
+        w = t.split()
+        swapped = [change.get(x, x) for x in w]
+        once = [*w]
+        once[rng.randrange(len(w))] = "other"
+        cut = w[: max(1, 2 * len(w) // 3)]
+        for n, v in enumerate((w, swapped, once, cut, [x.upper() for x in w], [x if rng.random() < 0.5 else change.get(x, x) for x in w])):
+            around = rng.choices(pool, k=rng.randrange(12)) if n else []
+            rows.append((10 * k + n, " ".join([*around, *v, *around[:3]])))
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_windows) for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = brute_contaminated(rows, bench)
+    assert got == want and len(want) > 60
+    assert {(500, 92), (501, 93), (503, 92)} <= set(want) and (502, 93) not in want
+    named = spark.createDataFrame([(f"d{k}", t) for k, t in rows], "doc_id string, text string")
+    ids = spark.createDataFrame([(f"i{k}", t) for k, t in bench], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(named, ids).collect()} == {(f"d{a}", f"i{b}") for a, b in want}
+
+
+def test_decontamination_without_a_filter(spark, monkeypatch):
+    """A benchmark too large for the filter: all windows are joined, with the same result."""
+    monkeypatch.setattr(decontamination, "MOST_BITS", 6)
+    bench = spark.createDataFrame([(1, text(5, 60))], "item_id long, text string")
+    got = decontamination.contaminated(docs(spark, [(1, text(5, 60)), (2, text(9, 60))]), bench).collect()
+    assert [(r.doc_id, r.n_windows) for r in got] == [(1, 53)]
+
+
 def test_decontamination_of_near_copies(spark):
     """One altered occurrence of a repeated number or name leaves the literally equal windows counted."""
     words = text(5, 60).split()
