@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_type, table
 
 #: Fixed patterns of the query's contract, in the order that breaks ties.
 KINDS = ("assign", "access", "hex")
@@ -29,6 +29,9 @@ _URL = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 _UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
 _ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # the shortest secret has 14 bytes
+# readable bytes inside a decoded word, as long as the shortest secret, and heads of compressed data
+_INSIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
+_HEAD = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _BREAK = re.compile(rb"[^A-Za-z0-9+/_=\s\x80-\xff-]")
@@ -125,14 +128,15 @@ def _packing(head: bytes) -> int:
     return 31 if head[:2] == b"\x1f\x8b" else 15 if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0 else 0
 
 
-def _inflated(source: Iterator[bytes], wbits: int, broken: list) -> Iterator[bytes]:
-    """Decompressed pieces of all members; ``broken`` gets an entry if the data ends early or is wrong."""
+def _inflated(source: Iterator[bytes], wbits: int, broken: list, more: list) -> Iterator[bytes]:
+    """Decompressed pieces of all members; ``broken`` gets an entry if the data ends early or is wrong, ``more`` if other data follow."""
     z = zlib.decompressobj(wbits)
     for data in source:
         while data or not z.eof:
             if z.eof:
                 if wbits != 31 or not data.startswith(b"\x1f"[: len(data)]):
-                    return  # what follows is no further member
+                    more.append(True)  # what follows is no further member
+                    return
                 z = zlib.decompressobj(wbits)
             try:
                 out = z.decompress(data, PIECE)
@@ -148,17 +152,18 @@ def _inflated(source: Iterator[bytes], wbits: int, broken: list) -> Iterator[byt
         broken.append(True)
 
 
-def _unpacked(raw: bytes) -> tuple[Iterator[bytes], list, int]:
-    """Pieces of ``raw`` with every compression around it taken off, where that went wrong, and the number of compressions."""
-    source, broken, depth = iter([raw]), [], 0
+def _unpacked(raw: bytes | memoryview) -> tuple[Iterator[bytes], list, int, list]:
+    """Pieces of ``raw`` with every compression around it taken off, where that went wrong, the number of compressions, whether other data follow."""
+    more: list = []
+    source, broken, depth = (bytes(raw[k : k + PIECE]) for k in range(0, len(raw), PIECE)), [], 0
     while True:
         first = next(source, b"")
         wbits = _packing(first)
         if not wbits:
-            return chain([first], source), broken, depth
+            return chain([first], source), broken, depth, more
         if depth == DEEPEST:
             broken.append(True)
-            return iter(()), broken, depth
+            return iter(()), broken, depth, more
         taken, fails = [first], []
 
         def kept(source=source, taken=taken):
@@ -168,10 +173,10 @@ def _unpacked(raw: bytes) -> tuple[Iterator[bytes], list, int]:
                     taken.append(piece)
                 yield piece
 
-        inner = _inflated(kept(), wbits, fails)
+        inner = _inflated(kept(), wbits, fails, [] if depth else more)
         out = next(inner, b"")
         if not out and fails:  # only looks like a compression
-            return chain(taken, source), broken, depth
+            return chain(taken, source), broken, depth, more
         taken.clear()
         broken, source, depth = _Both(broken, fails), chain([out], inner), depth + 1
 
@@ -264,6 +269,33 @@ def _runs(layer: Layer, raw: bytes, lo: int, hi: int, lines: list[tuple[int, str
     return runs
 
 
+def _embedded(layer: Layer, lo: int, hi: int, word: str, whole: bool) -> Iterator[Layer]:
+    """Texts inside the base64 characters at lo..hi that begin anywhere, as behind a path or a word joined to them.
+
+    The characters are decoded from each of the four offsets, on which the bytes depend, and readable runs and compressed
+    data inside become layers. ``whole``: what begins with the word was taken already.
+    """
+    for skip in range(4):
+        body = word[skip:].rstrip("=")
+        raw = _bytes(body[: len(body) - (len(body) % 4 == 1)])
+        if not raw:
+            continue
+
+        def origin(begin: int, end: int, skip=skip, raw=raw) -> tuple[int, int]:
+            return layer.origin(lo + skip + begin * 8 // 6, hi if end == len(raw) else lo + skip - (-end * 8 // 6))
+
+        view = memoryview(raw)
+        for m in _HEAD.finditer(raw):
+            if skip or m.start() or not whole:
+                pieces, _, depth, _ = _unpacked(view[m.start() :])
+                for said in _texts(pieces) if depth else ():
+                    if len(said) >= 14:
+                        yield Layer(said, [(0, *origin(m.start(), len(raw)), False)])
+        for m in _INSIDE.finditer(raw):
+            if (skip or m.span() != (0, len(raw)) or not whole) and (said := _readable(m[0])):
+                yield Layer(said, [(0, *origin(*m.span()), False)])
+
+
 def _layers(layer: Layer, failed: list) -> Iterator[Layer]:
     """The layers of one way of decoding ``layer``, one at a time; ``failed`` gets an entry if some of it can't be decompressed."""
     if "%" in layer.text and (x := _rewritten(layer, _URL, _url)):
@@ -273,28 +305,34 @@ def _layers(layer: Layer, failed: list) -> Iterator[Layer]:
     whole = []  # places of wrapped words that were decompressed to their end
     wrapped = ((*x, True) for x in _blocks(layer.text)) if "\n" in layer.text else ()
     for lo, hi, lines, joined in chain(wrapped, ((m.start(), m.end(), [(m.start(), m[0])], False) for m in _BASE64.finditer(layer.text))):
-        raw = _bytes("".join(word for _, word in lines))
+        word = "".join(word for _, word in lines)
+        raw = _bytes(word)
         if raw is None:
+            if not joined:
+                yield from _embedded(layer, lo, hi, word, False)
             continue
-        pieces, broken, depth = _unpacked(raw)
+        said = None
+        pieces, broken, depth, more = _unpacked(raw)
         origin = layer.origin(lo, hi)
         if depth:
-            for said in _texts(pieces):
-                yield Layer(said, [(0, *origin, False)])
+            for text in _texts(pieces):
+                yield Layer(text, [(0, *origin, False)])
         if (not depth or broken) and (said := _readable(raw)):
             yield Layer(said, _runs(layer, raw, lo, hi, lines))
         elif depth and not broken and joined:
             whole.append((lo, hi))
         elif depth and broken and not joined and not any(a <= lo and hi <= b for a, b in whole):
             failed.append(True)
+        if not joined and (broken or more if depth else not said):
+            yield from _embedded(layer, lo, hi, lines[0][1], bool(depth))
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
     """(base spans, all spans, decoded layers, complete) of one text.
 
     Stack of layers: each is scanned, and each way of decoding it gives further layers: %XX and \\u escapes rewrite
-    the layer, base64 words (plain or compressed inside, in one line or wrapped) become layers of their own that map to
-    the word's place. A layer text is taken once for each way it maps to the original, which ends cycles and finds every
+    the layer, base64 words (plain or compressed inside, in one line or wrapped, or joined to other letters or signs of the
+    alphabet) become layers of their own that map to the word's place. A layer text is taken once for each way it maps to the original, which ends cycles and finds every
     copy. Layers are counted by their distinct texts. Long decompressed texts are layers in windows, made one at a time.
     """
     base = secrets(text)
@@ -339,8 +377,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     came from. Null and empty texts have no spans. ``complete`` is false where compressed data end early or are
     damaged (they are scanned up to there), or are packed over DEEPEST times. Null ids and repeated rows are scanned like others.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, complete boolean"
+    return docs.select("doc_id", "text").mapInArrow(
+        _scanned, f"doc_id {id_type(docs)}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, complete boolean"
     )
 
 
