@@ -12,16 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import cut, drop_cut, held_out, id_type, table
 from .words import chunks, code_points
 
 DIMS = 4096  #: hashed n-grams
 ORDERS = (1, 2, 3)
 CLUSTERS = 4  #: centroids per language
 SAMPLE = 1500  #: labelled texts per language that centroids are fitted on, about; a hash of id and text chooses them
-MAX_LANGUAGES = 1000
 SLACK = 1.25  #: a text is rejected beyond this many times the distance that covers a centroid's own sample
 ROWS = 512  #: texts in one dense block
+BROADCAST_ROWS = 10_000  #: languages whose sampling shares are broadcast
 
 
 @lru_cache(maxsize=1)
@@ -74,47 +74,57 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(np.append(total, n))], ["slot", "n"])
 
 
-def _cluster(idf: np.ndarray) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Spherical k-means of one language's sample, started from spread-out texts."""
-        texts = pa.array(pdf.sort_values("text")["text"].tolist(), pa.string())
-        x = np.concatenate([vectors(counts(data, off)[0], idf) for _, _, data, off in chunks(texts, rows=ROWS)])
-        seeds = [x.sum(0)]
-        for _ in range(CLUSTERS - 1):
-            best = np.max([x @ (s / max(np.linalg.norm(s), 1e-9)) for s in seeds], 0)
-            seeds.append(x[int(np.argmin(best))])
-        cent = np.stack(seeds)
-        for _ in range(12):
-            cent = cent / np.maximum(np.linalg.norm(cent, axis=1, keepdims=True), 1e-9)
-            own = (x @ cent.T).argmax(1)
-            cent = np.stack([x[own == k].sum(0) if (own == k).any() else cent[k] for k in range(len(cent))])
-        cent = cent / np.maximum(np.linalg.norm(cent, axis=1, keepdims=True), 1e-9)
-        near = x @ cent.T
-        own = near.argmax(1)
-        rows = [(pdf["lang"].iloc[0], cent[k].tolist(), float(np.quantile(1 - near[own == k, k], 0.995))) for k in range(len(cent)) if (own == k).any()]
-        return pd.DataFrame(rows, columns=["lang", "centroid", "radius"])
+def _sampled(idf: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors of the sampled texts, of one size whatever the texts' length."""
+        for batch in batches:
+            for lo, hi, data, off in chunks(batch.column(2), rows=ROWS):
+                x = vectors(counts(data, off)[0], idf)
+                rows = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * DIMS, x.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), rows], ["lang", "mark", "x"])
 
     return run
 
 
-def fit(labelled: DataFrame) -> Model:
+def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spherical k-means of one language's sample, started from spread-out texts."""
+    pdf = pdf.sort_values("mark")
+    x = np.stack(pdf["x"].to_list())
+    seeds = [x.sum(0)]
+    for _ in range(CLUSTERS - 1):
+        best = np.max([x @ (s / max(np.linalg.norm(s), 1e-9)) for s in seeds], 0)
+        seeds.append(x[int(np.argmin(best))])
+    cent = np.stack(seeds)
+    for _ in range(12):
+        cent = cent / np.maximum(np.linalg.norm(cent, axis=1, keepdims=True), 1e-9)
+        own = (x @ cent.T).argmax(1)
+        cent = np.stack([x[own == k].sum(0) if (own == k).any() else cent[k] for k in range(len(cent))])
+    cent = cent / np.maximum(np.linalg.norm(cent, axis=1, keepdims=True), 1e-9)
+    near = x @ cent.T
+    own = near.argmax(1)
+    rows = [(pdf["lang"].iloc[0], cent[k].tolist(), float(np.quantile(1 - near[own == k, k], 0.995))) for k in range(len(cent)) if (own == k).any()]
+    return pd.DataFrame(rows, columns=["lang", "centroid", "radius"])
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (doc_id, text, lang). Document frequencies count every row; centroids are fitted per language on a sample.
 
-    The sample takes rows by a hash threshold, about SAMPLE of each language, so each fitting task has a bounded group.
-    What comes to the driver: DIMS counts, the languages' counts, and CLUSTERS centroids a language.
+    The sample takes rows by a hash threshold, about ``sample`` of each language, each (id, text) once, and turns them into
+    vectors of DIMS numbers before they are gathered: a fitting task holds about ``sample`` * 16 KB, however long the
+    texts are. What comes to the driver: DIMS counts, and CLUSTERS centroids of 16 KB for each language there is.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     df = {r["slot"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     total = df.get(DIMS, 0)
     idf = np.log((1 + total) / (1 + np.array([df.get(k, 0) for k in range(DIMS)]))) + 0.1
-    # languages beyond MAX_LANGUAGES, by count, would not be learned; real corpora have fewer
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not langs:
-        return Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
-    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(at < F.element_at(share, F.col("lang"))).select("lang", "text")
-    found = sorted(sample.groupBy("lang").applyInPandas(_cluster(idf), "lang string, centroid array<float>, radius double").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    share = cut(rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")))
+    few = share.count() <= BROADCAST_ROWS  # else a shuffle join, though so many languages hardly exist
+    marked = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
+    at = F.pmod(F.col("mark"), F.lit(1 << 20)) / float(1 << 20)
+    taken = marked.join(F.broadcast(share) if few else share, "lang").where(at < F.col("share")).select("lang", "mark", "text")
+    seen = taken.mapInArrow(_sampled(idf), "lang string, mark long, x array<float>").dropDuplicates(["lang", "mark"])
+    found = sorted(seen.groupBy("lang").applyInPandas(_cluster, "lang string, centroid array<float>, radius double").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    drop_cut(share)
     return Model(idf, [r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(-1, DIMS), np.array([r["radius"] for r in found]))
 
 
@@ -144,11 +154,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is the language of the centroid with the largest cosine, which is the score; ties go to the first language
     by name. ``rejected`` says that the text is farther from that centroid than its training texts (SLACK). Null texts
-    and texts without a letter, and every text if nothing was learned, are 'und' with score 0.
+    and texts without a letter, and every text if nothing was learned, are 'und' with score 0. Ids may be of any type.
     """
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predict(model), f"doc_id {id_type(docs)}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs.select("doc_id", "text"), fit(docs.where(~held_out(F.col("doc_id")))))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, id_type, table
 from .words import Words, chunks
 
 WORDS, STRUCTURE, LENGTHS = 2048, 12, 16
@@ -96,17 +96,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse features of the sampled texts, of bounded size whatever the texts' length."""
+    for batch in batches:
+        for lo, hi, data, off in chunks(batch.column(2), rows=512):
+            r, f, v = features(data, off)
+            ends = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (f.astype(np.int32), v)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], ["mark", "y", "f", "v"])
+
+
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     """Mini-batch AdaGrad on the bounded sample, in an order fixed by the texts."""
-    pdf = pdf.sort_values(["text", "y"], kind="stable")
+    pdf = pdf.sort_values(["mark", "y"], kind="stable")
     y = pdf["y"].to_numpy(float)
-    rows, at = [], 0
-    for lo, hi, data, off in chunks(pa.array(pdf["text"].tolist(), pa.string()), rows=512):
-        r, f, v = features(data, off)
-        rows.append((r + at, f, v))
-        at += hi - lo
-    r, f, v = (np.concatenate(x) for x in zip(*rows, strict=True))
-    ends = np.searchsorted(r, np.arange(len(y) + 1))
+    f, v = np.concatenate(pdf["f"].to_list()).astype(np.int64), np.concatenate(pdf["v"].to_list())
+    ends = np.concatenate([[0], np.cumsum(pdf["f"].map(len).to_numpy())])
     rng = np.random.default_rng(11)
     m = Machine(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(FIELDS), rng.normal(0, 0.02, (FIELDS, RANK)))
     g_bias, g_lin, g_fac = 1e-6, np.full(FIELDS, 1e-6), np.full((FIELDS, RANK), 1e-6)
@@ -135,8 +140,12 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(labelled: DataFrame) -> Machine:
-    """Fit on (text, y) rows, a bounded sample that one task can hold; FIELDS rows of weights come to the driver."""
-    found = labelled.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_train, "field long, w array<double>").collect()
+    """Fit on (text, y) rows, a bounded sample whose features (at most about 25 KB a text) one task can hold.
+
+    FIELDS rows of weights come to the driver.
+    """
+    rows = labelled.select(F.xxhash64("text").alias("mark"), "y", "text").mapInArrow(_sampled, "mark long, y int, f array<int>, v array<double>")
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_train, "field long, w array<double>").collect()
     m = Machine(0.0, np.zeros(FIELDS), np.zeros((FIELDS, RANK)))
     for r in found:
         if r["field"] < 0:
@@ -160,9 +169,9 @@ def _score(m: Machine) -> Callable:
 def score(docs: DataFrame, m: Machine) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text): the probability of label 1.
 
-    Null and empty texts are scored by their length field and zero shares. Without labelled rows all scores are 0.5.
+    Null and empty texts are scored by their length field and zero shares. Without labelled rows all scores are 0.5. Ids may be of any type.
     """
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(m), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(m), f"doc_id {id_type(docs)}, held_out boolean, score double, predicted int")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -178,6 +187,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long"), "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return score(docs, fit(training_rows(docs, labels)))

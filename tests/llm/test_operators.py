@@ -602,3 +602,82 @@ def test_odd_rows_and_empty_tables(spark):
     assert near_dup.drop_near_duplicates(extra).where("doc_id = 7").count() == 1
     bench = spark.createDataFrame([(1, text(1))], "item_id long, text string")
     assert sorted(decontamination.contaminated(d, bench).select("doc_id").distinct().toPandas()["doc_id"]) == [7]
+
+
+def test_language_by_brute_force(spark):
+    """Cosine to every centroid in plain Python, ties to the first language by name, rejection beyond the radius."""
+    import math
+    import unicodedata
+
+    import numpy as np
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    m = language_id.fit(d.where(~language_id.held_out(F.col("doc_id"))))
+    odd = [(1000, "zzzz qqqq xxxx jjjj kkkk " * 9), (1001, "漢字 かな"), (1002, "İI ßſ"), (1003, None), (1004, "12 34"), (1005, "a")]
+    rows = [(r.doc_id, r.text) for r in d.collect()] + odd
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, rows), m).collect()}
+    for k, t in rows:
+        c = [ord(x.lower()) if x.isalpha() and len(x.lower()) == 1 else ord(x) if x.isalpha() else 0 for x in (t or "")]
+        found = Counter()
+        for n in language_id.ORDERS:
+            for i in range(len(c) - n + 1):
+                if c[i] or c[i + n - 1]:
+                    h = 0
+                    for x in c[i : i + n]:
+                        h = (h * 0x9E3779B1 + x + 1) % 2**64
+                    found[(h * 0x9E3779B97F4A7C15) % 2**64 >> 52] += 1
+        if not any(unicodedata.category(x)[0] == "L" for x in t or ""):
+            assert (got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0.0, True)
+            continue
+        x = {s: math.log1p(n) * m.idf[s] for s, n in found.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        near = [sum(v * float(cent[s]) for s, v in x.items()) / norm for cent in m.centroids]
+        best = max(near)
+        assert abs(got[k].score - best) < 1e-4 and near[m.langs.index(got[k].lang_pred)] <= best + 1e-6
+        assert max(v for v, lang in zip(near, m.langs, strict=True) if lang == got[k].lang_pred) > best - 1e-5
+        nearest = int(np.argmax(near))
+        if abs((1 - best) - language_id.SLACK * m.radius[nearest]) > 1e-4:
+            assert got[k].rejected == (1 - best > language_id.SLACK * m.radius[nearest])
+    assert got[1000].rejected and got[1001].rejected and sum(not got[k].rejected for k, _ in rows[:200]) > 150
+
+
+def test_ties_of_centroids(spark):
+    """Two languages of the same texts: the first by name wins."""
+    rows = [(k, "the same words in both", "xx" if k % 2 else "aa") for k in range(20)]
+    m = language_id.fit(docs(spark, rows, ", lang string"))
+    assert language_id.identify(docs(spark, [(1, "the same words")]), m).first().lang_pred == "aa"
+    named = spark.createDataFrame([("a", "the same words"), (None, None)], "doc_id string, text string")
+    assert [r.doc_id for r in language_id.identify(named, m).orderBy(F.desc("doc_id")).collect()] == ["a", None]
+
+
+def test_held_out_accuracy(spark):
+    """On the given tables, learned from the training fold alone."""
+    folder = "/root/testdata/sf0.1"
+    docs_ = spark.read.parquet(f"{folder}/documents.parquet")
+    lang = language_id.op4_language_id(spark, folder).where("held_out").join(docs_.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id")
+    right, n = lang.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert right >= 0.98 * n > 0
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality IS NOT NULL").select("doc_id", "quality")
+    scored = quality_classifier.op5_quality_classifier(spark, folder).where("held_out").join(labels, "doc_id")
+    right, n = scored.agg(F.count_if(F.col("quality") == F.col("predicted")), F.count("*")).first()
+    assert right >= 0.97 * n > 0
+
+
+def test_pairwise_identity():
+    """Scores in linear time against the sum over all pairs of fields."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlens.llm.words import chunks
+
+    rng = np.random.default_rng(3)
+    m = quality_classifier.Machine(0.3, rng.normal(0, 1, quality_classifier.FIELDS), rng.normal(0, 0.3, (quality_classifier.FIELDS, quality_classifier.RANK)))
+    texts = ["", "one", text(3), "a b a b!! # 12\nLINE\n" * 9, "é " * 50]
+    for lo, hi, data, off in chunks(pa.array(texts)):
+        r, f, v = quality_classifier.features(data, off)
+        got = m.logits(r, f, v, hi - lo)
+        for k in range(hi - lo):
+            own = [(ff, vv) for rr, ff, vv in zip(r, f, v, strict=True) if rr == k]
+            want = m.bias + sum(m.linear[a] * x for a, x in own)
+            want += sum(m.factors[a] @ m.factors[b] * x * y for i, (a, x) in enumerate(own) for b, y in own[:i])
+            assert abs(got[k] - want) < 1e-8
