@@ -1,28 +1,32 @@
 """SentencePiece encoding and decoding (operator 8): segmentations sampled from the piece lattice, decoded without loss.
 
 A text is a space followed by its characters, spaces standing for the piece marker. No piece reaches from a word into
-the next space, so the lattice falls into independent words; each distinct word of a chunk is filtered forward once, and
-every occurrence is sampled backward with random numbers that are hashes of (seed, row key, word number, step). Results
-don't depend on partitions or batches. A character without a piece, and the marker character itself, become byte pieces.
+the next space, and within a word the lattice falls apart wherever no piece crosses a gap, so it is a row of independent
+parts. Each distinct word of a chunk is filtered forward once, all parts at once, and every occurrence is sampled backward
+with random numbers that are hashes of (seed, row key, part number, gap). Results don't depend on partitions or batches.
+Parts of over ``LONG`` characters are walked one by one, in time linear in their length. A character without a piece, and
+the marker character itself, become byte pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_type, table
 from .words import chunks, code_points, mix
 
 MODEL = "piece_bpe_32k.model"
 TEMPERATURE, SEED = 1.0, 20240501
 CHUNK = 1 << 18  #: bytes of text whose lattices are in memory at once, unless one text is longer
+LONG = 2048
 _MARK, _LITERAL_MARK = 0x2581, 0x110001
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -118,6 +122,29 @@ def _edge_order(level: np.ndarray, dst: np.ndarray, length: np.ndarray) -> np.nd
     return np.lexsort((-length, dst, level))
 
 
+def _filter_long(alpha: np.ndarray, total_of: np.ndarray, parts: np.ndarray, src: np.ndarray, dst: np.ndarray, val: np.ndarray, new: np.ndarray, begin: int) -> None:
+    """Forward filtering of the edges from ``begin`` on, which lie in few long parts: plain floats, gap after gap."""
+    heads = np.flatnonzero(new[begin:]) + begin
+    known = alpha.tolist()
+    s, v, to = src[begin:].tolist(), val[begin:].tolist(), dst[heads].tolist()
+    inner = (~parts[dst[heads]]).tolist()
+    ends = [*(heads[1:] - begin).tolist(), len(s)]
+    totals, lo = [], 0
+    for g, hi, goes_on in zip(to, ends, inner, strict=True):
+        if hi - lo == 1:
+            t = known[s[lo]] + v[lo]
+        else:
+            each = [known[s[j]] + v[j] for j in range(lo, hi)]
+            most = max(each)
+            t = most + log(sum([exp(x - most) for x in each]))
+        totals.append(t)
+        if goes_on:
+            known[g] = t
+        lo = hi
+    total_of[dst[heads]] = totals
+    alpha[dst[heads]] = np.where(parts[dst[heads]], 0.0, totals)
+
+
 def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled piece ids of all texts, and offsets of the texts. keys: 64 bits for each text."""
     n_docs = len(off) - 1
@@ -170,57 +197,92 @@ def sample_ids(p: Pieces, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -
             ids.append((-1 - ch).astype(np.int32))
             val.append(p.byte_weight * (1 + (ch >= 0x80) + (ch >= 0x800) + (ch >= 0x10000)))
     src, dst, ids, val = (np.concatenate(x) for x in (src, dst, ids, val))
-    gap_place = np.arange(base[-1] + len(which)) - np.repeat(base[:-1] + np.arange(len(which)), size + 1)
-    order = _edge_order(gap_place[dst], dst, dst - src)
+    gaps = base[-1] + len(which)
+    # gaps that no edge crosses part the lattice; the first gap of a word and the last are among them
+    edge = np.flatnonzero(np.cumsum(np.bincount(src + 1, minlength=gaps + 1) - np.bincount(dst, minlength=gaps + 1))[:gaps] == 0)
+    parts = np.zeros(gaps, bool)
+    parts[edge] = True
+    at_edge = np.cumsum(parts) - 1  # the last edge at or before each gap
+    level = np.arange(gaps) - edge[at_edge]
+    level[edge] = np.diff(edge, prepend=edge[0])  # a part ends at its last gap
+    order = _edge_order(level[dst], dst, dst - src)
     src, dst, ids, val = src[order], dst[order], ids[order], val[order]
-
-    # forward filtering, all words at once, gap by gap
-    level = gap_place[dst]
-    cuts = np.searchsorted(level, np.arange(1, int(size.max()) + 2))
+    at_level = level[dst]
     new = np.ones(len(dst), bool)
     new[1:] = dst[1:] != dst[:-1]
     group = np.cumsum(new) - 1
-    alpha = np.zeros(base[-1] + len(which))
-    prob = np.zeros(len(dst))
+
+    # forward filtering, all parts at once, gap by gap; beyond LONG one gap after the other
+    alpha = np.zeros(gaps)
+    total_of = np.zeros(gaps)
+    last = min(int(level[dst].max()), LONG)
+    cuts = np.searchsorted(at_level, np.arange(1, last + 2))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         v = alpha[src[lo:hi]] + val[lo:hi]
         heads = np.flatnonzero(new[lo:hi])
-        alpha[dst[lo:hi][heads]] = np.logaddexp.reduceat(v, heads)
-        prob[lo:hi] = np.exp(v - alpha[dst[lo:hi]])
+        to = dst[lo:hi][heads]
+        total_of[to] = np.logaddexp.reduceat(v, heads)
+        alpha[to] = np.where(parts[to], 0.0, total_of[to])
+    if cuts[-1] < len(dst):
+        _filter_long(alpha, total_of, parts, src, dst, val, new, int(cuts[-1]))
+    prob = np.exp(alpha[src] + val - total_of[dst])
     total = np.cumsum(prob)
     heads = np.flatnonzero(new)
     floor = np.where(heads > 0, total[heads - 1], 0.0)
     top = total[np.append(heads[1:] - 1, len(total) - 1)] - floor
     cdf = (total - floor[group]) / top[group]
     cdf[np.append(heads[1:], len(dst)) - 1] = 2.0
-    head_of = np.zeros(len(alpha), np.int64)
+    head_of = np.zeros(gaps, np.int64)
     head_of[dst[heads]] = heads
 
-    # backward sampling of every occurrence
-    number = (np.arange(len(start)) - np.searchsorted(doc, doc)).astype(np.uint64)
+    # backward sampling of every part of every occurrence
+    n_parts = at_edge[base[1:] + np.arange(len(which))] - at_edge[base[:-1] + np.arange(len(which))]
+    times = n_parts[word]
+    begin_edge = at_edge[base[:-1] + np.arange(len(which))][word]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    ends_at = np.repeat(begin_edge, times) + nth + 1
+    bottom, gap = edge[ends_at - 1], edge[ends_at]
+    doc = np.repeat(doc, times)
+    number = (np.arange(len(gap)) - np.searchsorted(doc, doc)).astype(np.uint64)
     seed = mix(keys[doc] + mix(number))
-    live = np.arange(len(start))
-    bottom = (base[:-1] + np.arange(len(which)))[word]
-    gap = bottom + size[word]
-    picked, of, step = [], [], 0
-    while len(live):
-        u = (mix(seed[live] + _P * np.arange(step, step + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+    def pick(unit: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        u = (mix(seed[unit] + _P * (gap - bottom[unit]).astype(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         e = head_of[gap]
         past = np.flatnonzero(cdf[e] <= u)
         while len(past):
             e[past] += 1
             past = past[cdf[e[past]] <= u[past]]
+        return e
+
+    far = gap - bottom > LONG
+    live = np.flatnonzero(~far)
+    gap_of = gap[live]
+    picked, of, nth_step, step = [], [], [], 0
+    while len(live):
+        e = pick(live, gap_of)
         picked.append(ids[e])
         of.append(live)
-        gap = src[e]
-        on = gap != bottom[live]
-        live, gap = live[on], gap[on]
+        nth_step.append(np.full(len(live), step))
+        gap_of = src[e]
+        on = gap_of != bottom[live]
+        live, gap_of = live[on], gap_of[on]
         step += 1
-    steps = np.repeat(np.arange(len(of)), [len(x) for x in of])
-    picked, of = np.concatenate(picked), np.concatenate(of)
-    count = np.bincount(of, minlength=len(start))
+    for unit in np.flatnonzero(far):
+        inner = np.arange(bottom[unit] + 1, gap[unit] + 1)
+        e = np.zeros(gap[unit] - bottom[unit] + 1, np.int64)
+        e[inner - bottom[unit]] = pick(np.full(len(inner), unit), inner)
+        back, chain, g = (src[e] - bottom[unit]).tolist(), [], int(gap[unit] - bottom[unit])
+        while g:
+            chain.append(g)
+            g = back[g]
+        picked.append(ids[e[chain]])
+        of.append(np.full(len(chain), unit))
+        nth_step.append(np.arange(len(chain)))
+    picked, of, steps = (np.concatenate(x) for x in (picked, of, nth_step))
+    count = np.bincount(of, minlength=len(bottom))
     out = np.zeros(len(picked), np.int64)
-    out[np.cumsum(count)[of] - 1 - steps] = picked  # sampled from the end of a word
+    out[np.cumsum(count)[of] - 1 - steps] = picked  # sampled from the end of a part
     doc_of = np.repeat(doc, count)
     width = np.ones(len(out), np.int64)
     bare = np.flatnonzero(out < 0)
@@ -237,11 +299,11 @@ def _encode(path: str, temperature: float, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path, temperature)
         for batch in batches:
-            keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, hi, data, off in chunks(batch.column(1), CHUNK):
+            keys = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for lo, hi, data, off in chunks(batch.column(2), CHUNK):
                 ids, ends = sample_ids(p, data, off, mix(keys[lo:hi] + np.uint64(seed)))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(ends.astype(np.int32), ids)], ["doc_id", "text", "piece_ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(ends.astype(np.int32), ids)], ["doc_id", "text", "piece_ids"])
 
     return run
 
@@ -268,13 +330,20 @@ def _decode(path: str, temperature: float) -> Callable:
     return run
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """64 bits of the id: whole numbers as they are, other types hashed."""
+    whole = id_type(docs) in ("tinyint", "smallint", "int", "bigint")
+    return F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+
+
 def encode(docs: DataFrame, model: str | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """(doc_id, text, piece_ids): one sampled segmentation of each row's text, fixed by (seed, doc_id).
 
-    Null and empty texts have no pieces; a null doc_id samples as id 0; repeated rows sample alike. ``model`` is a path that
-    every executor can read.
+    Null and empty texts have no pieces; a null doc_id samples as id 0; repeated rows sample alike. Ids may be of any type.
+    ``model`` is a path that every executor can read.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(model or default_model(), temperature, seed), "doc_id long, text string, piece_ids array<int>")
+    rows = docs.select("doc_id", _row_key(docs).alias("key"), "text")
+    return rows.mapInArrow(_encode(model or default_model(), temperature, seed), f"doc_id {id_type(docs)}, text string, piece_ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -290,7 +359,7 @@ def encoded_rows(docs: DataFrame, model: str | None = None, temperature: float =
     """
     path = model or default_model()
     forth, back = _encode(path, temperature, seed), _decode(path, temperature)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: back(forth(batches)), "doc_id long, text string, piece_ids array<int>, decoded string")
+    rows = docs.select("doc_id", _row_key(docs).alias("key"), "text").mapInArrow(lambda batches: back(forth(batches)), f"doc_id {id_type(docs)}, text string, piece_ids array<int>, decoded string")
     return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"))
 
 

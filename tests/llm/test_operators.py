@@ -390,6 +390,39 @@ def test_text_of_over_two_million_characters_without_a_space():
     assert (long[:1000] == short[:1000]).all() and (long[-1000:] == short[-1000:]).all()
 
 
+def test_long_words_are_sampled_as_short_ones(monkeypatch):
+    """Three million letters without a gap that splits them, in linear time; walking gap by gap samples the same pieces."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlens.llm.words import chunks
+
+    p = piece_sampling.pieces(piece_sampling.default_model(), 1.0)
+    rng = random.Random(2)
+    texts = ["", "the unusual segmentations", "é▁😀\t\n  x", "x" * 300, "".join(rng.choices("etaoinshrdlu", k=5000)), "漢字" * 30 + " a\tb"]
+    out = []
+    for long in (2048, 3, 1):
+        monkeypatch.setattr(piece_sampling, "LONG", long)
+        _, _, data, off = next(chunks(pa.array(texts)))
+        out.append(piece_sampling.sample_ids(p, data, off, np.arange(7, 7 + len(texts), dtype=np.uint64)))
+    assert all((ids == out[0][0]).all() and (ends == out[0][1]).all() for ids, ends in out)
+    monkeypatch.undo()
+    word = "".join(rng.choices("etaoinshrdlu", k=3_000_000))
+    _, _, data, off = next(chunks(pa.array([word])))
+    began = time.time()
+    ids, _ = piece_sampling.sample_ids(p, data, off, np.array([5], np.uint64))
+    assert time.time() - began < 40
+    assert b"".join(p.raw[p.raw_at[k] : p.raw_at[k + 1]].tobytes() for k in ids)[1:] == word.encode()
+
+
+def test_pieces_of_rows_with_text_ids(spark):
+    rows = [("a", "some longer words here"), ("b", "some longer words here"), (None, None), ("a", "some longer words here")]
+    got = piece_sampling.encoded_rows(spark.createDataFrame(rows, "doc_id string, text string"), temperature=0.3).collect()
+    assert all(r.lossless for r in got) and len({tuple(r.piece_ids) for r in got if r.doc_id == "a"}) == 1
+
+
 def test_secret_layers():
     s = 'secret = "abcdefgh1234"'
     wrapped = base64.b64encode(gzip.compress(base64.b64encode(s.encode()))).decode()
