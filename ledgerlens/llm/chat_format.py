@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_type, table
 
 
 @dataclass(frozen=True)
@@ -116,10 +116,11 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     """(conv_id, turn, sub, role, text, fingerprint, layout) from (conv_id, turn, payload), payload being a JSON object.
 
     A record gives one row per turn, ``sub`` numbering them. Null texts and roles become ''. A payload that is null, no
-    object, or of an unknown layout gives one row with null role, text and layout, so nothing is lost silently.
+    object, or of an unknown layout gives one row with null role, text and layout, so nothing is lost silently. conv_id may
+    be of any type that can be sorted.
     """
-    return records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "payload").mapInArrow(
-        _canonical, "conv_id long, turn long, sub long, role string, text string, fingerprint string, layout string"
+    return records.select("conv_id", F.col("turn").cast("long"), "payload").mapInArrow(
+        _canonical, f"conv_id {id_type(records, 'conv_id')}, turn long, sub long, role string, text string, fingerprint string, layout string"
     )
 
 
@@ -161,7 +162,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     conversation; only assistant texts are trained on. A null conv_id is one conversation.
     """
     rows = turns.where("role IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "sub", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_segments, "conv_id long, segment string, loss_from long, loss_to long")
+    return rows.select("conv_id", "role", "text").mapInArrow(_segments, f"conv_id {id_type(turns, 'conv_id')}, segment string, loss_from long, loss_to long")
 
 
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S)
@@ -171,7 +172,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = object()
     now, state = none, None
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def row() -> tuple:
         n, turns, chars, loss, total = state
@@ -181,6 +182,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     for batch in batches:
+        types[0] = batch.schema.field(0).type
         done = []
         for conv, segment, lo, hi in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
             if now is none or conv != now:
@@ -204,7 +206,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(segments: DataFrame) -> DataFrame:
     """Read the formatted text back: per conversation its turns' digest and the digest of the text under the loss mask."""
-    return segments.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return segments.mapInArrow(_digests, f"conv_id {id_type(segments, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,10 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return each.join(often.select("h", "keeper"), "h").where("doc_id != keeper").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("lost"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with all its columns, where ``text`` has lost the shared lines, plus line_n_lines and line_n_dropped.
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """``docs`` with all its columns, where ``text`` has lost the shared lines.
+
+    With ``counts`` there are also line_n_lines and line_n_dropped, in place of columns of these names.
 
     A key (line stripped of blanks, A-Z lower-cased) of at least ``min_chars`` code points in at least ``min_docs``
     documents stays only in the largest doc_id that holds it, there in every place. Null and empty texts are one empty
@@ -58,11 +60,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     d = joined.select(*[joined[c] for c in docs.columns], "__lost", F.explode(F.array(_lines(docs["text"]))).alias("__lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
     whole = F.when(F.col("__lost").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda p: F.get("__lines", p)), "\n"))
-    return d.select(
-        *[whole.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size("__lines").cast("long").alias("line_n_lines"),
-        F.greatest(F.size("__lost"), F.lit(0)).cast("long").alias("line_n_dropped"),
-    )
+    added = {"line_n_lines": F.size("__lines").cast("long"), "line_n_dropped": F.greatest(F.size("__lost"), F.lit(0)).cast("long")} if counts else {}
+    return d.select(*[whole.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in added], *[v.alias(c) for c, v in added.items()])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
