@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share leave the texts; every document stays, n_chars follows the new text."""
-    out = line_dedup.line_dedup(docs).drop("line_n_lines", "line_n_dropped")
+    out = line_dedup.line_dedup(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
