@@ -38,8 +38,9 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .where(F.length("s") >= min_chars)
         .select("doc_id", "t", "pos", _digest(F.col("s")).alias("h"))
     )
-    often = each.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    return each.join(often.select("h", "keeper"), "h").where("doc_id != keeper").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("lost"))
+    counted = each.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    often = cut(counted.where(F.col("n") >= min_docs).select("h", "keeper"))
+    return each.join(often, "h").where("doc_id != keeper").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("lost"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
