@@ -3,11 +3,11 @@
 1. Every text becomes a class (equal word sequences, A-Z lower-cased) with a signature of minimum hashes: coordinate c is
    a token of the set sampled by the c-th hash function, so two sets share it with probability equal to their similarity.
 2. Chosen path: each run starts from the root and splits the sets on one shared sampled token; a bucket above ``SMALL``
-   sets is split again on two further tokens, chosen by a hash of its path, until it is small. A split that leaves
-   ``ALIKE`` of a bucket together measures that its sets are near copies: such a bucket, and one after ``DEPTH`` splits
-   (whose sets share as many sampled tokens), is compared block by block; small ones are compared pair by pair. The number
-   of runs follows from the target recall at the deepest split. Buckets whose sets the ``FIRST`` runs connected already
-   are left out of the others.
+   sets is split again on two further tokens, chosen by a hash of its path, until it is small or its sets are measured to
+   be near copies: one bit of each of ``MEASURED`` coordinates is summed over the bucket, and the sums lean to one side by
+   the share of sets that agree. Small buckets are compared pair by pair; near copies, and what is left after ``DEPTH``
+   splits (its sets share as many sampled tokens), are compared block by block. The number of runs follows from the target
+   recall at the deepest split.
 3. Pairs whose signatures agree on ``agreeing()`` coordinates connect candidate clusters; only spanning edges leave a task.
 4. Within clusters all pairs are verified exactly on whole shingle sets, block by block; a task returns per text its
    number of links and a spanning edge, never the pairs.
@@ -23,7 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop_cut, id_type, small_batches, table
@@ -31,9 +31,8 @@ from .words import Words, chunks, mix
 
 SHINGLE, SIMILAR = 5, 0.8
 COORDS = 64  #: sampled tokens per set
-SMALL, BLOCK, PART, DEPTH, BRANCH = 1024, 1024, 256, 8, 2
-FIRST = 3  #: runs whose links are known to the others
-ALIKE = 0.8  #: a split that keeps this share of a bucket together found near copies
+SMALL, BLOCK, DEPTH, BRANCH = 1024, 1024, 8, 2
+ALIKE, MEASURED = 0.8, 16  #: sets of a bucket that agree so far on so many sampled coordinates are near copies
 TARGET_RECALL = 0.99999
 BLOCK_SHINGLES = 1 << 19  #: shingles in one block of verification, about
 
@@ -253,51 +252,36 @@ def _blocks(rows: DataFrame, blocks: str, salt: str) -> DataFrame:
     return d.withColumns({"b1": F.least("side", "other"), "b2": F.greatest("side", "other")})
 
 
-def _search(sets: DataFrame, runs: range) -> list[DataFrame]:
-    """Cuts of (a, b): spanning edges that some runs find between the keys of ``sets`` (key, n, sig, known).
-
-    Sets of one ``known`` component need no edge between them.
-    """
-    roots = F.array(*[F.xxhash64(F.lit(r), F.col("sig")[r % COORDS]) for r in runs])
-    level = sets.select("key", "known", F.explode(roots).alias("path")).withColumn("was", F.lit(None).cast("long"))
+def candidates(sets: DataFrame) -> list[DataFrame]:
+    """Cuts of (a, b): spanning edges between the keys of ``sets`` (key, n, sig) that chosen-path search finds alike."""
+    some = [k * COORDS // MEASURED for k in range(MEASURED)]
+    bits = reduce(Column.bitwiseOR, [F.shiftleft(F.col("sig")[c].bitwiseAND(1), k) for k, c in enumerate(some)])
+    leaning = [F.abs(2 * F.sum(F.shiftright("bits", k).bitwiseAND(1)) / F.count("*") - 1) for k in range(MEASURED)]
+    roots = F.array(*[F.xxhash64(F.lit(r), F.col("sig")[r % COORDS]) for r in range(runs_needed())])
+    level = sets.select("key", bits.alias("bits"), F.explode(roots).alias("path"))
     found, held = [], None
     for depth in range(DEPTH + 1):
-        here = cut(level)
+        here = cut(level) if depth else level
         # sizes are written out, so that the join is between plain shuffles and a hot path's rows can be split
-        mixed = here.groupBy("path").agg(F.count("*").alias("size"), F.min("known").alias("lo"), F.max("known").alias("hi")).where("size > 1 AND lo != hi")
-        sizes = cut(mixed.select("path", "size"))
+        alike = reduce(Column.__add__, leaning) / MEASURED
+        sizes = cut(here.groupBy("path").agg(F.count("*").alias("size"), alike.alias("alike")).where("size > 1"))
         level = cut(here.join(sizes, "path"))
-        for old in (here, sizes, held):
+        for old in (here if depth else None, sizes, held):
             if old is not None:
                 drop_cut(old)
         held, last = level, depth == DEPTH
-        deeper = F.lit(False) if last else (F.col("size") > SMALL) & (F.col("was").isNull() | (F.col("size") < ALIKE * F.col("was")))
-        blocks = F.greatest(F.least(F.lit(8), F.ceil(F.col("size") / PART)), F.ceil(F.col("size") / BLOCK))
-        rows = _blocks(level.where(~deeper).withColumn("g", blocks).drop("known").join(sets, "key"), "g", "path")
+        deeper = F.lit(False) if last else (F.col("size") > SMALL) & (F.col("alike") < ALIKE)
+        rows = _blocks(level.where(~deeper).withColumn("g", F.ceil(F.col("size") / BLOCK)).join(sets, "key"), "g", "path")
         found.append(cut(rows.select("path", "b1", "b2", "side", "n", "sig", "key").repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2").mapInArrow(_brute, "a binary, b binary").distinct()))
         if last or level.where(deeper).isEmpty():
             break
         pick = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDS)).cast("int")
         split = F.array(*[F.xxhash64("path", F.lit(k), F.get("sig", pick(k))) for k in range(BRANCH)])
-        level = level.where(deeper).join(sets.select("key", "sig"), "key").select("key", "known", F.explode(split).alias("path"), F.col("size").alias("was"))
+        level = level.where(deeper).join(sets.select("key", "sig"), "key").select("key", "bits", F.explode(split).alias("path"))
     drop_cut(held)
     return found
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): edges between the keys of ``sets`` (key, n, sig) that connect what chosen-path search finds alike."""
-    union = lambda cuts: reduce(DataFrame.unionByName, cuts)
-    first = _search(sets.withColumn("known", F.col("key")), range(FIRST))
-    near = components(union(first), "a", "b")
-    known = cut(near)
-    roots = known.select(F.col("node").alias("key"), F.col("root").alias("known"))
-    rest = _search(sets.join(roots, "key", "left").withColumn("known", F.coalesce("known", "key")), range(FIRST, runs_needed()))
-    out = cut(union([*rest, known.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))]))
-    for old in (*first, *rest, near, known):
-        drop_cut(old)
-    return out
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text).
 
@@ -315,9 +299,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t", "n", "sig"))
     classes = cut(signed.where("n > 0").groupBy("key").agg(first.alias("f"), F.count("*").alias("weight")).select("key", F.col("f.doc_id").alias("rep"), "f.t", "f.n", "f.sig", "weight"))
     edges = candidates(classes.select("key", "n", "sig"))
-    near = components(edges, "a", "b")
+    near = components(reduce(DataFrame.unionByName, edges), "a", "b")
     clusters = cut(near)
-    for old in (edges, near):
+    for old in (*edges, near):
         drop_cut(old)
     members = clusters.join(classes.select("key", "rep", "t", "n", "weight"), clusters["node"] == classes["key"]).select("key", "rep", F.col("t").alias("mark"), "n", "weight", F.col("root").alias("cluster"))
     load = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
