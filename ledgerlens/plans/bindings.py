@@ -57,9 +57,9 @@ WHERE p_partkey % 40 IN (17, 18, 33, 34)""",
 SELECT p_partkey AS rate_seq, {_code('p_partkey')} AS code, lower(p_type) || ' ' || p_name AS short_desc, 'T' AS status_indicator, CAST(p_size AS STRING) AS apc,
   CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE p_retailprice * 3 END AS payment_rate FROM {{part}} WHERE p_partkey % 40 >= 10""",
     "zip_locality": """
-SELECT lpad(CAST((c_custkey * 7) % 100000 AS STRING), 5, '0') AS zip_code, lpad(CAST(n_regionkey AS STRING), 5, '0') AS carrier, CAST(n_nationkey AS STRING) AS locality,
-  substr(n_name, 1, 2) AS state, n_name AS county_name, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'R' ELSE 'B' END AS urban_rural
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey < 14000""",
+SELECT zip_code, lpad(CAST(n_regionkey AS STRING), 5, '0') AS carrier, CAST(n_nationkey AS STRING) AS locality, substr(n_name, 1, 2) AS state, n_name AS county_name,
+  CASE WHEN first_customer % 4 = 0 THEN NULL WHEN first_customer % 4 = 1 THEN 'R' ELSE 'B' END AS urban_rural
+FROM (SELECT lpad(CAST((c_custkey * 7) % 100000 AS STRING), 5, '0') AS zip_code, min(c_nationkey) AS nationkey, min(c_custkey) AS first_customer FROM {customer} GROUP BY 1) c JOIN {nation} ON nationkey = n_nationkey""",
     "eob_lines": f"""
 SELECT l_orderkey AS bill_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS INT) AS line_number,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE {_code('l_partkey')} END AS code, l_returnflag AS adjustment_reason, l_extendedprice AS billed_amount,
@@ -97,19 +97,33 @@ SELECT event_id, CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN
 SELECT p_partkey AS seq, p_name || ' ' || lower(p_type) AS description, lower(p_brand) AS brand FROM {part}""",
     "code_synonyms": f"""
 SELECT min(p_partkey) AS ord, description, min({_code('p_partkey')}) AS code FROM (
-  SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || lower(p_type) END AS description FROM {{part}} WHERE p_partkey % 5 < 2) s GROUP BY description""",
+  SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || lower(p_type) END AS description FROM {{part}} WHERE p_size <= 20) s GROUP BY description""",
     "line_texts": """
 SELECT bill_id AS doc_id, line_number AS line_no, billed_amount, CASE WHEN line_number % 4 = 0 THEN '' ELSE code || ' ' END || CASE WHEN line_number % 4 > 0 THEN coalesce(modifier || ' ', '') ELSE '' END || description
   || CASE line_number % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' || CAST(CAST(billed_amount AS DECIMAL(12,2)) AS STRING) WHEN 2 THEN ' $1,200.50 $' || CAST(CAST(billed_amount AS DECIMAL(12,2)) AS STRING) ELSE ' $' || CAST(CAST(billed_amount AS DECIMAL(12,2)) AS STRING) END AS line
 FROM {bill_lines}""",
+    "doc_lines": """
+SELECT l.bill_id AS doc_id, l.line_number AS line_no,
+  CASE WHEN l.bill_id % 3 = 0 THEN description || CASE WHEN l.line_number % 3 = 0 THEN '' ELSE ' ' || l.code END || ' $' || CAST(CAST(l.billed_amount AS DECIMAL(12,2)) AS STRING)
+      || CASE WHEN l.line_number % 5 = 4 THEN '' ELSE '  $' || CAST(CAST(coalesce(e.allowed_amount, 0) AS DECIMAL(12,2)) AS STRING) || ' $' || CAST(CAST(e.insurance_paid AS DECIMAL(12,2)) AS STRING) END
+      || CASE WHEN l.line_number % 2 = 0 THEN ' $ ' || CAST(CAST(e.patient_responsibility AS DECIMAL(12,2)) AS STRING) ELSE '' END
+    WHEN (l.bill_id + l.line_number) % 6 = 0 THEN l.code || ' ' || description || chr(10) || '   $' || CAST(CAST(l.billed_amount AS DECIMAL(12,2)) AS STRING)
+    ELSE t.line END AS line
+FROM {bill_lines} l JOIN {line_texts} t ON l.bill_id = t.doc_id AND l.line_number = t.line_no JOIN {eob_lines} e ON l.bill_id = e.bill_id AND l.line_number = e.line_number""",
     "bill_docs": """
 SELECT o_orderkey AS doc_id, CAST(0.9 AS DOUBLE) AS confidence,
-  CASE o_orderkey % 4 WHEN 0 THEN 'Mercy Hospital of ' WHEN 1 THEN 'Lakeside Clinic ' WHEN 2 THEN 'Urgent Care ' ELSE 'Ledger ' END || CAST(o_custkey AS STRING) || chr(10) || 'Patient Name: Ann Lee' || chr(10)
-  || CASE WHEN o_orderkey % 3 = 0 THEN 'Explanation of Benefits ' || CASE o_orderkey % 5 WHEN 0 THEN 'Aetna HMO' WHEN 1 THEN 'Blue Cross PPO' ELSE 'Plan' END || chr(10) || 'Claim #: CLM' || CAST(100000 + o_orderkey AS STRING) || chr(10) ELSE '' END
-  || 'Date of service: ' || CAST(1 + o_orderkey % 12 AS STRING) || '/' || CAST(1 + o_orderkey % 28 AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN '/24' ELSE '/2024' END || chr(10)
-  || CASE WHEN o_orderkey % 3 = 0 THEN 'Office visit 99213 $250.00 $' || CAST(100 + o_orderkey % 90 AS STRING) || '.50 $80.00 $20.50' || chr(10) || 'Amount billed: $' || CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS STRING) || chr(10) || 'You owe $20.50' || chr(10)
-     WHEN o_orderkey % 3 = 1 THEN '99213 25 Office visit' || chr(10) || '   $' || CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS STRING) || chr(10) || 'J1100 injection 45.00' || chr(10) || '71046 chest x-ray $90.00' || chr(10) || '71046 chest x-ray $90.00' ELSE 'Blood draw panel $12.00' END AS text
-FROM {orders}""",
+  CASE o_custkey % 6 WHEN 0 THEN 'Mercy Hospital of ' WHEN 1 THEN 'Lakeside Clinic ' WHEN 2 THEN 'Urgent Care ' WHEN 3 THEN 'Page 1' || chr(10) || 'North Office ' WHEN 4 THEN '12 Main Street' || chr(10) || 'Emergency Room ' ELSE 'Ledger ' END || CAST(o_custkey AS STRING) || chr(10)
+  || CASE o_custkey % 5 WHEN 0 THEN 'Patient Name: Ann Lee' WHEN 1 THEN 'Patient Name Bob R. Stone' WHEN 2 THEN 'Patient Name:Carla Diaz, born 1970' WHEN 3 THEN 'Member: D. Fox' ELSE 'Patient Name: Eve' END || chr(10)
+  || CASE WHEN o_orderkey % 3 = 0 THEN 'Explanation of Benefits ' || CASE o_orderkey % 5 WHEN 0 THEN 'Aetna HMO' WHEN 1 THEN 'Blue Cross PPO' WHEN 2 THEN 'United Health Care' ELSE 'Plan' END || chr(10)
+       || CASE o_orderkey % 7 WHEN 0 THEN 'Claim #: CLM' WHEN 1 THEN 'claim number QQ' WHEN 2 THEN 'Reference no. 77' ELSE 'Claim ID: Z' END || CAST(100000 + o_orderkey AS STRING) || chr(10) ELSE '' END
+  || CASE o_orderkey % 4 WHEN 0 THEN 'Date of service: ' WHEN 1 THEN 'Service  date ' WHEN 2 THEN 'DOS: ' ELSE 'Seen on ' END
+  || CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN CAST(month(o_orderdate) AS STRING) || '-' || CAST(day(o_orderdate) AS STRING) || '-' || substr(CAST(year(o_orderdate) AS STRING), 3, 2)
+       ELSE CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING) END || chr(10)
+  || CASE WHEN o_orderkey % 3 = 0 THEN 'Service   Billed $1.00 $2.00' || chr(10) ELSE '' END || CASE WHEN o_orderkey % 12 = 3 THEN '' ELSE coalesce(body, '') || chr(10) END
+  || CASE WHEN o_orderkey % 3 = 0 THEN 'Amount billed: $' || CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Network Discount ' || CAST(CAST(o_totalprice / 4 AS DECIMAL(12,2)) AS STRING) || chr(10) ELSE '' END
+       || CASE WHEN o_orderkey % 5 > 1 THEN 'Paid by plan $' || CAST(CAST(o_totalprice / 8 AS DECIMAL(12,2)) AS STRING) || chr(10) ELSE '' END || CASE WHEN o_orderkey % 4 > 0 THEN 'You owe $20.50' ELSE '' END
+     ELSE CASE WHEN o_orderkey % 8 = 1 THEN 'Blood draw panel $12.00' ELSE '' END END AS text
+FROM {orders} LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS body FROM {doc_lines} GROUP BY doc_id) x ON o_orderkey = x.doc_id""",
     "mrf_registry": """
 SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 2 = 0 THEN 'Nation ' || CAST(s_nationkey AS STRING) || ' Regional Hospital' ELSE s_name || ' Health System' END AS name, substr(n_name, 8, 2) AS state, 'mrf/' || CAST(s_suppkey AS STRING) AS mrf_url
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
@@ -137,7 +151,9 @@ class Tables:
         if name not in VIEWS:
             raise AttributeError(name)
         names = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
-        return self.spark.sql(VIEWS[name], **{n: getattr(self, n) for n in names})
+        # the one form that the engines write unlike
+        view = re.sub(r"string_agg\((\w+), (.+?) ORDER BY (\w+)\)", r"listagg(\1, \2) WITHIN GROUP (ORDER BY \3)", VIEWS[name])
+        return self.spark.sql(view, **{n: getattr(self, n) for n in names})
 
 
 def with_views(sql: str) -> str:

@@ -69,8 +69,19 @@ def step4(src: str, out: str) -> str:
     FROM (SELECT name, {TOK.format('name')} AS t, list_filter({TOK.format('name')}, lambda x: length(x) > 2) AS w FROM {src}) q JOIN said ON len(w) >= 2 AND contains(lower(said), w[1]) AND contains(lower(said), w[2])) WHERE rn <= 5) WHERE score >= 0.5) WHERE pick = 1)"""
 
 
-CASCADE = f"{TEXTS}, {STEP1}, {step2('l1', 's2')}, l2 AS (SELECT name FROM l1 WHERE name NOT IN (SELECT name FROM s2)), {SAID}, {step3('l2', 's3')}, l3 AS (SELECT name FROM l2 WHERE name NOT IN (SELECT name FROM s3)), {step4('l3', 's4')}"
-PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[''`]', '', 'g'), '\\b(hospital|medical center|health system|health care|healthcare|health|regional|community|memorial|university|the)\\b', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+STEPS = f"{STEP1}, {step2('l1', 's2')}, l2 AS (SELECT name FROM l1 WHERE name NOT IN (SELECT name FROM s2)), {SAID}, {step3('l2', 's3')}, l3 AS (SELECT name FROM l2 WHERE name NOT IN (SELECT name FROM s3)), {step4('l3', 's4')}"
+CASCADE = f"{TEXTS}, {STEPS}"
+
+
+def resolved_sql(table: str) -> str:
+    """CTEs giving resolved(description, code) for the distinct descriptions of ``table``."""
+    asked = f"nm AS (SELECT DISTINCT {N.format('description')} AS name FROM {table} WHERE length({N.format('description')}) >= 2)"
+    steps = "steps AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4)"
+    return f"{asked}, {STEPS}, {steps}, resolved AS (SELECT description, code FROM (SELECT DISTINCT description, {N.format('description')} AS name FROM {table}) JOIN steps USING (name) WHERE confidence >= 0.6)"
+
+
+_JOINED = "regexp_replace(translate(lower({0}), '''`', ''), '\\b(?:" + "|".join(fn.GENERIC_NAMES) + ")\\b', ' ', 'g')"
+PLAIN = f"array_to_string(list_filter(string_split(regexp_replace({_JOINED}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w != '' AND w NOT IN ({', '.join(repr(w) for w in fn.GENERIC_WORDS)})), ' ')"
 GAIN = "list_sum(list_transform(qt, lambda w: CASE WHEN len(list_filter(tt, lambda x: x = w OR (length(w) >= 3 AND starts_with(x, w)) OR (length(x) >= 3 AND starts_with(w, x)))) = 0 THEN 0.0e0 WHEN list_filter(tt, lambda x: x = w OR (length(w) >= 3 AND starts_with(x, w)) OR (length(x) >= 3 AND starts_with(w, x)))[1] = w THEN 1.0e0 ELSE 0.8e0 END))"
 
 

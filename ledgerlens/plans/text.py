@@ -2,131 +2,201 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import extraction as ex
 from .bindings import Tables, with_views
+from .prices import resolved_sql, said
 from .rates import r
 
-ALL = lambda p: f"regexp_extract_all(line, '{p}', 1)"
-CODES = f"list_filter(list_concat(list_transform({ALL('(?i)' + chr(92) + 'b(J' + chr(92) + 'd{4})' + chr(92) + 'b')}, lambda x: upper(x)), list_transform({ALL('(?i)' + chr(92) + 'b([A-CEGHK-NPQ-V]' + chr(92) + 'd{4})' + chr(92) + 'b')}, lambda x: upper(x)), list_filter({ALL(chr(92) + 'b(' + chr(92) + 'd{5})' + chr(92) + 'b')}, lambda x: CAST(x AS INT) >= 100)), lambda x: true)".replace("{4}", "{{4}}").replace("{5}", "{{5}}")
-NUM = "list_transform({0}, lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
-DOLLARS = "list_filter(" + NUM.format(r"regexp_extract_all(line, '\$\s*([\d,]+\.?\d{{0,2}})', 1)") + ", lambda v: v > 0)"
-BARE = "list_filter(" + NUM.format(r"regexp_extract_all(line, '\b([\d,]{{1,9}}\.\d{{2}})\b', 1)") + ", lambda v: v > 0 AND v < 1000000)"
-AMOUNTS = f"CASE WHEN len({DOLLARS}) > 0 THEN {DOLLARS} ELSE {BARE} END"
+#: Patterns for the engine that runs the SQL; the operators' own where these are data.
+LETTERS, DIGITS = r"(?i)\b([A-CEGHK-NPQ-V]\d{4})\b", r"\b(\d{5})\b"
+DOLLAR, DECIMAL = r"\$\s*([\d,]+\.?\d{0,2})", r"\b([\d,]{1,9}\.\d{2})\b"
+
+
+def found(pattern: str, line: str = "line") -> str:
+    return f"regexp_extract_all({line}, '{pattern}', 1)"
+
+
+def amounts(line: str = "line") -> str:
+    """Amounts of a line as SQL."""
+    numbers = lambda p: f"list_transform({found(p, line)}, lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE))"
+    dollars, bare = f"list_filter({numbers(DOLLAR)}, lambda v: v > 0)", f"list_filter({numbers(DECIMAL)}, lambda v: v > 0 AND v < 1000000)"
+    return f"CASE WHEN len({dollars}) > 0 THEN {dollars} ELSE {bare} END"
+
+
+_EVERY_CODE = rf"list_concat(list_transform(list_concat({found(r'(?i)\b(J\d{4})\b')}, {found(LETTERS)}), lambda x: upper(x)), list_filter({found(DIGITS)}, lambda x: CAST(x AS INT) >= 100))"
+#: Distinct codes of a line in order, as SQL.
+CODES = f"list_filter({_EVERY_CODE}, lambda x, i: list_position({_EVERY_CODE}, x) = i)"
+AMOUNTS = amounts()
+CLEAN = f"substr(trim(regexp_replace(regexp_replace(line, '{ex.DROPPED}', '', 'g'), '{ex.DRAWN}', ' ', 'g')), 1, 120)"
+MODS = ", ".join(f"'{m}'" for m in ex.MODIFIERS)
+AFTER = r"upper(regexp_extract(ltrim(substr(line, instr(upper(line), code) + length(code))), '(?i)^[\s-]?([A-Z0-9]{2})(\s|$)', 1))"
+
+#: CTEs over the documents' lines: bl has the coded lines (T01-T05, T07), u the others with an amount and a word.
+LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM <bill_docs>)"
+CODED = f"""{LINES}, nx AS (SELECT *, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no), '') AS following FROM ln),
+am AS (SELECT *, {CODES} AS codes, coalesce(({AMOUNTS})[-1], ({amounts('following')})[-1]) AS billed_amount FROM nx),
+cd AS (SELECT doc_id, line_no, line, billed_amount, unnest(codes) AS code, generate_subscripts(codes, 1) AS nth FROM am WHERE billed_amount > 0),
+md AS (SELECT *, {AFTER} AS m FROM cd)"""
+FIRST = "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, nth) AS line_number FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, code, billed_amount ORDER BY line_no, nth) AS rn FROM {}) WHERE rn = 1"
+BL = f"{CODED}, bl AS ({FIRST.format('md')})"
+U = f"u AS (SELECT * FROM (SELECT doc_id, line_no, {CLEAN} AS description, ({AMOUNTS})[-1] AS billed_amount FROM ln WHERE len({CODES}) = 0) WHERE billed_amount IS NOT NULL AND regexp_matches(description, '[A-Za-z]{{5}}'))"
+_RESOLVED = lambda table: resolved_sql(table).replace("{", "<").replace("}", ">")
+ALL_LINES = f"{CODED}, {U}, {_RESOLVED('u')}, al AS (SELECT doc_id, line_no, code, nth, billed_amount FROM md UNION ALL SELECT doc_id, line_no, code, 0, billed_amount FROM u JOIN resolved USING (description)), bl AS ({FIRST.format('al')})"
+
+#: Statement lines (T18) and labelled amounts.
+MONEY = r"\$\s*([\d,]+\.?\d*)"
+_WORDS = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+_HEADS = " OR ".join(f"(contains(lower(said), '{x}') AND contains(lower(said), '{y}'))" for x, y in ex.HEAD_PAIRS)
+_GIVEN = f"list_transform({found(MONEY)}, lambda x: {r("TRY_CAST(replace(x, ',', '') AS DOUBLE)", 2)})"
+_LEFT = f"regexp_replace(line, '{MONEY}', '', 'g')"
+EOB_LINES = rf"""{LINES}, sm AS (SELECT doc_id, line_no, list_filter({_GIVEN}, lambda v: v IS NOT NULL) AS a, {_WORDS(_LEFT)} AS said FROM ln),
+sk AS (SELECT *, nullif(regexp_extract(said, '\b([A-Z0-9]\d{{4}})\b', 1), '') AS code FROM sm WHERE len(a) >= 2 AND regexp_matches(said, '[A-Za-z]{{3}}') AND NOT ({_HEADS})),
+el AS (SELECT doc_id, line_no, code, coalesce(nullif({_WORDS("replace(said, coalesce(code, ''), '')")}, ''), 'Unknown service') AS description, a[1] AS billed_amount, a[2] AS allowed_amount, a[3] AS insurance_paid, a[4] AS patient_responsibility FROM sk)"""
+
+
+def _label(name: str) -> str:
+    has = " OR ".join(f"contains(lower(line), '{v}')" for v in ex.LABELS[name])
+    return f"{r(f'arg_min(v, line_no) FILTER (v IS NOT NULL AND ({has}))', 2)} AS {name}"
+
+
+SUMMARY = rf"""lv AS (SELECT doc_id, line_no, line, TRY_CAST(replace(coalesce(nullif(regexp_extract(line, '{MONEY}', 1), ''), regexp_extract(line, '([\d,]+\.\d{{2}})\s*$', 1)), ',', '') AS DOUBLE) AS v FROM ln),
+sa AS (SELECT doc_id, {', '.join(_label(n) for n in ex.LABELS)} FROM lv GROUP BY doc_id),
+su AS (SELECT doc_id, {', '.join(f"CASE WHEN {' + '.join(f'CAST({m} IS NOT NULL AS INT)' for m in ex.LABELS)} >= 2 THEN {n} END AS {n}" for n in ex.LABELS)} FROM sa)"""
+
+
+def _first(groups: tuple, value: str) -> str:
+    """The first of several patterns' values that isn't empty, as SQL."""
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{ex.after_label(g, value)}', 1), '')" for g in groups) + ")"
+
+
+DAY = rf"coalesce(nullif(regexp_extract(text, '(?i)(?:date\s+of\s+service|service\s+date|dos|date)[:\s]+{ex.DAY}', 1), ''), nullif(regexp_extract(text, '\b{ex.DAY}\b', 1), ''))"
+ISO = "CASE WHEN regexp_matches(day, '^[0-9]{4}-') THEN day ELSE CASE WHEN length(p[3]) = 2 THEN '20' || p[3] ELSE p[3] END || '-' || lpad(p[1], 2, '0') || '-' || lpad(p[2], 2, '0') END"
+_LOW = r"regexp_replace(lower({}), '\s+', ' ', 'g')"
+_FACILITY = f"regexp_matches({_LOW.format('x')}, '{'|'.join(ex.FACILITY_WORDS)}')"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches({_LOW.format('text')}, '{p}') THEN '{k}'" for k, p in ex.FACILITY_TYPES.items()) + " ELSE 'unknown' END"
+GATE = rf"CASE WHEN regexp_matches(text, '\b[A-Z0-9]\d{{4}}\b') THEN 0.95e0 WHEN regexp_matches(text, '\$\s*[\d,]|\d\.\d{{2}}\b') AND regexp_matches({_LOW.format("text || ' '")}, '{'|'.join(ex.MEDICAL)}') THEN 0.8e0 END"
+HAS = lambda p: f"regexp_matches(text, '(?i){p}')"
 
 
 def _sql(s: str) -> str:
-    return with_views(s.replace("{{", "\x01").replace("}}", "\x02")).replace("\x01", "{").replace("\x02", "}")
+    """SQL whose views stand in angle brackets, since patterns hold braces."""
+    s = re.sub(r"<(\w+)>", "\x01\\1\x02", s).replace("{", "\x03").replace("}", "\x04").replace("\x01", "{").replace("\x02", "}")
+    return with_views(s).replace("\x03", "{").replace("\x04", "}")
 
 
 def lines(t: Tables):
     return t.line_texts
 
 
-HAS = lambda p: f"regexp_matches(text, '(?i){p}')"
-MODS = ", ".join(f"'{m}'" for m in ex.MODIFIERS)
+def bill_lines(t: Tables):
+    return ex.bill_lines_from_text(t.bill_docs, t.code_synonyms, said(t))
+
 
 QUERIES = {
-    "t01_line_codes": (lambda t: lines(t).select("doc_id", "line_no", F.array_join(ex.codes_in("line"), ",").alias("codes")), f"SELECT doc_id, line_no, array_to_string({CODES}, ',') AS codes FROM {{line_texts}}"),
+    "t01_line_codes": (lambda t: lines(t).select("doc_id", "line_no", F.array_join(ex.codes_in("line"), ",").alias("codes")), f"SELECT doc_id, line_no, array_to_string({CODES}, ',') AS codes FROM <line_texts>"),
     "t02_line_amounts": (
         lambda t: lines(t).select("doc_id", "line_no", F.size(ex.amounts_in("line")).cast("long").alias("n"), F.array_max(ex.amounts_in("line")).alias("most")),
-        f"SELECT doc_id, line_no, len({AMOUNTS}) AS n, list_max({AMOUNTS}) AS most FROM {{line_texts}}",
+        f"SELECT doc_id, line_no, len({AMOUNTS}) AS n, list_max({AMOUNTS}) AS most FROM <line_texts>",
     ),
     "t03_billed_amount": (
         lambda t: lines(t).select("doc_id", "line_no", ex.billed_amount(F.col("line"), F.lit("")).alias("amount")),
-        f"SELECT doc_id, line_no, ({AMOUNTS})[-1] AS amount FROM {{line_texts}}",
+        f"SELECT doc_id, line_no, ({AMOUNTS})[-1] AS amount FROM <line_texts>",
     ),
     "t04_modifier": (
         lambda t: lines(t).where(F.size(ex.codes_in("line")) > 0).select("doc_id", "line_no", ex.modifier_after("line", F.get(ex.codes_in("line"), F.lit(0))).alias("modifier")),
-        f"WITH c AS (SELECT *, ({CODES})[1] AS code FROM {{line_texts}} WHERE len({CODES}) > 0), m AS (SELECT *, upper(regexp_extract(ltrim(substr(line, instr(upper(line), code) + length(code))), '(?i)^[\\s-]?([A-Z0-9]{{{{2}}}})(\\s|$)', 1)) AS m FROM c) SELECT doc_id, line_no, CASE WHEN m IN ({MODS}) THEN m END AS modifier FROM m",
-    ),
-    "t05_clean_description": (
-        lambda t: lines(t).select("doc_id", "line_no", ex.clean_description("line").alias("description")),
-        "SELECT doc_id, line_no, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\$[\\d,.]+', '', 'g'), '\\b\\d{{5}}\\b', '', 'g'), '[A-Z]\\d{{4}}', '', 'gi'), '\\s{{2,}}', ' ', 'g'), '[|*_]+', ' ', 'g')), 1, 120) AS description FROM {line_texts}",
+        f"WITH c AS (SELECT *, ({CODES})[1] AS code FROM <line_texts> WHERE len({CODES}) > 0), m AS (SELECT *, {AFTER} AS m FROM c) SELECT doc_id, line_no, CASE WHEN m IN ({MODS}) THEN m END AS modifier FROM m",
     ),
+    "t05_clean_description": (lambda t: lines(t).select("doc_id", "line_no", ex.clean_description("line").alias("description")), f"SELECT doc_id, line_no, {CLEAN} AS description FROM <line_texts>"),
     "t06_uncoded_lines": (
         lambda t: ex.uncoded_lines(lines(t).select("doc_id", F.col("line").alias("text"))).select("doc_id", "description", "billed_amount"),
-        f"WITH d AS (SELECT doc_id, ({AMOUNTS})[-1] AS billed_amount, substr(trim(regexp_replace(regexp_replace(line, '\\$[\\d,.]+', '', 'g'), '\\s{{{{2,}}}}', ' ', 'g')), 1, 120) AS description FROM {{line_texts}} WHERE len({CODES}) = 0) SELECT doc_id, description, billed_amount FROM d WHERE billed_amount IS NOT NULL AND regexp_matches(description, '[A-Za-z]{{{{5,}}}}')",
+        f"WITH ln AS (SELECT * FROM <line_texts>), {U} SELECT doc_id, description, billed_amount FROM u",
+    ),
+    "t06_resolved_lines": (
+        lambda t: bill_lines(t).select("doc_id", F.col("line_number").cast("long").alias("line_number"), "code", "billed_amount"),
+        f"WITH {ALL_LINES} SELECT doc_id, line_number, code, billed_amount FROM bl",
     ),
     "t07_bill_lines": (
-        lambda t: ex.bill_lines_from_text(t.bill_docs).select("doc_id", "line_number", "code", "modifier", "billed_amount"),
-        "SELECT doc_id, CAST(line_number AS INT) AS line_number, code, CAST(NULL AS STRING) AS modifier, amount AS billed_amount FROM (SELECT o_orderkey AS doc_id, CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) AS p, o_orderkey % 3 AS k FROM orders) JOIN (VALUES (0, 1, '99213', 20.5e0), (1, 1, '99213', NULL), (1, 2, 'J1100', 45e0), (1, 3, '71046', 90e0)) AS v(k, line_number, code, fixed) USING (k), LATERAL (SELECT coalesce(fixed, p) AS amount)",
+        lambda t: ex.bill_lines_from_text(t.bill_docs).select("doc_id", F.col("line_number").cast("long").alias("line_number"), "code", "modifier", "billed_amount"),
+        f"WITH {BL} SELECT doc_id, line_number, code, CASE WHEN m IN ({MODS}) THEN m END AS modifier, billed_amount FROM bl",
+    ),
+    "t08_facility_type": (lambda t: t.bill_docs.select("doc_id", ex.facility_type("text").alias("facility_type")), f"SELECT doc_id, {_KIND} AS facility_type FROM <bill_docs>"),
+    "t09_facility_name": (
+        lambda t: t.bill_docs.select("doc_id", ex.facility_name("text").alias("name")),
+        rf"WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '') AS l FROM <bill_docs>) SELECT doc_id, coalesce(list_filter(l[1:8], lambda x: length(x) BETWEEN 6 AND 119 AND {_FACILITY})[1], list_filter(l[1:5], lambda x: length(x) > 5 AND regexp_matches(x, '^\D') AND regexp_matches(x, '[A-Za-z]{{3}}'))[1]) AS name FROM f",
     ),
-    "t08_facility_type": (
-        lambda t: t.bill_docs.select("doc_id", ex.facility_type("text").alias("facility_type")),
-        f"SELECT doc_id, CASE WHEN {HAS(chr(92).join(['emergency', 's*(department|dept|room|er', 'b)|urgent care']))} THEN 'er' WHEN {HAS(chr(92) + 'bhospital' + chr(92) + 'b')} THEN 'hospital' WHEN {HAS(chr(92) + 'boutpatient' + chr(92) + 'b')} THEN 'outpatient' WHEN {HAS(chr(92) + 'bclinic' + chr(92) + 'b')} THEN 'clinic' WHEN {HAS(chr(92) + 'boffice' + chr(92) + 'b')} THEN 'office' ELSE 'unknown' END AS facility_type FROM {{bill_docs}}",
+    "t10_service_date": (lambda t: t.bill_docs.select("doc_id", ex.service_date("text").alias("day")), f"SELECT doc_id, {ISO} AS day FROM (SELECT doc_id, {DAY} AS day, string_split_regex({DAY}, '[/-]') AS p FROM <bill_docs>)"),
+    "t11_patient_name": (
+        lambda t: t.bill_docs.select("doc_id", ex.patient_name("text").alias("patient")),
+        r"SELECT doc_id, nullif(regexp_extract(text, 'Patient\s+Name\s*:?\s*([A-Z][a-z]+(?: [A-Z]\.? [A-Z][a-z]+| [A-Z][a-z]+)?)', 1), '') AS patient FROM <bill_docs>",
     ),
-    "t09_facility_name": (lambda t: t.bill_docs.select("doc_id", ex.facility_name("text").alias("name")), "SELECT doc_id, string_split(text, chr(10))[1] AS name FROM {bill_docs} WHERE doc_id % 4 < 3 UNION ALL SELECT doc_id, string_split(text, chr(10))[1] FROM {bill_docs} WHERE doc_id % 4 = 3"),
-    "t10_service_date": (
-        lambda t: t.bill_docs.select("doc_id", ex.service_date("text").alias("day")),
-        "SELECT o_orderkey AS doc_id, '2024-' || lpad(CAST(1 + o_orderkey % 12 AS STRING), 2, '0') || '-' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') AS day FROM {orders}",
+    "t12_document_gate": (
+        lambda t: t.bill_docs.select("doc_id", ex.document_gate(F.regexp_replace("text", r"\b[A-Z0-9]\d{4}\b", F.when(F.col("doc_id") % 2 == 0, F.lit("-")).otherwise(F.lit("99213")))).alias("gate")),
+        rf"SELECT doc_id, {GATE} AS gate FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '\b[A-Z0-9]\d{{4}}\b', '-', 'g') ELSE regexp_replace(text, '\b[A-Z0-9]\d{{4}}\b', '99213', 'g') END AS text FROM <bill_docs>)",
     ),
-    "t11_patient_name": (lambda t: t.bill_docs.select("doc_id", ex.patient_name("text").alias("patient")), "SELECT doc_id, regexp_extract(text, 'Patient Name: ([A-Z][a-z]+ [A-Z][a-z]+)', 1) AS patient FROM {bill_docs}"),
-    "t12_document_gate": (lambda t: t.bill_docs.select("doc_id", ex.document_gate("text").alias("gate")), "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 2 THEN 0.8e0 ELSE 0.95e0 END AS gate FROM {orders} WHERE o_orderkey % 4 != 9"),
     "t13_bills_from_text": (
-        lambda t: ex.bills_from_text(t.bill_docs).select("doc_id", "total_billed", "n_lines"),
-        f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 20.5e0 WHEN 1 THEN {r('CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) + 135', 2)} ELSE 0e0 END AS total_billed, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END AS n_lines FROM {{orders}}",
+        lambda t: ex.bills_from_text(t.bill_docs, t.code_synonyms, said(t)).select("doc_id", "total_billed", "n_lines", "facility_type", "parse_confidence"),
+        f"WITH {ALL_LINES}, s AS (SELECT doc_id, {r('sum(billed_amount)', 2)} AS total, count(*) AS n FROM bl GROUP BY doc_id) SELECT b.doc_id, coalesce(total, 0) AS total_billed, coalesce(n, 0) AS n_lines, {_KIND} AS facility_type, {GATE} AS parse_confidence FROM <bill_docs> b LEFT JOIN s ON b.doc_id = s.doc_id",
     ),
     "t14_eob_detection": (
         lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", F.col("hits").cast("long").alias("hits"), "is_eob", fn.round_to("confidence", 2).alias("confidence")),
-        "WITH h AS (SELECT doc_id, confidence, " + " + ".join(f"CAST(contains(lower(text), '{p}') AS BIGINT)" for p in ex.EOB_PHRASES) + f" AS hits FROM {{bill_docs}}) SELECT doc_id, hits, hits >= 2 AS is_eob, {r('least(1, confidence + least(hits * 0.05, 0.15))', 2)} AS confidence FROM h",
+        "WITH h AS (SELECT doc_id, confidence, " + " + ".join(f"CAST(contains(lower(text), '{p}') AS BIGINT)" for p in ex.EOB_PHRASES) + f" AS hits FROM <bill_docs>) SELECT doc_id, hits, hits >= 2 AS is_eob, {r('least(1, confidence + least(hits * 0.05, 0.15))', 2)} AS confidence FROM h",
     ),
     "t15_insurer_plan": (
         lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", "insurer", "plan_type"),
-        "SELECT doc_id, CASE " + " ".join(f"WHEN {HAS(p)} THEN '{n}'" for p, n in ex.INSURERS) + " END AS insurer, CASE " + " ".join(f"WHEN {HAS(p)} THEN '{n}'" for p, n in ex.PLANS) + " END AS plan_type FROM {bill_docs}",
+        "SELECT doc_id, CASE " + " ".join(f"WHEN {HAS(p)} THEN '{n}'" for p, n in ex.INSURERS) + " END AS insurer, CASE " + " ".join(f"WHEN {HAS(p)} THEN '{n}'" for p, n in ex.PLANS) + " END AS plan_type FROM <bill_docs>",
     ),
     "t16_claim_number": (
-        lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", "claim_number", "service_date"),
-        "SELECT doc_id, nullif(regexp_extract(text, 'Claim #: ([A-Z0-9]+)', 1), '') AS claim_number, regexp_extract(text, 'service: ([0-9/]+)', 1) AS service_date FROM {bill_docs}",
-    ),
-    "t17_summary": (
-        lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", "amount_billed", "patient_responsibility", "plan_paid"),
-        "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) END AS amount_billed, CASE WHEN o_orderkey % 3 = 0 THEN 20.5e0 END AS patient_responsibility, CAST(NULL AS DOUBLE) AS plan_paid FROM {orders}",
+        lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", "claim_number", "service_date", "patient"),
+        f"SELECT doc_id, {_first(ex.CLAIM_LABELS, '([A-Z0-9]{4,20})')} AS claim_number, {_first(ex.DAY_LABELS, r'(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})')} AS service_date, substr(trim({_first(ex.PATIENT_LABELS, r'([^\n]+)')}), 1, 80) AS patient FROM <bill_docs>",
     ),
+    "t17_summary": (lambda t: ex.eobs_from_text(t.bill_docs).select("doc_id", *ex.LABELS), f"WITH {LINES}, {SUMMARY} SELECT * FROM su"),
     "t18_eob_lines": (
         lambda t: ex.eob_lines_from_text(t.bill_docs).select("doc_id", "code", "description", "billed_amount", "allowed_amount", "insurance_paid", "patient_responsibility"),
-        "SELECT o_orderkey AS doc_id, '99213' AS code, 'Office visit' AS description, 250e0 AS billed_amount, 100.5e0 + o_orderkey % 90 AS allowed_amount, 80e0 AS insurance_paid, 20.5e0 AS patient_responsibility FROM {orders} WHERE o_orderkey % 3 = 0",
+        f"WITH {EOB_LINES} SELECT doc_id, code, description, billed_amount, allowed_amount, insurance_paid, patient_responsibility FROM el",
     ),
     "t19_resolved_codes": (
-        lambda t: ex.with_resolved_codes(t.bill_lines.select("bill_id", "line_number", "description", F.when(F.col("line_number") % 2 == 0, F.col("code")).alias("code")), t.descriptions.groupBy("description").agg(F.min("brand").alias("code"))),
-        "SELECT bill_id, line_number, l.description, CASE WHEN line_number % 2 = 0 THEN l.code ELSE x.code END AS code FROM {bill_lines} l LEFT JOIN (SELECT description, min(brand) AS code FROM {descriptions} GROUP BY description) x ON l.description = x.description",
+        lambda t: ex.with_resolved_codes(ex.eob_lines_from_text(t.bill_docs), t.code_synonyms, said(t)).select("doc_id", "description", "code", "billed_amount"),
+        f"WITH {EOB_LINES}, uc AS (SELECT DISTINCT description FROM el WHERE code IS NULL), {_RESOLVED('uc')} SELECT doc_id, el.description, coalesce(el.code, resolved.code) AS code, billed_amount FROM el LEFT JOIN resolved ON el.description = resolved.description",
     ),
     "t20_eob_documents": (
-        lambda t: ex.eob_documents(t.bill_docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "Office visit .*", "")).otherwise(F.col("text")))).select("doc_id", "description", "billed_amount", "allowed_amount"),
-        "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Summary' ELSE 'Office visit' END AS description, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) ELSE 250e0 END AS billed_amount, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) ELSE 100.5e0 + o_orderkey % 90 END AS allowed_amount FROM {orders} WHERE o_orderkey % 3 = 0",
+        lambda t: ex.eob_documents(t.bill_docs).select("doc_id", "description", "billed_amount", "allowed_amount"),
+        f"WITH {EOB_LINES}, {SUMMARY} SELECT doc_id, description, billed_amount, allowed_amount FROM el UNION ALL SELECT doc_id, 'Summary', amount_billed, {r('amount_billed - coalesce(network_discount, 0)', 2)} FROM su WHERE amount_billed IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM el)",
     ),
     "t21_bills_or_statements": (
-        lambda t: ex.bills_or_statements(t.bill_docs).groupBy("code").agg(F.count("*").alias("n")),
-        "SELECT code, count(*) AS n FROM (SELECT '99213' AS code FROM {orders} WHERE o_orderkey % 3 < 2 UNION ALL SELECT 'J1100' FROM {orders} WHERE o_orderkey % 3 = 1 UNION ALL SELECT '71046' FROM {orders} WHERE o_orderkey % 3 = 1) GROUP BY code",
+        lambda t: ex.bills_or_statements(t.bill_docs).groupBy("code").agg(F.count("*").alias("n"), F.max("line_number").cast("long").alias("most")),
+        f"WITH {BL}, {EOB_LINES.removeprefix(LINES + ', ')} SELECT code, count(*) AS n, max(line_number) AS most FROM (SELECT code, line_number FROM bl UNION ALL SELECT code, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) FROM el WHERE code IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM bl)) GROUP BY code",
     ),
     "w12_next_line": (
-        lambda t: ex.bill_lines_from_text(t.bill_docs.where("doc_id % 3 = 1")).where("code = '99213'").select("doc_id", "billed_amount"),
-        "SELECT o_orderkey AS doc_id, CAST(CAST(floor(o_totalprice / 1000) AS DECIMAL(12,2)) AS DOUBLE) AS billed_amount FROM {orders} WHERE o_orderkey % 3 = 1",
+        lambda t: ex.bill_lines_from_text(t.bill_docs).where("code = '99213'").select("doc_id", "billed_amount"),
+        f"WITH {BL} SELECT doc_id, billed_amount FROM bl WHERE code = '99213'",
     ),
     "p01_money_text": (
         lambda t: t.orders.select("o_orderkey", fn.money(F.when(F.col("o_orderkey") % 5 == 0, "N/A").otherwise(F.concat(F.lit(" $"), F.format_number("o_totalprice", 2), F.lit(" ")))).alias("v")),
-        "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS v FROM {orders}",
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS v FROM <orders>",
     ),
     "p02_price_text": (
         lambda t: t.orders.select("o_orderkey", fn.price(F.when(F.col("o_orderkey") % 5 == 0, "-").otherwise(F.concat(F.lit('"'), F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise(""), F.format_number("o_totalprice", 2), F.lit('"')))).alias("v")),
-        "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 3 > 0 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS v FROM {orders}",
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 3 > 0 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS v FROM <orders>",
     ),
-    "p03_pfs_rows": (lambda t: t.pfs_rates.where("code IS NOT NULL AND (coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0)").select("rate_seq"), "SELECT rate_seq FROM {pfs_rates} WHERE coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0"),
-    "p04_clfs_rows": (lambda t: t.clfs_rates.where("code != '' AND coalesce(rate, 0) != 0").select("rate_seq", "code"), "SELECT rate_seq, code FROM {clfs_rates} WHERE code != '' AND coalesce(rate, 0) != 0"),
-    "p05_asp_rows": (lambda t: t.opps_rates.where(F.col("code").rlike("^[A-Za-z0-9]{5}$") & F.col("payment_rate").isNotNull()).select("rate_seq", fn.clean_code("code").alias("code")), "SELECT rate_seq, upper(code) AS code FROM {opps_rates} WHERE length(code) = 5 AND payment_rate IS NOT NULL"),
-    "p06_opps_rows": (lambda t: t.opps_rates.where(F.length("code").between(4, 7) & F.col("code").rlike("^[A-Za-z0-9]")).select("rate_seq", "payment_rate"), "SELECT rate_seq, payment_rate FROM {opps_rates} WHERE length(code) BETWEEN 4 AND 7"),
-    "p07_zip_rows": (lambda t: t.zip_locality.where("zip_code != '' AND carrier != '' AND locality != ''").select("zip_code", F.coalesce("urban_rural", F.lit("U")).alias("urban_rural")), "SELECT zip_code, coalesce(urban_rural, 'U') AS urban_rural FROM {zip_locality}"),
+    "p03_pfs_rows": (lambda t: t.pfs_rates.where("code IS NOT NULL AND (coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0)").select("rate_seq"), "SELECT rate_seq FROM <pfs_rates> WHERE coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0"),
+    "p04_clfs_rows": (lambda t: t.clfs_rates.where("code != '' AND coalesce(rate, 0) != 0").select("rate_seq", "code"), "SELECT rate_seq, code FROM <clfs_rates> WHERE code != '' AND coalesce(rate, 0) != 0"),
+    "p05_asp_rows": (lambda t: t.opps_rates.where(F.col("code").rlike("^[A-Za-z0-9]{5}$") & F.col("payment_rate").isNotNull()).select("rate_seq", fn.clean_code("code").alias("code")), "SELECT rate_seq, upper(code) AS code FROM <opps_rates> WHERE length(code) = 5 AND payment_rate IS NOT NULL"),
+    "p06_opps_rows": (lambda t: t.opps_rates.where(F.length("code").between(4, 7) & F.col("code").rlike("^[A-Za-z0-9]")).select("rate_seq", "payment_rate"), "SELECT rate_seq, payment_rate FROM <opps_rates> WHERE length(code) BETWEEN 4 AND 7"),
+    "p07_zip_rows": (lambda t: t.zip_locality.where("zip_code != '' AND carrier != '' AND locality != ''").select("zip_code", F.coalesce("urban_rural", F.lit("U")).alias("urban_rural")), "SELECT zip_code, coalesce(urban_rural, 'U') AS urban_rural FROM <zip_locality>"),
     "p08_price_rows": (
         lambda t: t.hospital_prices.withColumn("kind", fn.code_type(F.when(F.col("price_seq") % 2 == 0, F.col("billing_code_type")), "billing_code")).where("kind IN ('CPT', 'HCPCS')").groupBy("kind").agg(F.count("*").alias("n")),
-        "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN price_seq % 2 = 0 THEN billing_code_type WHEN regexp_matches(billing_code, '^[0-9]{{5}}$') THEN 'CPT' WHEN regexp_matches(billing_code, '^[A-Z][0-9]{{4}}$') THEN 'HCPCS' END AS kind FROM {hospital_prices}) WHERE kind IN ('CPT', 'HCPCS') GROUP BY kind",
+        "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN price_seq % 2 = 0 THEN billing_code_type WHEN regexp_matches(billing_code, '^[0-9]{5}$') THEN 'CPT' WHEN regexp_matches(billing_code, '^[A-Z][0-9]{4}$') THEN 'HCPCS' END AS kind FROM <hospital_prices>) WHERE kind IN ('CPT', 'HCPCS') GROUP BY kind",
     ),
     "p09_care_setting": (
         lambda t: t.orders.select("o_orderkey", fn.care_setting(F.when(F.col("o_orderkey") % 4 == 0, " Inpatient ").when(F.col("o_orderkey") % 4 == 1, "BOTH").when(F.col("o_orderkey") % 4 == 2, "Outpatient/Inpatient").otherwise("Office")).alias("setting")),
-        "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'inpatient' WHEN 3 THEN 'office' ELSE 'both' END AS setting FROM {orders}",
+        "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'inpatient' WHEN 3 THEN 'office' ELSE 'both' END AS setting FROM <orders>",
     ),
-    "f01_rounding": (lambda t: t.lineitem.select("l_orderkey", fn.round_to(F.col("l_extendedprice") * F.col("l_tax"), 1).alias("v")), f"SELECT l_orderkey, {r('l_extendedprice * l_tax', 1)} AS v FROM {{lineitem}}"),
-    "f09_iso_dates": (lambda t: t.bill_docs.select("doc_id", fn.iso_date(F.regexp_extract("text", "service: ([0-9/]+)", 1)).alias("day")), "SELECT o_orderkey AS doc_id, '2024-' || lpad(CAST(1 + o_orderkey % 12 AS STRING), 2, '0') || '-' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') AS day FROM {orders}"),
+    "f01_rounding": (lambda t: t.lineitem.select("l_orderkey", fn.round_to(F.col("l_extendedprice") * F.col("l_tax"), 1).alias("v")), f"SELECT l_orderkey, {r('l_extendedprice * l_tax', 1)} AS v FROM <lineitem>"),
+    "f09_iso_dates": (lambda t: t.bill_docs.select("doc_id", fn.iso_date(F.regexp_extract("text", ex.DAY, 1)).alias("day")), f"SELECT doc_id, {ISO} AS day FROM (SELECT doc_id, d AS day, string_split_regex(d, '[/-]') AS p FROM (SELECT doc_id, regexp_extract(text, '{ex.DAY}', 1) AS d FROM <bill_docs>))"),
 }
 QUERIES = {k: (f, _sql(sql)) for k, (f, sql) in QUERIES.items()}
