@@ -24,6 +24,11 @@ def money(c: Column | str) -> Column:
     return F.regexp_extract(t, r"^-?\d*\.?\d+", 0).try_cast("double")
 
 
+def money_text(c: Column | str) -> Column:
+    """A number as '$1,234.50', rounded half up, a minus sign after the '$' (F14)."""
+    return F.concat(F.lit("$"), F.format_number(col(c).cast("decimal(18,2)"), 2))
+
+
 def price(c: Column | str) -> Column:
     """As ``money`` without quotes; '-' and negative values are null."""
     t = F.regexp_replace(col(c), r"[\"']", "")

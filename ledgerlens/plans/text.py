@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import extraction as ex
+from ..sources import readers
 from .bindings import Tables, with_views
 from .prices import resolved_sql, said
 from .rates import r
@@ -183,11 +184,20 @@ QUERIES = {
         lambda t: t.orders.select("o_orderkey", fn.price(F.when(F.col("o_orderkey") % 5 == 0, "-").otherwise(F.concat(F.lit('"'), F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise(""), F.format_number("o_totalprice", 2), F.lit('"')))).alias("v")),
         "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 3 > 0 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS v FROM <orders>",
     ),
-    "p03_pfs_rows": (lambda t: t.pfs_rates.where("code IS NOT NULL AND (coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0)").select("rate_seq"), "SELECT rate_seq FROM <pfs_rates> WHERE coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0"),
-    "p04_clfs_rows": (lambda t: t.clfs_rates.where("code != '' AND coalesce(rate, 0) != 0").select("rate_seq", "code"), "SELECT rate_seq, code FROM <clfs_rates> WHERE code != '' AND coalesce(rate, 0) != 0"),
-    "p05_asp_rows": (lambda t: t.opps_rates.where(F.col("code").rlike("^[A-Za-z0-9]{5}$") & F.col("payment_rate").isNotNull()).select("rate_seq", fn.clean_code("code").alias("code")), "SELECT rate_seq, upper(code) AS code FROM <opps_rates> WHERE length(code) = 5 AND payment_rate IS NOT NULL"),
-    "p06_opps_rows": (lambda t: t.opps_rates.where(F.length("code").between(4, 7) & F.col("code").rlike("^[A-Za-z0-9]")).select("rate_seq", "payment_rate"), "SELECT rate_seq, payment_rate FROM <opps_rates> WHERE length(code) BETWEEN 4 AND 7"),
-    "p07_zip_rows": (lambda t: t.zip_locality.where("zip_code != '' AND carrier != '' AND locality != ''").select("zip_code", F.coalesce("urban_rural", F.lit("U")).alias("urban_rural")), "SELECT zip_code, coalesce(urban_rural, 'U') AS urban_rural FROM <zip_locality>"),
+    "p03_pfs_rows": (lambda t: t.pfs_rates.where(readers.has_pfs_rate()).select("rate_seq"), "SELECT rate_seq FROM <pfs_rates> WHERE coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0"),
+    "p04_clfs_rows": (lambda t: t.clfs_rates.where(readers.has_clfs_rate()).select("rate_seq", "code"), "SELECT rate_seq, code FROM <clfs_rates> WHERE code != '' AND coalesce(rate, 0) != 0"),
+    "p05_asp_rows": (
+        lambda t: t.asp_rates.withColumns({"code": F.when(F.col("rate_seq") % 5 == 0, F.concat("code", F.lit("X"))).otherwise(F.lower("code")), "payment_limit": F.when(F.col("rate_seq") % 7 > 0, F.col("payment_limit"))}).where(readers.has_asp_limit()).select("rate_seq", fn.clean_code("code").alias("code")),
+        "SELECT rate_seq, upper(code) AS code FROM <asp_rates> WHERE rate_seq % 5 > 0 AND rate_seq % 7 > 0 AND payment_limit IS NOT NULL AND length(code) = 5",
+    ),
+    "p06_opps_rows": (
+        lambda t: t.opps_rates.withColumn("code", F.when(F.col("rate_seq") % 5 == 0, F.substring("code", 1, 3)).when(F.col("rate_seq") % 5 == 1, F.concat(F.lit("*"), "code")).when(F.col("rate_seq") % 5 == 2, F.lit("HCPCS")).otherwise(F.col("code"))).where(readers.has_opps_code()).select("rate_seq", "payment_rate"),
+        "SELECT rate_seq, payment_rate FROM <opps_rates> WHERE rate_seq % 5 > 2 AND length(code) BETWEEN 4 AND 7",
+    ),
+    "p07_zip_rows": (
+        lambda t: t.zip_locality.withColumn("carrier", F.when(F.col("zip_code").endswith("3"), "").otherwise(F.col("carrier"))).where(readers.has_locality()).select("zip_code", readers.urban_rural("urban_rural").alias("urban_rural")),
+        "SELECT zip_code, coalesce(urban_rural, 'U') AS urban_rural FROM <zip_locality> WHERE zip_code NOT LIKE '%3'",
+    ),
     "p08_price_rows": (
         lambda t: t.hospital_prices.withColumn("kind", fn.code_type(F.when(F.col("price_seq") % 2 == 0, F.col("billing_code_type")), "billing_code")).where("kind IN ('CPT', 'HCPCS')").groupBy("kind").agg(F.count("*").alias("n")),
         "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN price_seq % 2 = 0 THEN billing_code_type WHEN regexp_matches(billing_code, '^[0-9]{5}$') THEN 'CPT' WHEN regexp_matches(billing_code, '^[A-Z][0-9]{4}$') THEN 'HCPCS' END AS kind FROM <hospital_prices>) WHERE kind IN ('CPT', 'HCPCS') GROUP BY kind",

@@ -5,8 +5,11 @@ Only header lines come to the driver; the rows are plain scans and projections.
 
 from __future__ import annotations
 
+import csv
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,19 +85,52 @@ def _header(spark: SparkSession, path: str, *words: str, first: str | None = Non
     raise ValueError(f"no header with {words or first} in {path}")
 
 
-def _sequence() -> Column:
-    """A number that follows file order within a load; it only breaks ties."""
-    return F.monotonically_increasing_id().alias("rate_seq")
+def _sequence(d: DataFrame) -> Column:
+    """A number that a row's content fixes, whatever the splits; it only breaks ties, and rows alike are ties for good."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in d.columns]).alias("rate_seq")
+
+
+# ---- row rules: which rows of a file load; readers and queries share them --------------------------------------------
+
+
+def has_pfs_rate() -> Column:
+    """Physician rows need a code and a rate that isn't zero."""
+    return (F.col("code") != "") & ((F.coalesce("facility_rate", F.lit(0.0)) != 0) | (F.coalesce("non_facility_rate", F.lit(0.0)) != 0))
+
+
+def has_clfs_rate() -> Column:
+    """Laboratory rows need a code and a rate that isn't zero."""
+    return (F.col("code") != "") & (F.coalesce("rate", F.lit(0.0)) != 0)
+
+
+def has_asp_limit() -> Column:
+    """Drug rows need a code of five letters or digits and a limit."""
+    return F.col("code").rlike("^[A-Za-z0-9]{5}$") & F.col("payment_limit").isNotNull()
+
+
+def has_opps_code() -> Column:
+    """Outpatient rows need a code of 4 to 7 characters that begins with a letter or digit; the rate may be missing."""
+    return F.length("code").between(4, 7) & F.col("code").rlike("^[A-Za-z0-9]") & ~F.startswith("code", F.lit("HCPCS"))
+
+
+def has_locality() -> Column:
+    """ZIP rows need ZIP, carrier and locality."""
+    return (F.col("zip_code") != "") & (F.col("carrier") != "") & (F.col("locality") != "")
+
+
+def urban_rural(c: Column | str) -> Column:
+    """A blank mark is urban."""
+    return F.coalesce(_blank_to_null(F.col(c) if isinstance(c, str) else c), F.lit("U"))
 
 
 def read_pfs(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Physician fee schedule without a header (S01): ten or more columns, the first a year."""
     d = _positional(spark, path).where(F.col("_c0").rlike(r"^\d{4}$") & F.col("_c9").isNotNull())
     d = d.select(
-        _sequence(), clean_code("_c3").alias("code"), _blank_to_null(F.col("_c4")).alias("modifier"), F.lit(None).cast("string").alias("description"), money("_c5").alias("facility_rate"), money("_c6").alias("non_facility_rate"),
+        _sequence(d), clean_code("_c3").alias("code"), _blank_to_null(F.col("_c4")).alias("modifier"), F.lit(None).cast("string").alias("description"), money("_c5").alias("facility_rate"), money("_c6").alias("non_facility_rate"),
         F.trim("_c1").alias("carrier"), F.trim("_c2").alias("locality"), _blank_to_null(F.col("_c9")).alias("status_indicator"), F.lit(year).alias("effective_year"),
     )
-    return d.where("code != '' AND (coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0)")
+    return d.where(has_pfs_rate())
 
 
 def read_pfs_with_header(spark: SparkSession, path: str, year: int) -> DataFrame:
@@ -106,10 +142,10 @@ def read_pfs_with_header(spark: SparkSession, path: str, year: int) -> DataFrame
     d = _positional(spark, path, "\t" if tabs else ",", width=len(cells))
     get = lambda n: F.lit(None).cast("string") if at[n] is None else F.col(f"_c{at[n]}")
     d = d.where(F.upper(F.trim(F.col("_c0"))) != upper[0]).select(
-        _sequence(), clean_code(get("code")).alias("code"), *[_blank_to_null(get(n)).alias(n) for n in ("modifier", "description", "locality", "locality_name", "status_indicator")],
+        _sequence(d), clean_code(get("code")).alias("code"), *[_blank_to_null(get(n)).alias(n) for n in ("modifier", "description", "locality", "locality_name", "status_indicator")],
         money(get("facility_rate")).alias("facility_rate"), money(get("non_facility_rate")).alias("non_facility_rate"), F.lit(year).alias("effective_year"),
     )
-    return d.where("code != '' AND (coalesce(facility_rate, 0) != 0 OR coalesce(non_facility_rate, 0) != 0)")
+    return d.where(has_pfs_rate())
 
 
 def _by_name(spark: SparkSession, path: str, header: tuple[list[str], list[str]]) -> DataFrame:
@@ -125,40 +161,40 @@ def read_clfs(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Laboratory fee schedule (S03, P04): a preamble, then a header with YEAR, HCPCS and RATE."""
     d = _by_name(spark, path, _header(spark, path, "YEAR", "HCPCS", "RATE"))
     d = d.where("RATE IS NOT NULL").select(
-        _sequence(), clean_code("HCPCS").alias("code"), _blank_to_null(F.col("MOD")).alias("modifier"), money("RATE").alias("rate"), F.col("SHORTDESC").alias("short_desc"), F.col("LONGDESC").alias("long_desc"),
+        _sequence(d), clean_code("HCPCS").alias("code"), _blank_to_null(F.col("MOD")).alias("modifier"), money("RATE").alias("rate"), F.col("SHORTDESC").alias("short_desc"), F.col("LONGDESC").alias("long_desc"),
         F.col("INDICATOR").alias("indicator"), F.col("EFF_DATE").alias("effective_date"), F.lit(year).alias("effective_year"),
     )
-    return d.where("code != '' AND coalesce(rate, 0) != 0")
+    return d.where(has_clfs_rate())
 
 
 def read_asp(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Drug limits (S04, P05): a header with HCPCS CODE and PAYMENT LIMIT; five-character codes with a limit."""
     d = _by_name(spark, path, _header(spark, path, "HCPCS CODE", "PAYMENT LIMIT"))
     d = d.select(
-        _sequence(), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTION").alias("short_desc"), F.col("HCPCS CODE DOSAGE").alias("dosage"), money("PAYMENT LIMIT").alias("payment_limit"),
+        _sequence(d), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTION").alias("short_desc"), F.col("HCPCS CODE DOSAGE").alias("dosage"), money("PAYMENT LIMIT").alias("payment_limit"),
         money("CO-INSURANCE PERCENTAGE").alias("coinsurance_pct"), money("VACCINE LIMIT").alias("vaccine_limit"), money("BLOOD LIMIT").alias("blood_limit"), F.col("NOTES").alias("notes"), F.lit(year).alias("effective_year"),
     )
-    return d.where(F.col("code").rlike("^[A-Z0-9]{5}$") & F.col("payment_limit").isNotNull())
+    return d.where(has_asp_limit())
 
 
 def read_opps(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Outpatient rates (S05, P06): the header's first cell is HCPCS CODE; rows without a rate stay."""
     d = _by_name(spark, path, _header(spark, path, first="HCPCS CODE"))
     d = d.select(
-        _sequence(), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTOR").alias("short_desc"), _blank_to_null(F.col("SI")).alias("status_indicator"), _blank_to_null(F.col("APC")).alias("apc"),
+        _sequence(d), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTOR").alias("short_desc"), _blank_to_null(F.col("SI")).alias("status_indicator"), _blank_to_null(F.col("APC")).alias("apc"),
         money("RELATIVE WEIGHT").alias("relative_weight"), money("PAYMENT RATE").alias("payment_rate"), money("NATIONAL UNADJUSTED COPAYMENT").alias("national_copay"), money("MINIMUM UNADJUSTED COPAYMENT").alias("min_copay"), F.lit(year).alias("effective_year"),
     )
-    return d.where(F.length("code").between(4, 7) & F.col("code").rlike("^[A-Z0-9]") & ~F.col("code").startswith("HCPCS"))
+    return d.where(has_opps_code())
 
 
 def read_zip_locality(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-width ZIP to locality file."""
     cut = lambda lo, n: F.trim(F.substring("value", lo, n))
     d = spark.read.text(path).where(F.length("value") >= 14).select(
-        cut(3, 5).alias("zip_code"), cut(8, 5).alias("carrier"), cut(13, 2).alias("locality"), cut(1, 2).alias("state"), F.coalesce(F.nullif(cut(15, 1), F.lit("")), F.lit("U")).alias("urban_rural"),
+        cut(3, 5).alias("zip_code"), cut(8, 5).alias("carrier"), cut(13, 2).alias("locality"), cut(1, 2).alias("state"), urban_rural(cut(15, 1)).alias("urban_rural"),
         cut(16, 2).alias("lab_locality"), cut(18, 1).alias("rural_2"), cut(21, 1).alias("plus_four"), cut(23, 1).alias("part_b"), cut(76, 5).alias("year_quarter"),
     )
-    return d.where("zip_code != '' AND carrier != '' AND locality != ''")
+    return d.where(has_locality())
 
 
 def normal_header(name: str) -> str:
@@ -177,11 +213,28 @@ def resolve_headers(names: list[str]) -> dict[str, str | None]:
     return out
 
 
+def _first_lines(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, str]]:
+    """(file, first line) of all files in one job: each split that begins a file gives its first row."""
+
+    def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in rows:
+            take = []
+            for k, file in enumerate(batch.column(0).to_pylist()):
+                if file != last:
+                    take.append(k)
+                last = file
+            yield batch.take(pa.array(take, pa.int64()))
+
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("start"))
+    return [(r["file"], r["value"]) for r in text.where("start = 0").select("file", "value").mapInArrow(first, "file string, value string").collect()]
+
+
 def read_hospital_prices(spark: SparkSession, paths: list[str] | str, source_url: str | None = None, hospital_name: str | None = None) -> DataFrame:
     """Hospital price files (S07, P08, P02, P09). Files with one header are one scan; the scans are united."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for p in [paths] if isinstance(paths, str) else paths:
-        groups.setdefault(tuple(spark.read.csv(p, header=True, escape='"', multiLine=False).columns), []).append(p)
+    for file, line in _first_lines(spark, paths):
+        groups.setdefault(tuple(c if c else f"_c{k}" for k, c in enumerate(next(csv.reader([line])))), []).append(file)
     out = None
     for names, files in groups.items():
         at = resolve_headers(list(names))
@@ -197,9 +250,18 @@ def read_hospital_prices(spark: SparkSession, paths: list[str] | str, source_url
     return out
 
 
-def read_bills(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Bill headers and lines from JSON (S08): units default to 1, facility type to unknown."""
-    d = spark.read.schema(BILL).json(path, multiLine=True).withColumn("bill_id", F.col("_metadata.file_path"))
+def _records(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """JSON records with a bill_id made from file and content, so that each has its own; a record repeated in a file is one."""
+    d = spark.read.schema(schema).json(path, multiLine=multi_line)
+    return d.withColumn("bill_id", F.sha2(F.concat_ws("\n", F.col("_metadata.file_path"), F.to_json(F.struct(*schema.names))), 256)).dropDuplicates(["bill_id"])
+
+
+def read_bills(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Bill headers and lines from JSON (S08): units default to 1, facility type to unknown.
+
+    Files hold one record a line and are read in splits; with ``multi_line`` each holds one record or an array of them.
+    """
+    d = _records(spark, path, BILL, multi_line)
     head = d.select("bill_id", F.col("facilityName").alias("facility_name"), F.coalesce("facilityType", F.lit("unknown")).alias("facility_type"), F.col("statementDate").alias("statement_date"), F.col("totalBilled").alias("total_billed"), F.col("parseConfidence").alias("parse_confidence"), F.col("sourceType").alias("source_type"))
     x = d.select("bill_id", F.posexplode("lineItems").alias("at", "l"))
     lines = x.select(
@@ -209,9 +271,9 @@ def read_bills(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return head, lines
 
 
-def read_eobs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Statement headers and lines from JSON (S09): plan type and codes in upper case."""
-    d = spark.read.schema(EOB).json(path, multiLine=True).withColumn("bill_id", F.col("_metadata.file_path"))
+def read_eobs(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Statement headers and lines from JSON as in ``read_bills`` (S09): plan type and codes in upper case."""
+    d = _records(spark, path, EOB, multi_line)
     head = d.select("bill_id", F.col("insurerName").alias("insurer_name"), F.upper("planType").alias("plan_type"), F.col("claimNumber").alias("claim_number"), F.col("totalBilled").alias("amount_billed"), F.col("totalAllowed").alias("total_allowed"), F.col("totalInsurancePaid").alias("plan_paid"), F.col("totalPatientResponsibility").alias("patient_responsibility"))
     x = d.select("bill_id", F.posexplode("lineItems").alias("at", "l"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))

@@ -80,10 +80,16 @@ def community_rows(rows: DataFrame) -> DataFrame:
 
 
 def overwrite_safely(spark: SparkSession, rows: DataFrame, table: str) -> None:
-    """Write beside ``table``, then exchange the folders, since a table can't be overwritten while it is read."""
+    """Write beside ``table``, then exchange the folders, since a table can't be overwritten while it is read.
+
+    The old folder is renamed aside before the new one takes its place and is deleted last, so a crash loses neither.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(table), jvm.org.apache.hadoop.fs.Path(table.rstrip("/") + ".new")
+    old, new, aside = (jvm.org.apache.hadoop.fs.Path(table.rstrip("/") + end) for end in ("", ".new", ".old"))
     rows.write.mode("overwrite").parquet(new.toString())
     fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs.delete(aside, True)
+    for a, b in ((old, aside), (new, old)):
+        if fs.exists(a) and not fs.rename(a, b):
+            raise OSError(f"can't rename {a.toString()} to {b.toString()}")
+    fs.delete(aside, True)

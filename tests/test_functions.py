@@ -34,3 +34,8 @@ def test_names_and_dates(spark):
     assert one(spark, "2024-01-02", fn.iso_date("v")) == "2024-01-02"
     assert one(spark, "The Mercy Hospital", fn.name_similarity(fn.plain_name("v"), F.lit("mercy"))) == 1.0
     assert one(spark, "mer zz", fn.name_similarity(F.col("v"), F.lit("mercy east"))) == 0.4
+
+
+def test_money_text(spark):
+    rows = spark.createDataFrame([(1234.5,), (0.0,), (-1234567.891,), (None,)], "v double")
+    assert [r[0] for r in rows.select(fn.money_text("v")).collect()] == ["$1,234.50", "$0.00", "$-1,234,567.89", None]

@@ -1,5 +1,7 @@
 import datetime
+import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -30,11 +32,81 @@ def test_hospital_prices(spark, tmp_path):
     assert readers.normal_header(" Standard Charge|Gross ($) ") == "standard_charge|gross"
 
 
+def test_price_files_with_unlike_headers(spark, tmp_path):
+    """Headers of all files are read in one job; files of one header are one scan."""
+    head = "hospital_name,code,code_type,standard_charge|gross\n"
+    paths = [write(tmp_path / f"p{k}.csv", head + f"H{k},9921{k},CPT,{k}.5\n" * 3) for k in range(3)]
+    paths.append(write(tmp_path / "q.csv", 'cpt,facility,type,"gross_charge"\n80053,Lab,CPT,"1,000.00"\n'))
+    got = sorted((r.hospital_name, r.billing_code, r.gross_charge) for r in readers.read_hospital_prices(spark, paths).distinct().collect())
+    assert got == [("H0", "99210", 0.5), ("H1", "99211", 1.5), ("H2", "99212", 2.5), ("Lab", "80053", 1000.0)]
+    assert readers.read_hospital_prices(spark, paths).count() == 10
+
+
 def test_bill_json(spark, tmp_path):
     bill = {"facilityName": "x", "totalBilled": 10.0, "lineItems": [{"cptCode": "99213", "billedAmount": 4.0}, {"lineNumber": 9, "cptCode": "J1100", "billedAmount": 6.0, "units": 2}]}
     head, lines = readers.read_bills(spark, write(tmp_path / "b.json", json.dumps(bill)))
     assert head.first().facility_type == "unknown"
     assert [(r.line_number, r.units) for r in lines.orderBy("line_number").collect()] == [(1, 1.0), (9, 2.0)]
+    others = [bill | {"totalBilled": float(k)} for k in range(4)] + [bill]
+    for path, multi in ((write(tmp_path / "many.json", "\n".join(map(json.dumps, [*others, bill]))), False), (write(tmp_path / "array.json", json.dumps([*others, bill], indent=1)), True)):
+        head, lines = readers.read_bills(spark, path, multi)
+        assert head.select("bill_id").distinct().count() == head.count() == 5
+        assert sorted(r["count"] for r in lines.groupBy("bill_id").count().collect()) == [2] * 5
+
+
+def test_eob_json(spark, tmp_path):
+    eob = {"insurerName": "Aetna", "planType": "ppo", "totalBilled": 9.0, "lineItems": [{"cptCode": " j1100", "billedAmount": 9.0, "allowedAmount": 4.0}]}
+    head, lines = readers.read_eobs(spark, write(tmp_path / "e.json", json.dumps([eob, eob | {"totalBilled": 8.0}], indent=2)), multi_line=True)
+    assert sorted((r.plan_type, r.amount_billed) for r in head.collect()) == [("PPO", 8.0), ("PPO", 9.0)]
+    r = lines.first()
+    assert (r.code, r.line_number, r.allowed_amount, r.copay) == ("J1100", 1, 4.0, 0.0) and lines.select("bill_id").distinct().count() == 2
+
+
+def test_older_rate_files(spark, tmp_path):
+    tabs = write(tmp_path / "old.txt", "HCPCS\tMOD\tDESCRIPTION\tFACILITY FEE\tNON-FACILITY FEE\tLOC\n99213\t\tvisit\t80.00\t$1,100.50\t05\n99999\t26\tnone\t0\t0\t05\n")
+    commas = write(tmp_path / "old.csv", 'HCPC,MOD1,DESC,PPAR_FAC_AMOUNT,PPAR_NFAC_AMOUNT,LOCALITY,STATUS\n99214,25,"visit, long",90,,01,A\n')
+    want = [("99213", None, 80.0, 1100.5, "05", None), ("99214", "25", 90.0, None, "01", "A")]
+    got = [tuple(r) for p in (tabs, commas) for r in readers.read_pfs_with_header(spark, p, 2020).select("code", "modifier", "facility_rate", "non_facility_rate", "locality", "status_indicator").collect()]
+    assert got == want
+    head = "HCPCS Code,Short Description,HCPCS Code Dosage,Payment Limit,Co-Insurance Percentage,Vaccine AWP%,Vaccine Limit,Blood AWP%,Blood Limit,Clotting Factor,Notes"
+    rows = ['j1100,"dexa, inj",1 MG,0.123,20,,,,,,', "J2405,ondansetron,1 MG,NA,20,,,,,,", "J24,short,1 MG,1.5,20,,,,,,", "90700,dtap,0.5 ML,31.2,,,31.2,,,,x"]
+    asp = write(tmp_path / "asp.csv", "\n".join(["note"] * 8 + [head, *rows]) + "\n")
+    found = readers.read_asp(spark, asp, 2026)
+    assert sorted((r.code, r.payment_limit, r.vaccine_limit) for r in found.collect()) == [("90700", 31.2, 31.2), ("J1100", 0.123, None)]
+    assert [r.rate_seq for r in found.orderBy("code").collect()] == [r.rate_seq for r in readers.read_asp(spark, asp, 2026).repartition(3).orderBy("code").collect()]
+
+
+def test_lists_of_hospitals(spark, tmp_path):
+    rows = [{"ein": "123456789", "name": "St.  Mary ", "city": "X", "state": "ca", "zip_code": "9021-0"}, {"ein": " ", "name": "none"}, {"ein": "12-3", "name": "B", "state": "NY", "zip_code": "10001-1234"}]
+    got = sorted(tuple(r) for r in readers.read_nonprofits(spark, write(tmp_path / "n.json", json.dumps(rows))).select("ein", "name", "state", "zip_code").collect())
+    assert got == [("12-3", "B", "NY", "10001"), ("12-3456789", "St. Mary", "CA", "90210")]
+    head = "PRVDR_CTGRY_CD,GNRL_CNTL_TYPE_CD,PRVDR_NUM,FAC_NAME,CITY_NAME,STATE_CD,ZIP_CD\n"
+    path = tmp_path / "pos.csv"
+    path.write_bytes((head + '1,2,050001,San José  "East",X,ca,501\n01,04,050002,Private,X,CA,1\n02,01,050003,Other,X,CA,1\n01,03,050004,Own,X,CA,90210\n').encode("latin-1"))
+    got = sorted(tuple(r) for r in readers.read_providers(spark, str(path)).select("ein", "name", "state", "zip_code").collect())
+    assert got == [("CMS-050001", 'San José "East"', "CA", "00501"), ("CMS-050004", "Own", "CA", "90210")]
+    registry = {"hospitals": [{"name": "A", "aliases": ["AA", "AAA"], "mrf_url": "u", "states": ["CA"]}, {"name": "B"}]}
+    got = sorted((r.ord, r.name) for r in readers.read_registry(spark, write(tmp_path / "r.json", json.dumps(registry))).collect())
+    assert got == [(0, "A"), (0, "AA"), (0, "AAA"), (1, "B")]
+
+
+def test_documents_and_fingerprints(spark, tmp_path):
+    path = write(tmp_path / "d.txt", "one\ntwo")
+    r = readers.read_documents(spark, path).first()
+    assert r.text == "one\ntwo" and r.confidence == 0.95
+    assert readers.fingerprints(spark, path).first().data_hash == "sha256:" + hashlib.sha256(b"one\ntwo").hexdigest()
+
+
+def test_overwrite_while_reading(spark, tmp_path):
+    table = str(tmp_path / "t")
+    spark.range(3).write.parquet(table)
+    for _ in range(2):
+        sinks.overwrite_safely(spark, spark.read.parquet(table).select((F.col("id") + 1).alias("id")), table)
+        spark.catalog.refreshByPath(table)
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [2, 3, 4]
+    assert not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+    sinks.overwrite_safely(spark, spark.range(1), str(tmp_path / "fresh"))
+    assert spark.read.parquet(str(tmp_path / "fresh")).count() == 1
 
 
 def test_loads_and_sources(spark, tmp_path):
@@ -65,7 +137,34 @@ def test_streams(spark, tmp_path):
     assert sorted((str(r.day), r.event_type, r.n) for r in spark.table("daily").collect()) == [("2024-01-01", "page_view", 1), ("2024-01-02", "audit", 1)]
 
 
-def test_quota(spark):
+def brute_quota(rows, span, quota):
+    """Accepted and rejected events per user, event after event."""
+    out = {}
+    for user in {u for u, _ in rows}:
+        start, used, ok, no = None, 0, 0, 0
+        for t in sorted(t for u, t in rows if u == user):
+            if start is None or t > start + span:
+                start, used = t, 0
+            used += 1
+            ok, no = (ok + 1, no) if used <= quota else (ok, no + 1)
+        out[user] = (ok, no)
+    return out
+
+
+def test_quota(spark, tmp_path):
     assert streams.take([0, 10, 59, 60, 61, 100], 0.0, 0, 60, 2)[0] == [True, True, False, False, True, True]
-    d = spark.createDataFrame([(1, s) for s in (0, 10, 59, 61)] + [(2, 5)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("created_at"))
-    assert sorted(tuple(r) for r in streams.quota_batch(d, 60, 2).collect()) == [(1, 3, 1), (2, 1, 0)]
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(0, 4000)) for _ in range(600)]
+    d = spark.createDataFrame(rows, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("created_at"))
+    assert {r[0]: (r[1], r[2]) for r in streams.quota_batch(d, 60, 2).collect()} == brute_quota(rows, 60, 2)
+    # the same as a stream of two files, the second later in time
+    src = tmp_path / "quota"
+    later = [(u, t) for u, t in rows if t >= 2000]
+    q = None
+    for k, part in enumerate(([(u, t) for u, t in rows if t < 2000], later)):
+        spark.createDataFrame(part, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("created_at")).coalesce(1).write.mode("append").json(str(src))
+        events = spark.readStream.schema("user_id long, created_at timestamp").json(str(src))
+        q = streams.quota_stream(events, 60, 2).writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "counts"))).option("checkpointLocation", str(tmp_path / "cpq")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "counts")).groupBy("user_id").agg(F.sum("accepted"), F.sum("rejected")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_quota(rows, 60, 2)
