@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal_text, overlap, round_to, tokens
+from .matching import join_holding
 
 EXACT, FUZZY, INSIDE, WORDS, FINAL = 1.0, 0.7, 0.85, 0.5, 0.6
 FIRST_ROWS = 5
@@ -42,8 +43,8 @@ def match_fuzzy(names: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def match_inside(names: DataFrame, said: DataFrame) -> DataFrame:
-    """The text inside a rate description, first source and row (J22). ``names`` are distinct leftovers."""
-    d = names.join(said, F.contains(F.lower("said"), F.col("name")))
+    """The text inside a rate description, first source and row (J22). ``names`` are distinct, of two letters or more."""
+    d = join_holding(names, F.array("name"), said, F.col("said"), least=2)
     return d.groupBy("name").agg(F.min(F.struct("ord", "seq", "code")).alias("b")).select("name", "b.code", F.lit(INSIDE).alias("confidence"))
 
 
@@ -54,8 +55,7 @@ def match_words(names: DataFrame, said: DataFrame) -> DataFrame:
     0.9 of it, at most 0.8.
     """
     q = names.withColumn("t", tokens("name")).withColumn("w", F.filter("t", lambda x: F.length(x) > 2)).where(F.size("w") >= 2)
-    low = F.lower("said")
-    d = q.join(said, F.contains(low, F.get("w", F.lit(0))) & F.contains(low, F.get("w", F.lit(1))))
+    d = join_holding(q, F.slice("w", 1, 2), said, F.col("said"))
     d = d.withColumn("rn", F.row_number().over(Window.partitionBy("name", "ord").orderBy("seq"))).where(F.col("rn") <= FIRST_ROWS)
     d = d.withColumn("score", overlap(F.col("t"), tokens("said"))).where(F.col("score") >= WORDS)
     best = d.groupBy("name").agg(F.min(F.struct("ord", (-F.col("score")).alias("o"), "seq", "code")).alias("b"))

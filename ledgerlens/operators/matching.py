@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clean_code, is_drug, is_lab
+from ..functions import clean_code, grams, is_drug, is_lab
 
 ANY = "*"  #: key of a look-up that doesn't ask for a modifier or locality
 NONE = "-"  #: key of a rate without one
@@ -160,3 +160,23 @@ def site_rates(lookups: DataFrame, pfs: DataFrame, opps: DataFrame) -> DataFrame
     o = opps.where("payment_rate > 0").groupBy("code").agg(F.max(F.struct("payment_rate", (-F.col("rate_seq")).alias("s"), "short_desc")).alias("o")).withColumnRenamed("code", "own")
     d = join_nullsafe(keyed, p, ["code", "locality"]).join(o, "own", "left")
     return d.select("code", "locality", F.col("r.facility_rate").alias("facility_rate"), F.col("r.non_facility_rate").alias("non_facility_rate"), F.col("o.payment_rate").alias("opps_rate"), F.coalesce("r.description", "o.short_desc").alias("rate_description"))
+
+
+GRAM = 3
+
+
+def join_holding(asked: DataFrame, need: Column, texts: DataFrame, said: Column, least: int = GRAM) -> DataFrame:
+    """Rows of ``asked`` and ``texts`` where the lower-case ``said`` holds every string of the array ``need``, as an equi-join.
+
+    Each distinct ``need`` looks texts up by its rarest substring of GRAM letters, or by a whole string that is shorter
+    (strings have ``least`` letters or more), so pairs meet only where that substring occurs; the test follows.
+    """
+    sizes = range(min(least, GRAM), GRAM + 1)
+    t = texts.withColumn("__low", F.lower(said))
+    t = t.withColumn("__gram", F.explode(F.array_distinct(F.concat(*[grams("__low", k) for k in sizes]))))
+    a = asked.withColumn("__need", need)
+    own = F.flatten(F.transform("__need", lambda x: F.when(F.length(x) >= GRAM, grams(x, GRAM)).otherwise(F.array(x))))
+    often = t.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = a.select("__need").distinct().withColumn("__gram", F.explode(own)).join(often, "__gram").groupBy("__need").agg(F.min(F.struct("__n", "__gram"))["__gram"].alias("__gram"))
+    found = a.join(rarest, "__need").join(t, "__gram")
+    return found.where(F.forall("__need", lambda x: F.contains(F.col("__low"), x))).drop("__need", "__gram", "__low")

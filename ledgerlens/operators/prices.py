@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contains_ci, name_similarity, plain_name, round_to
+from .matching import join_holding
 
 
 def look_up_prices(requests: DataFrame, prices: DataFrame, limit: int = 200) -> DataFrame:
@@ -86,11 +87,13 @@ def community_stats(prices: DataFrame, k: int = 100) -> DataFrame:
 def charity_check(bills: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Nonprofit hospital per bill: by facility name, else by ZIP, the first by EIN.
 
-    The name test runs on distinct facilities against the hospital list, which is a national list of bounded size.
+    The name test runs on distinct facilities and meets hospitals by a substring of the name; an empty name
+    is part of all.
     """
     h = hospitals.select(F.col("ein"), F.col("name"), F.col("zip_code"))
-    facilities = bills.select("facility_name").where("facility_name IS NOT NULL").distinct()
-    named = facilities.join(h, contains_ci("name", "facility_name")).groupBy("facility_name").agg(F.min("ein").alias("by_name"))
+    facilities = bills.select("facility_name").where("facility_name != ''").distinct()
+    named = join_holding(facilities, F.array(F.lower("facility_name")), h, F.col("name"), least=1).groupBy("facility_name").agg(F.min("ein").alias("by_name"))
+    named = named.unionByName(h.groupBy(F.lit("").alias("facility_name")).agg(F.min("ein").alias("by_name")))
     at = h.groupBy(F.col("zip_code").alias("zip")).agg(F.min("ein").alias("by_zip"))
     d = bills.select("bill_id", "facility_name", "zip").join(named, "facility_name", "left").join(at, "zip", "left")
     how = F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_zip").isNotNull(), "zip").otherwise("none")
@@ -112,11 +115,17 @@ def hospital_counts(hospitals: DataFrame) -> DataFrame:
 def registry_matches(names: DataFrame, registry: DataFrame, threshold: float = 0.3, k: int = 5) -> DataFrame:
     """Registry entries whose name or alias is like each distinct hospital name, best first (J25); k=1 at 0.4 is J26.
 
-    The registry is a curated list of bounded size; each distinct name is scored against it with built-in expressions.
+    A pair scores only if the plain names share a word's first three letters (or a whole shorter word), or one holds the
+    other: those are equi-joins, and only what they find is scored.
     """
     r = registry.select("ord", F.explode(F.array_distinct(F.array("name", *(["alias"] if "alias" in registry.columns else [])))).alias("target"))
-    q = names.select(F.col("name").alias("query")).distinct()
-    scored = q.withColumn("q", plain_name("query")).crossJoin(r.withColumn("t", plain_name("target"))).withColumn("score", name_similarity(F.col("q"), F.col("t")))
+    q = names.select(F.col("name").alias("query")).distinct().withColumn("q", plain_name("query")).where("q != ''")
+    t = r.select("ord", plain_name("target").alias("t")).where("t != ''").distinct()
+    keys = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 3)))).alias("key")
+    pair = ("query", "q", "ord", "t")
+    pairs = q.select("*", keys(F.col("q"))).join(t.select("*", keys(F.col("t"))), "key").select(*pair)
+    pairs = pairs.unionByName(join_holding(q, F.array("q"), t, F.col("t"), least=1).select(*pair)).unionByName(join_holding(t, F.array("t"), q, F.col("q"), least=1).select(*pair))
+    scored = pairs.distinct().withColumn("score", name_similarity(F.col("q"), F.col("t")))
     best = scored.groupBy("query", "ord").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

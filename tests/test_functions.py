@@ -39,3 +39,18 @@ def test_names_and_dates(spark):
 def test_money_text(spark):
     rows = spark.createDataFrame([(1234.5,), (0.0,), (-1234567.891,), (None,)], "v double")
     assert [r[0] for r in rows.select(fn.money_text("v")).collect()] == ["$1,234.50", "$0.00", "$-1,234,567.89", None]
+
+
+def test_join_by_the_rarest_substring(spark):
+    """Against all pairs: strings shorter than a gram, wildcards, repeats, signs, case."""
+    from ledgerlens.operators.matching import join_holding
+
+    texts = ["abc def", "ABCDEF", "a%b", "x", "", None, "aaaa", "abab ab", "the mercy hospital", "mercy", "é ü"]
+    parts = ["abc", "ab", "a", "%", "mercy", "aaa", "zzz", "é", "mercy h", "abab"]
+    t = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, said string")
+    a = spark.createDataFrame([(p,) for p in parts], "p string")
+    got = {(r.p, r.k) for r in join_holding(a, F.array("p"), t, F.col("said"), least=1).collect()}
+    assert got == {(p, k) for p in parts for k, x in enumerate(texts) if x is not None and p in x.lower()}
+    two = spark.createDataFrame([(p, q) for p in parts for q in parts if len(p) > 2 and len(q) > 2], "p string, q string")
+    got = {(r.p, r.q, r.k) for r in join_holding(two, F.array("p", "q"), t, F.col("said")).collect()}
+    assert got == {(p, q, k) for p in parts for q in parts for k, x in enumerate(texts) if x is not None and len(p) > 2 and len(q) > 2 and p in x.lower() and q in x.lower()}
