@@ -105,8 +105,8 @@ FROM {bill_lines}""",
     "doc_lines": """
 SELECT l.bill_id AS doc_id, l.line_number AS line_no,
   CASE WHEN l.bill_id % 3 = 0 THEN description || CASE WHEN l.line_number % 3 = 0 THEN '' ELSE ' ' || l.code END || ' $' || CAST(CAST(l.billed_amount AS DECIMAL(12,2)) AS STRING)
-      || CASE WHEN l.line_number % 5 = 4 THEN '' ELSE '  $' || CAST(CAST(coalesce(e.allowed_amount, 0) AS DECIMAL(12,2)) AS STRING) || ' $' || CAST(CAST(e.insurance_paid AS DECIMAL(12,2)) AS STRING) END
-      || CASE WHEN l.line_number % 2 = 0 THEN ' $ ' || CAST(CAST(e.patient_responsibility AS DECIMAL(12,2)) AS STRING) ELSE '' END
+      || CASE WHEN l.line_number % 5 = 4 THEN '' ELSE '  $' || CAST(CAST(floor(coalesce(e.allowed_amount, 0)) AS DECIMAL(12,2)) AS STRING) || ' $' || CAST(CAST(floor(e.insurance_paid) AS DECIMAL(12,2)) AS STRING) END
+      || CASE WHEN l.line_number % 2 = 0 THEN ' $ ' || CAST(CAST(floor(e.patient_responsibility) AS DECIMAL(12,2)) AS STRING) ELSE '' END
     WHEN (l.bill_id + l.line_number) % 6 = 0 THEN l.code || ' ' || description || chr(10) || '   $' || CAST(CAST(l.billed_amount AS DECIMAL(12,2)) AS STRING)
     ELSE t.line END AS line
 FROM {bill_lines} l JOIN {line_texts} t ON l.bill_id = t.doc_id AND l.line_number = t.line_no JOIN {eob_lines} e ON l.bill_id = e.bill_id AND l.line_number = e.line_number""",
