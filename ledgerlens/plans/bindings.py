@@ -120,8 +120,8 @@ SELECT o_orderkey AS doc_id, CAST(0.9 AS DOUBLE) AS confidence,
   || CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN CAST(month(o_orderdate) AS STRING) || '-' || CAST(day(o_orderdate) AS STRING) || '-' || substr(CAST(year(o_orderdate) AS STRING), 3, 2)
        ELSE CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING) END || chr(10)
   || CASE WHEN o_orderkey % 3 = 0 THEN 'Service   Billed $1.00 $2.00' || chr(10) ELSE '' END || CASE WHEN o_orderkey % 12 = 3 THEN '' ELSE coalesce(body, '') || chr(10) END
-  || CASE WHEN o_orderkey % 3 = 0 THEN 'Amount billed: $' || CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Network Discount ' || CAST(CAST(o_totalprice / 4 AS DECIMAL(12,2)) AS STRING) || chr(10) ELSE '' END
-       || CASE WHEN o_orderkey % 5 > 1 THEN 'Paid by plan $' || CAST(CAST(o_totalprice / 8 AS DECIMAL(12,2)) AS STRING) || chr(10) ELSE '' END || CASE WHEN o_orderkey % 4 > 0 THEN 'You owe $20.50' ELSE '' END
+  || CASE WHEN o_orderkey % 3 = 0 THEN 'Amount billed: $' || CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Network Discount ' || CAST(CAST(floor(o_totalprice / 4) AS DECIMAL(12,2)) AS STRING) || chr(10) ELSE '' END
+       || CASE WHEN o_orderkey % 5 > 1 THEN 'Paid by plan $' || CAST(CAST(floor(o_totalprice / 8) AS DECIMAL(12,2)) AS STRING) || chr(10) ELSE '' END || CASE WHEN o_orderkey % 4 > 0 THEN 'You owe $20.50' ELSE '' END
      ELSE CASE WHEN o_orderkey % 8 = 1 THEN 'Blood draw panel $12.00' ELSE '' END END AS text
 FROM {orders} LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS body FROM {doc_lines} GROUP BY doc_id) x ON o_orderkey = x.doc_id""",
     "mrf_registry": """
