@@ -2,12 +2,13 @@
 
 1. Every text becomes a class (equal word sequences, A-Z lower-cased) with a signature of minimum hashes: coordinate c is
    a token of the set sampled by the c-th hash function, so two sets share it with probability equal to their similarity.
-2. Chosen path: each run starts from the root and splits the sets on one shared sampled token; a bucket above ``SMALL``
-   sets is split again on two further tokens, chosen by a hash of its path, until it is small or its sets are measured to
-   be near copies: one bit of each of ``MEASURED`` coordinates is summed over the bucket, and the sums lean to one side by
-   the share of sets that agree. Small buckets are compared pair by pair; near copies, and what is left after ``DEPTH``
-   splits (its sets share as many sampled tokens), are compared block by block. The number of runs follows from the target
-   recall at the deepest split.
+2. Chosen path: each run starts from the root and splits the sets on one shared sampled token; a large bucket is split
+   again on two further tokens, chosen by a hash of its path, as long as that pays. To see that, one bit of each of
+   ``MEASURED`` coordinates is summed over the bucket: the sums lean to one side by the share p of sets that agree.
+   Comparing a bucket of B sets costs each of them B; after a split a share p is in each of two buckets of p * B, and
+   splitting costs about as much as ``SMALL`` comparisons, so it pays if B * (1 - 2 * p^2) > SMALL. Small buckets, near
+   copies, and what is left after ``DEPTH`` splits (its sets share as many sampled tokens) are compared pair by pair, large
+   ones block by block. The number of runs follows from the target recall at the deepest split.
 3. Pairs whose signatures agree on ``agreeing()`` coordinates connect candidate clusters; only spanning edges leave a task.
 4. Within clusters all pairs are verified exactly on whole shingle sets, block by block; a task returns per text its
    number of links and a spanning edge, never the pairs.
@@ -31,8 +32,8 @@ from .words import Words, chunks, mix
 
 SHINGLE, SIMILAR = 5, 0.8
 COORDS = 64  #: sampled tokens per set
-SMALL, BLOCK, DEPTH, BRANCH = 1024, 1024, 8, 2
-ALIKE, MEASURED = 0.8, 16  #: sets of a bucket that agree so far on so many sampled coordinates are near copies
+SMALL, BLOCK, DEPTH, BRANCH = 2048, 1024, 8, 2
+MEASURED = 16  #: coordinates on which the agreement within a bucket is measured
 TARGET_RECALL = 0.99999
 BLOCK_SHINGLES = 1 << 19  #: shingles in one block of verification, about
 
@@ -270,7 +271,7 @@ def candidates(sets: DataFrame) -> list[DataFrame]:
             if old is not None:
                 drop_cut(old)
         held, last = level, depth == DEPTH
-        deeper = F.lit(False) if last else (F.col("size") > SMALL) & (F.col("alike") < ALIKE)
+        deeper = F.lit(False) if last else F.col("size") * (1 - BRANCH * F.col("alike") * F.col("alike")) > SMALL
         rows = _blocks(level.where(~deeper).withColumn("g", F.ceil(F.col("size") / BLOCK)).join(sets, "key"), "g", "path")
         found.append(cut(rows.select("path", "b1", "b2", "side", "n", "sig", "key").repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2").mapInArrow(_brute, "a binary, b binary").distinct()))
         if last or level.where(deeper).isEmpty():
