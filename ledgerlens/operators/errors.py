@@ -1,6 +1,7 @@
 """Billing-error rules. Each gives rows (bill_id, rule, type, severity, codes, saving); codes are ordered as billed.
 
-All rules but the upcoding look-up are groupings by bill; a bill's lines are few, so arrays per bill are bounded.
+All rules but the upcoding look-up come from one grouping: a line gives a row for each part that it plays in a rule, and rows are
+aggregated by bill, rule and key. A finding lists its codes, so the lines of one bill and rule are collected; plain repeats are only counted.
 """
 
 from __future__ import annotations
@@ -14,14 +15,12 @@ from .matching import ANY, NONE, best_rates
 COLUMNS = ("bill_id", "rule", "type", "severity", "codes", "saving")
 
 
-def _row(d: DataFrame, rule: str, kind: str, severity: str, codes: Column, saving: Column | None = None) -> DataFrame:
-    return d.select("bill_id", F.lit(rule).alias("rule"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), codes.alias("codes"), (F.lit(None).cast("double") if saving is None else saving).alias("saving"))
+#: A finding as it leaves a grouping.
+FINDING = "struct<rule: string, type: string, severity: string, codes: string, saving: double>"
 
 
-def _codes(cond: Column | None = None) -> Column:
-    """Codes of the group's lines that meet ``cond``, in line order, joined by commas."""
-    row = F.struct("line_number", "code")
-    return F.array_join(F.transform(F.sort_array(F.collect_list(row if cond is None else F.when(cond, row))), lambda x: x["code"]), ",")
+def _finding(rule: str, kind: str, severity: str, codes: Column, saving: Column | None = None) -> list[Column]:
+    return [F.lit(rule).alias("rule"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), codes.alias("codes"), (F.lit(None) if saving is None else saving).cast("double").alias("saving")]
 
 
 def upcoding(lines: DataFrame, bills: DataFrame, pfs: DataFrame) -> DataFrame:
@@ -29,81 +28,103 @@ def upcoding(lines: DataFrame, bills: DataFrame, pfs: DataFrame) -> DataFrame:
     lower = F.create_map(*[F.lit(x) for kv in TOP_VISITS.items() for x in kv])
     d = lines.where(F.col("code").isin(*TOP_VISITS)).join(bills.select("bill_id", "locality", "context"), "bill_id").withColumn("lower", lower[F.col("code")])
     either = F.when(F.col("locality").isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.col("locality"), F.lit(NONE)))
-    asked = d.select(F.explode(F.array("code", "lower")).alias("code"), "locality").distinct().withColumn("loc_key", F.explode(either))
-    named = F.coalesce("locality", F.lit("")).alias("place")
-    best = asked.join(best_rates(pfs).where(F.col("mod_key") == ANY), ["code", "loc_key"]).groupBy("code", named).agg(F.min("rate").alias("r"))
-    rate = lambda c, p: best.select(F.col("code").alias(c), F.col("place"), F.col("r").alias(p))
-    d = d.withColumn("place", F.coalesce("locality", F.lit(""))).join(rate("code", "r1"), ["code", "place"], "left").join(rate("lower", "r2"), ["lower", "place"], "left")
+    asked = d.select(F.col("code").alias("top"), "lower", "locality").distinct().withColumn("loc_key", F.explode(either)).withColumn("code", F.explode(F.array("top", "lower")))
+    rated = asked.join(best_rates(pfs).where(F.col("mod_key") == ANY), ["code", "loc_key"])
+    place = F.coalesce("locality", F.lit("")).alias("place")
+    rates = rated.groupBy(F.col("top").alias("code"), place).agg(F.min(F.when(F.col("code") == F.col("top"), F.col("rate"))).alias("r1"), F.min(F.when(F.col("code") == F.col("lower"), F.col("rate"))).alias("r2"))
+    d = d.withColumn("place", place).join(rates, ["code", "place"], "left")
     used = lambda p: F.when(F.col("context") == "facility", F.coalesce(f"{p}.facility_rate", f"{p}.non_facility_rate")).otherwise(F.coalesce(f"{p}.non_facility_rate", f"{p}.facility_rate"))
     saving = round_to(used("r1") - used("r2"), 2)
-    return _row(d, "upcoding", "upcoding", "warning", F.col("code"), F.when(saving > 0, saving))
-
-
-def _bundles(lines: DataFrame) -> DataFrame:
-    """Lines of the bundle rules with their rule and role."""
-    roles = [F.when(F.col("code").isin(*codes), F.struct(F.lit(n).alias("n"), F.lit(role).alias("role"))) for n, first, second in BUNDLES for role, codes in (("primary", first), ("bundled", second))]
-    return lines.withColumn("b", F.explode(F.array_compact(F.array(*roles)))).select("bill_id", "line_number", "code", "modifier", "billed_amount", "b.*")
-
-
-def _both(b: DataFrame) -> DataFrame:
-    return b.groupBy("bill_id", "n").agg(F.count_if(F.col("role") == "primary").alias("p"), F.count_if(F.col("role") == "bundled").alias("q")).where("p > 0 AND q > 0").select("bill_id", "n")
+    return d.select("bill_id", *_finding("upcoding", "upcoding", "warning", F.col("code"), F.when(saving > 0, saving)))
+
+
+def _part(group: str, cond: Column, second: bool = False, key: Column | None = None) -> Column:
+    key = F.lit("") if key is None else key.cast("string")
+    return F.when(cond, F.struct(F.lit(group).alias("group"), key.alias("key"), F.lit(second).alias("second")))
+
+
+def _parts() -> dict[str, list[Column]]:
+    """The parts of a line by group of rules; in most groups lines of the first part need lines of the second."""
+    surgical, wound, visit = is_surgical("code"), is_wound_repair("code"), is_visit("code")
+    area, marked = body_area("description"), F.coalesce("modifier", F.lit("")) == "25"
+    return {
+        "bundle": [_part("bundle", F.col("code").isin(*codes), second, F.lit(n)) for n, primary, extra in BUNDLES for second, codes in ((False, primary), (True, extra))],
+        "wound_repair": [_part("wound_repair", surgical & ~wound), _part("wound_repair", wound, True)],
+        "visit_with_procedure": [_part("visit_with_procedure", visit & ~marked), _part("visit_with_procedure", surgical, True)],
+        "repeated_imaging": [_part("repeated_imaging", is_imaging("code") & area.isNotNull(), key=area)],
+        "duplicate": [_part("duplicate", F.lit(True), key=F.col("code"))],
+        "modifier_25": [_part("modifier_25", visit & marked), _part("modifier_25", surgical, True)],
+    }
+
+
+def _found(lines: DataFrame, *groups: str) -> DataFrame:
+    """Findings of the groups of rules, in one pass over the lines."""
+    parts = _parts()
+    bare = ~F.coalesce(F.col("modifier").isin(*DISTINCT_MODIFIERS), F.lit(False))
+    d = lines.select("bill_id", F.struct("line_number", "code", "billed_amount", bare.alias("bare")).alias("line"), F.explode(F.array_compact(F.array(*[p for g in groups for p in parts[g]]))).alias("part"))
+    d = d.select("bill_id", "line", "part.*")
+    listed = lambda second: F.sort_array(F.collect_list(F.when((F.col("group") != "duplicate") & (F.col("second") == second), F.col("line"))))
+    amount = F.col("line.billed_amount")
+    d = d.groupBy("bill_id", "group", "key").agg(
+        F.count("*").alias("n"), listed(False).alias("a"), listed(True).alias("b"), F.sum(F.when(F.col("second"), amount)).alias("extra"), (F.sum(amount) - F.min_by(amount, "line.line_number")).alias("repeats")
+    )
+    codes = lambda a: F.transform(a, lambda x: x["code"])
+    joined = lambda *a: F.array_join(F.concat(*[codes(x) for x in a]), ",")
+    a, b = F.col("a"), F.col("b")
+    first = F.transform(F.array_distinct(codes(b)), lambda c: F.get(F.filter(b, lambda x: x["code"] == c), F.lit(0))["billed_amount"])
+    first = F.filter(first, lambda x: x.isNotNull())
+    first = F.when(F.size(first) > 0, round_to(F.aggregate(first, F.lit(0.0), lambda s, x: s + x), 2))
+    distinct = F.array_join(F.concat(F.array_sort(F.array_distinct(codes(a))), F.array_sort(F.array_distinct(codes(b)))), ",")
+    positive = lambda x: F.when(round_to(x, 2) > 0, round_to(x, 2))
+    one = lambda *x: F.array(F.struct(*_finding(*x)))
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    found = {
+        "bundle": (both, F.concat(one("bundle", "unbundling", "alert", distinct, first), F.transform(F.filter(b, lambda x: x["bare"]), lambda x: F.struct(*_finding("missing_59", "modifier", "info", x["code"]))))),
+        "wound_repair": (both, one("wound_repair", "unbundling", "warning", joined(a, b), F.when(F.col("extra") > 0, round_to("extra", 2)))),
+        "visit_with_procedure": (both, one("visit_with_procedure", "unbundling", "warning", joined(a, b))),
+        "repeated_imaging": (F.col("n") > 1, one("repeated_imaging", "unbundling", "info", joined(a))),
+        "duplicate": (F.col("n") > 1, one("duplicate", "duplicate", "warning", F.col("key"), positive(F.col("repeats")))),
+        "modifier_25": (both, F.transform(a, lambda x: F.struct(*_finding("modifier_25", "modifier", "info", F.concat_ws(",", x["code"], joined(b)))))),
+    }
+    rows = F.coalesce(*[F.when((F.col("group") == g) & found[g][0], found[g][1].cast(f"array<{FINDING}>")) for g in groups])
+    return d.select("bill_id", F.inline(rows))
 
 
 def bundled(lines: DataFrame) -> DataFrame:
     """Laboratory panels with a separate blood draw, per rule; saving is the first line of each bundled code (A10)."""
-    b = _bundles(lines)
-    first = b.groupBy("bill_id", "n", "role", "code").agg(F.min_by("billed_amount", "line_number").alias("first"))
-    d = first.join(_both(b), ["bill_id", "n"]).groupBy("bill_id", "n").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_set(F.struct((F.col("role") == "bundled").alias("o"), "code"))), lambda x: x["code"]), ",").alias("c"), F.sum(F.when(F.col("role") == "bundled", F.col("first"))).alias("s")
-    )
-    return _row(d, "bundle", "unbundling", "alert", F.col("c"), round_to("s", 2))
+    return _found(lines, "bundle").where("rule = 'bundle'")
 
 
 def wound_repair(lines: DataFrame) -> DataFrame:
     """Surgery with separate wound repair."""
-    w, s = is_wound_repair("code"), is_surgical("code") & ~is_wound_repair("code")
-    d = lines.groupBy("bill_id").agg(F.count_if(s).alias("n"), F.count_if(w).alias("m"), F.concat_ws(",", _codes(s), _codes(w)).alias("c"), F.sum(F.when(w, F.col("billed_amount"))).alias("s")).where("n > 0 AND m > 0")
-    return _row(d, "wound_repair", "unbundling", "warning", F.col("c"), F.when(F.col("s") > 0, round_to("s", 2)))
+    return _found(lines, "wound_repair")
 
 
 def visit_with_procedure(lines: DataFrame) -> DataFrame:
     """A visit without modifier 25 together with a procedure."""
-    v = is_visit("code") & (F.coalesce("modifier", F.lit("")) != "25")
-    p = is_surgical("code")
-    d = lines.groupBy("bill_id").agg(F.count_if(v).alias("n"), F.count_if(p).alias("m"), F.concat_ws(",", _codes(v), _codes(p)).alias("c")).where("n > 0 AND m > 0")
-    return _row(d, "visit_with_procedure", "unbundling", "warning", F.col("c"))
+    return _found(lines, "visit_with_procedure")
 
 
 def repeated_imaging(lines: DataFrame) -> DataFrame:
     """More than one imaging line of a body area."""
-    d = lines.where(is_imaging("code")).withColumn("area", body_area("description")).where("area IS NOT NULL")
-    d = d.groupBy("bill_id", "area").agg(F.count("*").alias("n"), _codes().alias("c")).where("n > 1")
-    return _row(d, "repeated_imaging", "unbundling", "info", F.col("c"))
+    return _found(lines, "repeated_imaging")
 
 
 def duplicates(lines: DataFrame) -> DataFrame:
     """A code billed more than once; saving is what follows the first line, if positive."""
-    d = lines.groupBy("bill_id", "code").agg(F.count("*").alias("n"), (F.sum("billed_amount") - F.min_by("billed_amount", "line_number")).alias("s")).where("n > 1")
-    return _row(d, "duplicate", "duplicate", "warning", F.col("code"), F.when(round_to("s", 2) > 0, round_to("s", 2)))
+    return _found(lines, "duplicate")
 
 
 def missing_distinct_modifier(lines: DataFrame) -> DataFrame:
     """Bundled lines without a distinct-service modifier, once per rule that fires."""
-    b = _bundles(lines)
-    d = b.join(_both(b), ["bill_id", "n"]).where((F.col("role") == "bundled") & ~F.coalesce(F.col("modifier").isin(*DISTINCT_MODIFIERS), F.lit(False)))
-    return _row(d, "missing_59", "modifier", "info", F.col("code"))
+    return _found(lines, "bundle").where("rule = 'missing_59'")
 
 
 def modifier_25(lines: DataFrame) -> DataFrame:
     """Visits with modifier 25 together with a procedure."""
-    with_procedure = lines.where(is_surgical("code")).groupBy("bill_id").agg(_codes().alias("p"))
-    d = lines.where(is_visit("code") & (F.col("modifier") == "25")).join(with_procedure, "bill_id")
-    return _row(d, "modifier_25", "modifier", "info", F.concat_ws(",", "code", "p"))
+    return _found(lines, "modifier_25")
 
 
 def billing_errors(lines: DataFrame, bills: DataFrame, pfs: DataFrame) -> DataFrame:
     """All rules in one table."""
-    out = upcoding(lines, bills, pfs)
-    for rule in (bundled, wound_repair, visit_with_procedure, repeated_imaging, duplicates, missing_distinct_modifier, modifier_25):
-        out = out.unionByName(rule(lines))
-    return out
+    return upcoding(lines, bills, pfs).unionByName(_found(lines, *_parts()))

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerlens.plans import registry
@@ -14,7 +15,7 @@ NAMES = ["j05_multi_source_match", "j06_tiered_match", "a01_bill_totals", "a17_b
 
 
 def rows(df):
-    cell = lambda v: None if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    cell = lambda v: None if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
     df = df[sorted(df.columns)]
     return sorted([tuple(map(str, map(cell, r))) for r in df.itertuples(index=False)])
 
