@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP2_SQL, op2_chat_formatting
 from .decontamination import op1_decontamination
 from .language_id import op4_language_id
+from .lexical_search import OP11_SQL, op11_ranked_search
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .near_dup import op9_ngram_jaccard_join
 from .piece_sampling import op8_sentencepiece
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 #: The others (template matching, recursive decoding, learned models, sampling, similarity classes) are tested against
 #: brute force, round trips or held-out accuracy.
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_url_filters": OP7_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_url_filters": OP7_SQL, "op10_quality_rules": OP10_SQL, "op11_ranked_search": OP11_SQL}
