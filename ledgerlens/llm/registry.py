@@ -12,6 +12,7 @@ from .piece_sampling import op8_sentencepiece
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .secret_scan import op3_secret_scan
+from .simhash import op12_simhash
 from .url_filters import OP7_SQL, op7_url_filters
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
+    "op12_simhash": op12_simhash,
 }
 
 #: The others (template matching, recursive decoding, learned models, sampling, similarity classes) are tested against
