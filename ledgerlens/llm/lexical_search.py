@@ -27,10 +27,10 @@ from .common import cut, drop_cut, id_type, small_batches, table
 from .words import Words, chunks
 
 TOP = 50
-SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 21  #: a shard ends at either
+SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 20  #: a shard ends at either
 VOCABULARY = 1 << 20  #: terms to which an index can be restricted; with more it holds all terms
 BLOCK_TERMS = 1 << 20  #: (item, term) pairs of one block of items, about
-CELLS = 1 << 22  #: numbers in one matrix of bounds or scores
+CELLS = 1 << 20  #: numbers in one matrix of bounds or scores
 MERGE = 64  #: shares of the first round of ranking
 
 _TERM = np.arange(256, dtype=np.uint8)

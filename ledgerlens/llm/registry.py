@@ -14,6 +14,7 @@ from .quality_rules import OP10_SQL, op10_quality_rules
 from .secret_scan import op3_secret_scan
 from .simhash import op12_simhash
 from .url_filters import OP7_SQL, op7_url_filters
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
     "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 #: The others (template matching, recursive decoding, learned models, sampling, similarity classes) are tested against
