@@ -119,11 +119,11 @@ def _forest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         low = np.minimum(label[i], label[j])
         np.minimum.at(label, label[i], low)
         np.minimum.at(label, label[j], low)
-        label = label[label]
+        # down to the roots before a link is dropped: else a node could leave the root that it shares with its partner
+        while not np.array_equal(label, label[label]):
+            label = label[label]
         apart = label[i] != label[j]
         i, j = i[apart], j[apart]
-    while not np.array_equal(label, label[label]):
-        label = label[label]
     return label
 
 
