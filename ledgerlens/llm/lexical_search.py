@@ -167,13 +167,14 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 @dataclass
 class _Items:
-    """A block of items: item numbers and their terms' numbers, sorted by item; the sorted terms and their weights."""
+    """A block of items: item numbers and their terms' numbers, sorted by item; the sorted terms and their weights; numbers in a matrix."""
 
     ids: pa.Array
     item: np.ndarray
     term: np.ndarray
     terms: np.ndarray
     weight: np.ndarray
+    cells: int
 
 
 def _best(found: pa.Table, k: int) -> pa.Table:
@@ -212,7 +213,7 @@ class _Search:
         impact = weight[of_level] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m[stratum[of_level]]))  # once per tf
         first = np.cumsum(levels) - levels
         posting = np.concatenate([[0], np.cumsum(size)])
-        step = max(1, CELLS // max(1, len(self.begin)))
+        step = max(1, self.items.cells // max(1, len(self.begin)))
         for lo in range(0, len(m), step):
             hi = min(len(m), lo + step)
             bounds = np.zeros((hi - lo, len(self.begin)), np.int64)
@@ -229,21 +230,22 @@ class _Search:
                     continue
                 t = np.arange(ends[1][s], ends[1][s + 1])
                 row = np.cumsum(weight[t] > 0) - 1  # of each term that an item holds
+                t = t[weight[t] > 0]
                 lev = np.arange(ends[3][s], ends[3][s + 1])
                 lev = lev[weight[of_level[lev]] > 0]
                 a, b = posting[lev], posting[lev + 1]
                 at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
                 held = np.repeat(row[of_level[lev] - ends[1][s]], b - a)
                 gain = np.repeat(impact[lev], b - a)
-                self.number[place[t]] = np.where(weight[t] > 0, row, -1)
-                self._score(who, held, member[at], gain, int(row[-1]) + 1, ids.slice(ends[0][s], ends[0][s + 1] - ends[0][s]))
+                self.number[place[t]] = np.arange(len(t))
+                self._score(who, held, member[at], gain, len(t), ids.slice(ends[0][s], ends[0][s + 1] - ends[0][s]))
                 self.number[place[t]] = -1
 
     def _score(self, who: np.ndarray, held: np.ndarray, member: np.ndarray, gain: np.ndarray, rows: int, ids: pa.Array) -> None:
         """Scores of a stratum's documents for the items ``who``, a matrix of bounded size at a time."""
         order = np.argsort(member, kind="stable")
         held, member, gain = held[order], member[order], gain[order]
-        wide = max(1, min(256, CELLS // rows))
+        wide = max(1, min(256, self.items.cells // rows))
         for lo in range(0, len(ids), wide):
             a, b = np.searchsorted(member, [lo, lo + wide])
             if a == b:
@@ -253,7 +255,7 @@ class _Search:
             each[held[a:b], member[a:b] - lo] = gain[a:b]
             done = 0
             while done < len(who):
-                upto = done + max(1, int(np.searchsorted(np.cumsum(self.count[who[done:]]), CELLS // width, "right")))
+                upto = done + max(1, int(np.searchsorted(np.cumsum(self.count[who[done:]]), self.items.cells // width, "right")))
                 some, done = who[done:upto], upto
                 c = self.count[some]
                 at = np.repeat(self.begin[some] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
@@ -300,7 +302,7 @@ def search(index: Index, items: DataFrame, k: int = TOP) -> DataFrame:
         item = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy(zero_copy_only=False) if len(block) else np.zeros(0, int)
         hashes, where = np.unique(block.column("term").to_numpy(), return_index=True)
         known = spark.sparkContext.broadcast(
-            _Items(ids.take(pa.array(_runs(item))), item.astype(np.int64), np.searchsorted(hashes, block.column("term").to_numpy()), hashes, block.column("w").to_numpy()[where])
+            _Items(ids.take(pa.array(_runs(item))), item.astype(np.int64), np.searchsorted(hashes, block.column("term").to_numpy()), hashes, block.column("w").to_numpy()[where], CELLS)
         )
 
         def visit(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ from .words import Words, chunks
 SHINGLE, DIFFER, SEED = 3, 2, 42
 HOT = 1 << 15  #: fingerprints at an anchor that are still compared pair by pair
 HASHED = 1 << 18  #: shingles hashed at once
+AT_ONCE = 1 << 15  #: fingerprints that a task replicates, about
 LONG = 256  #: bytes of a shingle that is hashed together with others
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -285,8 +286,10 @@ def linked_fingerprints(words: DataFrame, code: int | None = None, hot: int = HO
     ``drop_cut`` deletes what the result reads.
     """
     words = cut(words.select("fp"))
-    code = choose_code(words.count()) if code is None else code
-    dealt = cut(words.mapInArrow(lambda batches: _replicate(batches, code), "anchor long, fp long, home boolean"))
+    count = words.count()
+    code = choose_code(count) if code is None else code
+    spread = words.repartition(max(1, count // AT_ONCE))  # a fingerprint is small in a file, but makes many rows
+    dealt = cut(spread.mapInArrow(lambda batches: _replicate(batches, code), "anchor long, fp long, home boolean"))
     sizes = cut(dealt.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"))
     cold, more = dealt, None
     if not sizes.isEmpty():

@@ -86,7 +86,7 @@ def test_ranked_search_stops_at_bounds(spark):
     index = lexical_search.build_index(docs)
     (batch,) = index.strata.toArrow().combine_chunks().to_batches()
     (term,) = (r.term for r in lexical_search.item_terms(spark.createDataFrame([(1, "w1b")], "item_id long, text string")).collect())
-    one = lexical_search._Items(None, np.array([0]), np.array([0]), np.array([term]), np.array([700]))
+    one = lexical_search._Items(None, np.array([0]), np.array([0]), np.array([term]), np.array([700]), 1 << 20)
     search = Counting(one, 5)
     search.visit(batch)
     search.settle()
@@ -235,7 +235,7 @@ def test_whitening_against_numpy(spark, weights, components, scale):
     by = defaultdict(list)
     for r in got:
         by[r.vec_id].append(r)
-        assert r.n == n and r.identity_error < 1e-10 and abs(r.explained / (values[r.component - 1] / values.sum()) - 1) < 1e-9
+        assert r.n == n and r.identity_error < 1e-8 and abs(r.explained / (values[r.component - 1] / values.sum()) - 1) < 1e-9
     assert sum(map(len, by.values())) == k * len(have) and len(by[7]) == 2 * k and not any(d in by for d, _ in bad)
     for (d, _), y, row in zip(have, want, x, strict=True):
         if d is not None and d != 7:
@@ -259,3 +259,17 @@ def test_whitening_of_little_or_huge(spark):
     for r in big:
         rest = (3 * 512 - 2560) ** 2 if r.vec_id == "a" else (3 * 1024 - 2560) ** 2
         assert r.deviation is None if exact[r.vec_id] + rest >= 10**38 else int(r.deviation) == exact[r.vec_id] + rest
+
+
+def test_forest_of_random_links():
+    from ledgerlens.llm.near_dup import _forest
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        size = int(rng.integers(2, 80))
+        i, j = rng.integers(0, size, (2, int(rng.integers(0, 2 * size))))
+        root = np.arange(size)
+        for _ in range(size):
+            for a, b in zip(i, j, strict=True):
+                root[a] = root[b] = min(root[a], root[b])
+        assert np.array_equal(_forest(i, j, size), root)
