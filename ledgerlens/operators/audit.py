@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dispute_strength, rate_context, round_to, severity, severity_rank
 from .matching import join_nullsafe, match_rates, resolve_zip
 
 
-def findings(bills: DataFrame, lines: DataFrame, zips: DataFrame, pfs: DataFrame, clfs: DataFrame, asp: DataFrame, opps: DataFrame) -> DataFrame:
+def placed_lines(bills: DataFrame, lines: DataFrame, zips: DataFrame) -> DataFrame:
+    """Bill lines with the locality of their bill (its own, else its ZIP's) and the rate context."""
+    head = resolve_zip(bills.select("bill_id", "zip", "locality", "setting", "facility_type"), zips).select("bill_id", "locality", rate_context("setting", "facility_type").alias("context"))
+    return lines.join(head, "bill_id")
+
+
+LOOKUP = ["code", "modifier", "locality", "context"]
+
+
+def findings(placed: DataFrame, card: DataFrame) -> DataFrame:
     """One finding per bill line: the matched rate, overcharge, multiplier, severity and dispute strength.
 
     Bills repeat codes heavily, so DISTINCT look-ups are matched and joined back; that also removes the skew of common
-    codes from the rate join. Units are ignored: a line is compared with the rate of one unit.
+    codes from the rate join. ``placed`` (from ``placed_lines``) is read twice, so it should be a stored step; ``card``
+    is ``matching.rate_card``. Units are ignored: a line is compared with the rate of one unit.
     """
-    head = resolve_zip(bills.select("bill_id", "zip", "locality", "setting", "facility_type"), zips).select("bill_id", "locality", rate_context("setting", "facility_type").alias("context"))
-    d = lines.join(head, "bill_id")
-    rated = match_rates(d.select("code", "modifier", "locality", "context").distinct(), pfs, clfs, asp, opps)
-    return rate_lines(join_nullsafe(d, rated, ["code", "modifier", "locality", "context"]))
+    rated = match_rates(placed.select(*LOOKUP).distinct(), card)
+    return rate_lines(join_nullsafe(placed, rated, LOOKUP))
 
 
 def rate_lines(joined: DataFrame) -> DataFrame:
@@ -28,15 +36,20 @@ def rate_lines(joined: DataFrame) -> DataFrame:
     return d.withColumns({"severity": severity("multiplier"), "dispute": dispute_strength("mode", "source", "multiplier")})
 
 
+def _totals() -> list[Column]:
+    return [
+        F.coalesce(round_to(F.sum("rate_used"), 2), F.lit(0.0)).alias("baseline"), F.count_if(F.col("mode") != "unmatched").alias("matched"), F.count_if(F.col("mode") == "unmatched").alias("unmatched"),
+        round_to(F.avg("multiplier"), 1).alias("avg_multiplier"),
+    ]
+
+
+def _with_savings(by_bill: DataFrame, bills: DataFrame) -> DataFrame:
+    return by_bill.join(bills.select("bill_id", "total_billed"), "bill_id").withColumn("savings", round_to(F.col("total_billed") - F.col("baseline"), 2))
+
+
 def bill_totals(found: DataFrame, bills: DataFrame) -> DataFrame:
     """Totals per bill (A01): savings are the header's total less the baseline; multipliers are averaged as rounded."""
-    agg = found.groupBy("bill_id").agg(
-        F.coalesce(round_to(F.sum("rate_used"), 2), F.lit(0.0)).alias("baseline"),
-        F.count_if(F.col("mode") != "unmatched").alias("matched"),
-        F.count_if(F.col("mode") == "unmatched").alias("unmatched"),
-        round_to(F.avg("multiplier"), 1).alias("avg_multiplier"),
-    )
-    return agg.join(bills.select("bill_id", "total_billed"), "bill_id").withColumn("savings", round_to(F.col("total_billed") - F.col("baseline"), 2))
+    return _with_savings(found.groupBy("bill_id").agg(*_totals()), bills)
 
 
 def overcharge_by_severity(found: DataFrame) -> DataFrame:
@@ -77,16 +90,18 @@ def worst_line(found: DataFrame) -> DataFrame:
 def reports(found: DataFrame, bills: DataFrame) -> DataFrame:
     """One nested report per bill (A03): header figures, findings in line order, severity map, top five.
 
-    The totals, the map and the findings are one aggregation by bill; the top five come from the sorted array.
+    All of it is one aggregation by bill; the map has a sum per severity, the top five come from the sorted array.
     """
     finding = F.struct("line_number", "code", "modifier", "billed_amount", "source", "mode", "rate_used", "overcharge", "multiplier", "severity", "dispute")
-    sums = overcharge_by_severity(found).groupBy("bill_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "overcharge")))).alias("overcharge_by_severity"))
-    each = found.groupBy("bill_id").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
+    sums = {s: round_to(F.sum(F.when(F.col("severity") == s, F.col("overcharge"))), 2) for s in ("extreme", "high", "low", "medium")}
+    each = found.groupBy("bill_id").agg(*_totals(), F.sort_array(F.collect_list(finding)).alias("findings"), *[x.alias(f"__{s}") for s, x in sums.items()])
+    over = F.map_filter(F.create_map(*[x for s in sums for x in (F.lit(s), F.col(f"__{s}"))]), lambda _, v: v.isNotNull())
     top = F.transform(
         F.slice(F.sort_array(F.transform(F.filter("findings", lambda f: f["overcharge"] > 0), lambda f: F.struct((-f["overcharge"]).alias("o"), f["line_number"].alias("line"), f["code"].alias("code")))), 1, 5),
         lambda f: F.struct(f["code"].alias("code"), (-f["o"]).alias("overcharge")),
     )
-    return bill_totals(found, bills).join(each, "bill_id").join(sums, "bill_id", "left").withColumn("top_overcharges", top)
+    d = _with_savings(each.withColumn("overcharge_by_severity", F.when(F.size(over) > 0, over)).drop(*[f"__{s}" for s in sums]), bills)
+    return d.withColumn("top_overcharges", top)
 
 
 def available_sources(tables: dict[str, DataFrame]) -> DataFrame:

@@ -26,8 +26,8 @@ def line_alerts(found: DataFrame, eob_lines: DataFrame) -> DataFrame:
     excess, over = round_to(F.col("billed") - F.col("owed"), 2), round_to(F.col("owed") - F.col("allowed_amount"), 2)
     owes_less = (F.col("owed") >= 0) & (F.col("billed") > F.col("owed")) & (F.col("owed") < F.coalesce("allowed_amount", "billed")) & (excess > MATERIAL)
     owes_more = (F.col("allowed_amount") > 0) & (round_to(F.col("billed") - F.col("allowed_amount"), 2) > 0) & (over > MATERIAL)
-    a = _alert(d.where(owes_less), "billed_over_owed", "balance_billing", F.lit("alert"), F.col("code"), excess)
-    return a.unionByName(_alert(d.where(owes_more), "owed_over_allowed", "balance_billing", F.lit("alert"), F.col("code"), over))
+    alert = lambda cond, rule, x: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit("balance_billing").alias("type"), F.lit("alert").alias("severity"), F.col("code").alias("code"), x.alias("excess")))
+    return d.select("bill_id", F.inline(F.array_compact(F.array(alert(owes_less, "billed_over_owed", excess), alert(owes_more, "owed_over_allowed", over)))))
 
 
 def surprise_bills(eobs: DataFrame) -> DataFrame:

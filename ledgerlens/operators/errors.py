@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import BUNDLES, DISTINCT_MODIFIERS, TOP_VISITS, body_area, is_imaging, is_surgical, is_visit, is_wound_repair, round_to
-from .matching import ANY, NONE, best_rates
+from .matching import ANY, NONE
 
 COLUMNS = ("bill_id", "rule", "type", "severity", "codes", "saving")
 
@@ -23,13 +23,13 @@ def _finding(rule: str, kind: str, severity: str, codes: Column, saving: Column
     return [F.lit(rule).alias("rule"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), codes.alias("codes"), (F.lit(None) if saving is None else saving).cast("double").alias("saving")]
 
 
-def upcoding(lines: DataFrame, bills: DataFrame, pfs: DataFrame) -> DataFrame:
-    """Top-level visit codes against the next lower level (J11). bills: (bill_id, locality, context)."""
+def upcoding(lines: DataFrame, card: DataFrame) -> DataFrame:
+    """Top-level visit codes against the next lower level (J11), for ``audit.placed_lines`` and ``matching.rate_card``."""
     lower = F.create_map(*[F.lit(x) for kv in TOP_VISITS.items() for x in kv])
-    d = lines.where(F.col("code").isin(*TOP_VISITS)).join(bills.select("bill_id", "locality", "context"), "bill_id").withColumn("lower", lower[F.col("code")])
+    d = lines.where(F.col("code").isin(*TOP_VISITS)).select("bill_id", "code", "locality", "context").withColumn("lower", lower[F.col("code")])
     either = F.when(F.col("locality").isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.col("locality"), F.lit(NONE)))
     asked = d.select(F.col("code").alias("top"), "lower", "locality").distinct().withColumn("loc_key", F.explode(either)).withColumn("code", F.explode(F.array("top", "lower")))
-    rated = asked.join(best_rates(pfs).where(F.col("mod_key") == ANY), ["code", "loc_key"])
+    rated = asked.join(card.where((F.col("mod_key") == ANY) & F.col("pfs").isNotNull()).select("code", "loc_key", F.col("pfs").alias("rate")), ["code", "loc_key"])
     place = F.coalesce("locality", F.lit("")).alias("place")
     rates = rated.groupBy(F.col("top").alias("code"), place).agg(F.min(F.when(F.col("code") == F.col("top"), F.col("rate"))).alias("r1"), F.min(F.when(F.col("code") == F.col("lower"), F.col("rate"))).alias("r2"))
     d = d.withColumn("place", place).join(rates, ["code", "place"], "left")
@@ -125,6 +125,6 @@ def modifier_25(lines: DataFrame) -> DataFrame:
     return _found(lines, "modifier_25")
 
 
-def billing_errors(lines: DataFrame, bills: DataFrame, pfs: DataFrame) -> DataFrame:
+def billing_errors(lines: DataFrame, card: DataFrame) -> DataFrame:
     """All rules in one table."""
-    return upcoding(lines, bills, pfs).unionByName(_found(lines, *_parts()))
+    return upcoding(lines, card).unionByName(_found(lines, *_parts()))

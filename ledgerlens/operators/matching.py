@@ -80,13 +80,44 @@ def match_opps(lookups: DataFrame, rates: DataFrame) -> DataFrame:
     return lookups.join(best, "code", "left").select(*lookups.columns, "opps")
 
 
-def match_rates(lookups: DataFrame, pfs: DataFrame, clfs: DataFrame, asp: DataFrame, opps: DataFrame) -> DataFrame:
+ALL = "#"  #: key of rates that depend on no modifier, or no locality
+
+
+def rate_card(pfs: DataFrame, clfs: DataFrame, asp: DataFrame, opps: DataFrame) -> DataFrame:
+    """All schedules in one table (code, mod_key, loc_key, pfs, clfs, asp, opps), each reduced to its best row per key.
+
+    A row has the rate of one schedule: the physician schedule by modifier and locality, the laboratory schedule by
+    modifier, drug limits and outpatient rates by code alone. Look-ups meet the whole card in a single equi-join.
+    """
+    any_or_own = F.explode(F.array(F.lit(ANY), F.coalesce(F.nullif("modifier", F.lit("")), F.lit(NONE))))
+    lab = clfs.withColumn("mod_key", any_or_own).groupBy("code", "mod_key").agg(F.max(F.struct("rate", (-F.col("rate_seq")).alias("o"), "modifier")).alias("clfs"))
+    drugs = asp.where("payment_limit IS NOT NULL").groupBy("code").agg(F.max(F.struct("payment_limit", (-F.col("rate_seq")).alias("o"), "short_desc")).alias("asp"))
+    outpatient = opps.where("payment_rate > 0").groupBy("code").agg(F.max(F.struct("payment_rate", (-F.col("rate_seq")).alias("o"), "apc", "status_indicator", "short_desc")).alias("opps"))
+    rows = best_rates(pfs).withColumnRenamed("rate", "pfs")
+    for part in (lab.withColumn("loc_key", F.lit(ALL)), drugs.withColumns({"mod_key": F.lit(ALL), "loc_key": F.lit(ALL)}), outpatient.withColumns({"mod_key": F.lit(ALL), "loc_key": F.lit(ALL)})):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows
+
+
+def _wanted(c: str) -> Column:
+    """Keys of a look-up's modifier or locality: any row if it has none, else its own or rows without one."""
+    return F.when(F.col(c).isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.col(c), F.lit(NONE)))
+
+
+def match_rates(lookups: DataFrame, card: DataFrame) -> DataFrame:
     """The cascade (J05) for distinct look-ups (code, modifier, locality, context): adds source, mode, rate_used and rates.
 
     Drugs take their limit first and laboratory codes their schedule; then the physician schedule, outpatient rates in
-    a facility, and the other schedules. The four candidates are columns of one row, so the choice costs no shuffle.
+    a facility, and the other schedules. A look-up asks the card for at most seven keys; one join and one grouping give
+    the four candidates as columns of one row, so the choice costs nothing more.
     """
-    d = match_opps(match_asp(match_clfs(match_pfs(lookups, pfs), clfs), asp), opps)
+    key = lambda m, p: F.struct(m.alias("mod_key"), p.alias("loc_key"))
+    lab = F.transform(_wanted("modifier"), lambda m: key(m, F.lit(ALL)))
+    places = F.flatten(F.transform(_wanted("modifier"), lambda m: F.transform(_wanted("locality"), lambda p: key(m, p))))
+    asked = lookups.withColumn("__key", F.explode(F.concat(places, lab, F.array(key(F.lit(ALL), F.lit(ALL)))))).select(*lookups.columns, "__key.*")
+    found = asked.join(card, ["code", "mod_key", "loc_key"], "left").groupBy(*lookups.columns).agg(F.min("pfs").alias("pfs"), F.max("clfs").alias("clfs"), F.max("asp").alias("asp"), F.max("opps").alias("opps"))
+    usable = (F.coalesce(F.col("pfs.facility_rate"), F.lit(0.0)) != 0) | (F.coalesce(F.col("pfs.non_facility_rate"), F.lit(0.0)) != 0)
+    d = found.withColumns({"pfs": F.when(usable, F.col("pfs")), "clfs": F.when(F.col("clfs.rate") != 0, F.col("clfs"))})
     drug, lab, facility = is_drug("code"), is_lab("code"), F.col("context") == "facility"
     none = F.lit(None).cast("double")
     given, placed = F.col("modifier").isNotNull(), F.col("locality").isNotNull()
@@ -150,16 +181,13 @@ def zips_of(zips: DataFrame) -> DataFrame:
     return zips.groupBy("carrier", "locality").agg(F.sort_array(F.collect_set("zip_code")).alias("zips"))
 
 
-def site_rates(lookups: DataFrame, pfs: DataFrame, opps: DataFrame) -> DataFrame:
+def site_rates(lookups: DataFrame, card: DataFrame) -> DataFrame:
     """Site-of-service rates (J10) for distinct (code, locality): the modifier is ignored; description falls back to opps."""
-    asked = lookups.select("code", "locality").distinct().withColumn("modifier", F.lit(None).cast("string"))
-    keyed = asked.withColumn("own", clean_code("code"))
-    best = best_rates(pfs).where(F.col("mod_key") == ANY)
-    either = F.when(F.col("locality").isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.col("locality"), F.lit(NONE)))
-    p = keyed.select("code", "locality", "own", F.explode(either).alias("loc_key")).join(best.withColumnRenamed("code", "own"), ["own", "loc_key"]).groupBy("code", "locality").agg(F.min("rate").alias("r"))
-    o = opps.where("payment_rate > 0").groupBy("code").agg(F.max(F.struct("payment_rate", (-F.col("rate_seq")).alias("s"), "short_desc")).alias("o")).withColumnRenamed("code", "own")
-    d = join_nullsafe(keyed, p, ["code", "locality"]).join(o, "own", "left")
-    return d.select("code", "locality", F.col("r.facility_rate").alias("facility_rate"), F.col("r.non_facility_rate").alias("non_facility_rate"), F.col("o.payment_rate").alias("opps_rate"), F.coalesce("r.description", "o.short_desc").alias("rate_description"))
+    key = lambda m, p: F.struct(m.alias("mod_key"), p.alias("loc_key"))
+    keys = F.concat(F.transform(_wanted("locality"), lambda p: key(F.lit(ANY), p)), F.array(key(F.lit(ALL), F.lit(ALL))))
+    asked = lookups.select("code", "locality").distinct().withColumn("__key", F.explode(keys)).select(F.col("code").alias("asked"), clean_code("code").alias("code"), "locality", "__key.*")
+    d = asked.join(card.select("code", "mod_key", "loc_key", "pfs", "opps"), ["code", "mod_key", "loc_key"], "left").groupBy("asked", "locality").agg(F.min("pfs").alias("r"), F.max("opps").alias("o"))
+    return d.select(F.col("asked").alias("code"), "locality", F.col("r.facility_rate").alias("facility_rate"), F.col("r.non_facility_rate").alias("non_facility_rate"), F.col("o.payment_rate").alias("opps_rate"), F.coalesce("r.description", "o.short_desc").alias("rate_description"))
 
 
 GRAM = 3

@@ -6,9 +6,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.steps import Steps
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: Codes that the rules name, by part key modulo 40; other parts get a five-digit code of their own.
@@ -140,10 +143,24 @@ def needs(name: str) -> list[str]:
 
 
 class Tables:
-    """The views as DataFrames over the parquet files of a folder: ``Tables(spark, folder).bills``."""
+    """The views as DataFrames over the parquet files of a folder: ``Tables(spark, folder).bills``.
+
+    ``step`` stores what several branches of a query read; ``with Tables(...) as t:`` deletes it at the end.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._steps = spark, folder, None
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self._steps:
+            self._steps.close()
+
+    def step(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        self._steps = self._steps or Steps(self.spark)
+        return self._steps.keep(name, build, by)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:

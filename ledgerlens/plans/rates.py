@@ -63,14 +63,31 @@ found AS (SELECT *, CASE WHEN multiplier > 10 THEN 'extreme' WHEN multiplier > 5
     WHEN multiplier > 2 - CASE WHEN source IN ('pfs', 'clfs') THEN 0.5 ELSE 0 END THEN 'moderate' ELSE 'weak' END AS dispute FROM over)"""
 
 
+def placed(t: Tables) -> DataFrame:
+    """Bill lines with locality and context, stored by bill: findings, look-ups, error rules and sites read them."""
+    return t.step("placed", lambda: audit.placed_lines(t.bills, t.bill_lines, t.zip_locality), "bill_id")
+
+
+def card(t: Tables) -> DataFrame:
+    return matching.rate_card(pfs_of(t), t.clfs_rates, t.asp_rates, t.opps_rates)
+
+
+def stored_card(t: Tables) -> DataFrame:
+    """For queries that read the card more than once."""
+    return t.step("card", lambda: card(t))
+
+
 def found(t: Tables) -> DataFrame:
-    return audit.findings(t.bills, t.bill_lines, t.zip_locality, pfs_of(t), t.clfs_rates, t.asp_rates, t.opps_rates)
+    return audit.findings(placed(t), card(t))
+
+
+def stored_found(t: Tables) -> DataFrame:
+    """For queries that read the findings more than once."""
+    return t.step("found", lambda: audit.findings(placed(t), stored_card(t)), "bill_id")
 
 
 def lookups(t: Tables) -> DataFrame:
-    head = matching.resolve_zip(t.bills.select("bill_id", "zip", "locality", "setting", "facility_type"), t.zip_locality)
-    head = head.select("bill_id", "locality", fn.rate_context("setting", "facility_type").alias("context"))
-    return t.bill_lines.join(head, "bill_id").select("code", "modifier", "locality", "context").distinct()
+    return placed(t).select(*audit.LOOKUP).distinct()
 
 
 KEY = ["code", "modifier", "locality", "context"]
@@ -118,7 +135,7 @@ QUERIES = {
         lambda t: matching.match_opps(t.bill_lines.select("code").distinct(), t.opps_rates).select("code", "opps.payment_rate", "opps.apc", "opps.status_indicator"),
         "SELECT code, payment_rate, apc, status_indicator FROM (SELECT DISTINCT code FROM {bill_lines}) LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY payment_rate DESC, rate_seq) AS rn FROM {opps_rates} WHERE payment_rate > 0) WHERE rn = 1) USING (code)",
     ),
-    "j05_multi_source_match": (lambda t: matching.match_rates(lookups(t), pfs_of(t), t.clfs_rates, t.asp_rates, t.opps_rates), f"WITH {MATCH} SELECT * FROM rated"),
+    "j05_multi_source_match": (lambda t: matching.match_rates(lookups(t), card(t)), f"WITH {MATCH} SELECT * FROM rated"),
     "j06_tiered_match": (j06, f"WITH {TIERS} SELECT * FROM tiered"),
     "j07_zip_locality": (
         lambda t: matching.resolve_zip(t.bills.select("bill_id", "zip", "locality"), t.zip_locality).select("bill_id", "locality", "carrier", "state", "urban_rural"),
@@ -132,7 +149,7 @@ QUERIES = {
         lambda t: matching.zips_of(t.zip_locality).select("carrier", "locality", F.array_join("zips", ",").alias("zips")),
         "SELECT carrier, locality, string_agg(DISTINCT zip_code, ',' ORDER BY zip_code) AS zips FROM {zip_locality} GROUP BY carrier, locality",
     ),
-    "j10_site_rates": (lambda t: matching.site_rates(lookups(t), pfs_of(t), t.opps_rates), f"WITH {SITE} SELECT * FROM site"),
+    "j10_site_rates": (lambda t: matching.site_rates(lookups(t), card(t)), f"WITH {SITE} SELECT * FROM site"),
     "j27_latest_snapshot": (
         lambda t: t.snapshots.groupBy("source_type").agg(F.max_by("snapshot_id", F.struct("effective_year", "fetched_at", "snapshot_id")).alias("snapshot_id")),
         "SELECT source_type, snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY effective_year DESC, fetched_at DESC, snapshot_id DESC) AS rn FROM {snapshots}) WHERE rn = 1",

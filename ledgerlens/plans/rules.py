@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import audit, balance, errors, insurance, matching
 from .bindings import Tables, with_views
-from .rates import FOUND, SITE, found, lookups, pfs_of, prefix, r
-
-
-def heads(t: Tables) -> DataFrame:
-    h = matching.resolve_zip(t.bills.select("bill_id", "zip", "locality", "setting", "facility_type"), t.zip_locality)
-    return h.select("bill_id", "locality", fn.rate_context("setting", "facility_type").alias("context"))
+from .rates import FOUND, SITE, card, found, placed, prefix, r, stored_card, stored_found
 
 
 def sites(t: Tables) -> DataFrame:
-    lines = t.bill_lines.join(heads(t), "bill_id").select("bill_id", "line_number", "code", "description", "locality")
-    return balance.site_of_service(lines, matching.site_rates(lookups(t), pfs_of(t), t.opps_rates))
+    lines = placed(t).select("bill_id", "line_number", "code", "description", "locality")
+    return balance.site_of_service(lines, matching.site_rates(lines, stored_card(t)))
 
 
 SURG, WOUND, IMG = (f"coalesce({prefix('code')} BETWEEN {a} AND {b}, false)" for a, b in ((10000, 69999), (12001, 13160), (70000, 79999)))
@@ -81,15 +76,15 @@ def eline(t: Tables) -> DataFrame:
 
 
 def a22(t: Tables) -> DataFrame:
-    f = found(t)
-    return balance.savings_summary(audit.bill_totals(f, t.bills).select("bill_id", "total_billed", "baseline"), errors.billing_errors(t.bill_lines, heads(t), pfs_of(t)), sites(t), balance.alerts(f, t.eob_lines, t.eobs))
+    f = stored_found(t)
+    return balance.savings_summary(audit.bill_totals(f, t.bills).select("bill_id", "total_billed", "baseline"), errors.billing_errors(placed(t), stored_card(t)), sites(t), balance.alerts(f, t.eob_lines, t.eobs))
 
 
 _err = lambda f: lambda t: f(t.bill_lines)
 EST = {f"{p}_{e}": m for p, ends in fn.PLAN_MULTIPLES.items() for e, m in zip(("low", "high"), ends, strict=True)} | {"national_avg": fn.NATIONAL_AVERAGE}
 
 QUERIES = {
-    "j11_upcoding": (lambda t: errors.upcoding(t.bill_lines, heads(t), pfs_of(t)), _rule_sql("upcoding")),
+    "j11_upcoding": (lambda t: errors.upcoding(placed(t), card(t)), _rule_sql("upcoding")),
     "a10_bundled": (_err(errors.bundled), _rule_sql("bundle")),
     "a11_wound_repair": (_err(errors.wound_repair), _rule_sql("wound")),
     "a12_visit_with_procedure": (_err(errors.visit_with_procedure), _rule_sql("visit")),
@@ -97,12 +92,12 @@ QUERIES = {
     "a14_duplicates": (_err(errors.duplicates), _rule_sql("duplicate")),
     "a15_missing_distinct_modifier": (_err(errors.missing_distinct_modifier), _rule_sql("missing")),
     "a16_modifier_25": (_err(errors.modifier_25), _rule_sql("m25")),
-    "a17_billing_errors": (lambda t: errors.billing_errors(t.bill_lines, heads(t), pfs_of(t)), f"WITH {LOW_SITE}, {BL}, {ERRORS} SELECT bill_id, rule, type, severity, codes, CAST(saving AS DOUBLE) AS saving FROM errs"),
+    "a17_billing_errors": (lambda t: errors.billing_errors(placed(t), card(t)), f"WITH {LOW_SITE}, {BL}, {ERRORS} SELECT bill_id, rule, type, severity, codes, CAST(saving AS DOUBLE) AS saving FROM errs"),
     "u04_alerts_union": (
-        lambda t: balance.alerts(found(t), t.eob_lines, t.eobs).groupBy("rule", "type", "severity").agg(F.count("*").alias("n"), fn.round_to(F.sum("excess"), 0).alias("excess")),
+        lambda t: balance.alerts(stored_found(t), t.eob_lines, t.eobs).groupBy("rule", "type", "severity").agg(F.count("*").alias("n"), fn.round_to(F.sum("excess"), 0).alias("excess")),
         f"WITH {FOUND}, {FIRST}, al AS ({' UNION ALL '.join(ALERTS.values())}) SELECT rule, type, severity, count(*) AS n, {r('sum(excess)', 0)} AS excess FROM al GROUP BY ALL",
     ),
-    "a18_line_alerts": (lambda t: balance.line_alerts(found(t), t.eob_lines), f"WITH {FOUND}, {FIRST} {ALERTS['line']}"),
+    "a18_line_alerts": (lambda t: balance.line_alerts(stored_found(t), t.eob_lines), f"WITH {FOUND}, {FIRST} {ALERTS['line']}"),
     "a19_surprise_bills": (lambda t: balance.surprise_bills(t.eobs), ALERTS["surprise"]),
     "a20_wrong_arithmetic": (lambda t: balance.wrong_arithmetic(t.eobs), ALERTS["arithmetic"]),
     "a21_excessive_markups": (lambda t: balance.excessive_markups(found(t)), f"WITH {FOUND} {ALERTS['markup']}"),
