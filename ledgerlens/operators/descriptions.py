@@ -1,15 +1,29 @@
-"""Free-text descriptions to procedure codes: exact, fuzzy, substring and word matches, each on what is left."""
+"""Free-text descriptions to procedure codes: exact, fuzzy, substring and word matches from one set of candidates.
+
+Dictionary and rate descriptions form one inverted index: whole texts, words, and substrings of two and three letters. A
+name asks it for a few keys only, tagged with the step they serve, in one join:
+
+* exact: its whole text;
+* fuzzy: words. Two sets of words that share 0.7 of the smaller one also share one of that one's rarest words, as many as
+  0.3 of it and one more; so a name's rarest words meet all words of entries, and its words meet the entries' rarest;
+* inside: its rarest substring of three letters;
+* words: the rarest such substring of its first two longer words.
+
+What is found is tested, the best few per step stay, and the first step with a result gives the code.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import normal_text, overlap, round_to, tokens
-from .matching import join_holding
+from ..functions import grams, normal_text, overlap, round_to, tokens
 
-EXACT, FUZZY, INSIDE, WORDS, FINAL = 1.0, 0.7, 0.85, 0.5, 0.6
+INSIDE, WORDS, FINAL, FUZZY = 0.85, 0.5, 0.6, 0.7
 FIRST_ROWS = 5
+STEPS = ("exact", "fuzzy", "inside", "words")
 
 
 def searchable(clfs: DataFrame, asp: DataFrame, opps: DataFrame) -> DataFrame:
@@ -22,56 +36,89 @@ def searchable(clfs: DataFrame, asp: DataFrame, opps: DataFrame) -> DataFrame:
     return out
 
 
-def match_exact(names: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Equal normal text (J20). names: distinct (name)."""
-    s = synonyms.select(normal_text("description").alias("name"), "ord", "code").groupBy("name").agg(F.min_by("code", "ord").alias("code"))
-    return names.join(s, "name").select("name", "code", F.lit(EXACT).alias("confidence"))
+def dictionary(synonyms: DataFrame, said: DataFrame) -> DataFrame:
+    """(entry, ord, seq, code, text): both sources of codes, as the index reads them. Best stored, as it is read a few times."""
+    own = synonyms.select(F.lit(True).alias("entry"), F.col("ord").cast("long").alias("ord"), F.lit(0).cast("long").alias("seq"), "code", normal_text("description").alias("text"))
+    return own.unionByName(said.select(F.lit(False).alias("entry"), F.col("ord").cast("long").alias("ord"), F.col("seq").cast("long").alias("seq"), "code", F.lower("said").alias("text")))
 
 
-def match_fuzzy(names: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Shared tokens over the smaller token set, best at least 0.7, the first entry on ties.
+@dataclass
+class Index:
+    """``rows``: (key, ord, seq, code, text); ``often``: (key, n), the number of rows of words and substrings."""
 
-    Candidates come from a join on tokens, counted per pair with map-side combining; no pair without a common token is
-    made. The dictionary is the small side of the join.
-    """
-    q = names.withColumn("t", tokens("name")).where(F.size("t") > 0)
-    s = synonyms.withColumn("st", tokens("description")).where(F.size("st") > 0)
-    pairs = q.select("name", F.size("t").alias("n"), F.explode("t").alias("token")).join(s.select("ord", "code", F.size("st").alias("m"), F.explode("st").alias("token")), "token")
-    scored = pairs.groupBy("name", "ord", "code", "n", "m").agg(F.count("*").alias("shared")).withColumn("score", F.col("shared") / F.least("n", "m")).where(F.col("score") >= FUZZY)
-    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("o"), "ord", "code")).alias("b"))
-    return best.select("name", "b.code", (-F.col("b.o")).alias("confidence"))
+    rows: DataFrame
+    often: DataFrame
 
 
-def match_inside(names: DataFrame, said: DataFrame) -> DataFrame:
-    """The text inside a rate description, first source and row (J22). ``names`` are distinct, of two letters or more."""
-    d = join_holding(names, F.array("name"), said, F.col("said"), least=2)
-    return d.groupBy("name").agg(F.min(F.struct("ord", "seq", "code")).alias("b")).select("name", "b.code", F.lit(INSIDE).alias("confidence"))
+def _prefixed(prefix: str, words: Column) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit(prefix), w))
 
 
-def match_words(names: DataFrame, said: DataFrame) -> DataFrame:
-    """The first two longer words inside a rate description.
+def _rarest(keyed: Column, size: Column) -> Column:
+    """Of (n, key) pairs the rarest that a set sharing FUZZY of ``size`` words can't all miss."""
+    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), (size - F.ceil(size * FUZZY - 1e-9) + 1).cast("int")), lambda x: x["key"])
+
+
+def build_index(texts: DataFrame) -> Index:
+    """``texts`` is a ``dictionary``."""
+    words, whole = _prefixed("a", tokens("text")), F.array(F.concat(F.lit("="), "text"))
+    pieces = _prefixed("g", F.concat(grams("text", 2), grams("text", 3)))
+    rows = texts.select(F.explode(F.when(F.col("entry"), F.concat(whole, words)).otherwise(pieces)).alias("key"), "ord", "seq", "code", "text")
+    often = rows.where("NOT startswith(key, '=')").groupBy("key").agg(F.count("*").alias("n"))
+    each = texts.where("entry").select("ord", "code", "text", F.explode(words).alias("key")).join(often, "key")
+    few = each.groupBy("ord", "code", "text").agg(F.collect_list(F.struct("n", "key")).alias("k"))
+    few = few.select(F.explode(_prefixed("b", F.transform(_rarest(F.col("k"), F.size("k")), lambda x: F.substring(x, 2, 1 << 30)))).alias("key"), "ord", F.lit(0).cast("long").alias("seq"), "code", "text")
+    return Index(rows.unionByName(few), often)
 
-    The first five rows of each source are scored; the first source with a score of 0.5 or more decides; confidence is
-    0.9 of it, at most 0.8.
-    """
-    q = names.withColumn("t", tokens("name")).withColumn("w", F.filter("t", lambda x: F.length(x) > 2)).where(F.size("w") >= 2)
-    d = join_holding(q, F.slice("w", 1, 2), said, F.col("said"))
-    d = d.withColumn("rn", F.row_number().over(Window.partitionBy("name", "ord").orderBy("seq"))).where(F.col("rn") <= FIRST_ROWS)
-    d = d.withColumn("score", overlap(F.col("t"), tokens("said"))).where(F.col("score") >= WORDS)
-    best = d.groupBy("name").agg(F.min(F.struct("ord", (-F.col("score")).alias("o"), "seq", "code")).alias("b"))
-    return best.select("name", "b.code", round_to(F.least(-F.col("b.o") * 0.9, F.lit(0.8)), 2).alias("confidence"))
 
+def _asked(names: DataFrame, often: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    """(name, step, key): what each name asks the index for."""
+    t = tokens("name")
+    longer = F.filter(t, lambda x: F.length(x) > 2)
+    two = F.when(F.size(longer) >= 2, F.array_distinct(F.concat(grams(longer[0], 3), grams(longer[1], 3)))).otherwise(F.array().cast("array<string>"))
+    own = F.when(F.length("name") > 2, grams("name", 3)).otherwise(F.array("name"))
+    tagged = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    parts = {"fuzzy": tagged("fuzzy", _prefixed("a", t)), "inside": tagged("inside", _prefixed("g", own)), "words": tagged("words", _prefixed("g", two))}
+    wanted = [parts[s] for s in steps if s in parts]
+    step = lambda s, keys: F.transform(keys, lambda k: F.struct(F.lit(s).alias("step"), k.alias("key")))
+    if not wanted:
+        return names.select("name", F.lit("exact").alias("step"), F.concat(F.lit("="), "name").alias("key"))
+    counted = names.select("name", F.explode(F.concat(*wanted)).alias("k")).select("name", "k.*").join(often, "key", "left")
+    by = counted.groupBy("name").agg(F.collect_list(F.struct("kind", F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
+    of = lambda kind: F.transform(F.filter("k", lambda x: x["kind"] == kind), lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key")))
+    #: a substring that no description holds rules the step out
+    one = lambda kind: F.filter(F.array(F.array_min(of(kind))), lambda x: x["n"] > 0)["key"]
+    keys = {"exact": F.array(F.concat(F.lit("="), "name")), "fuzzy": F.concat(_rarest(of("fuzzy"), F.size(t)), _prefixed("b", t)), "inside": one("inside"), "words": one("words")}
+    return by.select("name", F.explode(F.concat(*[step(s, keys[s]) for s in steps])).alias("k")).select("name", "k.*")
 
-def resolve(descriptions: DataFrame, synonyms: DataFrame, said: DataFrame) -> DataFrame:
-    """(description, code, confidence, step): the cascade on distinct normal texts of 2 letters or more.
 
-    Each step gets only what the former left. Results below 0.6 are dropped at the end.
+def match(names: DataFrame, index: Index, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """(name, code, confidence, step) of the first of ``steps`` with a result (J20 to J24). ``names``: distinct normal texts of 2 letters or more.
+
+    * exact: equal text, the first entry; confidence 1;
+    * fuzzy: the largest share of common words in the smaller set, 0.7 at least, the first entry on ties;
+    * inside: the first description by source and row that holds the name; confidence 0.85;
+    * words: descriptions that hold the first two longer words; of each source the first five are scored by common words,
+      the first source with 0.5 or more decides; confidence is 0.9 of the score, at most 0.8.
     """
+    c = _asked(names, index.often, steps).join(index.rows, "key")
+    t, longer = tokens("name"), F.filter(tokens("name"), lambda x: F.length(x) > 2)
+    is_ = lambda s: F.col("step") == s
+    held = F.when(is_("inside"), F.contains("text", F.col("name"))).when(is_("words"), F.contains("text", longer[0]) & F.contains("text", longer[1])).otherwise(True)
+    c = c.where(held).withColumn("score", F.when(is_("fuzzy") | is_("words"), overlap(t, tokens("text")))).where(~is_("fuzzy") | (F.col("score") >= FUZZY))
+    # of an entry's several keys any one will do: ties have equal scores and entries
+    c = c.withColumns({"group": F.when(is_("words"), F.col("ord")).otherwise(-1), "o1": F.when(is_("fuzzy"), -F.col("score")).when(is_("inside"), F.col("ord").cast("double")).otherwise(0.0), "o2": F.when(is_("inside") | is_("words"), F.col("seq")).otherwise(F.col("ord"))})
+    near = Window.partitionBy("name", "step", "group").orderBy("o1", "o2")
+    c = c.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= FIRST_ROWS).where(is_("words") | (F.col("rank") == 1)).where(~is_("words") | (F.col("score") >= WORDS))
+    confidence = F.when(is_("exact"), 1.0).when(is_("fuzzy"), F.col("score")).when(is_("inside"), INSIDE).otherwise(round_to(F.least(F.col("score") * 0.9, F.lit(0.8)), 2))
+    place = F.when(is_("words"), F.struct(F.col("ord").cast("double").alias("a"), (-F.col("score")).alias("b"), F.col("seq").alias("c"))).otherwise(F.struct(F.col("o1").alias("a"), F.lit(0.0).alias("b"), F.col("o2").alias("c")))
+    order = F.element_at(F.create_map(*[F.lit(x) for k, s in enumerate(STEPS) for x in (s, k)]), F.col("step"))
+    best = c.groupBy("name").agg(F.min(F.struct(order.alias("k"), place.alias("p"), "code", confidence.alias("confidence"), "step")).alias("b"))
+    return best.select("name", "b.code", "b.confidence", "b.step")
+
+
+def resolve(descriptions: DataFrame, index: Index) -> DataFrame:
+    """(description, code, confidence, step): the cascade on distinct normal texts (J24); results below 0.6 are dropped at the end."""
     d = descriptions.select("description").distinct().withColumn("name", normal_text("description"))
-    left = d.where(F.length("name") >= 2).select("name").distinct()
-    out = None
-    for step, match, source in (("exact", match_exact, synonyms), ("fuzzy", match_fuzzy, synonyms), ("inside", match_inside, said), ("words", match_words, said)):
-        hit = match(left, source).withColumn("step", F.lit(step))
-        out = hit if out is None else out.unionByName(hit)
-        left = left.join(hit.select("name"), "name", "left_anti")
-    return d.join(out.where(F.col("confidence") >= FINAL), "name").select("description", "code", "confidence", "step")
+    found = match(d.where(F.length("name") >= 2).select("name").distinct(), index).where(F.col("confidence") >= FINAL)
+    return d.join(found, "name").select("description", "code", "confidence", "step")

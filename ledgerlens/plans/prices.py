@@ -41,6 +41,14 @@ def said(t: Tables) -> DataFrame:
     return descriptions.searchable(t.clfs_rates, t.asp_rates, t.opps_rates)
 
 
+def description_index(t: Tables) -> descriptions.Index:
+    return descriptions.build_index(t.step("dictionary", lambda: descriptions.dictionary(t.code_synonyms, said(t))))
+
+
+def matched(t: Tables, step: str) -> DataFrame:
+    return descriptions.match(text_names(t), description_index(t), (step,)).drop("step")
+
+
 def text_names(t: Tables) -> DataFrame:
     return texts(t).select(fn.normal_text("description").alias("name")).where(F.length("name") >= 2).distinct()
 
@@ -149,12 +157,12 @@ QUERIES = {
     ),
     "u02_searchable": (lambda t: said(t).groupBy("ord").agg(F.count("*").alias("n"), F.countDistinct("said").alias("texts")), f"WITH {SAID} SELECT ord, count(*) AS n, count(DISTINCT said) AS texts FROM said GROUP BY ord"),
     "u03_code_descriptions": (lambda t: t.pfs_rates.select("code", "description").distinct(), "SELECT DISTINCT code, description FROM {pfs_rates}"),
-    "j20_exact_description": (lambda t: descriptions.match_exact(text_names(t), t.code_synonyms), f"WITH {TEXTS}, {STEP1} SELECT * FROM s1"),
-    "j21_fuzzy_description": (lambda t: descriptions.match_fuzzy(text_names(t), t.code_synonyms), f"WITH {TEXTS}, {step2('nm', 's2')} SELECT * FROM s2"),
-    "j22_inside_description": (lambda t: descriptions.match_inside(text_names(t), said(t)), f"WITH {TEXTS}, {SAID}, {step3('nm', 's3')} SELECT * FROM s3"),
-    "j23_word_description": (lambda t: descriptions.match_words(text_names(t), said(t)), f"WITH {TEXTS}, {SAID}, {step4('nm', 's4')} SELECT * FROM s4"),
+    "j20_exact_description": (lambda t: matched(t, "exact"), f"WITH {TEXTS}, {STEP1} SELECT * FROM s1"),
+    "j21_fuzzy_description": (lambda t: matched(t, "fuzzy"), f"WITH {TEXTS}, {step2('nm', 's2')} SELECT * FROM s2"),
+    "j22_inside_description": (lambda t: matched(t, "inside"), f"WITH {TEXTS}, {SAID}, {step3('nm', 's3')} SELECT * FROM s3"),
+    "j23_word_description": (lambda t: matched(t, "words"), f"WITH {TEXTS}, {SAID}, {step4('nm', 's4')} SELECT * FROM s4"),
     "j24_description_cascade": (
-        lambda t: descriptions.resolve(texts(t), t.code_synonyms, said(t)),
+        lambda t: descriptions.resolve(texts(t), description_index(t)),
         f"WITH {CASCADE}, al AS (SELECT *, 'exact' AS step FROM s1 UNION ALL SELECT *, 'fuzzy' FROM s2 UNION ALL SELECT *, 'inside' FROM s3 UNION ALL SELECT *, 'words' FROM s4) SELECT description, code, confidence, step FROM (SELECT DISTINCT description, {N.format('description')} AS name FROM texts) JOIN al USING (name) WHERE confidence >= 0.6",
     ),
     "a23_audit_totals": (
