@@ -1,7 +1,7 @@
 """Free-text descriptions to procedure codes: exact, fuzzy, substring and word matches from one set of candidates.
 
 Dictionary and rate descriptions form one inverted index: whole texts, words, and substrings of two and three letters. A
-name asks it for a few keys only, tagged with the step they serve, in one join:
+name asks it for a few keys only, tagged with the step they serve, in one join (for the dictionary, then for rate descriptions):
 
 * exact: its whole text;
 * fuzzy: words. Two sets of words that share 0.7 of the smaller one also share one of that one's rarest words, as many as
@@ -14,7 +14,7 @@ What is found is tested, the best few per step stay, and the first step with a r
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +42,6 @@ def dictionary(synonyms: DataFrame, said: DataFrame) -> DataFrame:
     return own.unionByName(said.select(F.lit(False).alias("entry"), F.col("ord").cast("long").alias("ord"), F.col("seq").cast("long").alias("seq"), "code", F.lower("said").alias("text")))
 
 
-@dataclass
-class Index:
-    """``rows``: (key, ord, seq, code, text); ``often``: (key, n), the number of rows of words and substrings."""
-
-    rows: DataFrame
-    often: DataFrame
-
-
 def _prefixed(prefix: str, words: Column) -> Column:
     return F.transform(words, lambda w: F.concat(F.lit(prefix), w))
 
@@ -59,16 +51,21 @@ def _rarest(keyed: Column, size: Column) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), F.lit(1), (size - F.ceil(size * FUZZY - 1e-9) + 1).cast("int")), lambda x: x["key"])
 
 
-def build_index(texts: DataFrame) -> Index:
-    """``texts`` is a ``dictionary``."""
-    words, whole = _prefixed("a", tokens("text")), F.array(F.concat(F.lit("="), "text"))
+def _index(texts: DataFrame, steps: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, ord, seq, code, text) that ``steps`` may ask for, and (key, n): how often words and substrings occur there."""
+    entries, said = {"exact", "fuzzy"} & {*steps}, {"inside", "words"} & {*steps}
+    texts = texts.where(F.col("entry") == bool(entries)) if bool(entries) != bool(said) else texts
+    words, whole = _prefixed("a", F.split("text", " ")), F.array(F.concat(F.lit("="), "text"))
     pieces = _prefixed("g", F.concat(grams("text", 2), grams("text", 3)))
-    rows = texts.select(F.explode(F.when(F.col("entry"), F.concat(whole, words)).otherwise(pieces)).alias("key"), "ord", "seq", "code", "text")
+    keys = F.when(F.col("entry"), F.concat(whole, F.array_distinct(words))).otherwise(pieces) if said else F.concat(whole, F.array_distinct(words))
+    rows = texts.select(F.explode(pieces if not entries else keys).alias("key"), "ord", "seq", "code", "text")
     often = rows.where("NOT startswith(key, '=')").groupBy("key").agg(F.count("*").alias("n"))
-    each = texts.where("entry").select("ord", "code", "text", F.explode(words).alias("key")).join(often, "key")
-    few = each.groupBy("ord", "code", "text").agg(F.collect_list(F.struct("n", "key")).alias("k"))
-    few = few.select(F.explode(_prefixed("b", F.transform(_rarest(F.col("k"), F.size("k")), lambda x: F.substring(x, 2, 1 << 30)))).alias("key"), "ord", F.lit(0).cast("long").alias("seq"), "code", "text")
-    return Index(rows.unionByName(few), often)
+    if "fuzzy" in steps:
+        each = texts.where("entry").select("ord", "code", "text", F.explode(F.array_distinct(words)).alias("key")).join(often, "key")
+        few = each.groupBy("ord", "code", "text").agg(F.collect_list(F.struct("n", "key")).alias("k"))
+        few = few.select(F.explode(_prefixed("b", F.transform(_rarest(F.col("k"), F.size("k")), lambda x: F.substring(x, 2, 1 << 30)))).alias("key"), "ord", F.lit(0).cast("long").alias("seq"), "code", "text")
+        rows = rows.unionByName(few)
+    return rows, often
 
 
 def _asked(names: DataFrame, often: DataFrame, steps: tuple[str, ...]) -> DataFrame:
@@ -92,8 +89,10 @@ def _asked(names: DataFrame, often: DataFrame, steps: tuple[str, ...]) -> DataFr
     return by.select("name", F.explode(F.concat(*[step(s, keys[s]) for s in steps])).alias("k")).select("name", "k.*")
 
 
-def match(names: DataFrame, index: Index, steps: tuple[str, ...] = STEPS) -> DataFrame:
-    """(name, code, confidence, step) of the first of ``steps`` with a result (J20 to J24). ``names``: distinct normal texts of 2 letters or more.
+def match(names: DataFrame, texts: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """(name, code, confidence, step) of the first of ``steps`` with a result (J20 to J24), from a ``dictionary``.
+
+    ``names`` are distinct normal texts of 2 letters or more.
 
     * exact: equal text, the first entry; confidence 1;
     * fuzzy: the largest share of common words in the smaller set, 0.7 at least, the first entry on ties;
@@ -101,15 +100,18 @@ def match(names: DataFrame, index: Index, steps: tuple[str, ...] = STEPS) -> Dat
     * words: descriptions that hold the first two longer words; of each source the first five are scored by common words,
       the first source with 0.5 or more decides; confidence is 0.9 of the score, at most 0.8.
     """
-    c = _asked(names, index.often, steps).join(index.rows, "key")
-    t, longer = tokens("name"), F.filter(tokens("name"), lambda x: F.length(x) > 2)
+    rows, often = _index(texts, steps)
+    c = _asked(names, often, steps).join(rows, "key")
+    t = F.split("name", " ")  # names and entries are normal texts
+    longer = F.filter(F.array_distinct(t), lambda x: F.length(x) > 2)
     is_ = lambda s: F.col("step") == s
     held = F.when(is_("inside"), F.contains("text", F.col("name"))).when(is_("words"), F.contains("text", longer[0]) & F.contains("text", longer[1])).otherwise(True)
-    c = c.where(held).withColumn("score", F.when(is_("fuzzy") | is_("words"), overlap(t, tokens("text")))).where(~is_("fuzzy") | (F.col("score") >= FUZZY))
+    c = c.where(held).withColumn("score", F.when(is_("fuzzy"), overlap(F.array_distinct(t), F.array_distinct(F.split("text", " "))))).where(~is_("fuzzy") | (F.col("score") >= FUZZY))
     # of an entry's several keys any one will do: ties have equal scores and entries
     c = c.withColumns({"group": F.when(is_("words"), F.col("ord")).otherwise(-1), "o1": F.when(is_("fuzzy"), -F.col("score")).when(is_("inside"), F.col("ord").cast("double")).otherwise(0.0), "o2": F.when(is_("inside") | is_("words"), F.col("seq")).otherwise(F.col("ord"))})
     near = Window.partitionBy("name", "step", "group").orderBy("o1", "o2")
-    c = c.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= FIRST_ROWS).where(is_("words") | (F.col("rank") == 1)).where(~is_("words") | (F.col("score") >= WORDS))
+    c = c.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= FIRST_ROWS).where(is_("words") | (F.col("rank") == 1))
+    c = c.withColumn("score", F.when(is_("words"), overlap(F.array_distinct(t), tokens("text"))).otherwise(F.col("score"))).where(~is_("words") | (F.col("score") >= WORDS))
     confidence = F.when(is_("exact"), 1.0).when(is_("fuzzy"), F.col("score")).when(is_("inside"), INSIDE).otherwise(round_to(F.least(F.col("score") * 0.9, F.lit(0.8)), 2))
     place = F.when(is_("words"), F.struct(F.col("ord").cast("double").alias("a"), (-F.col("score")).alias("b"), F.col("seq").alias("c"))).otherwise(F.struct(F.col("o1").alias("a"), F.lit(0.0).alias("b"), F.col("o2").alias("c")))
     order = F.element_at(F.create_map(*[F.lit(x) for k, s in enumerate(STEPS) for x in (s, k)]), F.col("step"))
@@ -117,8 +119,13 @@ def match(names: DataFrame, index: Index, steps: tuple[str, ...] = STEPS) -> Dat
     return best.select("name", "b.code", "b.confidence", "b.step")
 
 
-def resolve(descriptions: DataFrame, index: Index) -> DataFrame:
-    """(description, code, confidence, step): the cascade on distinct normal texts (J24); results below 0.6 are dropped at the end."""
+def resolve(descriptions: DataFrame, texts: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
+    """(description, code, confidence, step): the cascade on distinct normal texts (J24); results below 0.6 are dropped at the end.
+
+    Substrings are looked for only where the dictionary gave nothing. ``keep`` may store what is read twice, by a name.
+    """
     d = descriptions.select("description").distinct().withColumn("name", normal_text("description"))
-    found = match(d.where(F.length("name") >= 2).select("name").distinct(), index).where(F.col("confidence") >= FINAL)
-    return d.join(found, "name").select("description", "code", "confidence", "step")
+    names = keep("names", d.where(F.length("name") >= 2).select("name").distinct())
+    first = keep("named", match(names, texts, ("exact", "fuzzy")))
+    found = first.unionByName(match(names.join(first, "name", "left_anti"), texts, ("inside", "words")))
+    return d.join(found.where(F.col("confidence") >= FINAL), "name").select("description", "code", "confidence", "step")

@@ -162,6 +162,9 @@ class Tables:
         self._steps = self._steps or Steps(self.spark)
         return self._steps.keep(name, build, by)
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        return self.step(name, lambda: df)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

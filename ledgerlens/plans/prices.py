@@ -41,12 +41,12 @@ def said(t: Tables) -> DataFrame:
     return descriptions.searchable(t.clfs_rates, t.asp_rates, t.opps_rates)
 
 
-def description_index(t: Tables) -> descriptions.Index:
-    return descriptions.build_index(t.step("dictionary", lambda: descriptions.dictionary(t.code_synonyms, said(t))))
+def dictionary(t: Tables) -> DataFrame:
+    return t.step("dictionary", lambda: descriptions.dictionary(t.code_synonyms, said(t)))
 
 
 def matched(t: Tables, step: str) -> DataFrame:
-    return descriptions.match(text_names(t), description_index(t), (step,)).drop("step")
+    return descriptions.match(text_names(t), dictionary(t), (step,)).drop("step")
 
 
 def text_names(t: Tables) -> DataFrame:
@@ -162,7 +162,7 @@ QUERIES = {
     "j22_inside_description": (lambda t: matched(t, "inside"), f"WITH {TEXTS}, {SAID}, {step3('nm', 's3')} SELECT * FROM s3"),
     "j23_word_description": (lambda t: matched(t, "words"), f"WITH {TEXTS}, {SAID}, {step4('nm', 's4')} SELECT * FROM s4"),
     "j24_description_cascade": (
-        lambda t: descriptions.resolve(texts(t), description_index(t)),
+        lambda t: descriptions.resolve(texts(t), dictionary(t), t.keep),
         f"WITH {CASCADE}, al AS (SELECT *, 'exact' AS step FROM s1 UNION ALL SELECT *, 'fuzzy' FROM s2 UNION ALL SELECT *, 'inside' FROM s3 UNION ALL SELECT *, 'words' FROM s4) SELECT description, code, confidence, step FROM (SELECT DISTINCT description, {N.format('description')} AS name FROM texts) JOIN al USING (name) WHERE confidence >= 0.6",
     ),
     "a23_audit_totals": (

@@ -10,7 +10,7 @@ from .. import functions as fn
 from ..operators import extraction as ex
 from ..sources import readers
 from .bindings import Tables, with_views
-from .prices import description_index, resolved_sql
+from .prices import dictionary, resolved_sql
 from .rates import r
 
 #: Patterns for the engine that runs the SQL; the operators' own where these are data.
@@ -100,7 +100,7 @@ def docs(t: Tables):
 
 
 def bill_lines(t: Tables):
-    return ex.bill_lines_from_text(docs(t), description_index(t))
+    return ex.bill_lines_from_text(docs(t), dictionary(t), t.keep)
 
 
 QUERIES = {
@@ -145,7 +145,7 @@ QUERIES = {
         rf"SELECT doc_id, {GATE} AS gate FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '\b[A-Z0-9]\d{{4}}\b', '-', 'g') ELSE regexp_replace(text, '\b[A-Z0-9]\d{{4}}\b', '99213', 'g') END AS text FROM <bill_docs>)",
     ),
     "t13_bills_from_text": (
-        lambda t: ex.bills_from_text(docs(t), description_index(t)).select("doc_id", "total_billed", "n_lines", "facility_type", "parse_confidence"),
+        lambda t: ex.bills_from_text(docs(t), dictionary(t), t.keep).select("doc_id", "total_billed", "n_lines", "facility_type", "parse_confidence"),
         f"WITH {ALL_LINES}, s AS (SELECT doc_id, {r('sum(billed_amount)', 2)} AS total, count(*) AS n FROM bl GROUP BY doc_id) SELECT b.doc_id, coalesce(total, 0) AS total_billed, coalesce(n, 0) AS n_lines, {_KIND} AS facility_type, {GATE} AS parse_confidence FROM <bill_docs> b LEFT JOIN s ON b.doc_id = s.doc_id",
     ),
     "t14_eob_detection": (
@@ -166,7 +166,7 @@ QUERIES = {
         f"WITH {EOB_LINES} SELECT doc_id, code, description, billed_amount, allowed_amount, insurance_paid, patient_responsibility FROM el",
     ),
     "t19_resolved_codes": (
-        lambda t: ex.with_resolved_codes(ex.eob_lines_from_text(docs(t)), description_index(t)).select("doc_id", "description", "code", "billed_amount"),
+        lambda t: ex.with_resolved_codes(t.keep("statement_lines", ex.eob_lines_from_text(docs(t))), dictionary(t), t.keep).select("doc_id", "description", "code", "billed_amount"),
         f"WITH {EOB_LINES}, uc AS (SELECT DISTINCT description FROM el WHERE code IS NULL), {_RESOLVED('uc')} SELECT doc_id, el.description, coalesce(el.code, resolved.code) AS code, billed_amount FROM el LEFT JOIN resolved ON el.description = resolved.description",
     ),
     "t20_eob_documents": (
