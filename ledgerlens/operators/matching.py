@@ -34,11 +34,12 @@ def best_rates(rates: DataFrame, match_carrier: bool = False) -> DataFrame:
     """Best row for each (code, modifier key, locality key): exact keys, '-' for none, '*' for any.
 
     A row with a facility rate wins, then one with a non-facility rate, then file order. Rates are reduced before any
-    look-up is joined, with map-side combining, so a look-up meets at most four rows and no condition has an OR.
+    look-up is joined, so a look-up meets at most four rows and no condition has an OR. Rates are dealt by code before
+    they take their four keys, so each moves once, and codes have no more rows than modifiers times localities.
     """
     place = F.concat_ws("/", F.col("carrier"), F.col("locality")) if match_carrier else F.col("locality")
     own = lambda c: F.explode(F.array(F.lit(ANY), F.coalesce(c, F.lit(NONE))))
-    keyed = rates.withColumn("mod_key", own(F.col("modifier"))).withColumn("loc_key", own(F.when(F.col("locality").isNotNull(), place)))
+    keyed = rates.repartition("code").withColumn("mod_key", own(F.col("modifier"))).withColumn("loc_key", own(F.when(F.col("locality").isNotNull(), place)))
     row = F.struct(
         _missing_last("facility_rate").alias("a"), _missing_last("non_facility_rate").alias("b"), F.col("rate_seq").alias("seq"),
         "facility_rate", "non_facility_rate", "description", "modifier", "locality", "status_indicator",
