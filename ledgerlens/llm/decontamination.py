@@ -181,8 +181,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], *lists, pa.array(own, pa.bool_())], ["doc_id", "item_id", "total", "every", "sure", "literal", "likely", "own"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, kind) for each document that holds a benchmark item.
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, t, item_id, n_windows, coverage, kind) for each text that holds a benchmark item, t being the text's hash.
 
     docs: (doc_id, text), benchmark: (item_id, text). Windows of 8 template words of every document are tested against a
     bit filter of bounded size made from all benchmark windows, and the few that pass are joined to the benchmark windows
@@ -199,9 +199,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Not found: copies that change the case of letters beyond A-Z; re-parameterised copies in another case, and those of
     windows with fewer than 3 literal words (2 in items below 8 words).
 
-    Null and empty texts hold nothing; an empty benchmark gives no row; rows that repeat a doc_id are judged as one
-    document; a null doc_id is kept as one group of its own. Ids may be of any type that groups.
+    Null and empty texts hold nothing; an empty benchmark gives no row. Every row is judged by itself, whether its doc_id is
+    its own, another row's too, or null; rows alike in id and text are one. Ids may be of any type that groups.
     """
+    docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc_id"), "text")
     doc_kind, item_kind = id_type(docs), id_type(benchmark, "item_id")
     items = cut(benchmark.select("item_id", "text").mapInArrow(_item_windows, f"id {item_kind}, pos long, h long, slots array<long>, total long, every long, size long"))
     bits, log_bits = _filter(items)
@@ -221,13 +222,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = counts.where(surely | (F.col("n_known") > COVERED * F.col("every")) | (F.greatest("n_known", "n_likely") >= LONG_RUN))
     n = F.when(surely, F.col("n_sure")).otherwise(F.greatest("n_known", "n_likely"))
     own = F.when(surely, F.col("sure_own")).otherwise(F.col("own"))
-    return held.select("doc_id", "item_id", n.alias("n_windows"), (n / F.when(surely, F.col("total")).otherwise(F.col("every"))).alias("coverage"), F.when(own, "exact").otherwise("reparameterised").alias("kind"))
+    return held.select("doc_id.doc_id", "doc_id.t", "item_id", n.alias("n_windows"), (n / F.when(surely, F.col("total")).otherwise(F.col("every"))).alias("coverage"), F.when(own, "exact").otherwise("reparameterised").alias("kind"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, kind): ``contaminated_rows`` by id; of several rows of an id the one that holds most of the item."""
+    most = F.max(F.struct("n_windows", "coverage", "kind")).alias("m")
+    return contaminated_rows(docs, benchmark).groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", "m.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).where("__bad IS NOT NULL").distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """``docs`` without the rows that hold a benchmark item, rows without a doc_id among them."""
+    bad = contaminated_rows(docs, benchmark).select(F.col("doc_id").alias("__bad"), F.col("t").alias("__t")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs["text"]) == bad["__t"]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,21 @@ def test_decontamination_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(named, ids).collect()} == {(f"d{a}", f"i{b}") for a, b in want}
 
 
+def test_decontamination_judges_each_row_by_itself(spark):
+    """Rows of one id, or of none, that hold parts of an item are not put together; a row without an id can go."""
+    item = [f"z{k}q" for k in range(40)]
+    part = lambda k: " ".join(["some other words", *item[13 * k : 13 * k + 13], f"end {k}"])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(5, part(0)), (5, part(1)), (5, part(2)), (None, part(0)), (None, part(1)), (None, part(2)), (6, None)]
+    assert decontamination.contaminated(docs(spark, rows), bench).count() == 0
+    whole = "It says " + " ".join(item)
+    rows += [(5, whole), (None, whole), (7, whole), (7, whole)]
+    got = sorted(((r.doc_id, r.n_windows, r.kind) for r in decontamination.contaminated(docs(spark, rows), bench).collect()), key=repr)
+    assert got == [(5, 33, "exact"), (7, 33, "exact"), (None, 33, "exact")]
+    left = decontamination.drop_contaminated(docs(spark, rows), bench).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(rows[:7])
+
+
 def test_decontamination_without_a_filter(spark, monkeypatch):
     """A benchmark too large for the filter: all windows are joined, with the same result."""
     monkeypatch.setattr(decontamination, "MOST_BITS", 6)
