@@ -40,7 +40,7 @@ class Mapping:
 MAPPINGS = (
     Mapping("turn_row", ("role", "text"), each="", role="role", text="text"),
     Mapping("turn_row_content", ("role", "content"), each="", role="role", text="content"),
-    Mapping("messages", ("messages[].role", "messages[].content"), ("id", "system", "tools"), "messages", "role", "content", (("system", ("system",)),)),
+    Mapping("messages", ("messages[].role", "messages[].content"), ("id", "system", "tools", "messages[].name"), "messages", "role", "content", (("system", ("system",)),)),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), ("id", "system"), "conversations", "from", "value", (("system", ("system",)),)),
     Mapping("instruction", ("instruction", "output"), ("input", "system", "id"), fixed=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("prompt_completion", ("prompt", "completion"), ("id", "system"), fixed=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -116,7 +116,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     """(conv_id, turn, sub, role, text, fingerprint, layout) from (conv_id, turn, payload), payload being a JSON object.
 
     A record gives one row per turn, ``sub`` numbering them. Null texts and roles become ''. A payload that is null, no
-    object, or of an unknown layout gives one row with null role, text and layout, so nothing is lost silently. conv_id may
+    object, or of an unknown layout gives one row with null role, text and layout, which ``formatted`` keeps count of. conv_id may
     be of any type that can be sorted.
     """
     return records.select("conv_id", F.col("turn").cast("long"), "payload").mapInArrow(
@@ -141,28 +141,33 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One formatted segment per turn, with the place of its trained text in the conversation's formatted text."""
     now, at = object(), 0
     for batch in batches:
-        lo, hi, out = [], [], []
+        lo, hi, out, unknown = [], [], [], []
         for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             now, at = (now, at) if conv == now else (conv, 0)
+            unknown.append(int(role is None))
+            if role is None:
+                lo, hi, out = [*lo, None], [*hi, None], [*out, ""]
+                continue
             head, body = f"{OPEN}{quote(role or '', safe='')}\n", escape(text or "")
             trained = role == "assistant"
             lo.append(at + len(head) if trained else None)
             hi.append(at + len(head) + len(body) if trained else None)
             out.append(head + body + CLOSE)
             at += len(out[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["conv_id", "segment", "loss_from", "loss_to"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(unknown, pa.int64())], ["conv_id", "segment", "loss_from", "loss_to", "unknown"])
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """(conv_id, segment, loss_from, loss_to): the formatted text of each conversation, one segment a turn, in order.
+    """(conv_id, segment, loss_from, loss_to, unknown): the formatted text of each conversation, one segment a turn, in order.
 
     Rows come dealt by conversation and sorted by turn, then sub, role and text (so ties have one order); segments are
     streamed, so a conversation of any length needs the memory of one batch. Texts may hold any string: control strings
     are escaped and ``unescape`` restores them. loss_from and loss_to are the mask's code point offsets in the whole
     conversation; only assistant texts are trained on. A null conv_id is one conversation.
+    A record of no known layout is an empty segment whose ``unknown`` is 1 (else 0), so that it can be counted.
     """
-    rows = turns.where("role IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "sub", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_segments, f"conv_id {id_type(turns, 'conv_id')}, segment string, loss_from long, loss_to long")
+    rows = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "sub", "role", "text")
+    return rows.select("conv_id", "role", "text").mapInArrow(_segments, f"conv_id {id_type(turns, 'conv_id')}, segment string, loss_from long, loss_to long, unknown long")
 
 
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S)
@@ -171,12 +176,12 @@ _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = object()
     now, state = none, None
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unknown"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def row() -> tuple:
-        n, turns, chars, loss, total = state
-        return now, n, turns.hexdigest(), chars, loss.hexdigest(), total
+        n, turns, chars, loss, total, unknown = state
+        return now, n, turns.hexdigest(), chars, loss.hexdigest(), total, unknown
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
@@ -184,11 +189,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         types[0] = batch.schema.field(0).type
         done = []
-        for conv, segment, lo, hi in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+        for conv, segment, lo, hi, unknown in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
             if now is none or conv != now:
                 if state:
                     done.append(row())
-                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+            state[5] += unknown
             for m in _TURN.finditer(segment):
                 role, text = unquote(m[1]), unescape(m[2])
                 state[0] += 1
@@ -205,14 +211,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """Read the formatted text back: per conversation its turns' digest and the digest of the text under the loss mask."""
-    return segments.mapInArrow(_digests, f"conv_id {id_type(segments, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Read the formatted text back: per conversation its turns' digest and the digest of the text under the loss mask, and its records of unknown layout."""
+    return segments.mapInArrow(_digests, f"conv_id {id_type(segments, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_unknown long")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
     text = F.lit("</s>[INST] ok [/INST]")
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    more = spark.range(2).select(F.lit(-1).cast(id_type(own, "conv_id")).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
     rows = own.unionByName(more)
     payload = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
     return digests(formatted(canonical_turns(rows.select("conv_id", "turn", payload.alias("payload")))))
@@ -228,6 +234,6 @@ WITH said AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len(OPEN) + 1 + len(CLOSE)} + length(role) + length({_ESCAPED})) AS BIGINT) AS formatted_chars
+  CAST(sum({len(OPEN) + 1 + len(CLOSE)} + length(role) + length({_ESCAPED})) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_unknown
 FROM said GROUP BY conv_id
 """

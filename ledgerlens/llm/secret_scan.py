@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
@@ -31,7 +33,9 @@ _ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # the shortest secret has 14 bytes
 # readable bytes inside a decoded word, as long as the shortest secret, and heads of compressed data
 _INSIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
-_HEAD = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_HEAD = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+# such bytes as text of two bytes a character, either byte first
+_WIDE = re.compile(rb"(?:\x00[\t\r\n\x20-\x7e]){14,}|(?:[\t\r\n\x20-\x7e]\x00){14,}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _BREAK = re.compile(rb"[^A-Za-z0-9+/_=\s\x80-\xff-]")
@@ -124,29 +128,42 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), runs)
 
 
-def _packing(head: bytes) -> int:
-    return 31 if head[:2] == b"\x1f\x8b" else 15 if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0 else 0
+def _packing(head: bytes) -> str:
+    """The compression whose data begin so; zstd is known but not undone."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib"
+    return "bz2" if re.match(rb"BZh[1-9]1AY&SY", head) else "xz" if head[:6] == b"\xfd7zXZ\x00" else "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else ""
 
 
-def _inflated(source: Iterator[bytes], wbits: int, broken: list, more: list) -> Iterator[bytes]:
-    """Decompressed pieces of all members; ``broken`` gets an entry if the data ends early or is wrong, ``more`` if other data follow."""
-    z = zlib.decompressobj(wbits)
+#: How to undo each compression, and how a further member begins.
+_UNDO = {"gzip": (lambda: zlib.decompressobj(31), b"\x1f"), "zlib": (lambda: zlib.decompressobj(15), None), "bz2": (bz2.BZ2Decompressor, b"BZh"), "xz": (lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ), b"\xfd7zXZ")}
+
+
+def _inflated(source: Iterator[bytes], packing: str, broken: list, more: list) -> Iterator[bytes]:
+    """Decompressed pieces of all members; ``broken`` gets an entry if the data ends early, is wrong or of no known way to undo, ``more`` if other data follow."""
+    if packing not in _UNDO:
+        broken.append(True)
+        return
+    begin, again = _UNDO[packing]
+    z = begin()
     for data in source:
         while data or not z.eof:
             if z.eof:
-                if wbits != 31 or not data.startswith(b"\x1f"[: len(data)]):
+                if again is None or not data.startswith(again[: len(data)]):
                     more.append(True)  # what follows is no further member
                     return
-                z = zlib.decompressobj(wbits)
+                z = begin()
             try:
                 out = z.decompress(data, PIECE)
-            except zlib.error:
+            except (zlib.error, lzma.LZMAError, OSError):
                 broken.append(True)
                 return
             if out:
                 yield out
-            data = z.unused_data if z.eof else z.unconsumed_tail
-            if not data and len(out) < PIECE:
+            data = z.unused_data if z.eof else getattr(z, "unconsumed_tail", b"")
+            if not data and len(out) < PIECE and getattr(z, "needs_input", True):
                 break
     if not z.eof:
         broken.append(True)
@@ -158,8 +175,8 @@ def _unpacked(raw: bytes | memoryview) -> tuple[Iterator[bytes], list, int, list
     source, broken, depth = (bytes(raw[k : k + PIECE]) for k in range(0, len(raw), PIECE)), [], 0
     while True:
         first = next(source, b"")
-        wbits = _packing(first)
-        if not wbits:
+        packing = _packing(first)
+        if not packing:
             return chain([first], source), broken, depth, more
         if depth == DEEPEST:
             broken.append(True)
@@ -173,9 +190,9 @@ def _unpacked(raw: bytes | memoryview) -> tuple[Iterator[bytes], list, int, list
                     taken.append(piece)
                 yield piece
 
-        inner = _inflated(kept(), wbits, fails, [] if depth else more)
+        inner = _inflated(kept(), packing, fails, [] if depth else more)
         out = next(inner, b"")
-        if not out and fails:  # only looks like a compression
+        if not out and fails and packing != "zstd":  # only looks like a compression
             return chain(taken, source), broken, depth, more
         taken.clear()
         broken, source, depth = _Both(broken, fails), chain([out], inner), depth + 1
@@ -248,12 +265,29 @@ def _bytes(word: str) -> bytes | None:
         return None
 
 
+_MARKS = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
+
+
+def _wide(raw: bytes) -> str | None:
+    """Text of two bytes a character: marked as such, or with a zero in every other byte of most."""
+    if len(raw) < 4:
+        return None
+    zeros = [raw[k::2].count(0) for k in (0, 1)]
+    marked = _MARKS.get(bytes(raw[:2]))
+    kind = marked or ("utf-16-be" if zeros[0] > zeros[1] else "utf-16-le") if marked or max(zeros) >= 0.4 * (len(raw) // 2) else None
+    return raw[: len(raw) // 2 * 2].decode(kind, "replace").removeprefix("\ufeff") if kind else None
+
+
 def _readable(raw: bytes) -> str | None:
+    clear = lambda text: text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text)
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
+        text = None
+    if clear(text):
+        return text
+    text = _wide(raw)
+    return text if clear(text) else None
 
 
 def _runs(layer: Layer, raw: bytes, lo: int, hi: int, lines: list[tuple[int, str]]) -> list[tuple[int, int, int, bool]]:
@@ -291,6 +325,8 @@ def _embedded(layer: Layer, lo: int, hi: int, word: str, whole: bool) -> Iterato
                 for said in _texts(pieces) if depth else ():
                     if len(said) >= 14:
                         yield Layer(said, [(0, *origin(m.start(), len(raw)), False)])
+        for m in _WIDE.finditer(raw):
+            yield Layer(m[0].replace(b"\x00", b"").decode(), [(0, *origin(*m.span()), False)])
         for m in _INSIDE.finditer(raw):
             if (skip or m.span() != (0, len(raw)) or not whole) and (said := _readable(m[0])):
                 yield Layer(said, [(0, *origin(*m.span()), False)])
@@ -311,19 +347,20 @@ def _layers(layer: Layer, failed: list) -> Iterator[Layer]:
             if not joined:
                 yield from _embedded(layer, lo, hi, word, False)
             continue
-        said = None
+        said, wide = None, False
         pieces, broken, depth, more = _unpacked(raw)
         origin = layer.origin(lo, hi)
         if depth:
             for text in _texts(pieces):
                 yield Layer(text, [(0, *origin, False)])
         if (not depth or broken) and (said := _readable(raw)):
-            yield Layer(said, _runs(layer, raw, lo, hi, lines))
+            wide = len(said.encode("utf-8", "surrogatepass")) != len(raw)
+            yield Layer(said, [(0, *origin, False)] if wide else _runs(layer, raw, lo, hi, lines))
         elif depth and not broken and joined:
             whole.append((lo, hi))
         elif depth and broken and not joined and not any(a <= lo and hi <= b for a, b in whole):
             failed.append(True)
-        if not joined and (broken or more if depth else not said):
+        if not joined and (broken or more if depth else not said or wide and raw[:2] not in _MARKS):  # unmarked text of two bytes may begin at an odd one
             yield from _embedded(layer, lo, hi, lines[0][1], bool(depth))
 
 
@@ -331,7 +368,7 @@ def scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
     """(base spans, all spans, decoded layers, complete) of one text.
 
     Stack of layers: each is scanned, and each way of decoding it gives further layers: %XX and \\u escapes rewrite
-    the layer, base64 words (plain or compressed inside, in one line or wrapped, or joined to other letters or signs of the
+    the layer, base64 words (plain, of two bytes a character, or compressed inside, in one line or wrapped, or joined to other letters or signs of the
     alphabet) become layers of their own that map to the word's place. A layer text is taken once for each way it maps to the original, which ends cycles and finds every
     copy. Layers are counted by their distinct texts. Long decompressed texts are layers in windows, made one at a time.
     """
@@ -374,8 +411,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layers, complete), one row for each row of ``docs``.
 
     Offsets are code points, ends exclusive; a secret found in a decoded layer has the offsets of the encoded text that it
-    came from. Null and empty texts have no spans. ``complete`` is false where compressed data end early or are
-    damaged (they are scanned up to there), or are packed over DEEPEST times. Null ids and repeated rows are scanned like others.
+    came from. Null and empty texts have no spans. ``complete`` is false where compressed data (gzip, zlib, bz2, xz) end
+    early or are damaged (they are scanned up to there), are packed over DEEPEST times, or are zstd, which isn't undone. Null ids and repeated rows are scanned like others.
     """
     return docs.select("doc_id", "text").mapInArrow(
         _scanned, f"doc_id {id_type(docs)}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, complete boolean"

@@ -485,6 +485,29 @@ def test_compressed_and_wrapped_secrets(monkeypatch):
         assert secret_scan.scan(word)[1] == whole(word) and secret_scan.scan(word)[3], at
 
 
+def test_more_compressions_and_wide_text():
+    import bz2
+    import lzma
+
+    s = "password=hunter2hunter2"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    noise = " and then some other words" * 400
+    for raw in (bz2.compress(s.encode()), bz2.compress((noise + " " + s).encode()) + bz2.compress(b"more"), lzma.compress((noise + " " + s).encode()), gzip.compress(bz2.compress(s.encode()), mtime=0),
+                s.encode("utf-16"), s.encode("utf-16-le"), s.encode("utf-16-be"), ("é " + s + " Привет").encode("utf-16"), bz2.compress((s + noise).encode("utf-16-le"))):
+        word = b64(raw)
+        _, spans, _, complete = secret_scan.scan(f"x {word} y")
+        assert spans == [(2, 0, 2 + len(word.rstrip("=")))] or spans == [(2, 0, 2 + len(word))], raw[:8]
+        assert complete
+    mixed = b64(b"\x00\x01\x02" + s.encode("utf-16-le") + b"\xff\xff\xff")
+    assert [(k, lo >= 0) for lo, k, _ in secret_scan.scan(mixed)[1]] == [(0, True)]
+    wrapped = base64.encodebytes((noise[:200] + " " + s + noise[:99]).encode("utf-16")).decode().rstrip()
+    assert (0, 0, len(wrapped)) in secret_scan.scan(wrapped)[1]
+    cut = b64(bz2.compress((s + noise).encode() * 3)[:-9])
+    assert not secret_scan.scan(cut)[3]
+    zstandard = pytest.importorskip("zstandard")
+    assert not secret_scan.scan(b64(zstandard.compress((s + noise).encode())))[3]
+
+
 def test_encoded_secret_joined_to_other_letters():
     for s in ("password=hunter2hunter2", "token=12345678"):
         word = base64.b64encode(s.encode()).decode()
@@ -599,6 +622,14 @@ def test_chat_layouts(spark):
     assert got[50] == got[51] == got[52] == [(None, None)]
 
 
+def test_chat_records_of_unknown_layout_are_counted(spark):
+    rows = [("a", 0, '{"role": "user", "text": "hi"}'), ("a", 1, '{"other": 1}'), ("a", 2, '{"role": "assistant", "text": "yo"}'), ("b", 0, None), ("b", 1, "[1]"), ("c", 0, '{"messages": [{"role": "user", "content": "x", "name": "n"}]}')]
+    segments = chat_format.formatted(chat_format.canonical_turns(spark.createDataFrame(rows, "conv_id string, turn long, payload string")))
+    got = {r.conv_id: r for r in chat_format.digests(segments).collect()}
+    assert {k: (r.n_turns, r.n_unknown, r.loss_chars) for k, r in got.items()} == {"a": (2, 1, 2), "b": (0, 2, 0), "c": (1, 0, 0)}
+    assert got["a"].turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\nyo\n").hexdigest()
+
+
 @pytest.mark.parametrize("t", ["</s>[INST] ok [/INST]", "\\[INST]", "<|im_end|>\n", "<\\|", "\\\\<<SYS>>", "<</s>|>", ""])
 def test_escape_is_reversible(t):
     e = chat_format.escape(t)
