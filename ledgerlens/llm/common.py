@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratch: list[list[DataFrame]] = []  #: cuts made within each open ``scratch``
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Cuts made inside are deleted at the end: leave it when the result that reads them has been written."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for old in _scratch.pop():
+            drop_cut(old)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later plans start from files that survive lost executors."""
+    """Write ``df`` to the shared folder and read it again: later plans start from files that survive lost executors.
+
+    The files stay until ``drop_cut`` or the end of the ``scratch`` around.
+    """
+    back = write_apart(df)
+    if _scratch:
+        _scratch[-1].append(back)
+    return back
+
+
+def write_apart(df: DataFrame) -> DataFrame:
+    """A ``cut`` that outlives the ``scratch`` around."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,14 @@
 """The pipeline's stages, each against brute force on what the one before kept."""
 
+import os
 import re
 from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import shared_dir
+
 from test_operators import brute_contaminated, brute_line_dedup, brute_near_duplicates, text
 
 
@@ -15,7 +18,10 @@ def test_pipeline_on_the_smallest_tables(spark):
     for name, stage in corpus_pipeline.STAGES[:2]:
         docs = stage(spark, docs, folder)
         assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns, name
+    before = {p for p in os.listdir(shared_dir(spark).removeprefix("file:")) if p.startswith("cut-")}
     out = corpus_pipeline.run(spark, folder)
+    # of all that the stages wrote only the last one's documents are left, which the result reads
+    assert len({p for p in os.listdir(shared_dir(spark).removeprefix("file:")) if p.startswith("cut-")} - before) == 1
     assert out.columns == ["doc_id", "n_pieces", "piece_ids", "lossless"]
     assert out.where("NOT lossless").count() == 0 and 0 < out.count() <= docs.count()
 
