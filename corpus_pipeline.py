@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, line_dedup, near_dup, piece_sampling, quality_rules
-from ledgerlens.llm.common import cut, table
+from ledgerlens.llm.common import drop_cut, scratch, table, write_apart
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    """The stages on documents. Each stage is written, then what it and the stage before left in the shared folder goes."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            kept = write_apart(out)
+        if last is not None:
+            drop_cut(last)
+        docs = last = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
