@@ -66,10 +66,10 @@ def contains_ci(whole: Column | str, part: Column | str) -> Column:
     return F.contains(F.lower(col(whole)), F.lower(col(part)))
 
 
-def grams(c: Column | str, size: int) -> Column:
+def grams(c: Column | str, size: int | Column) -> Column:
     """Distinct substrings of one size."""
     c = col(c)
-    cut = lambda i: F.substring(c, i, F.lit(size))
+    cut = lambda i: F.substring(c, i, size if isinstance(size, Column) else F.lit(size))
     return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), cut))).otherwise(F.array().cast("array<string>"))
 
 

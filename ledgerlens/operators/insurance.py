@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import NATIONAL_AVERAGE, PLAN_MULTIPLES, plan_midpoint, plan_type, round_to
+from ..functions import NATIONAL_AVERAGE, PLAN_MULTIPLES, grams, plan_midpoint, plan_type, round_to
 
 
 def best_eob_lines(eob_lines: DataFrame) -> DataFrame:
@@ -53,12 +53,30 @@ def insights(found: DataFrame, eob_lines: DataFrame, eobs: DataFrame, inline: bo
     return d.withColumn("i", F.explode(F.array_compact(F.array(*rules)))).select("bill_id", "line_number", "code", "i.*")
 
 
+PREFIX = 10
+
+
 def line_for_finding(found: DataFrame, eob_lines: DataFrame, descriptions: str = "description") -> DataFrame:
-    """Per finding the first statement line of its code, or whose description holds the finding's first ten letters."""
-    e = eob_lines.select("bill_id", F.col("line_number").alias("eob_line"), F.col("code").alias("eob_code"), F.col("allowed_amount"), *([F.col(descriptions).alias("eob_description")] if descriptions in eob_lines.columns else [F.lit(None).cast("string").alias("eob_description")]))
-    near = F.contains(F.lower("eob_description"), F.lower(F.substring("description", 1, 10)))
-    d = found.select("bill_id", "line_number", "code", "description").join(e, "bill_id").where((F.col("code") == F.col("eob_code")) | F.coalesce(near, F.lit(False)))
-    return d.groupBy("bill_id", "line_number").agg(F.min_by(F.struct("eob_line", "allowed_amount"), "eob_line").alias("e")).select("bill_id", "line_number", "e.*")
+    """Per finding the first statement line of its code, or whose description holds the finding's first ten letters.
+
+    Either condition is an equi-join: on (bill, code), and on (bill, piece), where a statement line gives all pieces of
+    its description that are as long as a finding's beginning (ten letters; of short descriptions fewer). Keys keep their
+    first line only, so a bill of any size costs its lines, not its pairs.
+    """
+    begins = F.lower(F.substring("description", 1, PREFIX))
+    own = F.array(F.struct(F.lit("code").alias("kind"), F.col("code").alias("key")), F.struct(F.lit("piece").alias("kind"), begins.alias("key")))
+    asked = found.select("bill_id", "line_number", F.explode(own).alias("k")).select("bill_id", "line_number", "k.*").where("key IS NOT NULL")
+    keys = eob_lines.where("code IS NOT NULL").select("bill_id", F.lit("code").alias("kind"), F.col("code").alias("key"), "line_number", "allowed_amount")
+    if descriptions in eob_lines.columns:
+        # lengths of beginnings: at most eleven numbers a bill
+        sizes = found.where("description IS NOT NULL").groupBy("bill_id").agg(F.collect_set(F.least(F.length("description"), F.lit(PREFIX))).alias("sizes"))
+        text = F.lower(F.col(descriptions))
+        pieces = F.array_distinct(F.flatten(F.transform("sizes", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(grams(text, n)))))
+        said = eob_lines.where(F.col(descriptions).isNotNull()).join(sizes, "bill_id").select("bill_id", F.lit("piece").alias("kind"), F.explode(pieces).alias("key"), "line_number", "allowed_amount")
+        keys = keys.unionByName(said)
+    first = keys.groupBy("bill_id", "kind", "key").agg(F.min_by("allowed_amount", "line_number").alias("allowed_amount"), F.min("line_number").alias("eob_line"))
+    d = asked.join(first, ["bill_id", "kind", "key"]).groupBy("bill_id", "line_number").agg(F.min_by(F.struct("eob_line", "allowed_amount"), "eob_line").alias("e"))
+    return d.select("bill_id", "line_number", "e.*")
 
 
 def allowed_fallback(found: DataFrame, matched: DataFrame, eobs: DataFrame) -> DataFrame:

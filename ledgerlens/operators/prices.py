@@ -6,27 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contains_ci, name_similarity, plain_name, round_to
-from .matching import join_holding
+from .matching import join_holding, join_nullsafe
+
+
+QUESTION = ["code", "hospital", "payer"]
+SHARES = 32  #: a question's prices are ranked in so many shares first
+
+
+def _asked(requests: DataFrame) -> DataFrame:
+    """Distinct questions (code, hospital, payer): requests for the same are answered once."""
+    return requests.select(*QUESTION).distinct()
 
 
 def look_up_prices(requests: DataFrame, prices: DataFrame, limit: int = 200) -> DataFrame:
     """Prices per request (request_id, code, hospital, payer), names being optional substrings, at most ``limit`` each.
 
-    Prices meet requests by code; the name tests are residual. Ordered by hospital, payer, then file order.
+    Distinct questions meet prices by code; the name tests are residual. Prices are ranked in two rounds, first within
+    shares of a question that their own hash deals, so that no task sorts all prices of a common code; each round
+    keeps ``limit`` rows a question and share. Ordered by hospital, payer, then file order.
     """
-    q = requests.select("request_id", F.col("code").alias("billing_code"), "hospital", "payer")
+    q = _asked(requests).withColumnRenamed("code", "billing_code")
     ok = (F.col("hospital").isNull() | contains_ci("hospital_name", "hospital")) & (F.col("payer").isNull() | F.coalesce(contains_ci("payer_name", "payer"), F.lit(False)))
-    w = Window.partitionBy("request_id").orderBy("hospital_name", F.asc_nulls_first("payer_name"), "price_seq", "gross_charge")
-    return q.join(prices, "billing_code").where(ok).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    order = ("hospital_name", F.asc_nulls_first("payer_name"), "price_seq", "gross_charge")
+    by = ("billing_code", "hospital", "payer")
+    d = q.join(prices, "billing_code").where(ok).withColumn("__share", F.pmod(F.xxhash64("price_seq", "hospital_name"), F.lit(SHARES)))
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "__share").orderBy(*order))).where(F.col("rank") <= limit).drop("__share")
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
+    return join_nullsafe(requests.select("request_id", *QUESTION), d.withColumnRenamed("billing_code", "code"), QUESTION, "inner").withColumnRenamed("code", "billing_code")
 
 
 def lowest_prices(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """Lowest positive cash price, and lowest positive negotiated rate for the payer, per request."""
-    q = requests.select("request_id", F.col("code").alias("billing_code"), "hospital", "payer")
-    d = q.join(prices, "billing_code").where(F.col("hospital").isNull() | contains_ci("hospital_name", "hospital"))
+    d = _asked(requests).join(prices.withColumnRenamed("billing_code", "code"), "code").where(F.col("hospital").isNull() | contains_ci("hospital_name", "hospital"))
     ours = F.coalesce(contains_ci("payer_name", "payer"), F.lit(False)) & (F.col("negotiated_rate") > 0)
     cash = F.min(F.when(F.col("cash_discount_price") > 0, F.col("cash_discount_price")))
-    return d.groupBy("request_id").agg(round_to(cash, 2).alias("cash_price"), round_to(F.min(F.when(ours, F.col("negotiated_rate"))), 2).alias("negotiated_rate"))
+    found = d.groupBy(*QUESTION).agg(round_to(cash, 2).alias("cash_price"), round_to(F.min(F.when(ours, F.col("negotiated_rate"))), 2).alias("negotiated_rate"))
+    return join_nullsafe(requests.select("request_id", *QUESTION), found, QUESTION, "inner").drop(*QUESTION)
 
 
 def enrich(found: DataFrame, bills: DataFrame, prices: DataFrame) -> DataFrame:
@@ -44,8 +59,6 @@ def enrich(found: DataFrame, bills: DataFrame, prices: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(rate)).alias("negotiated"),
         F.min(F.struct("price_seq", "gross_charge"))["gross_charge"].alias("gross_charge"),
     )
-    from .matching import join_nullsafe
-
     return join_nullsafe(d, e, ["code", "facility"])
 
 
@@ -115,17 +128,27 @@ def hospital_counts(hospitals: DataFrame) -> DataFrame:
 def registry_matches(names: DataFrame, registry: DataFrame, threshold: float = 0.3, k: int = 5) -> DataFrame:
     """Registry entries whose name or alias is like each distinct hospital name, best first (J25); k=1 at 0.4 is J26.
 
+    names: (name, state), state being optional: with one, only entries that list it count. registry: (ord, name, ...)
+    with optional arrays ``aliases`` and ``states``. matched_on is the entry's first best name or alias.
+
     A pair scores only if the plain names share a word's first three letters (or a whole shorter word), or one holds the
-    other: those are equi-joins, and only what they find is scored.
+    other: those are equi-joins, the state being part of the first one's key, and only what they find is scored.
     """
-    r = registry.select("ord", F.explode(F.array_distinct(F.array("name", *(["alias"] if "alias" in registry.columns else [])))).alias("target"))
-    q = names.select(F.col("name").alias("query")).distinct().withColumn("q", plain_name("query")).where("q != ''")
-    t = r.select("ord", plain_name("target").alias("t")).where("t != ''").distinct()
-    keys = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 3)))).alias("key")
-    pair = ("query", "q", "ord", "t")
-    pairs = q.select("*", keys(F.col("q"))).join(t.select("*", keys(F.col("t"))), "key").select(*pair)
-    pairs = pairs.unionByName(join_holding(q, F.array("q"), t, F.col("t"), least=1).select(*pair)).unionByName(join_holding(t, F.array("t"), q, F.col("q"), least=1).select(*pair))
+    none = lambda c: F.coalesce(F.col(c), F.array()).cast("array<string>") if c in registry.columns else F.array().cast("array<string>")
+    r = registry.select("ord", F.transform(none("states"), F.upper).alias("states"), F.posexplode(F.concat(F.array("name"), none("aliases"))).alias("pos", "target"))
+    t = r.withColumn("t", plain_name("target")).where("t != ''")
+    state = F.upper("state") if "state" in names.columns else F.lit(None).cast("string")
+    q = names.select(F.col("name").alias("query"), F.coalesce(F.nullif(state, F.lit("")), F.lit("")).alias("state")).distinct().withColumn("q", plain_name("query")).where("q != ''")
+    begins = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 3)))
+    pair = ("query", "state", "q", "ord", "pos", "target", "t")
+    places = F.array_distinct(F.concat(F.array(F.lit("")), "states"))
+    keyed = t.select("*", F.explode(places).alias("state")).select("*", F.explode(begins(F.col("t"))).alias("key")).drop("states")
+    pairs = q.select("*", F.explode(begins(F.col("q"))).alias("key")).join(keyed, ["state", "key"]).select(*pair)
+    here = (F.col("state") == "") | F.array_contains("states", F.col("state"))
+    for held in (join_holding(q, F.array("q"), t, F.col("t"), least=1), join_holding(t, F.array("t"), q, F.col("q"), least=1)):
+        pairs = pairs.unionByName(held.where(here).select(*pair))
     scored = pairs.distinct().withColumn("score", name_similarity(F.col("q"), F.col("t")))
-    best = scored.groupBy("query", "ord").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
+    best = scored.groupBy("query", "state", "ord").agg(F.min(F.struct((-F.col("score")).alias("o"), "pos", "target")).alias("b"))
+    best = best.select("query", F.nullif("state", F.lit("")).alias("state"), "ord", (-F.col("b.o")).alias("score"), F.col("b.target").alias("matched_on")).where(F.col("score") >= threshold)
+    w = Window.partitionBy("query", "state").orderBy(F.desc("score"), "ord")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

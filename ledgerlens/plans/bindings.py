@@ -128,7 +128,8 @@ SELECT o_orderkey AS doc_id, CAST(0.9 AS DOUBLE) AS confidence,
      ELSE CASE WHEN o_orderkey % 8 = 1 THEN 'Blood draw panel $12.00' ELSE '' END END AS text
 FROM {orders} LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS body FROM {doc_lines} GROUP BY doc_id) x ON o_orderkey = x.doc_id""",
     "mrf_registry": """
-SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 2 = 0 THEN 'Nation ' || CAST(s_nationkey AS STRING) || ' Regional Hospital' ELSE s_name || ' Health System' END AS name, substr(n_name, 8, 2) AS state, 'mrf/' || CAST(s_suppkey AS STRING) AS mrf_url
+SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 2 = 0 THEN 'Nation ' || CAST(s_nationkey AS STRING) || ' Regional Hospital' ELSE s_name || ' Health System' END AS name, CAST(s_nationkey AS STRING) AS state, CAST(s_suppkey % 25 AS STRING) AS also,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'Supplier Group ' || lpad(CAST(s_suppkey % 97 AS STRING), 9, '0') END AS alias, 'mrf/' || CAST(s_suppkey AS STRING) AS mrf_url
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
 }
 

@@ -12,25 +12,29 @@ from .rates import FOUND, found, r
 
 
 def requests(t: Tables) -> DataFrame:
-    """Look-ups derived from suppliers: a code each, with a hospital or payer part for some."""
-    p = t.supplier.select(F.col("s_suppkey").alias("request_id"), F.when(F.col("s_suppkey") % 2 == 0, "99213").otherwise("80053").alias("code"))
-    return p.withColumns({"hospital": F.when(F.col("request_id") % 3 == 0, F.lit("supplier#00000000")), "payer": F.concat(F.lit("nation_"), (F.col("request_id") % 7).cast("string"))})
+    """Look-ups derived from suppliers: a common code or one of many each, with a hospital or payer part for some."""
+    own = F.lpad((10000 + (F.col("s_suppkey") * 37) % 89999).cast("string"), 5, "0")
+    p = t.supplier.select(F.col("s_suppkey").alias("request_id"), F.when(F.col("s_suppkey") % 4 == 0, "99213").when(F.col("s_suppkey") % 4 == 1, "80053").otherwise(own).alias("code"))
+    return p.withColumns({"hospital": F.when(F.col("request_id") % 3 == 0, F.lit("supplier#00000000")), "payer": F.when(F.col("request_id") % 5 > 0, F.concat(F.lit("nation_"), (F.col("request_id") % 7).cast("string")))})
 
 
-REQ = "req AS (SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 2 = 0 THEN '99213' ELSE '80053' END AS code, CASE WHEN s_suppkey % 3 = 0 THEN 'supplier#00000000' END AS hospital, 'nation_' || CAST(s_suppkey % 7 AS STRING) AS payer FROM {supplier})"
+REQ = "req AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 0 THEN '99213' WHEN 1 THEN '80053' ELSE lpad(CAST(10000 + (s_suppkey * 37) % 89999 AS STRING), 5, '0') END AS code, CASE WHEN s_suppkey % 3 = 0 THEN 'supplier#00000000' END AS hospital, CASE WHEN s_suppkey % 5 > 0 THEN 'nation_' || CAST(s_suppkey % 7 AS STRING) END AS payer FROM {supplier})"
 def as_of():
     return F.lit("2024-01-31").cast("timestamp")
 
 
-NAMES = "SELECT DISTINCT replace(facility_name, '#', ' ') AS name FROM {bills}"
+STATE_OF = "CASE WHEN CAST(substr(facility_name, 10) AS INT) % 3 > 0 THEN CAST(CAST(substr(facility_name, 10) AS INT) % 25 AS STRING) END"
+NAMES = f"SELECT DISTINCT replace(facility_name, '#', ' ') AS name, {STATE_OF} AS state FROM {{bills}}"
 
 
 def names(t: Tables) -> DataFrame:
-    return t.bills.select(F.replace("facility_name", F.lit("#"), F.lit(" ")).alias("name")).distinct()
+    """Facilities to look up, two thirds of them in a state."""
+    return t.bills.select(F.replace("facility_name", F.lit("#"), F.lit(" ")).alias("name"), F.expr(STATE_OF).alias("state")).distinct()
 
 
 def entries(t: Tables) -> DataFrame:
-    return t.mrf_registry.withColumn("name", F.replace("name", F.lit("#"), F.lit(" ")))
+    aliases = F.when(F.col("alias").isNotNull(), F.array("alias"))
+    return t.mrf_registry.select("ord", F.replace("name", F.lit("#"), F.lit(" ")).alias("name"), aliases.alias("aliases"), F.array("state", "also").alias("states"))
 
 
 def texts(t: Tables) -> DataFrame:
@@ -94,16 +98,19 @@ GAIN = "list_sum(list_transform(qt, lambda w: CASE WHEN len(list_filter(tt, lamb
 
 
 def registry_sql(threshold: float, k: int) -> str:
-    return f"""WITH q AS ({NAMES}), sc AS (SELECT query, ord, CASE WHEN a = '' OR b = '' THEN 0.0e0 WHEN a = b THEN 1.0e0 WHEN contains(a, b) OR contains(b, a) THEN 0.9e0 ELSE {r('g / len(qt) * 0.7e0 + g / len(tt) * 0.3e0', 3)} END AS score FROM (
-  SELECT *, {GAIN} AS g FROM (SELECT *, string_split(a, ' ') AS qt, string_split(b, ' ') AS tt FROM (SELECT q.name AS query, ord, {PLAIN.format('q.name')} AS a, {PLAIN.format("replace(m.name, '#', ' ')")} AS b FROM q CROSS JOIN {{mrf_registry}} m))))
-SELECT query, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS rank FROM sc WHERE score >= {threshold}) WHERE rank <= {k}"""
+    return f"""WITH q AS ({NAMES}), en AS (SELECT ord, 0 AS pos, replace(name, '#', ' ') AS target, state, also FROM {{mrf_registry}} UNION ALL SELECT ord, 1, alias, state, also FROM {{mrf_registry}} WHERE alias IS NOT NULL),
+sc AS (SELECT query, qs AS state, ord, pos, target, CASE WHEN a = '' OR b = '' THEN 0.0e0 WHEN a = b THEN 1.0e0 WHEN contains(a, b) OR contains(b, a) THEN 0.9e0 ELSE {r('g / len(qt) * 0.7e0 + g / len(tt) * 0.3e0', 3)} END AS score FROM (
+  SELECT *, {GAIN} AS g FROM (SELECT *, string_split(a, ' ') AS qt, string_split(b, ' ') AS tt FROM (SELECT q.name AS query, q.state AS qs, ord, pos, target, {PLAIN.format('q.name')} AS a, {PLAIN.format('target')} AS b FROM q JOIN en ON q.state IS NULL OR q.state IN (en.state, also))))),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, state, ord ORDER BY score DESC, pos) AS rn FROM sc) WHERE rn = 1 AND score >= {threshold})
+SELECT query, state, ord, score, target AS matched_on, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, state ORDER BY score DESC, ord) AS rank FROM one) WHERE rank <= {k}"""
 
 
+BRANDED = TOK.format(N.format("brand || ' ' || description"))
 EV = "{analytics_events}"
 QUERIES = {
     "j15_price_lookup": (
         lambda t: prices.look_up_prices(requests(t), t.hospital_prices).select("request_id", "hospital_name", "payer_name", "gross_charge", "rank"),
-        f"WITH {REQ} SELECT request_id, hospital_name, payer_name, gross_charge, rank FROM (SELECT q.request_id, p.*, row_number() OVER (PARTITION BY request_id ORDER BY hospital_name, payer_name NULLS FIRST, price_seq, gross_charge) AS rank FROM req q JOIN {{hospital_prices}} p ON q.code = p.billing_code AND (hospital IS NULL OR contains(lower(hospital_name), lower(hospital))) AND contains(lower(payer_name), lower(payer))) WHERE rank <= 200",
+        f"WITH {REQ} SELECT request_id, hospital_name, payer_name, gross_charge, rank FROM (SELECT q.request_id, p.*, row_number() OVER (PARTITION BY request_id ORDER BY hospital_name, payer_name NULLS FIRST, price_seq, gross_charge) AS rank FROM req q JOIN {{hospital_prices}} p ON q.code = p.billing_code AND (hospital IS NULL OR contains(lower(hospital_name), lower(hospital))) AND (payer IS NULL OR contains(lower(payer_name), lower(payer)))) WHERE rank <= 200",
     ),
     "j16_lowest_prices": (
         lambda t: prices.lowest_prices(requests(t), t.hospital_prices),
@@ -146,14 +153,14 @@ QUERIES = {
         lambda t: prices.hospital_counts(t.charity_hospitals.withColumn("ein", F.when(F.col("fap_url").isNull(), F.concat(F.lit("CMS-"), "ein")).otherwise(F.col("ein")))),
         "SELECT state, count(*) AS n, count(*) FILTER (fap_url IS NULL) AS synthetic, count(*) FILTER (fap_url IS NOT NULL) AS own FROM {charity_hospitals} GROUP BY state",
     ),
-    "j25_registry_matches": (lambda t: prices.registry_matches(names(t), entries(t)).select("query", "ord", "score", "rank"), registry_sql(0.3, 5)),
-    "j26_best_registry_match": (lambda t: prices.registry_matches(names(t), entries(t), 0.4, 1).select("query", "ord", "score", "rank"), registry_sql(0.4, 1)),
+    "j25_registry_matches": (lambda t: prices.registry_matches(names(t), entries(t)), registry_sql(0.3, 5)),
+    "j26_best_registry_match": (lambda t: prices.registry_matches(names(t), entries(t), 0.4, 1), registry_sql(0.4, 1)),
     "p25_zip": (lambda t: t.bills.select("bill_id", fn.zip5(F.concat(F.lit(" "), "zip", F.lit("-1234"))).alias("zip")), "SELECT bill_id, lpad(substr(regexp_replace(' ' || zip || '-1234', '\\D', '', 'g'), 1, 5), 5, '0') AS zip FROM {bills}"),
     "p26_ein": (lambda t: t.charity_hospitals.select("name", fn.ein("ein").alias("ein")), "SELECT name, substr(ein, 1, 2) || '-' || substr(ein, 3, 7) AS ein FROM {charity_hospitals}"),
     "f04_normal_text": (lambda t: t.descriptions.select("seq", fn.normal_text("brand").alias("brand"), F.size(fn.tokens("description")).alias("n")), f"SELECT seq, {N.format('brand')} AS brand, len({TOK.format(N.format('description'))}) AS n FROM {{descriptions}}"),
     "f06_token_overlap": (
         lambda t: t.descriptions.select("seq", fn.overlap(fn.tokens("description"), fn.tokens(F.concat_ws(" ", "brand", "description"))).alias("score")),
-        f"SELECT seq, len(list_intersect({TOK.format(N.format('description'))}, {TOK.format(N.format(chr(98) + 'rand || ' + chr(39) + ' ' + chr(39) + ' || description'))})) / least(len({TOK.format(N.format('description'))}), len({TOK.format(N.format(chr(98) + 'rand || ' + chr(39) + ' ' + chr(39) + ' || description'))})) AS score FROM {{descriptions}}",
+        f"SELECT seq, len(list_intersect({TOK.format(N.format('description'))}, {BRANDED})) / least(len({TOK.format(N.format('description'))}), len({BRANDED})) AS score FROM {{descriptions}}",
     ),
     "u02_searchable": (lambda t: said(t).groupBy("ord").agg(F.count("*").alias("n"), F.countDistinct("said").alias("texts")), f"WITH {SAID} SELECT ord, count(*) AS n, count(DISTINCT said) AS texts FROM said GROUP BY ord"),
     "u03_code_descriptions": (lambda t: t.pfs_rates.select("code", "description").distinct(), "SELECT DISTINCT code, description FROM {pfs_rates}"),

@@ -52,7 +52,7 @@ ALERTS = {
     "arithmetic": f"SELECT bill_id, 'arithmetic' AS rule, 'balance_billing' AS type, 'alert' AS severity, 'ALL' AS code, excess FROM (SELECT bill_id, expected, {r('patient_responsibility - expected', 2)} AS excess FROM (SELECT *, {r('amount_billed - plan_paid - coalesce(network_discount, 0)', 2)} AS expected FROM {{eobs}})) WHERE excess > 1 AND expected >= 0",
     "markup": f"SELECT bill_id, 'markup' AS rule, 'excessive_markup' AS type, CASE WHEN billed_amount / rate_used >= 10 THEN 'alert' ELSE 'warning' END AS severity, code, {r('billed_amount - rate_used', 2)} AS excess FROM found WHERE rate_used > 0 AND billed_amount / rate_used >= 4",
 }
-REASON = "CASE " + " ".join(f"WHEN {('code = ' + chr(39) + '36415' + chr(39)) if a == b else f'{prefix(chr(99)+chr(111)+chr(100)+chr(101))} BETWEEN {a} AND {b}'} THEN '{w}'" for a, b, _, w in fn.SHOPPING) + " WHEN starts_with(code, 'J') THEN 'drug' ELSE 'depends' END"
+REASON = "CASE " + " ".join(f"WHEN {('code = ' + chr(39) + '36415' + chr(39)) if a == b else f'{prefix("code")} BETWEEN {a} AND {b}'} THEN '{w}'" for a, b, _, w in fn.SHOPPING) + " WHEN starts_with(code, 'J') THEN 'drug' ELSE 'depends' END"
 GOOD = ", ".join(f"'{w}'" for w in sorted({w for *_, ok, w in fn.SHOPPING if ok}))
 SITES = f"""sited AS (SELECT *, coalesce(rate_description, description) AS said, reason IN ({GOOD}) AS shoppable, CASE WHEN facility_rate > 0 AND non_facility_rate > 0 AND facility_rate > non_facility_rate THEN {r('facility_rate - non_facility_rate', 2)} END AS saving
   FROM (SELECT l.bill_id, l.line_number, l.code, l.description, s.* EXCLUDE (code, locality), {REASON.replace('code', 'l.code')} AS reason FROM lines l LEFT JOIN site s ON l.code = s.code AND l.locality IS NOT DISTINCT FROM s.locality))"""
