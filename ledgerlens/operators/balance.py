@@ -30,17 +30,31 @@ def line_alerts(found: DataFrame, eob_lines: DataFrame) -> DataFrame:
     return d.select("bill_id", F.inline(F.array_compact(F.array(alert(owes_less, "billed_over_owed", excess), alert(owes_more, "owed_over_allowed", over)))))
 
 
+def _statement_rules() -> dict[str, Column]:
+    """Alerts of a statement's head, null where a rule doesn't apply."""
+    alert = lambda cond, rule, kind, severity, x: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit("ALL").alias("code"), x.alias("excess")))
+    owed, billed = F.col("patient_responsibility"), F.col("amount_billed")
+    most = (F.coalesce("network_discount", F.lit(0.0)) == 0) & (billed > 0) & (owed / F.nullif("amount_billed", F.lit(0.0)) > 0.5)
+    expected = round_to(billed - F.col("plan_paid") - F.coalesce("network_discount", F.lit(0.0)), 2)
+    more = round_to(owed - expected, 2)
+    return {
+        "no_discount": alert(most, "no_discount", "surprise_bill", "warning", round_to(owed - billed * COINSURANCE, 2)),
+        "arithmetic": alert((more > MATERIAL) & (expected >= 0), "arithmetic", "balance_billing", "alert", more),
+    }
+
+
+def _statement_alerts(eobs: DataFrame, *rules: str) -> DataFrame:
+    return eobs.select("bill_id", F.inline(F.array_compact(F.array(*[c for rule, c in _statement_rules().items() if rule in rules]))))
+
+
 def surprise_bills(eobs: DataFrame) -> DataFrame:
     """No discount and more than half of the bill for the patient; excess over 20 %."""
-    d = eobs.where((F.coalesce("network_discount", F.lit(0.0)) == 0) & (F.col("amount_billed") > 0) & (F.col("patient_responsibility") / F.col("amount_billed") > 0.5))
-    return _alert(d, "no_discount", "surprise_bill", F.lit("warning"), F.lit("ALL"), round_to(F.col("patient_responsibility") - F.col("amount_billed") * COINSURANCE, 2))
+    return _statement_alerts(eobs, "no_discount")
 
 
 def wrong_arithmetic(eobs: DataFrame) -> DataFrame:
     """Patient share above billed less paid less discount, by more than 1, that difference not being negative."""
-    expected = round_to(F.col("amount_billed") - F.col("plan_paid") - F.coalesce("network_discount", F.lit(0.0)), 2)
-    excess = round_to(F.col("patient_responsibility") - expected, 2)
-    return _alert(eobs.where((excess > MATERIAL) & (expected >= 0)), "arithmetic", "balance_billing", F.lit("alert"), F.lit("ALL"), excess)
+    return _statement_alerts(eobs, "arithmetic")
 
 
 def excessive_markups(found: DataFrame) -> DataFrame:
@@ -51,7 +65,7 @@ def excessive_markups(found: DataFrame) -> DataFrame:
 
 
 def alerts(found: DataFrame, eob_lines: DataFrame, eobs: DataFrame) -> DataFrame:
-    return line_alerts(found, eob_lines).unionByName(surprise_bills(eobs)).unionByName(wrong_arithmetic(eobs)).unionByName(excessive_markups(found))
+    return line_alerts(found, eob_lines).unionByName(_statement_alerts(eobs, *_statement_rules())).unionByName(excessive_markups(found))
 
 
 def site_of_service(lines: DataFrame, rates: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def audit_page(audits: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame
     return audits.orderBy(F.desc("created_at"), F.desc("report_id")).offset(offset).limit(min(limit, 200))
 
 
+def audit_page_after(audits: DataFrame, created_at: object, report_id: str, limit: int = 50) -> DataFrame:
+    """The page that follows an audit (W05): a bounded top of what lies beyond the cursor, however deep the page is."""
+    beyond = (F.col("created_at") < F.lit(created_at)) | ((F.col("created_at") == F.lit(created_at)) & (F.col("report_id") < F.lit(report_id)))
+    return audits.where(beyond).orderBy(F.desc("created_at"), F.desc("report_id")).limit(min(limit, 200))
+
+
 def top_audits(audits: DataFrame, k: int = 5) -> DataFrame:
     return audits.orderBy(F.desc("total_savings"), "report_id").limit(k)
 
@@ -60,6 +66,42 @@ def event_trend(events: DataFrame, as_of: Column) -> DataFrame:
     return events.where(_since(as_of, 30)).groupBy(F.to_date("created_at").alias("day")).agg(n("audit").alias("audits"), n("signup").alias("signups"), n("upgrade").alias("upgrades"), n("feature_use").alias("feature_uses"))
 
 
+def daily_rollup(events: DataFrame) -> DataFrame:
+    """(day, event_type, page, n, n_first, size_sum, size_n): what the dashboards need of each day, with each event parsed once.
+
+    n_first counts events at the very beginning of the day, which 'later than midnight' leaves out. Rollups of parts of the
+    events are one rollup when put together.
+    """
+    page = F.when(F.col("event_type") == "page_view", F.get_json_object("event_data", "$.k")).alias("page")
+    size = F.when(F.col("event_type") == "audit", F.get_json_object("event_data", "$.k").try_cast("double"))
+    first = F.col("created_at").cast("timestamp") == F.to_date("created_at").cast("timestamp")
+    return events.groupBy(F.to_date("created_at").alias("day"), "event_type", page).agg(F.count("*").alias("n"), F.count_if(first).alias("n_first"), F.sum(size).alias("size_sum"), F.count(size).alias("size_n"))
+
+
+def _after(as_of: Column, days: int) -> Column:
+    """Events of a rollup row later than the midnight ``days`` before ``as_of``."""
+    edge = F.date_sub(as_of.cast("date"), days)
+    return F.when(F.col("day") > edge, F.col("n")).when(F.col("day") == edge, F.col("n") - F.col("n_first")).otherwise(0)
+
+
+def page_views_of(rollup: DataFrame, as_of: Column) -> DataFrame:
+    """``page_views`` from a rollup; ``as_of`` is the beginning of a day."""
+    return rollup.where("event_type = 'page_view'").groupBy("page").agg(F.sum(_after(as_of, 7)).alias("last_7"), F.sum(_after(as_of, 30)).alias("last_30"))
+
+
+def audit_events_of(rollup: DataFrame, as_of: Column) -> DataFrame:
+    """``audit_events`` from a rollup."""
+    d = rollup.where("event_type = 'audit'")
+    return d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("audits"), F.coalesce(F.sum(_after(as_of, 7)), F.lit(0)).alias("last_7"), round_to(F.sum("size_sum") / F.nullif(F.sum("size_n"), F.lit(0)), 2).alias("mean_size"))
+
+
+def event_trend_of(rollup: DataFrame, as_of: Column) -> DataFrame:
+    """``event_trend`` from a rollup."""
+    n = lambda t: F.sum(F.when(F.col("event_type") == t, F.col("m")).otherwise(0))
+    d = rollup.withColumn("m", _after(as_of, 30)).where("m > 0")
+    return d.groupBy("day").agg(n("audit").alias("audits"), n("signup").alias("signups"), n("upgrade").alias("upgrades"), n("feature_use").alias("feature_uses"))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per table."""
     out = None

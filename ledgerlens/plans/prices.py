@@ -23,6 +23,17 @@ def as_of():
     return F.lit("2024-01-31").cast("timestamp")
 
 
+def rollup(t: Tables) -> DataFrame:
+    """The daily rollup that the dashboards read, as the stream keeps it."""
+    return t.step("rollup", lambda: stats.daily_rollup(t.analytics_events))
+
+
+def next_page(t: Tables) -> DataFrame:
+    """The page after the hundredth audit."""
+    last = t.audits.orderBy(F.desc("created_at"), F.desc("report_id")).select("created_at", "report_id").offset(99).limit(1).first()
+    return stats.audit_page_after(t.audits, last["created_at"], last["report_id"]).select("report_id", F.col("created_at").cast("string").alias("day"))
+
+
 STATE_OF = "CASE WHEN CAST(substr(facility_name, 10) AS INT) % 3 > 0 THEN CAST(CAST(substr(facility_name, 10) AS INT) % 25 AS STRING) END"
 NAMES = f"SELECT DISTINCT replace(facility_name, '#', ' ') AS name, {STATE_OF} AS state FROM {{bills}}"
 
@@ -185,21 +196,22 @@ QUERIES = {
         f"WITH {FOUND} SELECT code, count(*) AS n, {r('sum(overcharge)', 0)} AS overcharge, {r('avg(multiplier)', 1)} AS mean_multiplier FROM found WHERE overcharge > 0 GROUP BY code ORDER BY overcharge DESC, code LIMIT 10",
     ),
     "w05_audit_page": (lambda t: stats.audit_page(t.audits, 50, 100).select("report_id", F.col("created_at").cast("string").alias("day")), "SELECT report_id, CAST(created_at AS STRING) AS day FROM {audits} ORDER BY created_at DESC, report_id DESC LIMIT 50 OFFSET 100"),
+    "w05_seek_page": (next_page, "SELECT report_id, CAST(created_at AS STRING) AS day FROM {audits} ORDER BY created_at DESC, report_id DESC LIMIT 50 OFFSET 100"),
     "w07_top_audits": (
         lambda t: stats.top_audits(t.audits).select("report_id", F.lit("savings").alias("kind")).unionByName(stats.latest_audits(t.audits).select("report_id", F.lit("latest").alias("kind"))),
         "SELECT * FROM (SELECT report_id, 'savings' AS kind FROM {audits} ORDER BY total_savings DESC, report_id LIMIT 5) UNION ALL SELECT * FROM (SELECT report_id, 'latest' AS kind FROM {audits} ORDER BY created_at DESC, report_id LIMIT 10)",
     ),
     "s14_allowed_events": (lambda t: t.analytics_events.where(F.col("event_type").isin(*stats.EVENT_TYPES)).select("event_id", "event_type"), f"SELECT event_id, event_type FROM {EV} WHERE event_type IN {stats.EVENT_TYPES}"),
     "a26_page_views": (
-        lambda t: stats.page_views(t.analytics_events, as_of()),
+        lambda t: stats.page_views_of(rollup(t), as_of()),
         f"SELECT json_extract_string(event_data, '$.k') AS page, count(*) FILTER (created_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS last_7, count(*) FILTER (created_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY) AS last_30 FROM {EV} WHERE event_type = 'page_view' GROUP BY 1",
     ),
     "a27_audit_events": (
-        lambda t: stats.audit_events(t.analytics_events, as_of()),
+        lambda t: stats.audit_events_of(rollup(t), as_of()),
         f"SELECT count(*) AS audits, count(*) FILTER (created_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS last_7, {r('avg(TRY_CAST(json_extract_string(event_data, ' + chr(39) + '$.k' + chr(39) + ') AS DOUBLE))', 2)} AS mean_size FROM {EV} WHERE event_type = 'audit'",
     ),
     "a28_event_trend": (
-        lambda t: stats.event_trend(t.analytics_events, as_of()).withColumn("day", F.col("day").cast("string")),
+        lambda t: stats.event_trend_of(rollup(t), as_of()).withColumn("day", F.col("day").cast("string")),
         f"SELECT CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) FILTER (event_type = 'audit') AS audits, count(*) FILTER (event_type = 'signup') AS signups, count(*) FILTER (event_type = 'upgrade') AS upgrades, count(*) FILTER (event_type = 'feature_use') AS feature_uses FROM {EV} WHERE created_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY 1",
     ),
     "a33_table_counts": (

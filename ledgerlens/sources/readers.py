@@ -6,10 +6,12 @@ Only header lines come to the driver; the rows are plain scans and projections.
 from __future__ import annotations
 
 import csv
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,22 +69,55 @@ def _blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def _positional(spark: SparkSession, path: str, sep: str = ",", width: int = 24, **options: str) -> DataFrame:
+def _positional(spark: SparkSession, path: list[str] | str, sep: str = ",", width: int = 24, **options: str) -> DataFrame:
     """CSV rows as columns _c0.. of text, short rows padded with nulls."""
     schema = ", ".join(f"_c{k} string" for k in range(width))
     return spark.read.options(quote='"', escape='"', mode="PERMISSIVE", **options).csv(path, schema=schema, sep=sep)
 
 
-def _header(spark: SparkSession, path: str, *words: str, first: str | None = None) -> tuple[list[str], list[str]]:
-    """The cells of the first line that holds all words (upper-cased), or whose first cell is ``first``; the lines up to it."""
-    seen = []
-    for row in spark.read.text(path).limit(HEADER_LINES).collect():
-        seen.append(row["value"])
-        cells = [c.strip().strip('"') for c in row["value"].replace("\t", ",").split(",")]
-        joined = row["value"].upper()
-        if (first is not None and cells[0].upper() == first and len(cells) >= 6) or (first is None and all(w in joined for w in words)):
-            return cells, seen
-    raise ValueError(f"no header with {words or first} in {path}")
+def _first_lines(spark: SparkSession, paths: list[str] | str, count: int = 1) -> list[tuple[str, list[str]]]:
+    """(file, its first lines) of all files in one job: each split that begins a file gives its first rows."""
+
+    def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, had = None, 0
+        for batch in rows:
+            take = []
+            for k, file in enumerate(batch.column(0).to_pylist()):
+                last, had = (last, had + 1) if file == last else (file, 1)
+                if had <= count:
+                    take.append((k, had))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array([k for k, _ in take], pa.int64())) for c in range(2)] + [pa.array([n for _, n in take], pa.int32())], ["file", "value", "n"])
+
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("start"))
+    found: dict[str, list[str]] = {}
+    for r in sorted(text.where("start = 0").select("file", "value").mapInArrow(first, "file string, value string, n int").collect(), key=lambda r: (r["file"], r["n"])):
+        found.setdefault(r["file"], []).append(r["value"])
+    return list(found.items())
+
+
+def _by_header(spark: SparkSession, path: list[str] | str, read: Callable[[list[str], list[str], list[str]], DataFrame], *words: str, first: str | None = None) -> DataFrame:
+    """``read(files, header cells, lines up to the header)`` for the files of each header, united.
+
+    A file's header is its first line that holds all words (upper-cased), or whose first cell is ``first``.
+    """
+    groups: dict[tuple[str, ...], tuple[list[str], list[str]]] = {}
+    for file, lines in _first_lines(spark, path, HEADER_LINES):
+        for k, line in enumerate(lines):
+            cells = [c.strip().strip('"') for c in line.replace("\t", ",").split(",")]
+            if (first is not None and cells[0].upper() == first and len(cells) >= 6) or (first is None and all(w in line.upper() for w in words)):
+                files, seen = groups.setdefault((*cells, "\t" if "\t" in line else ","), ([], []))
+                files.append(file)
+                seen += [x for x in lines[: k + 1] if x not in seen]
+                break
+        else:
+            raise ValueError(f"no header with {words or first} in {file}")
+    if not groups:
+        raise ValueError(f"no lines in {path}")
+    out = None
+    for cells, (files, seen) in groups.items():
+        part = read(files, list(cells), seen)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _sequence(d: DataFrame) -> Column:
@@ -133,58 +168,69 @@ def read_pfs(spark: SparkSession, path: str, year: int) -> DataFrame:
     return d.where(has_pfs_rate())
 
 
-def read_pfs_with_header(spark: SparkSession, path: str, year: int) -> DataFrame:
-    """Older layout with a header (S02), separated by tabs if there are any."""
-    cells, _ = _header(spark, path, "HCPC")
-    tabs = any("\t" in r["value"] for r in spark.read.text(path).limit(3).collect())
-    upper = [c.upper() for c in cells]
-    at = {name: next((upper.index(a) for a in aliases if a in upper), None) for name, aliases in PFS_HEADERS.items()}
-    d = _positional(spark, path, "\t" if tabs else ",", width=len(cells))
-    get = lambda n: F.lit(None).cast("string") if at[n] is None else F.col(f"_c{at[n]}")
-    d = d.where(F.upper(F.trim(F.col("_c0"))) != upper[0]).select(
-        _sequence(d), clean_code(get("code")).alias("code"), *[_blank_to_null(get(n)).alias(n) for n in ("modifier", "description", "locality", "locality_name", "status_indicator")],
-        money(get("facility_rate")).alias("facility_rate"), money(get("non_facility_rate")).alias("non_facility_rate"), F.lit(year).alias("effective_year"),
-    )
-    return d.where(has_pfs_rate())
+def read_pfs_with_header(spark: SparkSession, path: list[str] | str, year: int) -> DataFrame:
+    """Older layout with a header (S02), separated by tabs if there are any; files of one folder may differ."""
+
+    def read(files: list[str], header: list[str], _: list[str]) -> DataFrame:
+        *cells, sep = header
+        upper = [c.upper() for c in cells]
+        at = {name: next((upper.index(a) for a in aliases if a in upper), None) for name, aliases in PFS_HEADERS.items()}
+        d = _positional(spark, files, sep, width=len(cells))
+        get = lambda n: F.lit(None).cast("string") if at[n] is None else F.col(f"_c{at[n]}")
+        return d.where(F.upper(F.trim(F.col("_c0"))) != upper[0]).select(
+            _sequence(d), clean_code(get("code")).alias("code"), *[_blank_to_null(get(n)).alias(n) for n in ("modifier", "description", "locality", "locality_name", "status_indicator")],
+            money(get("facility_rate")).alias("facility_rate"), money(get("non_facility_rate")).alias("non_facility_rate"), F.lit(year).alias("effective_year"),
+        )
+
+    return _by_header(spark, path, read, "HCPC").where(has_pfs_rate())
 
 
-def _by_name(spark: SparkSession, path: str, header: tuple[list[str], list[str]]) -> DataFrame:
+def _by_name(spark: SparkSession, files: list[str], header: list[str], seen: list[str]) -> DataFrame:
     """Rows past the header, columns named by it. The few lines up to it are known by their text, so files stay splittable."""
-    cells, seen = header
+    *cells, _ = header
     schema = ", ".join(f"_c{k} string" for k in range(len(cells)))
-    d = spark.read.text(path).where(~F.col("value").isin(*seen) & (F.trim("value") != ""))
+    d = spark.read.text(files).where(~F.col("value").isin(*seen) & (F.trim("value") != ""))
     d = d.select(F.from_csv("value", schema, {"quote": '"', "escape": '"'}).alias("r"))
     return d.select(*[F.col(f"r._c{k}").alias(c.upper()) for k, c in enumerate(cells)])
 
 
 def read_clfs(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Laboratory fee schedule (S03, P04): a preamble, then a header with YEAR, HCPCS and RATE."""
-    d = _by_name(spark, path, _header(spark, path, "YEAR", "HCPCS", "RATE"))
-    d = d.where("RATE IS NOT NULL").select(
-        _sequence(d), clean_code("HCPCS").alias("code"), _blank_to_null(F.col("MOD")).alias("modifier"), money("RATE").alias("rate"), F.col("SHORTDESC").alias("short_desc"), F.col("LONGDESC").alias("long_desc"),
-        F.col("INDICATOR").alias("indicator"), F.col("EFF_DATE").alias("effective_date"), F.lit(year).alias("effective_year"),
-    )
-    return d.where(has_clfs_rate())
+
+    def read(files: list[str], header: list[str], seen: list[str]) -> DataFrame:
+        d = _by_name(spark, files, header, seen)
+        return d.where("RATE IS NOT NULL").select(
+            _sequence(d), clean_code("HCPCS").alias("code"), _blank_to_null(F.col("MOD")).alias("modifier"), money("RATE").alias("rate"), F.col("SHORTDESC").alias("short_desc"), F.col("LONGDESC").alias("long_desc"),
+            F.col("INDICATOR").alias("indicator"), F.col("EFF_DATE").alias("effective_date"), F.lit(year).alias("effective_year"),
+        )
+
+    return _by_header(spark, path, read, "YEAR", "HCPCS", "RATE").where(has_clfs_rate())
 
 
 def read_asp(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Drug limits (S04, P05): a header with HCPCS CODE and PAYMENT LIMIT; five-character codes with a limit."""
-    d = _by_name(spark, path, _header(spark, path, "HCPCS CODE", "PAYMENT LIMIT"))
-    d = d.select(
-        _sequence(d), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTION").alias("short_desc"), F.col("HCPCS CODE DOSAGE").alias("dosage"), money("PAYMENT LIMIT").alias("payment_limit"),
-        money("CO-INSURANCE PERCENTAGE").alias("coinsurance_pct"), money("VACCINE LIMIT").alias("vaccine_limit"), money("BLOOD LIMIT").alias("blood_limit"), F.col("NOTES").alias("notes"), F.lit(year).alias("effective_year"),
-    )
-    return d.where(has_asp_limit())
+
+    def read(files: list[str], header: list[str], seen: list[str]) -> DataFrame:
+        d = _by_name(spark, files, header, seen)
+        return d.select(
+            _sequence(d), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTION").alias("short_desc"), F.col("HCPCS CODE DOSAGE").alias("dosage"), money("PAYMENT LIMIT").alias("payment_limit"),
+            money("CO-INSURANCE PERCENTAGE").alias("coinsurance_pct"), money("VACCINE LIMIT").alias("vaccine_limit"), money("BLOOD LIMIT").alias("blood_limit"), F.col("NOTES").alias("notes"), F.lit(year).alias("effective_year"),
+        )
+
+    return _by_header(spark, path, read, "HCPCS CODE", "PAYMENT LIMIT").where(has_asp_limit())
 
 
 def read_opps(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Outpatient rates (S05, P06): the header's first cell is HCPCS CODE; rows without a rate stay."""
-    d = _by_name(spark, path, _header(spark, path, first="HCPCS CODE"))
-    d = d.select(
-        _sequence(d), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTOR").alias("short_desc"), _blank_to_null(F.col("SI")).alias("status_indicator"), _blank_to_null(F.col("APC")).alias("apc"),
-        money("RELATIVE WEIGHT").alias("relative_weight"), money("PAYMENT RATE").alias("payment_rate"), money("NATIONAL UNADJUSTED COPAYMENT").alias("national_copay"), money("MINIMUM UNADJUSTED COPAYMENT").alias("min_copay"), F.lit(year).alias("effective_year"),
-    )
-    return d.where(has_opps_code())
+
+    def read(files: list[str], header: list[str], seen: list[str]) -> DataFrame:
+        d = _by_name(spark, files, header, seen)
+        return d.select(
+            _sequence(d), clean_code("HCPCS CODE").alias("code"), F.col("SHORT DESCRIPTOR").alias("short_desc"), _blank_to_null(F.col("SI")).alias("status_indicator"), _blank_to_null(F.col("APC")).alias("apc"),
+            money("RELATIVE WEIGHT").alias("relative_weight"), money("PAYMENT RATE").alias("payment_rate"), money("NATIONAL UNADJUSTED COPAYMENT").alias("national_copay"), money("MINIMUM UNADJUSTED COPAYMENT").alias("min_copay"), F.lit(year).alias("effective_year"),
+        )
+
+    return _by_header(spark, path, read, first="HCPCS CODE").where(has_opps_code())
 
 
 def read_zip_locality(spark: SparkSession, path: str) -> DataFrame:
@@ -213,27 +259,10 @@ def resolve_headers(names: list[str]) -> dict[str, str | None]:
     return out
 
 
-def _first_lines(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, str]]:
-    """(file, first line) of all files in one job: each split that begins a file gives its first row."""
-
-    def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in rows:
-            take = []
-            for k, file in enumerate(batch.column(0).to_pylist()):
-                if file != last:
-                    take.append(k)
-                last = file
-            yield batch.take(pa.array(take, pa.int64()))
-
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("start"))
-    return [(r["file"], r["value"]) for r in text.where("start = 0").select("file", "value").mapInArrow(first, "file string, value string").collect()]
-
-
 def read_hospital_prices(spark: SparkSession, paths: list[str] | str, source_url: str | None = None, hospital_name: str | None = None) -> DataFrame:
     """Hospital price files (S07, P08, P02, P09). Files with one header are one scan; the scans are united."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for file, line in _first_lines(spark, paths):
+    for file, (line,) in _first_lines(spark, paths):
         groups.setdefault(tuple(c if c else f"_c{k}" for k, c in enumerate(next(csv.reader([line])))), []).append(file)
     out = None
     for names, files in groups.items():
@@ -303,10 +332,43 @@ def read_providers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 of each file."""
+    """sha256 of each file (S13, F16); a file is one row's content here, so at most 2 GB."""
     return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("data_hash"))
 
 
+RANGE = 1 << 24  #: bytes of a range of a digest tree; part of the digest's definition
+
+
+def tree_fingerprints(spark: SparkSession, path: str, size: int = RANGE, tasks: int | None = None) -> DataFrame:
+    """(path, length, data_hash) of files of any size (S13): the sha256 of the sha256 digests of their ranges of ``size`` bytes, in order.
+
+    Only the listing comes from Spark's file source, which doesn't read contents that aren't asked for. Ranges are dealt
+    over ``tasks``, whatever file they belong to, each is read by itself through Arrow's file systems, and only digests are
+    shuffled. The digest depends on ``size``, never on how ranges are dealt. Empty files give no row.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    ranges = files.withColumn("at", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / size) - 1))).select("path", "length", F.col("at").cast("long").alias("at"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                store, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with store.open_input_file(name) as f:
+                    f.seek(at * size)
+                    left, h = size, hashlib.sha256()
+                    while left and (piece := f.read(min(left, 1 << 20))):
+                        h.update(piece)
+                        left -= len(piece)
+                out.append(h.digest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["path", "length", "at", "digest"])
+
+    dealt = ranges.repartition(tasks or spark.sparkContext.defaultParallelism, "path", "at")
+    leaves = dealt.mapInArrow(digest, "path string, length long, at long, digest binary").groupBy("path", "length").agg(F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("d"))
+    joined = F.aggregate("d", F.lit(b""), lambda whole, x: F.concat(whole, x["digest"]))
+    return leaves.select("path", "length", F.concat(F.lit("sha256-tree:"), F.sha2(joined, 256)).alias("data_hash"))
+
+
 EVENT_SCHEMA = "event_type string, event_data string, user_id long, created_at timestamp"
 
 

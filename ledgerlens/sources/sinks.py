@@ -6,18 +6,42 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+SNAPSHOT = "snapshot_id long, source_type string, effective_year int, fetched_at timestamp, data_hash string, row_count long"
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def append_load(rates: DataFrame, table: str, snapshots: str, snapshot_id: int, source_type: str, year: int, fetched_at: datetime.datetime, data_hash: str) -> int:
-    """Append a rate load as a partition of its own, then its snapshot row with the count."""
+    """Load rates as a partition of their own, then commit them by a snapshot row with their count.
+
+    The snapshot row is the commit: ``committed`` shows only rows that have one. A load that stopped before it left a
+    partition that nobody sees and that the next try overwrites; a source and hash that are committed load no second time.
+    """
     spark = rates.sparkSession
-    rates.withColumn("snapshot_id", F.lit(snapshot_id).cast("long")).write.mode("append").partitionBy("snapshot_id").parquet(table)
-    n = spark.read.parquet(table).where(F.col("snapshot_id") == snapshot_id).count()
+    if _exists(spark, snapshots):
+        done = spark.read.schema(SNAPSHOT).parquet(snapshots).where((F.col("source_type") == source_type) & (F.col("data_hash") == data_hash)).first()
+        if done:
+            return done["row_count"]
+    part = f"{table}/snapshot_id={snapshot_id}"
+    rates.write.mode("overwrite").parquet(part)
+    n = spark.read.schema(rates.schema).parquet(part).count()
     row = (snapshot_id, source_type, year, fetched_at, data_hash, n)
-    spark.createDataFrame([row], "snapshot_id long, source_type string, effective_year int, fetched_at timestamp, data_hash string, row_count long").write.mode("append").parquet(snapshots)
+    spark.createDataFrame([row], SNAPSHOT).coalesce(1).write.mode("append").parquet(snapshots)
     return n
 
 
+def committed(spark: SparkSession, table: str, snapshots: str) -> DataFrame:
+    """Rows of ``table`` whose load was committed; others' partitions aren't read."""
+    done = [r["snapshot_id"] for r in spark.read.schema(SNAPSHOT).parquet(snapshots).select("snapshot_id").distinct().collect()]  # one a load
+    return spark.read.parquet(table).where(F.col("snapshot_id").isin(done))
+
+
 def fresh_snapshot(snapshots: DataFrame, source_type: str, year: int, as_of: Column, days: int = 90) -> DataFrame:
     """The newest snapshot of a type and year that is younger than ``days``."""
     d = snapshots.where((F.col("source_type") == source_type) & (F.col("effective_year") == year) & (F.col("fetched_at") > as_of - F.expr(f"INTERVAL {days} DAYS")))
@@ -67,6 +91,33 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__new")
 
 
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def create_table(rows: DataFrame, table: str, keys: list[str], order: str, buckets: int = 64) -> None:
+    """A table for ``merge_into``: one row per key (the last by ``order``), in a partition by the hash of its key."""
+    upsert(rows.limit(0), rows, keys, order).withColumn("bucket", _bucket(keys, buckets)).repartition(buckets, "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(table)
+
+
+def merge_into(new: DataFrame, table: str, keys: list[str], order: str, buckets: int = 64, ignore: bool = False) -> int:
+    """Upsert ``new`` (K07, K08), or with ``ignore`` insert what isn't there (K06), rewriting only the partitions that new keys fall in.
+
+    Partitions without a new key keep their files. Replaced partitions are staged and moved at the job's commit. Gives the
+    number of partitions rewritten. ``new`` has the table's columns; at most ``buckets`` numbers come to the driver.
+    """
+    spark = new.sparkSession
+    keyed = new.withColumn("bucket", _bucket(keys, buckets))
+    hit = sorted(r["bucket"] for r in keyed.select("bucket").distinct().collect())
+    if not hit:
+        return 0
+    schema = T.StructType([*new.schema.fields, T.StructField("bucket", T.IntegerType())])
+    old = spark.read.schema(schema).parquet(table).where(F.col("bucket").isin(hit))
+    rows = (insert_or_ignore if ignore else upsert)(old, keyed.select(*old.columns), keys, order)
+    rows.repartition(len(hit), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+    return len(hit)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't listed."""
     return rows.join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)

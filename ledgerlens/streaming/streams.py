@@ -60,15 +60,43 @@ def quota_batch(events: DataFrame, span: float = 60, quota: int = 30) -> DataFra
     return d.repartition("user_id").sortWithinPartitions("user_id", "us").select("user_id", "t").mapInPandas(run, "user_id long, accepted long, rejected long")
 
 
-def quota_stream(events: DataFrame, span: float = 60, quota: int = 30) -> DataFrame:
-    """The same with state per key in a stream: counts of each batch (ST3)."""
+def quota_stream(events: DataFrame, span: float = 60, quota: int = 30, late: str = "10 seconds") -> DataFrame:
+    """The same with state per key in a stream: counts of each batch (ST3).
+
+    State is a key's open window. It goes when the watermark (``late`` behind the newest event) passes the window's end,
+    so keys that fall silent cost nothing; a later event opens a new window, as it would have done anyway. Events older
+    than the watermark are dropped.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (0.0, 0)
         times = sorted(t for pdf in frames for t in pdf["t"].tolist())
         ok, start, used = take(times, start, used, span, quota)
-        state.update((start, used))
+        over = int((start + span) * 1000) + 2  # no later event can still belong to the window
+        if over > state.getCurrentWatermarkMs():
+            state.update((start, used))
+            state.setTimeoutTimestamp(over)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame([(key[0], sum(ok), len(ok) - sum(ok))], columns=["user_id", "accepted", "rejected"])
 
-    d = events.select("user_id", (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("t"))
-    return d.groupBy("user_id").applyInPandasWithState(run, "user_id long, accepted long, rejected long", "start double, used long", "append", GroupStateTimeout.NoTimeout)
+    at = F.col("created_at").cast("timestamp")
+    # a millisecond on, since an event as old as the first watermark, the epoch, would count as late
+    d = events.where("user_id IS NOT NULL").select("user_id", (at + F.expr("INTERVAL 1 MILLISECOND")).alias("mark"), (F.unix_micros(at) / 1e6).alias("t")).withWatermark("mark", late)
+    return d.groupBy("user_id").applyInPandasWithState(run, "user_id long, accepted long, rejected long", "start double, used long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def maintain_rollup(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a rollup of events by day (``stats.daily_rollup``) as they arrive: each batch adds its own part (A26 to A28 with ST2).
+
+    A batch that runs again after a failure writes its part again, in the same place.
+    """
+    from ..operators.stats import daily_rollup
+
+    def add(batch: DataFrame, number: int) -> None:
+        daily_rollup(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

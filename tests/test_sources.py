@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import stats
 from ledgerlens.sources import readers, sinks
 from ledgerlens.streaming import streams
 
@@ -97,6 +98,100 @@ def test_documents_and_fingerprints(spark, tmp_path):
     assert readers.fingerprints(spark, path).first().data_hash == "sha256:" + hashlib.sha256(b"one\ntwo").hexdigest()
 
 
+def test_digest_trees_of_any_split(spark, tmp_path):
+    rng = random.Random(1)
+    folder = tmp_path / "big"
+    folder.mkdir()
+    size = 1 << 12
+    for name, n in (("a", 10 * size + 17), ("b", size), ("c", 0), ("d", 3 * size), ("e", 5)):
+        (folder / f"{name}.bin").write_bytes(rng.randbytes(n))
+
+    def tree(raw):
+        parts = [raw[k : k + size] for k in range(0, len(raw), size)] or [b""]
+        return "sha256-tree:" + hashlib.sha256(b"".join(hashlib.sha256(p).digest() for p in parts)).hexdigest()
+
+    want = {f.name: (f.stat().st_size, tree(f.read_bytes())) for f in folder.iterdir() if f.name != "c.bin"}
+    for tasks in (1, 3, 16):
+        assert {r.path.rsplit("/", 1)[1]: (r.length, r.data_hash) for r in readers.tree_fingerprints(spark, str(folder), size, tasks).collect()} == want
+    assert {r.data_hash for r in readers.tree_fingerprints(spark, str(folder / "a.bin"), size + 1).collect()} != {want["a.bin"][1]}
+
+
+def test_files_of_one_folder_with_other_headers(spark, tmp_path):
+    folder = tmp_path / "opps"
+    folder.mkdir()
+    write(folder / "1.csv", "note\nHCPCS Code,Short Descriptor,SI,APC,Relative Weight,Payment Rate,National Unadjusted Copayment,Minimum Unadjusted Copayment\n70450,ct head,S,5522,1.5,$106.00,,21.2\n")
+    write(folder / "2.csv", "other note\nmore\nHCPCS Code,Payment Rate,Short Descriptor,APC,SI,Minimum Unadjusted Copayment,National Unadjusted Copayment,Relative Weight\n70551,230.5,mri,5523,S,1,2,3\n")
+    got = sorted((r.code, r.short_desc, r.apc, r.payment_rate, r.min_copay) for r in readers.read_opps(spark, str(folder), 2026).collect())
+    assert got == [("70450", "ct head", "5522", 106.0, 21.2), ("70551", "mri", "5523", 230.5, 1.0)]
+    folder = tmp_path / "pfs"
+    folder.mkdir()
+    write(folder / "1.txt", "HCPCS\tMOD\tDESCRIPTION\tFACILITY FEE\tNON-FACILITY FEE\tLOC\n99213\t\tvisit\t80.00\t$1,100.50\t05\n")
+    write(folder / "2.csv", 'HCPC,DESC,MOD1,PPAR_NFAC_AMOUNT,PPAR_FAC_AMOUNT,LOCALITY\n99214,"visit, long",25,7,90,01\n')
+    got = sorted((r.code, r.modifier, r.description, r.facility_rate, r.non_facility_rate) for r in readers.read_pfs_with_header(spark, str(folder), 2020).collect())
+    assert got == [("99213", None, "visit", 80.0, 1100.5), ("99214", "25", "visit, long", 90.0, 7.0)]
+
+
+def test_loads_that_repeat_or_stop(spark, tmp_path):
+    rates = spark.createDataFrame([("99213", 1.0), ("99214", 2.0)], "code string, rate double")
+    table, snaps, when = str(tmp_path / "rates"), str(tmp_path / "snaps"), datetime.datetime(2026, 1, 1)
+    assert [sinks.append_load(rates, table, snaps, k, "clfs", 2026, when, "h") for k in (1, 2, 1)] == [2, 2, 2]
+    assert spark.read.parquet(snaps).count() == 1 and sinks.committed(spark, table, snaps).count() == 2
+    # a load that stopped after its rows, before its snapshot
+    rates.unionByName(rates).write.parquet(f"{table}/snapshot_id=3")
+    assert spark.read.parquet(table).count() == 6 and sinks.committed(spark, table, snaps).count() == 2
+    assert sinks.append_load(rates.limit(1), table, snaps, 3, "clfs", 2026, when, "h2") == 1
+    assert sorted((r.snapshot_id, r.code) for r in sinks.committed(spark, table, snaps).collect()) == [(1, "99213"), (1, "99214"), (3, "99213")]
+
+
+def test_merge_rewrites_only_what_new_keys_touch(spark, tmp_path):
+    table = str(tmp_path / "t")
+    files = lambda: {p.relative_to(table): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    rows = spark.range(500).selectExpr("cast(id AS string) AS k", "id AS o", "'old' AS v")
+    sinks.create_table(rows.unionByName(rows.withColumn("o", F.col("o") - 1000)), table, ["k"], "o", 32)
+    before = files()
+    new = spark.createDataFrame([("7", 1, "x"), ("7", 2, "new"), ("900", 1, "new"), (None, 1, "null")], "k string, o long, v string")
+    n = sinks.merge_into(new, table, ["k"], "o", 32)
+    after = files()
+    assert 1 <= n <= 3 and len(before.keys() & after.keys()) == len(before) - n and all(before[f] == after[f] for f in before.keys() & after.keys())
+    got = {r.k: r.v for r in spark.read.parquet(table).collect()}
+    assert len(got) == 502 and got["7"] == "new" and got["900"] == "new" and got["8"] == "old" and got[None] == "null"
+    sinks.merge_into(spark.createDataFrame([("7", 9, "ignored"), ("901", 1, "added")], "k string, o long, v string"), table, ["k"], "o", 32, ignore=True)
+    got = {r.k: r.v for r in spark.read.parquet(table).collect()}
+    assert got["7"] == "new" and got["901"] == "added" and len(got) == 503
+    assert sinks.merge_into(new.limit(0), table, ["k"], "o", 32) == 0
+
+
+def test_state_of_silent_keys_expires(spark, tmp_path):
+    src, held = tmp_path / "quota", []
+    batches = [[(u, 10 + u % 5) for u in range(50)], [(99, 500)], [(99, 5000), (3, 5001)], [(99, 5010), (99, 5011), (99, 5012)]]
+    for part in batches:
+        spark.createDataFrame(part, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("created_at")).coalesce(1).write.mode("append").json(str(src))
+        events = spark.readStream.schema("user_id long, created_at timestamp").json(str(src))
+        q = streams.quota_stream(events, 60, 2).writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "counts"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        held.append(q.lastProgress.stateOperators[0].numRowsTotal)
+    assert held[0] >= 50 and held[-1] <= 2
+    got = spark.read.parquet(str(tmp_path / "counts")).groupBy("user_id").agg(F.sum("accepted"), F.sum("rejected")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_quota([x for part in batches for x in part], 60, 2)
+
+
+def test_rollup_kept_by_a_stream_equals_a_full_scan(spark, tmp_path):
+    rng = random.Random(6)
+    src = tmp_path / "events"
+    src.mkdir()
+    kinds = ["page_view", "audit", "signup", "upgrade", "feature_use", "share"]
+    at = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=rng.randrange(31), hours=rng.choice([0, 0, 5, 23]), minutes=rng.choice([0, 0, 59]))
+    for k in range(3):
+        rows = [{"event_type": rng.choice(kinds), "event_data": rng.choice(['{"k": "3"}', '{"k": "7.5"}', "{}", "no json"]), "user_id": rng.randrange(5), "created_at": str(at())} for _ in range(150)]
+        write(src / f"{k}.json", "\n".join(map(json.dumps, rows)))
+        streams.maintain_rollup(readers.read_events(spark, str(src), streaming=True), str(tmp_path / "rollup"), str(tmp_path / "cp")).awaitTermination()
+    events, rollup, as_of = readers.read_events(spark, str(src)), spark.read.parquet(str(tmp_path / "rollup")), F.lit("2024-01-31").cast("timestamp")
+    assert rollup.select("batch").distinct().count() == 3
+    same = lambda a, b: sorted(map(str, (r.asDict() for r in a.collect()))) == sorted(map(str, (r.asDict() for r in b.collect())))
+    assert same(stats.page_views(events, as_of), stats.page_views_of(rollup, as_of)) and same(stats.audit_events(events, as_of), stats.audit_events_of(rollup, as_of))
+    assert same(stats.event_trend(events, as_of), stats.event_trend_of(rollup, as_of))
+
+
 def test_overwrite_while_reading(spark, tmp_path):
     table = str(tmp_path / "t")
     spark.range(3).write.parquet(table)
