@@ -77,6 +77,32 @@ def price_summary(prices: DataFrame) -> DataFrame:
     return prices.groupBy("billing_code").agg(F.countDistinct("hospital_name").alias("hospitals"), *ranges)
 
 
+_RANGES = (("cash_discount_price", "cash"), ("negotiated_rate", "negotiated"), ("gross_charge", "gross"))
+SKETCH = 12  #: log2 of a sketch's registers: a standard error of about 1.6 %, exact for small counts
+
+
+def price_sketches(prices: DataFrame) -> DataFrame:
+    """Per source and code what A29 and A30 need, in a form that sources can be put together from.
+
+    Stored with ``sinks.replace_source``, so a replaced source (K05) costs a pass over that source only: ``merged_summary``
+    and ``merged_stats`` read the sketches of all sources, never their prices.
+    """
+    ranges = [f(F.when(F.col(c) > 0, F.col(c))).alias(f"{name}_{n}") for c, n in _RANGES for name, f in (("min", F.min), ("max", F.max))]
+    return prices.groupBy("source_id", "billing_code").agg(F.count("*").alias("n"), F.hll_sketch_agg("hospital_name", SKETCH).alias("hospitals"), F.hll_sketch_agg("payer_name", SKETCH).alias("payers"), *ranges)
+
+
+def merged_summary(sketches: DataFrame) -> DataFrame:
+    """``price_summary`` from sketches: ranges exact, hospitals within the sketch's error."""
+    ranges = [f(f"{name}_{n}").alias(f"{name}_{n}") for _, n in _RANGES for name, f in (("min", F.min), ("max", F.max))]
+    return sketches.groupBy("billing_code").agg(F.hll_sketch_estimate(F.hll_union_agg("hospitals")).alias("hospitals"), *ranges)
+
+
+def merged_stats(sketches: DataFrame) -> DataFrame:
+    """``price_stats`` from sketches: rows and codes exact, hospitals and payers within the sketch's error."""
+    estimate = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c)
+    return sketches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), estimate("hospitals"), estimate("payers"), F.countDistinct("billing_code").alias("codes"))
+
+
 def cheapest_payers(prices: DataFrame, k: int = 20) -> DataFrame:
     """Mean negotiated rate per code and payer, the k cheapest of each code."""
     mean = prices.where("negotiated_rate > 0 AND payer_name IS NOT NULL").groupBy("billing_code", "payer_name").agg(round_to(F.avg("negotiated_rate"), 2).alias("mean_rate"))

@@ -34,6 +34,13 @@ def next_page(t: Tables) -> DataFrame:
     return stats.audit_page_after(t.audits, last["created_at"], last["report_id"]).select("report_id", F.col("created_at").cast("string").alias("day"))
 
 
+def sketched(t: Tables) -> DataFrame:
+    """The summary from sketches by source; ``close`` tells whether the estimate is within 5 % of the exact count."""
+    d = prices.merged_summary(t.step("sketches", lambda: prices.price_sketches(t.hospital_prices)))
+    exact = t.hospital_prices.groupBy("billing_code").agg(F.countDistinct("hospital_name").alias("exact"))
+    return d.join(exact, "billing_code").withColumn("close", F.abs(F.col("hospitals") - F.col("exact")) <= 0.05 * F.col("exact")).drop("hospitals", "exact")
+
+
 STATE_OF = "CASE WHEN CAST(substr(facility_name, 10) AS INT) % 3 > 0 THEN CAST(CAST(substr(facility_name, 10) AS INT) % 25 AS STRING) END"
 NAMES = f"SELECT DISTINCT replace(facility_name, '#', ' ') AS name, {STATE_OF} AS state FROM {{bills}}"
 
@@ -136,6 +143,10 @@ QUERIES = {
         lambda t: prices.price_summary(t.hospital_prices),
         "SELECT billing_code, count(DISTINCT hospital_name) AS hospitals, " + ", ".join(f"{f}({c}) FILTER ({c} > 0) AS {f}_{n}" for c, n in (("cash_discount_price", "cash"), ("negotiated_rate", "negotiated"), ("gross_charge", "gross")) for f in ("min", "max")) + " FROM {hospital_prices} GROUP BY billing_code",
     ),
+    "a30_sketched_summary": (
+        sketched,
+        "SELECT billing_code, " + ", ".join(f"{f}({c}) FILTER ({c} > 0) AS {f}_{n}" for c, n in (("cash_discount_price", "cash"), ("negotiated_rate", "negotiated"), ("gross_charge", "gross")) for f in ("min", "max")) + ", true AS close FROM {hospital_prices} GROUP BY billing_code",
+    ),
     "a31_cheapest_payers": (
         lambda t: prices.cheapest_payers(t.hospital_prices),
         f"WITH m AS (SELECT billing_code, payer_name, {r('avg(negotiated_rate)', 2)} AS mean_rate FROM {{hospital_prices}} WHERE negotiated_rate > 0 AND payer_name IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY billing_code ORDER BY mean_rate, payer_name) AS rank FROM m) WHERE rank <= 20",

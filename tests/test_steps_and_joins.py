@@ -103,6 +103,24 @@ def test_price_look_up_on_a_common_code(spark):
     assert least == {i: min(r[4] for r in rows if r[1] == c and (h is None or h.lower() in r[2].lower()) and r[4] > 0) for i, c, h, _ in asked if c != "none"}
 
 
+def test_sketches_of_a_replaced_source(spark, tmp_path):
+    from ledgerlens.sources import sinks
+
+    p = lambda source, n: spark.range(n).selectExpr(f"{source} AS source_id", "concat('c', id % 5) AS billing_code", f"concat('h', {source}, '-', id % 700) AS hospital_name", "concat('p', id % 40) AS payer_name", "id % 90 - 3.0D AS cash_discount_price", "id + 1.5D AS negotiated_rate", "-1.0D AS gross_charge")
+    table = str(tmp_path / "sketches")
+    sinks.replace_source(prices.price_sketches(p(1, 4000).unionByName(p(2, 3000))), table)
+    first = {f for f in (tmp_path / "sketches").rglob("*.parquet") if "source_id=1" in str(f)}
+    sinks.replace_source(prices.price_sketches(p(2, 9000)), table)
+    assert first == {f for f in (tmp_path / "sketches").rglob("*.parquet") if "source_id=1" in str(f)}
+    held, now = spark.read.parquet(table), p(1, 4000).unionByName(p(2, 9000))
+    a, b = prices.merged_stats(held).first(), prices.price_stats(now).first()
+    assert (a.n, a.codes) == (b.n, b.codes) and abs(a.hospitals - b.hospitals) <= 0.05 * b.hospitals and abs(a.payers - b.payers) <= 2
+    want = {r.billing_code: r for r in prices.price_summary(now).collect()}
+    for r in prices.merged_summary(held).collect():
+        w = want[r.billing_code]
+        assert (r.min_cash, r.max_cash, r.min_negotiated, r.max_negotiated, r.min_gross) == (w.min_cash, w.max_cash, w.min_negotiated, w.max_negotiated, None) and abs(r.hospitals - w.hospitals) <= 0.05 * w.hospitals
+
+
 def test_registry_by_state_and_alias(spark):
     entries = [(0, "Mercy Hospital", ["Zebra Clinic"], ["CA", "NY"]), (1, "Mercy East", None, ["ny"]), (2, "General", ["Mercy"], []), (3, "Unlike Place", ["Zz"], ["CA"])]
     r = spark.createDataFrame(entries, "ord int, name string, aliases array<string>, states array<string>")
