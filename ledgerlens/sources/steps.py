@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +42,7 @@ class Steps:
     def keep(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         """The step ``name``, built at its first use."""
         if name not in self.made:
+            _open.add(self)
             df, path = build(), f"{self.root}/{name}"
             if by is None:
                 df.write.parquet(path)
@@ -63,9 +63,10 @@ class Steps:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.made, self.tables = {}, []
+        _open.discard(self)
 
 
-_open: weakref.WeakSet[Steps] = weakref.WeakSet()
+_open: set[Steps] = set()  #: results outlive the objects that made them, so these are kept until they are closed
 
 
 @atexit.register
