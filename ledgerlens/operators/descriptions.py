@@ -36,10 +36,14 @@ def searchable(clfs: DataFrame, asp: DataFrame, opps: DataFrame) -> DataFrame:
     return out
 
 
+def entries(synonyms: DataFrame) -> DataFrame:
+    """The part of ``dictionary`` that exact and fuzzy matches read."""
+    return synonyms.select(F.lit(True).alias("entry"), F.col("ord").cast("long").alias("ord"), F.lit(0).cast("long").alias("seq"), "code", normal_text("description").alias("text"))
+
+
 def dictionary(synonyms: DataFrame, said: DataFrame) -> DataFrame:
     """(entry, ord, seq, code, text): both sources of codes, as the index reads them. Best stored, as it is read a few times."""
-    own = synonyms.select(F.lit(True).alias("entry"), F.col("ord").cast("long").alias("ord"), F.lit(0).cast("long").alias("seq"), "code", normal_text("description").alias("text"))
-    return own.unionByName(said.select(F.lit(False).alias("entry"), F.col("ord").cast("long").alias("ord"), F.col("seq").cast("long").alias("seq"), "code", F.lower("said").alias("text")))
+    return entries(synonyms).unionByName(said.select(F.lit(False).alias("entry"), F.col("ord").cast("long").alias("ord"), F.col("seq").cast("long").alias("seq"), "code", F.lower("said").alias("text")))
 
 
 def _prefixed(prefix: str, words: Column) -> Column:

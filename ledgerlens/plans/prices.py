@@ -68,7 +68,8 @@ def dictionary(t: Tables) -> DataFrame:
 
 
 def matched(t: Tables, step: str) -> DataFrame:
-    return descriptions.match(text_names(t), dictionary(t), (step,)).drop("step")
+    texts = t.step("entries", lambda: descriptions.entries(t.code_synonyms)) if step in ("exact", "fuzzy") else dictionary(t)
+    return descriptions.match(text_names(t), texts, (step,)).drop("step")
 
 
 def text_names(t: Tables) -> DataFrame:
