@@ -163,6 +163,10 @@ class Tables:
         self._steps = self._steps or Steps(self.spark)
         return self._steps.keep(name, build, by)
 
+    def files(self, name: str, write: Callable[[str], None]) -> str:
+        self._steps = self._steps or Steps(self.spark)
+        return self._steps.files(name, write)
+
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         return self.step(name, lambda: df)
 

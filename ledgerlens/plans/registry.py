@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import prices, rates, rules, tables, text
+from . import files, prices, rates, rules, tables, text
 from .bindings import Tables
 
-_ALL = {**rates.QUERIES, **rules.QUERIES, **prices.QUERIES, **text.QUERIES, **tables.QUERIES}
+_ALL = {**rates.QUERIES, **rules.QUERIES, **prices.QUERIES, **text.QUERIES, **tables.QUERIES, **files.QUERIES}
 
 
 def _on_folder(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

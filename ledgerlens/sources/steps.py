@@ -55,6 +55,15 @@ class Steps:
                 self.made[name] = self.spark.table(table)
         return self.made[name]
 
+    def files(self, name: str, write: Callable[[str], None]) -> str:
+        """The folder ``name`` that ``write`` fills at its first use, for files that aren't tables."""
+        path = f"{self.root}/{name}"
+        if name not in self.made:
+            _open.add(self)
+            write(path)
+            self.made[name] = path
+        return path
+
     def close(self) -> None:
         """Delete all steps; frames that read them can't be used any more."""
         for table in self.tables:
