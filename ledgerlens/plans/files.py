@@ -215,11 +215,24 @@ PROVIDERS = "SELECT 'CMS-' || ein AS ein, 'José ' || name AS name, city, upper(
 RANGE = 1024  #: bytes of a range here, so that files of the small tables have several
 
 
-def file_digests(t: Tables) -> DataFrame:
-    """Digest trees of a file of customers for each nation."""
+def by_nation(t: Tables) -> str:
+    """A text file of customers for each nation."""
     d = t.customer.select(F.col("c_nationkey").cast("string").alias("nation"), "c_custkey", F.concat_ws("|", "c_custkey", "c_name").alias("value"))
-    path = t.files("by_nation", lambda p: d.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy("nation").text(p))
-    return readers.tree_fingerprints(t.spark, path, RANGE).select(F.regexp_extract("path", r"nation=(\d+)", 1).alias("nation"), "length", "data_hash")
+    return t.files("by_nation", lambda p: d.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy("nation").text(p))
+
+
+def text_documents(t: Tables) -> DataFrame:
+    """Whole text files as documents."""
+    d = readers.read_documents(t.spark, by_nation(t))
+    return d.select(F.regexp_extract("doc_id", r"nation=(\d+)", 1).alias("nation"), F.length("text").cast("long").alias("length"), F.sha2("text", 256).alias("text_sha256"), "confidence")
+
+
+DOCUMENTS = "SELECT nation, length(body) AS length, sha256(body) AS text_sha256, CAST(0.95 AS DOUBLE) AS confidence FROM (SELECT CAST(c_nationkey AS VARCHAR) AS nation, string_agg(CAST(c_custkey AS VARCHAR) || '|' || c_name || chr(10), '' ORDER BY c_custkey) AS body FROM {customer} GROUP BY 1) f"
+
+
+def file_digests(t: Tables) -> DataFrame:
+    """Digest trees of the same files."""
+    return readers.tree_fingerprints(t.spark, by_nation(t), RANGE).select(F.regexp_extract("path", r"nation=(\d+)", 1).alias("nation"), "length", "data_hash")
 
 
 DIGESTS = f"""WITH f AS (SELECT CAST(c_nationkey AS VARCHAR) AS nation, string_agg(CAST(c_custkey AS VARCHAR) || '|' || c_name || chr(10), '' ORDER BY c_custkey) AS body FROM {{customer}} GROUP BY 1),
@@ -316,6 +329,7 @@ QUERIES = {
     "s07_price_files": (price_files, PRICE_FILES),
     "s08_bill_files": (bill_files, BILL_FILES),
     "s09_statement_files": (statement_files, STATEMENT_FILES),
+    "s10_text_documents": (text_documents, DOCUMENTS),
     "s11_nonprofit_files": (nonprofit_files, NONPROFITS),
     "s12_provider_file": (provider_file, PROVIDERS),
     "s13_file_digests": (file_digests, DIGESTS),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import descriptions, prices, stats
 from .bindings import Tables, with_views
-from .rates import FOUND, found, r
+from .rates import FOUND, found, prefix, r
 
 
 def requests(t: Tables) -> DataFrame:
@@ -180,6 +180,18 @@ QUERIES = {
     "j26_best_registry_match": (lambda t: prices.registry_matches(names(t), entries(t), 0.4, 1), registry_sql(0.4, 1)),
     "p25_zip": (lambda t: t.bills.select("bill_id", fn.zip5(F.concat(F.lit(" "), "zip", F.lit("-1234"))).alias("zip")), "SELECT bill_id, lpad(substr(regexp_replace(' ' || zip || '-1234', '\\D', '', 'g'), 1, 5), 5, '0') AS zip FROM {bills}"),
     "p26_ein": (lambda t: t.charity_hospitals.select("name", fn.ein("ein").alias("ein")), "SELECT name, substr(ein, 1, 2) || '-' || substr(ein, 3, 7) AS ein FROM {charity_hospitals}"),
+    "f02_code_numbers": (
+        lambda t: t.bill_lines.select("code").distinct().select(fn.clean_code(F.concat(F.lit(" "), F.lower("code"))).alias("code"), fn.number_prefix("code").alias("number")),
+        f"SELECT DISTINCT code, {prefix('code')} AS number FROM {{bill_lines}}",
+    ),
+    "f05_word_sets": (
+        lambda t: t.descriptions.select("seq", F.array_join(F.array_sort(fn.tokens(F.concat_ws(" - ", "description", "brand", "description"))), " ").alias("words")),
+        f"SELECT seq, array_to_string(list_sort(list_distinct(string_split({N.format('description || chr(32) || brand')}, ' '))), ' ') AS words FROM {{descriptions}}",
+    ),
+    "f14_money_texts": (
+        lambda t: t.bills.select("bill_id", fn.money_text(F.when(F.col("bill_id") % 2 == 0, -F.col("total_billed")).otherwise(F.col("total_billed"))).alias("total")),
+        "SELECT bill_id, '$' || format('{:,}', CAST(trunc(x) AS BIGINT)) || '.' || right(CAST(x AS VARCHAR), 2) AS total FROM (SELECT bill_id, CAST(CASE WHEN bill_id % 2 = 0 THEN -total_billed ELSE total_billed END AS DECIMAL(18,2)) AS x FROM {bills}) b",
+    ),
     "f04_normal_text": (lambda t: t.descriptions.select("seq", fn.normal_text("brand").alias("brand"), F.size(fn.tokens("description")).alias("n")), f"SELECT seq, {N.format('brand')} AS brand, len({TOK.format(N.format('description'))}) AS n FROM {{descriptions}}"),
     "f06_token_overlap": (
         lambda t: t.descriptions.select("seq", fn.overlap(fn.tokens("description"), fn.tokens(F.concat_ws(" ", "brand", "description"))).alias("score")),

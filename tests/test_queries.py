@@ -11,7 +11,7 @@ from ledgerlens.plans import files, registry
 
 FOLDER = "/root/testdata/sf0.001"
 #: One query of each area; the driver compares all of them at a larger scale.
-NAMES = ["j05_multi_source_match", "j06_tiered_match", "a01_bill_totals", "a17_billing_errors", "a18_line_alerts", "a22_savings_summary", "j24_description_cascade", "j25_registry_matches", "a30_price_summary", "t07_bill_lines", "k07_upsert", "a28_event_trend", "a03_reports", "u04_alerts_union", "j13_line_for_finding", "j15_price_lookup", "j16_lowest_prices", "t06_resolved_lines", "t13_bills_from_text", "t16_claim_number", "t19_resolved_codes", "w05_seek_page"] + list(files.QUERIES)
+NAMES = ["j05_multi_source_match", "j06_tiered_match", "a01_bill_totals", "a17_billing_errors", "a18_line_alerts", "a22_savings_summary", "j24_description_cascade", "j25_registry_matches", "a30_price_summary", "t07_bill_lines", "k07_upsert", "a28_event_trend", "a03_reports", "u04_alerts_union", "j13_line_for_finding", "j15_price_lookup", "j16_lowest_prices", "t06_resolved_lines", "t13_bills_from_text", "t16_claim_number", "t19_resolved_codes", "w05_seek_page"] + list(files.QUERIES) + ["f02_code_numbers", "f05_word_sets", "f14_money_texts"]
 
 
 def rows(df):
