@@ -162,6 +162,33 @@ def test_fuzzy_matches_by_rarest_words_against_all_pairs(spark):
     assert {r.description: (r.step, r.code) for r in split.collect()} == {x: (s, c) for x, (s, c) in all_steps.items() if s != "words" or x in {r.name for r in descriptions.match(n, texts, ("words",)).where("confidence >= 0.6").collect()}}
 
 
+def test_equal_descriptions_are_indexed_a_few_times(spark):
+    """Copies of a text don't grow the index, names alike in their first longer words ask once, and the results are those of all rows."""
+    rng = random.Random(5)
+    words = ["blood", "draw", "panel", "chest", "view", "two", "of"]
+    kinds = [" ".join(rng.sample(words, 4)) for _ in range(12)]
+    said = [(k % 3, k, f"r{k}", rng.choice(kinds)) for k in rng.sample(range(5000), 2000)]
+    synonyms = [(k, rng.choice(kinds[:2]), f"c{k}") for k in range(300)]
+    texts = descriptions.dictionary(spark.createDataFrame(synonyms, "ord long, description string, code string"), spark.createDataFrame(said, "ord int, seq long, code string, said string")).cache()
+    assert texts.where("entry").count() == 2 and texts.where("NOT entry").count() <= 12 * 3 * descriptions.FIRST_ROWS
+    names = sorted({" ".join(rng.sample(words, n)) for n in (2, 3, 5) for _ in range(40)})
+    want = {}
+    for x in names:
+        t, longer = x.split(), [w for w in x.split() if len(w) > 2]
+        for o in range(3):
+            five = sorted(r for r in said if r[0] == o and len(longer) > 1 and longer[0] in r[3] and longer[1] in r[3])[:5]
+            scored = [(-len({*t} & {*r[3].split()}) / min(len(t), 4), r[1], r[2]) for r in five]
+            scored = [s for s in scored if s[0] <= -0.5]
+            if scored:
+                want[x] = min(scored)[2]
+                break
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    assert {r.name: r.code for r in descriptions.match(n, texts, ("words",)).collect()} == want and len(want) > 30
+    first = {x: f"c{min(k for k, s, _ in synonyms if s == x)}" for x in kinds[:2]}
+    both = spark.createDataFrame([(x,) for x in first], "name string")
+    assert {r.name: r.code for r in descriptions.match(both, texts, ("exact",)).collect()} == first == {r.name: r.code for r in descriptions.match(both, texts, ("fuzzy",)).collect()}
+
+
 def test_extraction_by_hand(spark):
     """Lines of the shapes that bills have, with the answers written out."""
     rows = [
