@@ -189,6 +189,21 @@ def test_equal_descriptions_are_indexed_a_few_times(spark):
     assert {r.name: r.code for r in descriptions.match(both, texts, ("exact",)).collect()} == first == {r.name: r.code for r in descriptions.match(both, texts, ("fuzzy",)).collect()}
 
 
+def test_documents_are_built_by_one_grouping(spark, tmp_path):
+    """Lines of an order are shuffled once and joined with parts once; the texts are those of the view, also where lines have no part."""
+    t = Tables(spark, FOLDER)
+    plan = t.bill_docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Window" not in plan
+    for n in ("orders", "lineitem", "part"):
+        d = getattr(t, n)
+        (d.where("p_partkey % 7 > 0") if n == "part" else d).write.parquet(f"{tmp_path}/{n}.parquet")
+    less = Tables(spark, str(tmp_path))
+    for x in (t, less):
+        lines = x.doc_lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda v: v["line"]), "\n").alias("body"))
+        assert x.bodies.count() == lines.count() > 1000 and x.bodies.exceptAll(lines).isEmpty()
+    assert less.doc_lines.count() < t.doc_lines.count()
+
+
 def test_extraction_by_hand(spark):
     """Lines of the shapes that bills have, with the answers written out."""
     rows = [
