@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dispute_strength, rate_context, round_to, severity, severity_rank
-from .matching import join_nullsafe, match_rates, resolve_zip
+from .matching import join_nullsafe, match_rates, resolve_zip, site_savings
 
 
 def placed_lines(bills: DataFrame, lines: DataFrame, zips: DataFrame) -> DataFrame:
@@ -18,15 +18,27 @@ def placed_lines(bills: DataFrame, lines: DataFrame, zips: DataFrame) -> DataFra
 LOOKUP = ["code", "modifier", "locality", "context"]
 
 
-def findings(placed: DataFrame, card: DataFrame) -> DataFrame:
+def _look_up() -> Column:
+    """The four values of a look-up as one text, null unlike any value; codes, modifiers and places have no control characters."""
+    return F.concat_ws("\x01", *[F.coalesce(c, F.lit("\x02")) for c in LOOKUP])
+
+
+def findings(placed: DataFrame, packs: DataFrame, by: str | None = None, sites: bool = False) -> DataFrame:
     """One finding per bill line: the matched rate, overcharge, multiplier, severity and dispute strength.
 
     Bills repeat codes heavily, so DISTINCT look-ups are matched and joined back; that also removes the skew of common
-    codes from the rate join. ``placed`` (from ``placed_lines``) is read twice, so it should be a stored step; ``card``
-    is ``matching.rate_card``. Units are ignored: a line is compared with the rate of one unit.
+    codes from the rate join. Lines take one short key to that join and get the look-up's values from the other side.
+    ``placed`` (from ``placed_lines``) is read twice, so it should be a stored step; ``packs`` is ``matching.rate_packs``.
+    Units are ignored: a line is compared with the rate of one unit. With ``by`` findings are dealt by that column before
+    ratings are derived, so that a grouping by it moves no more; ``sites`` adds ``matching.site_savings``.
     """
-    rated = match_rates(placed.select(*LOOKUP).distinct(), card)
-    return rate_lines(join_nullsafe(placed, rated, LOOKUP))
+    asked = placed.select(*LOOKUP).distinct()
+    rated = match_rates(asked, packs)
+    if sites:
+        rated = join_nullsafe(rated, site_savings(asked, packs), ["code", "locality"])
+    joined = placed.withColumn("__key", _look_up()).drop(*LOOKUP).join(rated.withColumn("__key", _look_up()), "__key")
+    joined = joined.select(*placed.columns, *[c for c in rated.columns if c not in LOOKUP])
+    return rate_lines(joined.repartition(by) if by else joined)
 
 
 def rate_lines(joined: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clean_code, grams, is_drug, is_lab
+from ..functions import clean_code, grams, is_drug, is_lab, is_shoppable, round_to
 
 ANY = "*"  #: key of a look-up that doesn't ask for a modifier or locality
 NONE = "-"  #: key of a rate without one
@@ -100,23 +100,52 @@ def rate_card(pfs: DataFrame, clfs: DataFrame, asp: DataFrame, opps: DataFrame)
     return rows
 
 
+def rate_packs(pfs: DataFrame, clfs: DataFrame, asp: DataFrame, opps: DataFrame) -> DataFrame:
+    """All schedules with one row per code (code, pfs, clfs, asp, opps), for look-ups that need rates and no texts.
+
+    ``pfs`` holds the best row per modifier and locality, ``clfs`` per modifier, so a row is bounded by a schedule's
+    modifiers times localities. Rates are reduced before they move: the order of rows (as in ``best_rates``) is one number,
+    so buffers are plain numbers and the grouping hashes, without a sort. ``rate_seq`` is unique and below 2^60.
+    """
+    order = (_missing_last("facility_rate") * 2 + _missing_last("non_facility_rate")).cast("long") * (1 << 61) + F.col("rate_seq")
+    best = pfs.withColumn("o", order).groupBy("code", "modifier", "locality").agg(F.min("o").alias("o"), F.min_by("facility_rate", "o").alias("facility_rate"), F.min_by("non_facility_rate", "o").alias("non_facility_rate"))
+    lab = clfs.groupBy("code", F.nullif("modifier", F.lit("")).alias("modifier")).agg(F.max(F.struct("rate", (-F.col("rate_seq")).alias("o"))).alias("r"))
+    rows = best.select("code", F.struct("o", "facility_rate", "non_facility_rate", "modifier", "locality").alias("pfs"))
+    for part in (
+        lab.select("code", F.struct("r.rate", "r.o", "modifier").alias("clfs")),
+        asp.groupBy("code").agg(F.max("payment_limit").alias("asp")),
+        opps.where("payment_rate > 0").groupBy("code").agg(F.max("payment_rate").alias("opps")),
+    ):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.groupBy("code").agg(F.collect_list("pfs").alias("pfs"), F.collect_list("clfs").alias("clfs"), F.max("asp").alias("asp"), F.max("opps").alias("opps"))
+
+
+def _fits(own: Column, asked: str) -> Column:
+    """Whether a rate's modifier or locality answers a look-up's: either has none, or they are equal."""
+    return F.col(asked).isNull() | own.isNull() | (own == F.col(asked))
+
+
+def best_by_place() -> Column:
+    """For (locality) with the ``pfs`` of a pack: the best row of any modifier there."""
+    return F.array_min(F.filter("pfs", lambda x: _fits(x["locality"], "locality")))
+
+
 def _wanted(c: str) -> Column:
     """Keys of a look-up's modifier or locality: any row if it has none, else its own or rows without one."""
     return F.when(F.col(c).isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.col(c), F.lit(NONE)))
 
 
-def match_rates(lookups: DataFrame, card: DataFrame) -> DataFrame:
+def match_rates(lookups: DataFrame, packs: DataFrame) -> DataFrame:
     """The cascade (J05) for distinct look-ups (code, modifier, locality, context): adds source, mode, rate_used and rates.
 
     Drugs take their limit first and laboratory codes their schedule; then the physician schedule, outpatient rates in
-    a facility, and the other schedules. A look-up asks the card for at most seven keys; one join and one grouping give
-    the four candidates as columns of one row, so the choice costs nothing more.
+    a facility, and the other schedules. A look-up meets the one row of its code (``rate_packs``) and chooses there, so
+    look-ups move once and no rate is repeated per key.
     """
-    key = lambda m, p: F.struct(m.alias("mod_key"), p.alias("loc_key"))
-    lab = F.transform(_wanted("modifier"), lambda m: key(m, F.lit(ALL)))
-    places = F.flatten(F.transform(_wanted("modifier"), lambda m: F.transform(_wanted("locality"), lambda p: key(m, p))))
-    asked = lookups.withColumn("__key", F.explode(F.concat(places, lab, F.array(key(F.lit(ALL), F.lit(ALL)))))).select(*lookups.columns, "__key.*")
-    found = asked.join(card, ["code", "mod_key", "loc_key"], "left").groupBy(*lookups.columns).agg(F.min("pfs").alias("pfs"), F.max("clfs").alias("clfs"), F.max("asp").alias("asp"), F.max("opps").alias("opps"))
+    found = lookups.join(packs, "code", "left").select(
+        *lookups.columns, F.array_min(F.filter("pfs", lambda x: _fits(x["modifier"], "modifier") & _fits(x["locality"], "locality"))).alias("pfs"),
+        F.array_max(F.filter("clfs", lambda x: _fits(x["modifier"], "modifier"))).alias("clfs"), "asp", "opps",
+    )
     usable = (F.coalesce(F.col("pfs.facility_rate"), F.lit(0.0)) != 0) | (F.coalesce(F.col("pfs.non_facility_rate"), F.lit(0.0)) != 0)
     d = found.withColumns({"pfs": F.when(usable, F.col("pfs")), "clfs": F.when(F.col("clfs.rate") != 0, F.col("clfs"))})
     drug, lab, facility = is_drug("code"), is_lab("code"), F.col("context") == "facility"
@@ -131,8 +160,8 @@ def match_rates(lookups: DataFrame, card: DataFrame) -> DataFrame:
     only = F.lit("exact_code_only")
     p = pick("pfs", pfs_mode, F.col("pfs.facility_rate"), F.col("pfs.non_facility_rate"))
     c = pick("clfs", clfs_mode, F.col("clfs.rate"), F.col("clfs.rate"))
-    a = pick("asp", only, F.col("asp.payment_limit"), F.col("asp.payment_limit"))
-    o = pick("opps", only, F.col("opps.payment_rate"), none)
+    a = pick("asp", only, F.col("asp"), F.col("asp"))
+    o = pick("opps", only, F.col("opps"), none)
     has = {k: F.col(k).isNotNull() for k in ("pfs", "clfs", "asp", "opps")}
     best = F.coalesce(
         F.when(drug & has["asp"], a), F.when(lab & has["clfs"], c), F.when(has["pfs"], p), F.when(facility & has["opps"], o),
@@ -183,7 +212,7 @@ def zips_of(zips: DataFrame) -> DataFrame:
 
 
 def site_rates(lookups: DataFrame, card: DataFrame) -> DataFrame:
-    """Site-of-service rates (J10) for distinct (code, locality): the modifier is ignored; description falls back to opps."""
+    """Site-of-service rates (J10) for distinct (code, locality), from a ``rate_card``: the modifier is ignored; description falls back to opps."""
     key = lambda m, p: F.struct(m.alias("mod_key"), p.alias("loc_key"))
     keys = F.concat(F.transform(_wanted("locality"), lambda p: key(F.lit(ANY), p)), F.array(key(F.lit(ALL), F.lit(ALL))))
     asked = lookups.select("code", "locality").distinct().withColumn("__key", F.explode(keys)).select(F.col("code").alias("asked"), clean_code("code").alias("code"), "locality", "__key.*")
@@ -191,6 +220,20 @@ def site_rates(lookups: DataFrame, card: DataFrame) -> DataFrame:
     return d.select(F.col("asked").alias("code"), "locality", F.col("r.facility_rate").alias("facility_rate"), F.col("r.non_facility_rate").alias("non_facility_rate"), F.col("o.payment_rate").alias("opps_rate"), F.coalesce("r.description", "o.short_desc").alias("rate_description"))
 
 
+def site_saving(facility: str, office: str) -> Column:
+    """Facility less office rate where both are positive and the first is larger."""
+    fac, off = F.col(facility), F.col(office)
+    return F.when((fac > 0) & (off > 0) & (fac > off), round_to(fac - off, 2))
+
+
+def site_savings(lookups: DataFrame, packs: DataFrame) -> DataFrame:
+    """Positive savings at another site (P30) of shoppable codes by (code, locality), from ``rate_packs``, for look-ups that need no texts."""
+    asked = lookups.select("code", "locality").distinct().select(F.col("code").alias("asked"), clean_code("code").alias("code"), "locality")
+    d = asked.join(packs.select("code", "pfs"), "code", "left").select("asked", "locality", best_by_place().alias("r"))
+    saving = site_saving("r.facility_rate", "r.non_facility_rate")
+    return d.select(F.col("asked").alias("code"), "locality", F.when((saving > 0) & is_shoppable("asked"), saving).alias("site_saving"))
+
+
 GRAM = 3
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import audit, balance, errors, insurance, matching
 from .bindings import Tables, with_views
-from .rates import FOUND, SITE, card, found, placed, prefix, r, stored_card, stored_found
+from .rates import FOUND, SITE, found, packs, placed, prefix, r, stored_card, stored_packs
 
 
 def sites(t: Tables) -> DataFrame:
-    lines = placed(t).select("bill_id", "line_number", "code", "description", "locality")
+    lines = placed(t, said=True).select("bill_id", "line_number", "code", "description", "locality")
     return balance.site_of_service(lines, matching.site_rates(lines, stored_card(t)))
 
 
@@ -71,20 +71,21 @@ def _insight_sql(rules: list[tuple[str, str, str]]) -> str:
     return f"WITH {COMPARED} {parts}"
 
 
-def eline(t: Tables) -> DataFrame:
-    return t.eob_lines
+def a18(t: Tables) -> DataFrame:
+    return balance.line_alerts(t.bill_lines.join(t.bills.select("bill_id"), "bill_id"), t.eob_lines)
 
 
 def a22(t: Tables) -> DataFrame:
-    f = stored_found(t)
-    return balance.savings_summary(audit.bill_totals(f, t.bills).select("bill_id", "total_billed", "baseline"), errors.billing_errors(placed(t), stored_card(t)), sites(t), balance.alerts(f, t.eob_lines, t.eobs))
+    lines = placed(t, said=True)
+    f = audit.findings(lines, stored_packs(t), sites=True)
+    return balance.savings_summary(f, t.bills, errors.billing_errors(lines, stored_packs(t)), balance.billing_alerts(lines, t.eob_lines, t.eobs))
 
 
 _err = lambda f: lambda t: f(t.bill_lines)
 EST = {f"{p}_{e}": m for p, ends in fn.PLAN_MULTIPLES.items() for e, m in zip(("low", "high"), ends, strict=True)} | {"national_avg": fn.NATIONAL_AVERAGE}
 
 QUERIES = {
-    "j11_upcoding": (lambda t: errors.upcoding(placed(t), card(t)), _rule_sql("upcoding")),
+    "j11_upcoding": (lambda t: errors.upcoding(placed(t), packs(t)), _rule_sql("upcoding")),
     "a10_bundled": (_err(errors.bundled), _rule_sql("bundle")),
     "a11_wound_repair": (_err(errors.wound_repair), _rule_sql("wound")),
     "a12_visit_with_procedure": (_err(errors.visit_with_procedure), _rule_sql("visit")),
@@ -92,12 +93,12 @@ QUERIES = {
     "a14_duplicates": (_err(errors.duplicates), _rule_sql("duplicate")),
     "a15_missing_distinct_modifier": (_err(errors.missing_distinct_modifier), _rule_sql("missing")),
     "a16_modifier_25": (_err(errors.modifier_25), _rule_sql("m25")),
-    "a17_billing_errors": (lambda t: errors.billing_errors(placed(t), card(t)), f"WITH {LOW_SITE}, {BL}, {ERRORS} SELECT bill_id, rule, type, severity, codes, CAST(saving AS DOUBLE) AS saving FROM errs"),
+    "a17_billing_errors": (lambda t: errors.billing_errors(placed(t, said=True), packs(t)), f"WITH {LOW_SITE}, {BL}, {ERRORS} SELECT bill_id, rule, type, severity, codes, CAST(saving AS DOUBLE) AS saving FROM errs"),
     "u04_alerts_union": (
-        lambda t: balance.alerts(stored_found(t), t.eob_lines, t.eobs).groupBy("rule", "type", "severity").agg(F.count("*").alias("n"), fn.round_to(F.sum("excess"), 0).alias("excess")),
+        lambda t: balance.alerts(found(t), placed(t), t.eob_lines, t.eobs).groupBy("rule", "type", "severity").agg(F.count("*").alias("n"), fn.round_to(F.sum("excess"), 0).alias("excess")),
         f"WITH {FOUND}, {FIRST}, al AS ({' UNION ALL '.join(ALERTS.values())}) SELECT rule, type, severity, count(*) AS n, {r('sum(excess)', 0)} AS excess FROM al GROUP BY ALL",
     ),
-    "a18_line_alerts": (lambda t: balance.line_alerts(stored_found(t), t.eob_lines), f"WITH {FOUND}, {FIRST} {ALERTS['line']}"),
+    "a18_line_alerts": (a18, f"WITH {FOUND}, {FIRST} {ALERTS['line']}"),
     "a19_surprise_bills": (lambda t: balance.surprise_bills(t.eobs), ALERTS["surprise"]),
     "a20_wrong_arithmetic": (lambda t: balance.wrong_arithmetic(t.eobs), ALERTS["arithmetic"]),
     "a21_excessive_markups": (lambda t: balance.excessive_markups(found(t)), f"WITH {FOUND} {ALERTS['markup']}"),
@@ -140,19 +141,19 @@ SELECT *, baseline > 0 AND total_billed / baseline > 3 AS over_three_times, CASE
         f"SELECT bill_id, coalesce(total_allowed, summed) AS total_allowed, coalesce(abs(total_allowed - summed) > 1, false) AS differs FROM {{eobs}} LEFT JOIN (SELECT bill_id, {r('sum(allowed_amount)', 2)} AS summed FROM {{eob_lines}} GROUP BY bill_id) USING (bill_id)",
     ),
     "a06_eob_audit": (
-        lambda t: insurance.eob_audit(found(t), t.eob_lines, t.eobs).drop("write_off", "write_off_percent"),
+        lambda t: insurance.eob_audit(found(t, "bill_id"), t.eob_lines, t.eobs).drop("write_off", "write_off_percent"),
         f"WITH {COMPARED} SELECT bill_id, plan, " + ", ".join(f"{r(f'sum({c})', 2)} AS {n}" for c, n in (("billed_amount", "billed"), ("allowed_amount", "allowed"), ("midpoint", "midpoint"), ("insurance_paid", "paid"), ("patient_responsibility", "patient"))) + " FROM mids GROUP BY bill_id, plan",
     ),
     "a09_write_off": (
-        lambda t: insurance.eob_audit(found(t), t.eob_lines, t.eobs).select("bill_id", "write_off", "write_off_percent"),
+        lambda t: insurance.eob_audit(found(t, "bill_id"), t.eob_lines, t.eobs).select("bill_id", "write_off", "write_off_percent"),
         f"WITH {COMPARED}, s AS (SELECT bill_id, {r('sum(billed_amount)', 2)} AS billed, {r('sum(allowed_amount)', 2)} AS allowed FROM mids GROUP BY bill_id) SELECT bill_id, {r('billed - allowed', 2)} AS write_off, CASE WHEN billed > 0 THEN {r(r('billed - allowed', 2) + ' / billed * 100', 1)} END AS write_off_percent FROM s",
     ),
     "a07_eob_insights": (
-        lambda t: insurance.insights(found(t), t.eob_lines, t.eobs),
+        lambda t: insurance.insights(found(t, "bill_id"), t.eob_lines, t.eobs),
         _insight_sql([("allowed_over_cms", "info", "allowed_amount > CAST(1.5 AS DOUBLE) * rate_used"), ("billed_over_allowed", "warning", "billed_amount > 5 * allowed_amount"), ("billed_over_plan", "alert", "billed_amount > 3 * midpoint"), ("drug_markup", "alert", "starts_with(code, 'J') AND billed_amount > 3 * allowed_amount")]),
     ),
     "a08_inline_insights": (
-        lambda t: insurance.insights(found(t), t.eob_lines, t.eobs, inline=True),
+        lambda t: insurance.insights(found(t, "bill_id"), t.eob_lines, t.eobs, inline=True),
         _insight_sql([("allowed_over_cms", "info", "allowed_amount > CAST(1.5 AS DOUBLE) * rate_used"), ("billed_over_allowed", "warning", "billed_amount > 2 * allowed_amount"), ("billed_over_share", "info", "patient_responsibility > 0 AND billed_amount > 3 * patient_responsibility")]),
     ),
     "j13_line_for_finding": (

@@ -17,11 +17,11 @@ QUERIES = {
         "SELECT snapshot_id, row_count FROM {snapshots} WHERE source_type = 'pfs' AND effective_year = 2022 AND fetched_at > DATE '2024-02-01' - INTERVAL 90 DAY ORDER BY fetched_at DESC, snapshot_id DESC LIMIT 1",
     ),
     "k03_saved_audits": (
-        lambda t: sinks.saved_audits(audit.reports(found(t), t.bills), F.lit("2024-01-31").cast("timestamp")).select("report_id", "finding_count", F.get_json_object("report_json", "$.matched").cast("long").alias("matched")),
+        lambda t: sinks.saved_audits(audit.reports(found(t, "bill_id"), t.bills), F.lit("2024-01-31").cast("timestamp")).select("report_id", "finding_count", F.get_json_object("report_json", "$.matched").cast("long").alias("matched")),
         f"WITH {FOUND} SELECT CAST(bill_id AS STRING) AS report_id, CAST(count(*) AS INT) AS finding_count, count(*) FILTER (mode != 'unmatched') AS matched FROM found GROUP BY bill_id",
     ),
     "j28_saved_reports": (
-        lambda t: sinks.saved_reports(sinks.saved_audits(audit.reports(found(t), t.bills), F.lit("2024-01-31").cast("timestamp")), t.audits.where("finding_count = 3").select(F.substring("report_id", 2, 20).alias("report_id"))).select(
+        lambda t: sinks.saved_reports(sinks.saved_audits(audit.reports(found(t, "bill_id"), t.bills), F.lit("2024-01-31").cast("timestamp")), t.audits.where("finding_count = 3").select(F.substring("report_id", 2, 20).alias("report_id"))).select(
             "report_id", "report.matched", F.size("report.findings").cast("long").alias("n"), F.get("report.findings", F.lit(0))["code"].alias("first_code"), F.element_at("report.overcharge_by_severity", F.lit("extreme")).alias("extreme")
         ),
         f"WITH {FOUND} SELECT CAST(bill_id AS STRING) AS report_id, count(*) FILTER (mode != 'unmatched') AS matched, count(*) AS n, arg_min(code, line_number) AS first_code, {r('sum(overcharge) FILTER (severity = ' + chr(39) + 'extreme' + chr(39) + ')', 2)} AS extreme FROM found WHERE bill_id IN (SELECT CAST(substr(report_id, 2) AS BIGINT) FROM {{audits}} WHERE finding_count = 3) GROUP BY bill_id",

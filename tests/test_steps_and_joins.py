@@ -7,10 +7,10 @@ import time
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import descriptions, extraction, insurance, prices
-from ledgerlens.plans import registry
+from ledgerlens.operators import audit, descriptions, extraction, insurance, matching, prices
+from ledgerlens.plans import bindings, registry
 from ledgerlens.plans.bindings import Tables
-from ledgerlens.plans.rates import placed, stored_found
+from ledgerlens.plans.rates import found, placed, stored_found
 from ledgerlens.sources.steps import Steps, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -225,3 +225,43 @@ def test_extraction_by_hand(spark):
     assert name("Provider: $55\nFacility: North   Wing", extraction.PROVIDER_LABELS) == "North Wing"
     assert name("Doctor: X\nRendering provider: ab", extraction.PROVIDER_LABELS) is None
     assert name("Member: $1\nMember name: Al Berg", extraction.PATIENT_LABELS) in ("Al Berg", None) and name("Patient: Bo Lund", extraction.PATIENT_LABELS, 4) == "Bo L"
+
+
+def test_look_ups_against_rates_of_one_row_a_code(spark):
+    """The best of all rates that fit, by brute force; codes have one row, and look-ups aren't multiplied by keys."""
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    rates = [(k, pick("1", "2", "3"), pick(None, "25", "59"), pick(None, "7", "8"), pick(None, 0.0, 5.0, 9.0), pick(None, 0.0, 4.0)) for k in range(60)]
+    asked = [(c, m, p, "facility") for c in ("1", "2", "4") for m in (None, "25", "26") for p in (None, "7", "9")]
+    pfs = spark.createDataFrame(rates, "rate_seq long, code string, modifier string, locality string, facility_rate double, non_facility_rate double")
+    none = spark.createDataFrame([], "rate_seq long, code string, modifier string, rate double, payment_limit double, payment_rate double")
+    packs = matching.rate_packs(pfs, none.drop("payment_limit", "payment_rate"), none.select("code", "payment_limit"), none.select("code", "payment_rate"))
+    assert packs.count() == 3
+    found = matching.match_rates(spark.createDataFrame(asked, "code string, modifier string, locality string, context string"), packs)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r[:3]): (r.facility_rate, r.non_facility_rate) for r in found.collect()}
+    for c, m, p, _ in asked:
+        fit = [r for r in rates if r[1] == c and (m is None or r[2] in (None, m)) and (p is None or r[3] in (None, p))]
+        best = min(fit, key=lambda r: (not (r[4] or 0) > 0, not (r[5] or 0) > 0, r[0]), default=None)
+        assert got[c, m, p] == (best[4:] if best and (best[4] or best[5]) else (None, None))
+    assert len(got) == len(asked)
+
+
+def test_alerts_of_lines_ask_for_no_rate(spark):
+    plan = registry.QUERIES["a18_line_alerts"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "p_retailprice" not in plan and "steps-" not in plan and "step_" not in plan
+
+
+def test_findings_move_no_texts(spark):
+    """Lines of findings have no description; reports are dealt by bill once, as findings."""
+    with Tables(spark, FOLDER) as t:
+        assert "description" not in placed(t).columns and "description" in placed(t, said=True).columns
+        plan = audit.reports(found(t, "bill_id"), t.bills)._jdf.queryExecution().executedPlan().toString()
+        assert "p_name" not in plan and "description" not in plan
+        assert len(re.findall(r"Exchange hashpartitioning\(bill_id#\d+L, ", plan)) == 1
+
+
+def test_codes_are_those_of_the_views(spark):
+    d = spark.sql("SELECT explode(sequence(-90, 20000)) AS l_partkey UNION ALL SELECT NULL").selectExpr("CAST(l_partkey AS BIGINT) AS l_partkey")
+    assert d.selectExpr(f"{bindings._code('l_partkey')} <=> {bindings._code_by_place('l_partkey')} AS same").where("NOT same").count() == 0
+    assert "WHEN 26 THEN" not in bindings._spark(bindings.VIEWS["eob_lines"])
