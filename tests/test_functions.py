@@ -54,3 +54,13 @@ def test_join_by_the_rarest_substring(spark):
     two = spark.createDataFrame([(p, q) for p in parts for q in parts if len(p) > 2 and len(q) > 2], "p string, q string")
     got = {(r.p, r.q, r.k) for r in join_holding(two, F.array("p", "q"), t, F.col("said")).collect()}
     assert got == {(p, q, k) for p in parts for q in parts for k, x in enumerate(texts) if x is not None and len(p) > 2 and len(q) > 2 and p in x.lower() and q in x.lower()}
+
+
+def test_money_and_prices_are_read_in_one_pass(spark):
+    """One replacement and one extraction a value; -0 stays a price, negative numbers don't."""
+    texts = ["$1,234.50", " 5 ", "-5", "-0.00", "-0.05", "-", " - ", "", ".", "NA", "n/a", "12 MG", '"$7"', "-0", "-00.5", ".5", "-.0", "x1", None]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", fn.money("t").alias("m"), fn.price("t").alias("p")).orderBy("k")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    rows = d.collect()
+    assert [r.m for r in rows] == [1234.5, 5, -5, 0, -0.05, None, None, None, None, None, None, 12, None, 0, -0.5, 0.5, 0, None, None]
+    assert [r.p for r in rows] == [1234.5, 5, None, 0, None, None, None, None, None, None, None, 12, 7, 0, None, 0.5, 0, None, None]
