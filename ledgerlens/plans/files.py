@@ -160,9 +160,8 @@ def bill_files(t: Tables) -> DataFrame:
         "bill_id", F.concat("facility_name", F.lit(" / "), F.col("bill_id").cast("string")).alias("facilityName"), F.nullif("facility_type", F.lit("office")).alias("facilityType"), F.col("statement_date").cast("string").alias("statementDate"),
         F.col("total_billed").alias("totalBilled"), F.col("parse_confidence").alias("parseConfidence"), F.col("source_type").alias("sourceType"),
     )
-    path = t.files("bills", lambda p: head.join(lines, "bill_id").drop("bill_id").write.json(p))
-    head, lines = readers.read_bills(t.spark, path)
-    return head.join(lines, "bill_id").select("facility_name", "facility_type", "statement_date", "total_billed", "line_number", "code", "modifier", "description", "units", "billed_amount", "service_date")
+    path = t.files("bills", lambda p: head.join(lines, "bill_id").drop("bill_id").write.json(p, compression="gzip"))
+    return readers.read_bill_rows(t.spark, path).select("facility_name", "facility_type", "statement_date", "total_billed", "line_number", "code", "modifier", "description", "units", "billed_amount", "service_date")
 
 
 BILL_FILES = """SELECT facility_name || ' / ' || CAST(b.bill_id AS STRING) AS facility_name, CASE WHEN facility_type = 'office' THEN 'unknown' ELSE facility_type END AS facility_type, CAST(statement_date AS STRING) AS statement_date, total_billed,
@@ -176,9 +175,8 @@ def statement_files(t: Tables) -> DataFrame:
     )
     lines = t.eob_lines.groupBy("bill_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("line_number")).alias("lineItems"))
     head = t.eobs.select("bill_id", F.col("bill_id").cast("string").alias("claimNumber"), F.lower("plan_type").alias("planType"), F.col("amount_billed").alias("totalBilled"), F.col("total_allowed").alias("totalAllowed"), F.col("plan_paid").alias("totalInsurancePaid"))
-    path = t.files("statements", lambda p: head.join(lines, "bill_id").drop("bill_id").write.json(p))
-    head, lines = readers.read_eobs(t.spark, path)
-    return head.select("bill_id", "claim_number", "plan_type", "amount_billed", "total_allowed", "plan_paid").join(lines, "bill_id").select(
+    path = t.files("statements", lambda p: head.join(lines, "bill_id").drop("bill_id").write.json(p, compression="gzip"))
+    return readers.read_eob_rows(t.spark, path).select(
         "claim_number", "plan_type", "amount_billed", "total_allowed", "plan_paid", "line_number", "code", "billed_amount", "allowed_amount", "insurance_paid", "patient_responsibility", "copay", "adjustment_reason"
     )
 

@@ -285,32 +285,55 @@ def _records(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
     return d.withColumn("bill_id", F.sha2(F.concat_ws("\n", F.col("_metadata.file_path"), F.to_json(F.struct(*schema.names))), 256)).dropDuplicates(["bill_id"])
 
 
+def _bill_head() -> list[Column]:
+    return [F.col("facilityName").alias("facility_name"), F.coalesce("facilityType", F.lit("unknown")).alias("facility_type"), F.col("statementDate").alias("statement_date"), F.col("totalBilled").alias("total_billed"), F.col("parseConfidence").alias("parse_confidence"), F.col("sourceType").alias("source_type")]
+
+
+def _bill_line() -> list[Column]:
+    return [
+        F.coalesce("l.lineNumber", F.col("at") + 1).alias("line_number"), F.col("l.cptCode").alias("code"), F.col("l.modifier").alias("modifier"), F.col("l.description").alias("description"),
+        F.coalesce("l.units", F.lit(1.0)).alias("units"), F.col("l.billedAmount").alias("billed_amount"), F.col("l.serviceDate").alias("service_date"), F.col("l.revenueCode").alias("revenue_code"),
+    ]
+
+
 def read_bills(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Bill headers and lines from JSON (S08): units default to 1, facility type to unknown.
 
     Files hold one record a line and are read in splits; with ``multi_line`` each holds one record or an array of them.
     """
     d = _records(spark, path, BILL, multi_line)
-    head = d.select("bill_id", F.col("facilityName").alias("facility_name"), F.coalesce("facilityType", F.lit("unknown")).alias("facility_type"), F.col("statementDate").alias("statement_date"), F.col("totalBilled").alias("total_billed"), F.col("parseConfidence").alias("parse_confidence"), F.col("sourceType").alias("source_type"))
-    x = d.select("bill_id", F.posexplode("lineItems").alias("at", "l"))
-    lines = x.select(
-        "bill_id", F.coalesce("l.lineNumber", F.col("at") + 1).alias("line_number"), F.col("l.cptCode").alias("code"), F.col("l.modifier").alias("modifier"), F.col("l.description").alias("description"),
-        F.coalesce("l.units", F.lit(1.0)).alias("units"), F.col("l.billedAmount").alias("billed_amount"), F.col("l.serviceDate").alias("service_date"), F.col("l.revenueCode").alias("revenue_code"),
-    )
-    return head, lines
+    return d.select("bill_id", *_bill_head()), d.select("bill_id", F.posexplode("lineItems").alias("at", "l")).select("bill_id", *_bill_line())
+
+
+def read_bill_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The lines of ``read_bills`` with their headers, in one pass over the records and without a join."""
+    x = _records(spark, path, BILL, multi_line).select("bill_id", F.struct(*_bill_head()).alias("h"), F.posexplode("lineItems").alias("at", "l"))
+    return x.select("bill_id", "h.*", *_bill_line())
+
+
+def _eob_head() -> list[Column]:
+    return [F.col("insurerName").alias("insurer_name"), F.upper("planType").alias("plan_type"), F.col("claimNumber").alias("claim_number"), F.col("totalBilled").alias("amount_billed"), F.col("totalAllowed").alias("total_allowed"), F.col("totalInsurancePaid").alias("plan_paid"), F.col("totalPatientResponsibility").alias("total_patient_responsibility")]
+
+
+def _eob_line() -> list[Column]:
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return [
+        F.coalesce("l.lineNumber", F.col("at") + 1).alias("line_number"), clean_code("l.cptCode").alias("code"), F.col("l.description").alias("description"), F.col("l.billedAmount").alias("billed_amount"), F.col("l.allowedAmount").alias("allowed_amount"),
+        F.col("l.insurancePaid").alias("insurance_paid"), F.col("l.patientResponsibility").alias("patient_responsibility"), zero("l.copay").alias("copay"), zero("l.coinsurance").alias("coinsurance"), zero("l.deductible").alias("deductible"), F.col("l.adjustmentReason").alias("adjustment_reason"),
+    ]
 
 
 def read_eobs(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Statement headers and lines from JSON as in ``read_bills`` (S09): plan type and codes in upper case."""
     d = _records(spark, path, EOB, multi_line)
-    head = d.select("bill_id", F.col("insurerName").alias("insurer_name"), F.upper("planType").alias("plan_type"), F.col("claimNumber").alias("claim_number"), F.col("totalBilled").alias("amount_billed"), F.col("totalAllowed").alias("total_allowed"), F.col("totalInsurancePaid").alias("plan_paid"), F.col("totalPatientResponsibility").alias("patient_responsibility"))
-    x = d.select("bill_id", F.posexplode("lineItems").alias("at", "l"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    lines = x.select(
-        "bill_id", F.coalesce("l.lineNumber", F.col("at") + 1).alias("line_number"), clean_code("l.cptCode").alias("code"), F.col("l.description").alias("description"), F.col("l.billedAmount").alias("billed_amount"), F.col("l.allowedAmount").alias("allowed_amount"),
-        F.col("l.insurancePaid").alias("insurance_paid"), F.col("l.patientResponsibility").alias("patient_responsibility"), zero("l.copay").alias("copay"), zero("l.coinsurance").alias("coinsurance"), zero("l.deductible").alias("deductible"), F.col("l.adjustmentReason").alias("adjustment_reason"),
-    )
-    return head, lines
+    head = d.select("bill_id", *_eob_head()).withColumnRenamed("total_patient_responsibility", "patient_responsibility")
+    return head, d.select("bill_id", F.posexplode("lineItems").alias("at", "l")).select("bill_id", *_eob_line())
+
+
+def read_eob_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The lines of ``read_eobs`` with their headers, whose patient share is ``total_patient_responsibility``, as in ``read_bill_rows``."""
+    x = _records(spark, path, EOB, multi_line).select("bill_id", F.struct(*_eob_head()).alias("h"), F.posexplode("lineItems").alias("at", "l"))
+    return x.select("bill_id", "h.*", *_eob_line())
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -263,3 +263,17 @@ def test_quota(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "counts")).groupBy("user_id").agg(F.sum("accepted"), F.sum("rejected")).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == brute_quota(rows, 60, 2)
+
+
+def test_bill_and_statement_rows_are_lines_with_their_heads(spark, tmp_path):
+    """One pass over the records: the rows of the join of heads and lines, a repeated record once, none without lines."""
+    (tmp_path / "a.json").write_text('{"facilityName":"A","totalBilled":5,"lineItems":[{"cptCode":"1"},{"cptCode":"2","units":3}]}\n' * 2 + '{"facilityName":"B","lineItems":[]}\n')
+    head, lines = readers.read_bills(spark, str(tmp_path))
+    got = readers.read_bill_rows(spark, str(tmp_path))
+    key = lambda d: sorted((r.facility_name, r.facility_type, r.total_billed, r.line_number, r.code, r.units) for r in d.collect())
+    assert key(got) == key(head.join(lines, "bill_id")) == [("A", "unknown", 5.0, 1, "1", 1.0), ("A", "unknown", 5.0, 2, "2", 3.0)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.json").write_text('{"claimNumber":"9","planType":"ppo","totalPatientResponsibility":4,"lineItems":[{"cptCode":"j1","patientResponsibility":2}]}\n')
+    r = readers.read_eob_rows(spark, str(tmp_path / "e")).first()
+    assert (r.claim_number, r.plan_type, r.total_patient_responsibility, r.code, r.patient_responsibility, r.copay) == ("9", "PPO", 4.0, "J1", 2.0, 0.0)
